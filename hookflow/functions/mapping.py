@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -171,7 +172,7 @@ def compile_expression(expression: str, payload: Column, context: Context) -> Co
         # An operation mentions its input several times; from the second on it is bound
         # once, so the size of a chain grows with its length and not exponentially.
         if number:
-            value = J.bind(value, lambda v, op=operation: compile_op(op, v))
+            value = J.bind(value, partial(compile_op, operation))
         else:
             value = compile_op(operation, value)
     if any(op.startswith(("divide", "multiply", "toNumber")) for op in operations):
@@ -179,11 +180,23 @@ def compile_expression(expression: str, payload: Column, context: Context) -> Co
     return value
 
 
+def _field_order(name: str) -> tuple:
+    """Output order: array-index-like names by number, then shorter names first, then bytes.
+
+    Maps carry no order of their own; this is the order stored JSON objects come back in.
+    """
+    if re.fullmatch(r"0|[1-9][0-9]{0,9}", name):
+        return (0, int(name), b"")
+    raw = name.encode()
+    return (1, len(raw), raw)
+
+
 def compile_mapping(mapping: Mapping[str, str | None], payload: Column, context: Context) -> Column | None:
     """Output JSON text of a mapping, or None when it cannot be evaluated and the raw payload must stand."""
     if any(not isinstance(expression, str) for expression in mapping.values()):
         return None
     if not mapping:
         return F.lit("{}")
-    fields = [compile_expression(e, payload, context).alias(name) for name, e in mapping.items()]
+    names = sorted(mapping, key=_field_order)
+    fields = [compile_expression(mapping[name], payload, context).alias(name) for name in names]
     return F.to_json(F.struct(*fields))

@@ -157,13 +157,14 @@ def append_events(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of ``new`` an append stores: conflicts on (source, external_id) or id are skipped.
 
     The first row of the batch wins; a null external id never conflicts. Keys are
-    settled on narrow rows, payloads are shuffled once, by id.
+    settled on narrow rows, payloads are shuffled once, by id; rows that repeat an id
+    (a source delivering a record twice) collapse on the same partitioning.
     """
     winners = first_rows(new.filter(F.col("external_id").isNotNull()), KEY)
     winners = winners.join(stored.select(*KEY).filter(F.col("external_id").isNotNull()), KEY, "left_anti")
     anonymous = new.filter(F.col("external_id").isNull()).select("id").distinct()
     admitted = winners.select("id").unionByName(anonymous).join(stored.select("id"), "id", "left_anti")
-    return new.join(admitted, "id", "left_semi")
+    return new.join(admitted, "id", "left_semi").dropDuplicates(["id"])
 
 
 def dedup_hot_cold(

@@ -27,16 +27,23 @@ def reconcile_matched(external: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def reconcile_inject(missing: DataFrame, as_of: Column | datetime) -> DataFrame:
-    """Synthetic event rows for missing events; append them with the permanent dedup tier."""
+    """Synthetic event rows for missing events; append them with the permanent dedup tier.
+
+    A key listed several times yields one row, its earliest occurrence.
+    """
     header = F.create_map(F.lit("x-reconciled"), F.lit("true"))
-    return missing.select(
+    earliest = F.min(F.struct("occurred_at", "event_type", "payload")).alias("e")
+    return missing.groupBy(*KEY).agg(earliest).select(
         event_id(F.lit("reconciled"), F.col("source"), F.col("external_id")).alias("id"),
-        *[F.col(name) for name in ("external_id", "source", "event_type", "payload")],
+        "external_id",
+        "source",
+        "e.event_type",
+        "e.payload",
         header.alias("headers"),
         F.lit("RECEIVED").alias("status"),
         F.lit("SKIPPED").alias("validation_status"),
         F.lit(0).alias("attempts"),
-        "occurred_at",
+        "e.occurred_at",
         instant(as_of).alias("created_at"),
     )
 

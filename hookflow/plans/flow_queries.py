@@ -47,7 +47,7 @@ def raw_events(t: Tables) -> DataFrame:
 
 
 # A refund fails its schema when the amount or the whole object is missing.
-REFUND_BAD = "(checked_type = 'charge.refunded' and (event_id % 5 = 0 or event_id % 2 = 0))"
+REFUND_BAD = "(coalesce(checked_type, '') = 'charge.refunded' and (event_id % 5 = 0 or event_id % 2 = 0))"
 PAYMENT_BAD = "(checked_type = 'payment_intent.succeeded' and (event_id % 4 <= 1 or event_id % 3 = 0))"
 CHECK_STATUS = (
     "case when checked_type is null then 'SKIPPED'"
@@ -97,7 +97,7 @@ def _(t: Tables):
 
 
 CHUNKS = (
-    "(select floor((row_number() over (order by l_orderkey, l_linenumber) - 1) / 500) as chunk_index, * from lineitem)"
+    "(select floor((row_number() over (order by l_orderkey, l_linenumber, l_partkey) - 1) / 500) as chunk_index, * from lineitem)"
 )
 
 
@@ -110,7 +110,7 @@ CHUNKS = (
 )
 def _(t: Tables):
     rows = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    chunks = csv_batch.csv_chunks(rows, ["l_orderkey", "l_linenumber"])
+    chunks = csv_batch.csv_chunks(rows, ["l_orderkey", "l_linenumber", "l_partkey"])
 
     def label(row):
         return F.concat(row["l_orderkey"], F.lit("-"), row["l_linenumber"])
@@ -162,7 +162,7 @@ def _(t: Tables):
 
 @query(
     "append_status",
-    "select event_id, status, at, last_error from status_log union all"
+    "select event_id, status, \"at\", last_error from status_log union all"
     f" select id, 'QUEUED', {NOW}, 'retry' from env where status = 'RECEIVED'",
 )
 def _(t: Tables):
@@ -319,10 +319,8 @@ def _(t: Tables):
     " and s.external_id = e.external_id)) where rn = 1",
 )
 def _(t: Tables):
-    """Missing events become synthetic rows and pass the permanent tier once per key."""
     missing = reconcile.reconcile_missing(t.env.withColumn("occurred_at", F.col("created_at")), t.stored)
-    firsts = dedup.first_rows(missing, ["source", "external_id"]).select("id")
-    injected = reconcile.reconcile_inject(missing.join(firsts, "id", "left_semi"), t.as_of())
+    injected = reconcile.reconcile_inject(missing, t.as_of())
     reconciled = F.element_at("headers", "x-reconciled").alias("reconciled")
     return injected.select("source", "external_id", "event_type", "occurred_at", "created_at", "validation_status", reconciled)
 
@@ -397,7 +395,7 @@ def _(t: Tables):
 OUTCOMES = (
     "outcomes as (select event_id, attempts as attempt, case when count(*) filter (where status = 'FAILED') = 0 then 'DELIVERED' else 'FAILED' end as status,"
     " case when count(*) filter (where status = 'FAILED') > 0 then concat(count(*) filter (where status = 'FAILED'), ' of ', count(*),"
-    " ' deliveries failed') end as error, max(completed_at) as at from deliveries group by 1, 2"
+    " ' deliveries failed') end as error, max(completed_at) as \"at\" from deliveries group by 1, 2"
     " having count(*) filter (where status = 'PENDING') = 0)"
 )
 
@@ -410,7 +408,7 @@ def _(t: Tables):
 @query(
     "final_status",
     "select event_id, case when status = 'DELIVERED' then status when attempt >= 3 then 'DEAD' else 'FAILED' end as status,"
-    " attempt as attempts, error as last_error, case when status <> 'DELIVERED' then at end as failed_at from outcomes",
+    " attempt as attempts, error as last_error, case when status <> 'DELIVERED' then \"at\" end as failed_at from outcomes",
     OUTCOMES,
 )
 def _(t: Tables):
@@ -519,7 +517,7 @@ def _(t: Tables):
 
 @query(
     "dlq_discard",
-    f"select id as event_id, 'DISCARDED' as status, {NOW} as at from env where status = 'DEAD' and value > 20",
+    f"select id as event_id, 'DISCARDED' as status, {NOW} as \"at\" from env where status = 'DEAD' and value > 20",
 )
 def _(t: Tables):
     ids = t.env.filter("value > 20").select("id")
@@ -528,7 +526,7 @@ def _(t: Tables):
 
 @query(
     "dlq_discard_unchecked",
-    f"select id as event_id, 'DISCARDED' as status, {NOW} as at from env where value > 20",
+    f"select id as event_id, 'DISCARDED' as status, {NOW} as \"at\" from env where value > 20",
 )
 def _(t: Tables):
     ids = t.env.filter("value > 20").select("id")

@@ -44,10 +44,10 @@ AMOUNT = (
     f"case when {CENTS} % 100 = 0 then cast({CENTS} // 100 as varchar) else cast({CENTS} / 100.0::double as varchar) end"
 )
 EXACT_BODY = (
-    f"concat('{{\"order_id\":\"', upper(substr(concat('evt_', id), 5, 8)), '\",\"amount\":', {AMOUNT},"
-    " ',\"currency\":\"USD\",\"item\":\"', event_type, '\",\"status\":\"pending\",\"kind\":\"', event_type, '\"}')"
+    "concat('{\"item\":\"', event_type, '\",\"kind\":\"', event_type, '\",\"amount\":', "
+    f"{AMOUNT}, ',\"status\":\"pending\",\"currency\":\"USD\",\"order_id\":\"', upper(substr(concat('evt_', id), 5, 8)), '\"}}')"
 )
-WILD_BODY = "concat('{\"event\":\"', id, '\",\"from\":\"', source, '\",\"label\":\"', event_type, '\"}')"
+WILD_BODY = "concat('{\"from\":\"', source, '\",\"event\":\"', id, '\",\"label\":\"', event_type, '\"}')"
 BODY = (
     f"case when source = 'stripe' and event_type = 'purchase' then {EXACT_BODY} when source = 'stripe' then {WILD_BODY}"
     " else order_payload end"

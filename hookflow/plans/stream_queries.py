@@ -21,13 +21,21 @@ def drained(t: Tables, stream: DataFrame, label: str, mode: str = "append") -> D
     return t.spark.read.schema(stream.schema).parquet(folder)
 
 
-@query("stream_ingest", flow.qualified(flow.INGESTED), flow.greedy(f"{flow.ENV_KEYED} and not {flow.REJECTED}"))
+# The stored table keeps the first row of a key for ever, so repeats past their window stay out as well.
+@query(
+    "stream_ingest",
+    flow.qualified(flow.INGESTED).replace(
+        "left join chain c",
+        "left join (select arg_min(id, (created_at, id)) as id from keyed group by source, external_id) c",
+    ),
+    flow.greedy(f"{flow.ENV_KEYED} and not {flow.REJECTED}"),
+)
 def _(t: Tables):
     folder = scratch_path(t.spark, "ingested")
-    raw = t.event_stream().select("id", "source", F.expr(CHECKED_PAYLOAD).alias("payload"), F.col("created_at").alias("received_at"))
-    # The stored table keeps one row per key for ever; give repeats past their window a key of their own.
-    job = jobs.stream_ingest(raw, folder, folder + "-log", t.sources, t.schemas)
-    job.awaitTermination()
+    raw = t.event_stream().select(
+        "id", "source", F.expr(CHECKED_PAYLOAD).alias("payload"), F.col("created_at").alias("received_at")
+    )
+    jobs.stream_ingest(raw, folder, folder + "-log", t.sources, t.schemas).awaitTermination()
     return t.spark.read.parquet(folder).select(*flow.ENVELOPE)
 
 
@@ -81,7 +89,7 @@ def _(t: Tables):
 @query(
     "stream_reconcile",
     "select source, external_id, event_type, created_at from (select *, row_number() over (partition by source, external_id order by"
-    " (status = 'RECEIVED')::int, created_at, id) as rn from env) where rn = 1 and (status <> 'RECEIVED' or true)",
+    " (status = 'RECEIVED')::int, created_at, id) as rn from env) where rn = 1",
 )
 def _(t: Tables):
     folder = scratch_path(t.spark, "reconciled")

@@ -174,7 +174,7 @@ DELIVERY_STATUS = (
 )
 # Transitions of every event: received, queued a second later, then its final state.
 STATUS_LOG = (
-    "select id as event_id, 'RECEIVED' as status, created_at as at, cast(null as int) as attempts,"
+    "select id as event_id, 'RECEIVED' as status, created_at as \"at\", cast(null as int) as attempts,"
     " cast(null as varchar(80)) as last_error from env"
     " union all select id, 'QUEUED', created_at + interval _SECOND_, null, null from env where status <> 'RECEIVED'"
     " union all select id, status, created_at + interval _SECOND_ * 2, attempts, last_error from env"
