@@ -16,15 +16,7 @@ from hookflow.functions.scalars import js_number_text
 # White space JavaScript trims, beyond what regex \s covers here.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
-# VARIANT type names of the JSON kinds.
-SHAPES = {
-    "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)",
-    "string": "^STRING",
-    "boolean": "^BOOLEAN",
-    "null": "^VOID",
-    "array": "^ARRAY",
-    "object": "^OBJECT",
-}
+DIGITS = "0123456789abcdef"
 # Arrays inside arrays deeper than this keep their JSON text when turned into a string.
 MAX_ARRAY_DEPTH = 4
 
@@ -50,9 +42,20 @@ def json_null() -> Column:
 def is_kind(value: Column, name: str) -> Column:
     """Whether a value is a number, string, boolean, null, array or object; false when undefined.
 
-    One test reads the value once: these tests nest, and copies of a value multiply.
+    Each test mentions the value once (tests nest, and copies would multiply), and the
+    composite tests do not walk the value: naming the type of an object spells out all
+    its fields, while reading it as an empty struct only looks at its tag.
     """
-    return F.coalesce(F.schema_of_variant(value).rlike(SHAPES[name]), F.lit(False))
+    if name == "object":
+        return F.try_variant_get(value, "$", "struct<>").isNotNull()
+    if name == "array":
+        return elements(value).isNotNull()
+    if name == "null":
+        return F.coalesce(F.is_variant_null(value), F.lit(False))
+    shape = F.schema_of_variant(value)
+    if name == "number":
+        return F.coalesce(shape.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+    return F.coalesce(shape == name.upper(), F.lit(False))
 
 
 def is_nullish(value: Column) -> Column:
@@ -144,19 +147,27 @@ def trim(value: Column) -> Column:
     return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+\\z", "")
 
 
+def _in_base(digits: Column, base: int) -> Column:
+    """Digits of a base as a double, whatever their number."""
+    signs = F.filter(F.split(digits, ""), lambda sign: sign != "")
+    return F.aggregate(
+        signs, F.lit(0.0), lambda sum_, sign: sum_ * F.lit(float(base)) + (F.position(sign, F.lit(DIGITS)) - 1)
+    )
+
+
 def string_to_number(value: Column) -> Column:
     """``Number(text)``: blank is 0, hex/octal/binary prefixes count, anything else unreadable is NaN."""
     t = trim(value)
-    prefix = F.lower(F.substring(t, 1, 2))
-    digits = F.substring(t, 3, 64)
+    lowered = F.lower(t)
+    digits = F.substring(lowered, F.lit(3), F.length(lowered))
     return (
         F.when(t == "", F.lit(0.0))
         .when(t.rlike(NUMBER_TEXT), t.try_cast("double"))
         .when(t.rlike(r"^\+?Infinity\z"), F.lit(float("inf")))
         .when(t == "-Infinity", F.lit(float("-inf")))
-        .when((prefix == "0x") & digits.rlike(r"^[0-9a-fA-F]+\z"), F.conv(digits, 16, 10).try_cast("double"))
-        .when((prefix == "0o") & digits.rlike(r"^[0-7]+\z"), F.conv(digits, 8, 10).try_cast("double"))
-        .when((prefix == "0b") & digits.rlike(r"^[01]+\z"), F.conv(digits, 2, 10).try_cast("double"))
+        .when(lowered.rlike(r"^0x[0-9a-f]+\z"), _in_base(digits, 16))
+        .when(lowered.rlike(r"^0o[0-7]+\z"), _in_base(digits, 8))
+        .when(lowered.rlike(r"^0b[01]+\z"), _in_base(digits, 2))
         .otherwise(F.lit(float("nan")))
     )
 

@@ -45,7 +45,7 @@ def metric_values(events: DataFrame, rules: DataFrame, as_of: Column | datetime)
         one, two = f"_a{number}", f"_b{number}"
         if metric == "ERROR_RATE":
             aggregates += [F.count_if(inside).alias(one), F.count_if(inside & failed).alias(two)]
-            rate = F.when(F.col(one) > 0, F.col(two) / F.col(one) * 100).otherwise(F.lit(0.0))
+            rate = F.coalesce(F.try_divide(two, one) * 100, F.lit(0.0))
             values.append((metric, window_ms, rate))
         elif metric == "LATENCY_P95":
             latency.append(window_ms)

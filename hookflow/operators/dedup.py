@@ -120,13 +120,17 @@ def _jump_large(keyed: DataFrame) -> DataFrame:
     )
 
 
-def decide_ttl(events: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def decide_ttl(
+    events: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT, materialise: bool = False
+) -> DataFrame:
     """(source, external_id, at, id, accepted, first) for every row that takes part.
 
     Counting rows per key first costs one narrow, pre-aggregated pass and decides
-    which keys may be folded in a buffer at all.
+    which keys may be folded in a buffer at all. ``materialise`` writes the narrow rows
+    to the shared folder once, for inputs that are dear to compute twice.
     """
     keyed = _keyed(events, sources)
+    keyed = cut_lineage(keyed) if materialise else keyed
     counts = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     crowded = counts.filter(F.col("n") > fold_limit).select(*KEY)
     if crowded.isEmpty():
@@ -137,13 +141,15 @@ def decide_ttl(events: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIM
     return _fold_small(small).unionByName(_jump_large(large))
 
 
-def dedup_ttl(events: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def dedup_ttl(
+    events: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT, materialise: bool = False
+) -> DataFrame:
     """Events without the repeats that fall into the window of an accepted row.
 
     Ties on the clock are settled by id. Rows without an external id, and rows of
     sources that configure no deduplication, always pass.
     """
-    repeats = decide_ttl(events, sources, fold_limit).filter(~F.col("accepted")).select("id")
+    repeats = decide_ttl(events, sources, fold_limit, materialise).filter(~F.col("accepted")).select("id")
     return events.join(repeats, "id", "left_anti")
 
 

@@ -115,7 +115,7 @@ def delivery_report(deliveries: DataFrame) -> DataFrame:
     stats = ranked_values(timed, "ms", ranks, ["_one"])
     joined = totals.withColumn("_one", F.lit(1)).join(stats, "_one", "left")
     zero = F.lit(0).cast("bigint")
-    share = F.col("success") / F.col("total") * 100
+    share = F.try_divide(F.col("success"), F.col("total")) * 100
     verdict = F.lit("POOR")
     for name, least, most in reversed(VERDICTS):
         verdict = F.when((share >= least) & (F.coalesce("p95_ms", zero) < most), F.lit(name)).otherwise(verdict)
@@ -124,7 +124,7 @@ def delivery_report(deliveries: DataFrame) -> DataFrame:
         "success",
         (F.col("total") - F.col("success")).alias("failed"),
         share.alias("success_pct"),
-        F.when(F.col("duration_s") > 0, F.col("total") / F.col("duration_s")).alias("rps"),
+        F.try_divide(F.col("total"), F.col("duration_s")).alias("rps"),
         *[F.coalesce(name, zero).alias(name) for name in ranks],
         verdict.alias("verdict"),
     )

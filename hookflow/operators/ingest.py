@@ -71,9 +71,10 @@ def ingest_events(raw: DataFrame, sources: DataFrame, schemas: DataFrame, parity
     """
     explicit = F.col("event_type") if "event_type" in raw.columns else None
     headers = F.col("headers") if "headers" in raw.columns else F.create_map().cast("map<string,string>")
-    body = J.parse(F.col("payload"))
+    # The explode of at most one element parses once and drops unreadable text; a filter
+    # on the parsed value would be pushed down and parse again.
+    body = F.explode(F.array_compact(F.array(J.parse(F.col("payload")))))
     typed = raw.filter(F.length("source").between(1, MAX_SOURCE_LENGTH)).withColumn("_body", body)
-    typed = typed.filter(F.col("_body").isNotNull())
     made_id = F.col("id") if "id" in raw.columns else event_id(
         F.col("source"), F.unix_micros("received_at").cast("string"), F.col("payload")
     )
@@ -84,16 +85,16 @@ def ingest_events(raw: DataFrame, sources: DataFrame, schemas: DataFrame, parity
         detect_event_type(F.col("_body"), explicit).alias("event_type"),
         "payload",
         headers.alias("headers"),
-        F.element_at(headers, "x-webhook-signature").alias("signature"),
+        F.try_element_at(headers, F.lit("x-webhook-signature")).alias("signature"),
         F.lit("RECEIVED").alias("status"),
         F.lit(0).alias("attempts"),
         F.col("received_at").alias("created_at"),
     )
     if parity:
-        accepted, _ = reject_split(validate_events(dedup_ttl(rows, sources), schemas))
+        accepted, _ = reject_split(validate_events(dedup_ttl(rows, sources, materialise=True), schemas))
     else:
         valid, _ = reject_split(validate_events(rows, schemas))
-        accepted = dedup_ttl(valid, sources)
+        accepted = dedup_ttl(valid, sources, materialise=True)
     return accepted.drop("reject_on_fail")
 
 

@@ -130,7 +130,7 @@ def latency_by_source(events: DataFrame, sample: int | None = 1000) -> DataFrame
 
 def error_stats(events: DataFrame, as_of: Column | datetime, minutes: int = 60) -> DataFrame:
     counts = since(events, as_of, mins=minutes).agg(_rows().alias("total"), F.count_if(_failed()).alias("failed"))
-    rate = F.when(F.col("total") > 0, js_round(F.col("failed") / F.col("total") * 100, 2)).otherwise(F.lit(0.0))
+    rate = F.coalesce(js_round(F.try_divide("failed", "total") * 100, 2), F.lit(0.0))
     return counts.withColumn("error_rate", rate)
 
 
@@ -167,7 +167,7 @@ def queue_depth(events: DataFrame) -> DataFrame:
 
 def metric_error_rate(events: DataFrame, as_of: Column | datetime, window_ms: int) -> DataFrame:
     counts = since(events, as_of, secs=window_ms / 1000).agg(_rows().alias("n"), F.count_if(_failed()).alias("f"))
-    return counts.select(F.when(F.col("n") > 0, F.col("f") / F.col("n") * 100).otherwise(F.lit(0.0)).alias("value"))
+    return counts.select(F.coalesce(F.try_divide("f", "n") * 100, F.lit(0.0)).alias("value"))
 
 
 def metric_queue_size(events: DataFrame, as_of: Column | datetime | None = None, window_ms: int = 0) -> DataFrame:

@@ -64,9 +64,8 @@ def replay_plan(events: DataFrame, filters: Mapping[str, Any], keep_event_type:
 
 
 def replay_progress(requests: DataFrame) -> DataFrame:
-    share = js_round(F.col("replayed_events") / F.col("total_events") * 100)
-    pct = F.when(F.col("total_events") > 0, share).otherwise(F.lit(0.0)).cast("int")
-    return requests.withColumn("progress", pct)
+    share = js_round(F.try_divide("replayed_events", "total_events") * 100)
+    return requests.withColumn("progress", F.coalesce(share, F.lit(0.0)).cast("int"))
 
 
 def replay_request(

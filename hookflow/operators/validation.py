@@ -59,8 +59,12 @@ def validate_events(events: DataFrame, schemas: DataFrame) -> DataFrame:
         rejects[key] = F.lit(bool(row.reject_on_fail))
     source, kind = F.col("source"), F.col("event_type")
     none = F.lit(None).cast(ERROR_TYPE)
-    checked = events.withColumn("_body", J.parse(F.col("payload"))).withColumn(
-        "_errors", choose(rules, source, kind, none)
+    # The explode of one element keeps the rule columns in one place: a filter on the
+    # status is not pushed below it, which would evaluate every rule a second time.
+    checked = (
+        events.withColumn("_body", J.parse(F.col("payload")))
+        .withColumn("_checked", F.explode(F.array(F.struct(choose(rules, source, kind, none).alias("errors")))))
+        .withColumn("_errors", F.col("_checked.errors"))
     )
     status = (
         F.when(kind.isNull() | (kind == ""), F.lit("SKIPPED"))
@@ -74,7 +78,7 @@ def validate_events(events: DataFrame, schemas: DataFrame) -> DataFrame:
             "validation_errors": errors_json(F.col("_errors")),
             "reject_on_fail": choose(rejects, source, kind, F.lit(False)),
         }
-    ).drop("_body", "_errors")
+    ).drop("_body", "_checked", "_errors")
 
 
 def validation_errors(events: DataFrame, schemas: DataFrame) -> DataFrame:

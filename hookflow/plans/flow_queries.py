@@ -363,7 +363,7 @@ def _(t: Tables):
 
 
 # Alerts that fired before: one per dead-letter event of the last days, spread over the rules.
-HISTORY_RULE = "concat('a', cast(1 + event_id % 3 as varchar(2)))"
+HISTORY_RULE = "concat('a', cast(1 + event_id % 3 as string))"
 HISTORY = (
     f"history as (select id, {HISTORY_RULE} as alert_rule_id, value as metric_value, concat('alert ', id) as message,"
     " created_at as fired_at from env where status = 'DEAD')"

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hookflow.session import spread
+
 EVENTS_FILE = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 # --- event view -------------------------------------------------------------------------
@@ -23,8 +25,8 @@ _STATUS = (
 )
 _LATENCY = "cast(floor(value * 10) as bigint)"
 BASE = {
-    "id": "cast(event_id as varchar(20))",
-    "external_id": "concat(cast(user_id as varchar(20)), '-', cast(cast(floor(value) as bigint) as varchar(20)))",
+    "id": "cast(event_id as string)",
+    "external_id": "concat(cast(user_id as string), '-', cast(cast(floor(value) as bigint) as string))",
     "source": "case user_id % 4 when 0 then 'stripe' when 1 then 'github' when 2 then 'shopify' else 'hubspot' end",
     "event_type": "event_type",
     "status": _STATUS,
@@ -60,24 +62,24 @@ MIXED = (
 )
 CENTS = "cast(round(value * 100) as bigint)"
 ORDER_PAYLOAD = (
-    "concat('{\"id\":\"evt_', cast(event_id as varchar(20)), '\",\"type\":\"', event_type, '\",\"amount\":',"
-    f" cast({CENTS} as varchar(20)), ',\"price\":', cast(cast(value as decimal(12,2)) as varchar(20)), ',', {MIXED},"
+    "concat('{\"id\":\"evt_', cast(event_id as string), '\",\"type\":\"', event_type, '\",\"amount\":',"
+    f" cast({CENTS} as string), ',\"price\":', cast(cast(value as decimal(12,2)) as string), ',', {MIXED},"
     " '\"currency\":\"usd\",\"label\":\"  ', event_type, ' \",\"order\":{\"items\":[{\"name\":\"',"
-    " event_type, '\",\"qty\":', cast(user_id as varchar(20)), '},{\"name\":\"other\",\"qty\":1}],\"7\":\"seven\"}}')"
+    " event_type, '\",\"qty\":', cast(user_id as string), '},{\"name\":\"other\",\"qty\":1}],\"7\":\"seven\"}}')"
 )
 CHECKED_TYPE = (
     "case event_type when 'purchase' then 'payment_intent.succeeded' when 'error' then 'charge.refunded'"
     " when 'signup' then 'subscribe' when 'click' then 'payment_intent.succeeded' end"
 )
 _OBJECT = (
-    "case event_type when 'error' then concat('{\"id\":\"re_', cast(event_id as varchar(20)), '\"',"
-    f" case when event_id % 2 = 0 then '' else concat(',\"amount_refunded\":', cast({CENTS} as varchar(20))) end, '}}')"
-    " else concat('{\"id\":\"pi_', cast(event_id as varchar(20)), '\",\"amount\":',"
-    f" case event_id % 4 when 0 then '\"not_a_number\"' when 1 then '-5' else cast({CENTS} as varchar(20)) end,"
+    "case event_type when 'error' then concat('{\"id\":\"re_', cast(event_id as string), '\"',"
+    f" case when event_id % 2 = 0 then '' else concat(',\"amount_refunded\":', cast({CENTS} as string)) end, '}}')"
+    " else concat('{\"id\":\"pi_', cast(event_id as string), '\",\"amount\":',"
+    f" case event_id % 4 when 0 then '\"not_a_number\"' when 1 then '-5' else cast({CENTS} as string) end,"
     " ',\"currency\":\"', case when event_id % 3 = 0 then 'us' else 'brl' end, '\"}') end"
 )
 CHECKED_PAYLOAD = (
-    "concat('{\"ref\":\"', cast(user_id as varchar(20)), '-', cast(cast(floor(value) as bigint) as varchar(20)), '\",',"
+    "concat('{\"ref\":\"', cast(user_id as string), '-', cast(cast(floor(value) as bigint) as string), '\",',"
     f" case when event_type = 'view' then '' else concat('\"type\":\"', {CHECKED_TYPE}, '\",') end,"
     " '\"data\":', case when event_type = 'error' and event_id % 5 = 0 then '{\"wrong_field\":\"x\"}'"
     f" else concat('{{\"object\":', {_OBJECT}, '}}') end, '}}')"
@@ -212,11 +214,12 @@ class Tables:
 
     @cached_property
     def orders_env(self) -> DataFrame:
-        return self.env.withColumn("payload", F.expr(ORDER_PAYLOAD))
+        return as_env(spread(self.events_file)).withColumn("payload", F.expr(ORDER_PAYLOAD))
 
     @cached_property
     def checked_env(self) -> DataFrame:
-        return self.env.withColumns({"payload": F.expr(CHECKED_PAYLOAD), "event_type": F.expr(CHECKED_TYPE)})
+        env = as_env(spread(self.events_file))
+        return env.withColumns({"payload": F.expr(CHECKED_PAYLOAD), "event_type": F.expr(CHECKED_TYPE)})
 
     def as_of(self, events: DataFrame | None = None):
         """The newest event as a scalar subquery: data-driven, evaluated inside the query."""

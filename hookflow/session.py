@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from datetime import datetime
@@ -74,5 +73,11 @@ def instant(value: Column | datetime | str) -> Column:
     return F.lit(value).cast("timestamp")
 
 
-def cpu_count() -> int:
-    return os.cpu_count() or 1
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan, dealt out when it has fewer splits than the session has cores.
+
+    For CPU-heavy work over few row groups; a large input has splits enough and is left
+    alone. Give it a plain scan: asking a scan for its splits runs no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -45,18 +45,16 @@ def ingest_csv(
         mode="FAILFAST",
         columnPruning="false",
         escape='"',
-        nullValue="\u0000",
-        emptyValue="",
         multiLine=str(multi_line).lower(),
     )
-    rows = reader.csv(path)
-    if position:
-        rows = rows.select(
-            *[F.col(f"`{name}`") for name in names],
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
+    # The parser gives null for an empty value; a missing value has already failed the read.
+    values = [F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name) for name in names]
+    places = [
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    ]
+    rows = reader.csv(path).select(*values, *(places if position else []))
     return row_transform(rows) if row_transform else rows
 
 

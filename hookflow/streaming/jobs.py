@@ -10,6 +10,7 @@ import logging
 from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,39 +67,50 @@ def stream_ingest(
     return _start(stream, each, checkpoint, trigger)
 
 
-def _accept(
-    key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Greedy time-to-live rule for one key: state is the end of the current window (microseconds)."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(frames, ignore_index=True).sort_values(["created_at", "id"], kind="stable")
-    times = rows["created_at"].to_numpy().astype("datetime64[us]").astype("int64")
-    window = int(rows["_ttl"].iloc[0]) * 1_000_000
-    until = state.get[0] if state.exists else None
-    kept = []
-    at = 0 if until is None else int(times.searchsorted(until))
-    while at < len(times):
-        kept.append(at)
-        until = int(times[at]) + window
-        at = int(times.searchsorted(until))
-    expires_ms = -(-until // 1000)
-    if expires_ms > state.getCurrentWatermarkMs():
-        state.update((until,))
-        state.setTimeoutTimestamp(expires_ms)
+STATE = "keys array<string>, untils array<bigint>"
+BUCKETS = 1024
+
+
+def _accept(_: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Greedy time-to-live rule for one bucket of keys; state is the window end per open key (microseconds)."""
+    watermark = state.getCurrentWatermarkMs() * 1000
+    open_until = dict(zip(*state.get, strict=True)) if state.exists else {}
+    open_until = {key: until for key, until in open_until.items() if until > watermark}
+    rows = None if state.hasTimedOut else pd.concat(frames, ignore_index=True)
+    if rows is not None and len(rows):
+        rows = rows.sort_values(["_key", "created_at", "id"], kind="stable", ignore_index=True)
+        times = rows["created_at"].to_numpy().astype("datetime64[us]").astype("int64")
+        names = rows["_key"].to_numpy()
+        windows = rows["_ttl"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        kept = []
+        for start, end in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
+            own, key = times[start:end], names[start]
+            at = int(own.searchsorted(open_until[key])) if key in open_until else 0
+            while at < len(own):
+                kept.append(start + at)
+                open_until[key] = int(own[at]) + int(windows[start]) * 1_000_000
+                at = int(own.searchsorted(open_until[key]))
+        if kept:
+            yield rows.iloc[kept].drop(columns=["_ttl", "_key", "_bucket"])
+    still_open = {key: until for key, until in open_until.items() if until > watermark}
+    if still_open:
+        state.update((list(still_open), list(still_open.values())))
+        state.setTimeoutTimestamp(-(-max(still_open.values()) // 1000) + 1)
     elif state.exists:
         state.remove()
-    if kept:
-        yield rows.iloc[kept].drop(columns=["_ttl"])
 
 
-def stream_dedup(stream: DataFrame, sources: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The time-to-live rule on a stream, with one small state per (source, external id).
+def stream_dedup(
+    stream: DataFrame, sources: DataFrame, late: str = "10 minutes", buckets: int = BUCKETS
+) -> DataFrame:
+    """The time-to-live rule on a stream, with state per hash bucket of (source, external id).
 
-    Rows that take no part in deduplication bypass the stateful step. State of a key is
-    dropped once the watermark has passed its window. The rows of one key in one
-    micro-batch meet in one task, so the source's trigger limit bounds that group.
+    Buckets spread the call and state cost over many keys; choose them as a multiple of
+    the cluster's cores (a later change needs a new checkpoint). A key's state is dropped
+    once the watermark has passed its window. Rows that take no part in deduplication
+    bypass the stateful step. The rows of one bucket in one micro-batch meet in one task,
+    so the source's trigger limit bounds that group.
     """
     ttl = parse_window(F.coalesce("dedup_window", F.lit("72h")))
     settings = sources.filter(F.nullif("dedup_field", F.lit("")).isNotNull()).select(
@@ -107,14 +119,18 @@ def stream_dedup(stream: DataFrame, sources: DataFrame, late: str = "10 minutes"
     maps = {f.name: f.dataType for f in stream.schema if isinstance(f.dataType, T.MapType)}
     flat = stream.withColumns({name: F.to_json(name) for name in maps}) if maps else stream
     marked = flat.withWatermark("created_at", late).join(settings.filter("_ttl > 0"), "source", "left")
-    keyed = F.col("_ttl").isNotNull() & F.col("external_id").isNotNull()
+    takes_part = F.col("_ttl").isNotNull() & F.col("external_id").isNotNull()
     schema = T.StructType([f for f in marked.schema if f.name != "_ttl"])
-    kept = (
-        marked.filter(keyed)
-        .groupBy("source", "external_id")
-        .applyInPandasWithState(_accept, schema, "until bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = marked.filter(takes_part).withColumns(
+        {
+            "_key": F.concat_ws("\u001f", "source", "external_id"),
+            "_bucket": F.pmod(F.hash("source", "external_id"), F.lit(buckets)),
+        }
+    )
+    kept = keyed.groupBy("_bucket").applyInPandasWithState(
+        _accept, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
-    out = kept.unionByName(marked.filter(~keyed).drop("_ttl"))
+    out = kept.unionByName(marked.filter(~takes_part).drop("_ttl"))
     return out.withColumns({name: F.from_json(name, kind) for name, kind in maps.items()}) if maps else out
 
 
