@@ -93,16 +93,20 @@ def _next_instants(instants: DataFrame) -> DataFrame:
 
 
 def _reachable(roots: DataFrame, jumps: DataFrame) -> DataFrame:
-    """Instants reachable from the roots; after round n all within 2^n steps are known."""
-    reached, known = cut_lineage(roots), -1
+    """Instants on the chains that start at the roots, found by doubling the pointers.
+
+    Round n knows the first 2^n links of every chain and pointers of that length; the
+    links they lead to are all new, so rounds are disjoint and need no comparison.
+    """
+    reached = cut_lineage(roots.select(*KEY, "at"))
     jumps = cut_lineage(jumps)
-    while (size := reached.count()) != known:
-        known = size
-        onward = reached.join(jumps, [*KEY, "at"]).select(*KEY, F.col("next_at").alias("at"))
-        reached = cut_lineage(reached.unionByName(onward).distinct())
+    while True:
+        onward = cut_lineage(reached.join(jumps, [*KEY, "at"]).select(*KEY, F.col("next_at").alias("at")))
+        if onward.isEmpty():
+            return reached
+        reached = reached.unionByName(onward)
         second = jumps.select(*KEY, F.col("at").alias("next_at"), F.col("next_at").alias("after"))
         jumps = cut_lineage(jumps.join(second, [*KEY, "next_at"]).select(*KEY, "at", F.col("after").alias("next_at")))
-    return reached
 
 
 def _jump_large(keyed: DataFrame) -> DataFrame:

@@ -50,10 +50,13 @@ def source_config(events: DataFrame, sources: DataFrame) -> DataFrame:
 
 def external_id_by_source(events: DataFrame, sources: DataFrame, payload: Column) -> Column:
     """External id of each row by the path its source configures, as one projection (no join)."""
-    picked = F.lit(None).cast("string")
+    names_by_path: dict[str, list[str]] = {}
     for row in config_rows(sources.select("name", "dedup_field")):
         if row.dedup_field:
-            picked = F.when(F.col("source") == row.name, extract_external_id(payload, row.dedup_field)).otherwise(picked)
+            names_by_path.setdefault(row.dedup_field, []).append(row.name)
+    picked = F.lit(None).cast("string")
+    for path, names in names_by_path.items():
+        picked = F.when(F.col("source").isin(names), extract_external_id(payload, path)).otherwise(picked)
     return picked
 
 
@@ -89,9 +92,11 @@ def ingest_events(raw: DataFrame, sources: DataFrame, schemas: DataFrame, parity
         F.lit("RECEIVED").alias("status"),
         F.lit(0).alias("attempts"),
         F.col("received_at").alias("created_at"),
+        "_body",
     )
     if parity:
-        accepted, _ = reject_split(validate_events(dedup_ttl(rows, sources, materialise=True), schemas))
+        unique = dedup_ttl(rows.drop("_body"), sources, materialise=True)
+        accepted, _ = reject_split(validate_events(unique, schemas))
     else:
         valid, _ = reject_split(validate_events(rows, schemas))
         accepted = dedup_ttl(valid, sources, materialise=True)

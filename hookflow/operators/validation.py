@@ -49,7 +49,7 @@ def validate_events(events: DataFrame, schemas: DataFrame) -> DataFrame:
     """Add ``validation_status``, ``validation_errors`` and ``reject_on_fail``.
 
     The schemas in force are compiled into one projection, so validation reads each
-    event once and shuffles nothing.
+    event once and shuffles nothing. A parsed payload in ``_body`` is used as it is.
     """
     rules: dict[tuple[str, str], Column] = {}
     rejects: dict[tuple[str, str], Column] = {}
@@ -61,11 +61,9 @@ def validate_events(events: DataFrame, schemas: DataFrame) -> DataFrame:
     none = F.lit(None).cast(ERROR_TYPE)
     # The explode of one element keeps the rule columns in one place: a filter on the
     # status is not pushed below it, which would evaluate every rule a second time.
-    checked = (
-        events.withColumn("_body", J.parse(F.col("payload")))
-        .withColumn("_checked", F.explode(F.array(F.struct(choose(rules, source, kind, none).alias("errors")))))
-        .withColumn("_errors", F.col("_checked.errors"))
-    )
+    parsed = events if "_body" in events.columns else events.withColumn("_body", J.parse(F.col("payload")))
+    found = F.explode(F.array(F.struct(choose(rules, source, kind, none).alias("errors"))))
+    checked = parsed.withColumn("_checked", found).withColumn("_errors", F.col("_checked.errors"))
     status = (
         F.when(kind.isNull() | (kind == ""), F.lit("SKIPPED"))
         .when(F.col("_errors").isNull(), F.lit("NO_SCHEMA"))

@@ -17,7 +17,7 @@ def spark():
         "hookflow-tests",
         "local[4]",
         spark__sql__shuffle__partitions="4",
-        spark__ui__enabled="false",
+        spark__ui__enabled="false",spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="hookflow-tests-"),
     )
