@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hookflow.functions.scalars import parse_window
-from hookflow.session import cut_lineage
+from hookflow.session import broadcast_if_small, cut_lineage
 
 KEY = ["source", "external_id"]
 # Rows of one key that may be folded in a single aggregation buffer.
@@ -139,7 +139,9 @@ def decide_ttl(
     crowded = counts.filter(F.col("n") > fold_limit).select(*KEY)
     if crowded.isEmpty():
         return _fold_small(keyed)
-    crowded = cut_lineage(crowded)
+    # At most one key per fold_limit rows; broadcast after a count, so that splitting off
+    # a key with a large share of all rows does not send those rows to one task.
+    crowded = broadcast_if_small(cut_lineage(crowded))
     small = keyed.join(crowded, KEY, "left_anti")
     large = keyed.join(crowded, KEY, "left_semi")
     return _fold_small(small).unionByName(_jump_large(large))
@@ -163,17 +165,25 @@ def first_rows(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(first).select(*keys, "_f.id")
 
 
-def append_events(new: DataFrame, stored: DataFrame) -> DataFrame:
+def append_events(new: DataFrame, stored: DataFrame, small_batch: bool = False) -> DataFrame:
     """Rows of ``new`` an append stores: conflicts on (source, external_id) or id are skipped.
 
     The first row of the batch wins; a null external id never conflicts. Keys are
     settled on narrow rows, payloads are shuffled once, by id; rows that repeat an id
     (a source delivering a record twice) collapse on the same partitioning.
+
+    ``small_batch`` suits a micro-batch against a large table: the batch's keys are
+    counted and sent to the stored table's scan, which then need not be shuffled.
     """
     winners = first_rows(new.filter(F.col("external_id").isNotNull()), KEY)
-    winners = winners.join(stored.select(*KEY).filter(F.col("external_id").isNotNull()), KEY, "left_anti")
     anonymous = new.filter(F.col("external_id").isNull()).select("id").distinct()
-    admitted = winners.select("id").unionByName(anonymous).join(stored.select("id"), "id", "left_anti")
+    known_keys = stored.filter(F.col("external_id").isNotNull()).select(*KEY)
+    known_ids = stored.select("id")
+    if small_batch:
+        known_keys = known_keys.join(broadcast_if_small(winners.select(*KEY)), KEY, "left_semi")
+        known_ids = known_ids.join(broadcast_if_small(new.select("id").distinct()), "id", "left_semi")
+    admitted = winners.join(known_keys, KEY, "left_anti").select("id").unionByName(anonymous)
+    admitted = admitted.join(known_ids, "id", "left_anti")
     return new.join(admitted, "id", "left_semi").dropDuplicates(["id"])
 
 

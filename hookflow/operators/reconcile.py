@@ -14,7 +14,7 @@ KEY = ["source", "external_id"]
 
 
 def _known(stored: DataFrame) -> DataFrame:
-    return stored.filter(F.col("external_id").isNotNull()).select(*KEY).distinct()
+    return stored.filter(F.col("external_id").isNotNull()).select(*KEY)
 
 
 def reconcile_missing(external: DataFrame, stored: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def reconcile_summary(
     travels once.
     """
     counted = external.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    flagged = counted.join(_known(stored).withColumn("_known", F.lit(True)), KEY, "left")
+    flagged = counted.join(_known(stored).distinct().withColumn("_known", F.lit(True)), KEY, "left")
     missing = F.sum(F.when(F.col("_known").isNull(), F.col("n")).otherwise(0))
     out = flagged.groupBy("source").agg(
         F.sum("n").alias("external_count"),

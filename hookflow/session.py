@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Driver-side reads of configuration tables stop here; event-sized data never goes this way.
 MAX_CONFIG_ROWS = 10_000
+# Narrow key rows (tens of bytes each) that may be sent to every executor.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def build_session(app: str = "hookflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,6 +70,14 @@ def config_rows(df: DataFrame, limit: int = MAX_CONFIG_ROWS) -> list[Row]:
     return rows
 
 
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow table after counting it; beyond the limit the planner shuffles as usual.
+
+    For tables whose size the planner cannot know, such as keys of a micro-batch.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def instant(value: Column | datetime | str) -> Column:
     """An ``as_of`` argument as a timestamp column (columns pass through)."""
     if isinstance(value, Column):

@@ -39,12 +39,19 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 
 
 def append_to_store(rows: DataFrame, path: str) -> None:
-    """Append events to the stored table, skipping conflicts, partitioned by creation day."""
+    """Append a batch of events to the stored table, skipping conflicts, partitioned by creation day.
+
+    The batch is kept for its several uses; lost blocks are recomputed from its source.
+    """
     spark = rows.sparkSession
-    rows.limit(0).withColumn(DATE_COLUMN, F.to_date("created_at")).write.mode("ignore").parquet(path)
-    stored = spark.read.schema(rows.schema).parquet(path)
-    fresh = append_events(rows, stored).withColumn(DATE_COLUMN, F.to_date("created_at"))
-    fresh.write.mode("append").partitionBy(DATE_COLUMN).parquet(path)
+    rows = rows.persist()
+    try:
+        rows.limit(0).withColumn(DATE_COLUMN, F.to_date("created_at")).write.mode("ignore").parquet(path)
+        stored = spark.read.schema(rows.schema).parquet(path)
+        fresh = append_events(rows, stored, small_batch=True).withColumn(DATE_COLUMN, F.to_date("created_at"))
+        fresh.write.mode("append").partitionBy(DATE_COLUMN).parquet(path)
+    finally:
+        rows.unpersist()
 
 
 def stream_ingest(
