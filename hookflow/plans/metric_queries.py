@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hookflow.operators import delivery, lookups, metrics, routing
@@ -46,13 +47,6 @@ def _(t: Tables):
     return metrics.status_counts(t.env)
 
 
-LATENCY_LISTS = (
-    "select source, count(*) as count, cast({avg} as bigint) as avg_ms,"
-    " l[cast(floor(count(*) * 0.5::double) as int) + 1] as p50_ms, l[cast(floor(count(*) * 0.95::double) as int) + 1] as p95_ms,"
-    " l[cast(floor(count(*) * 0.99::double) as int) + 1] as p99_ms"
-)
-
-
 def _latency(source: str) -> str:
     return (
         "select source, n as count, cast(floor(s::double / n + 0.5) as bigint) as avg_ms,"
@@ -302,11 +296,9 @@ def _(t: Tables):
     " r.created_at as route_created_at from env e join routes r on e.source = r.source and r.active and r.event_type in ('*', e.event_type))",
 )
 def _(t: Tables):
-    from pyspark.sql import Window
-
     fan = routing.route_fanout(t.env.select("id", "source", "event_type"), t.routes)
     order = Window.partitionBy("id").orderBy("priority_rank", F.desc("route_created_at"), "route_id")
-    return fan.select("id", "route_id", "priority", F.row_number().over(order).alias("position"))
+    return fan.select("id", "route_id", "priority", F.row_number().over(order).cast("bigint").alias("position"))
 
 
 @query("top_k_newest", "select id, created_at from env order by created_at desc, id limit 500")

@@ -23,6 +23,8 @@ def build_session(app: str = "hookflow", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Materialised intermediate results go once nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Call-site capture costs a round trip per column expression; compiled rules have many.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
