@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from hookflow.functions import jsonvalue as J
@@ -53,8 +53,12 @@ def validate_events(events: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     rules: dict[tuple[str, str], Column] = {}
     rejects: dict[tuple[str, str], Column] = {}
-    for row in config_rows(active_schemas(schemas)):
+    in_force: dict[tuple[str, str], Row] = {}
+    for row in config_rows(schemas.filter("active")):
         key = (row.source, row.event_type)
+        if key not in in_force or row.version > in_force[key].version:
+            in_force[key] = row
+    for key, row in in_force.items():
         rules[key] = schema_errors(json.loads(row.schema), F.col("_body"))
         rejects[key] = F.lit(bool(row.reject_on_fail))
     source, kind = F.col("source"), F.col("event_type")

@@ -25,6 +25,7 @@ from hookflow.operators.dedup import append_events
 from hookflow.operators.ingest import ingest_events
 from hookflow.operators.reconcile import reconcile_inject, reconcile_missing, reconcile_summary
 from hookflow.operators.routing import plan_deliveries
+from hookflow.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -49,7 +50,8 @@ def append_to_store(rows: DataFrame, path: str) -> None:
         rows.limit(0).withColumn(DATE_COLUMN, F.to_date("created_at")).write.mode("ignore").parquet(path)
         stored = spark.read.schema(rows.schema).parquet(path)
         fresh = append_events(rows, stored, small_batch=True).withColumn(DATE_COLUMN, F.to_date("created_at"))
-        fresh.write.mode("append").partitionBy(DATE_COLUMN).parquet(path)
+        # Rebalancing gives each day files of a sensible size and splits a day that holds most rows.
+        fresh.hint("rebalance", DATE_COLUMN).write.mode("append").partitionBy(DATE_COLUMN).parquet(path)
     finally:
         rows.unpersist()
 
@@ -207,7 +209,7 @@ def reconcile_sources(
         try:
             external = read(start, as_of).withColumn("source", F.lit(name))
             stored = read_stored()
-            summary = reconcile_summary(external, stored, start, as_of).checkpoint(eager=True)
+            summary = cut_lineage(reconcile_summary(external, stored, start, as_of))
             inject(reconcile_inject(reconcile_missing(external, stored), as_of))
             summaries.append(summary)
         except Exception as error:  # one failing source must not stop the others

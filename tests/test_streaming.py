@@ -113,7 +113,6 @@ def test_reconcile_sources_isolate_failures(spark, table):
     def broken(start, end):
         raise RuntimeError("unreachable")
 
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     summaries, failures = jobs.reconcile_sources(
         {"bad": broken, "s": lambda start, end: external}, lambda: stored, lambda df: injected.extend(df.collect()), T0
     )
