@@ -434,6 +434,17 @@ def _(t: Tables):
     )
 
 
+@query(
+    "create_deliveries",
+    "select sha256(concat(e.id, chr(31), r.id)) as id, e.id as event_id, r.id as route_id, 'PENDING' as status, 0 as attempts,"
+    f" {NOW} as created_at from env e join routes r on " + ON_ROUTE,
+)
+def _(t: Tables):
+    now = t.as_of()
+    created = delivery.create_deliveries(routing.plan_deliveries(t.env, t.routes, t.transforms, now), now)
+    return created.select("id", "event_id", "route_id", "status", "attempts", "created_at")
+
+
 # --- validation -------------------------------------------------------------------------
 
 
@@ -573,6 +584,20 @@ def _(t: Tables):
     return merged.select("name", "dedup_field", "rate_limit_max", "active")
 
 
+@query(
+    "upsert_transforms",
+    "select distinct source, event_type, '@event_type' as kind, true as active from env union all"
+    " select 'stripe', '*', null, true union all select 'github', '*', null, false",
+)
+def _(t: Tables):
+    """A mapping for every (source, type) seen: the exact one is replaced, the wildcards stay."""
+    seen = t.env.select("source", "event_type").distinct()
+    updates = seen.withColumn("mapping", F.create_map(F.lit("kind"), F.lit("@event_type")))
+    merged = config.upsert_transforms(t.transforms, updates)
+    kind = F.try_element_at("mapping", F.lit("kind")).alias("kind")
+    return merged.select("source", "event_type", kind, "active")
+
+
 # --- replay -----------------------------------------------------------------------------
 
 FROM = "timestamp '2024-01-10 00:00:00'"
