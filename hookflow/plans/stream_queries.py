@@ -13,14 +13,26 @@ from hookflow.session import scratch_path
 from hookflow.streaming import jobs
 
 
-def drained(t: Tables, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def drained(t: Tables, stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over all available input into a table in the shared folder and read it back."""
     folder = scratch_path(t.spark, label)
-    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", folder + "-log")
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", folder + "-log")
     writer.trigger(availableNow=True).start(folder).awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(folder)
 
 
+def latest_totals(t: Tables, totals: DataFrame, label: str) -> DataFrame:
+    """Run an aggregation to the end; every trigger replaces the table with the totals so far."""
+    folder = scratch_path(t.spark, label)
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    writer = totals.writeStream.foreachBatch(replace).outputMode("complete")
+    writer.option("checkpointLocation", folder + "-log").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(totals.schema).parquet(folder)
+
+
 # The stored table keeps the first row of a key for ever, so repeats past their window stay out as well.
 @query(
     "stream_ingest",
@@ -64,11 +76,8 @@ def _(t: Tables):
 
 @query("stream_rolling_throughput", ROLLING)
 def _(t: Tables):
-    name = scratch_path(t.spark, "rolling").rsplit("/", 1)[1].replace("-", "_")
     stream = jobs.rolling_throughput(t.event_stream(), minutes=1440, slide="12 hours")
-    writer = stream.writeStream.format("memory").queryName(name).outputMode("complete")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.table(name)
+    return latest_totals(t, stream, "rolling")
 
 
 @query(
