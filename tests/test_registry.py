@@ -15,7 +15,7 @@ def engine():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(entry_points.REGISTRY))
 def test_query_matches_check(spark, engine, name):
     df = entry_points.queries()[name](spark, SF)
     fine, detail = compare(engine, df, entry_points.oracle_sql()[name])
