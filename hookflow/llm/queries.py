@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hookflow.llm import compression_bands, language_ppm, mixing, packing
 from hookflow.llm.common import table
 from hookflow.llm.ngram_jaccard import jaccard_components
 
@@ -12,8 +13,34 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ppm.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_bands.quality(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_mixing": op5_mixing,
+    "op7_language_ppm": op7_language_ppm,
+    "op8_compression_bands": op8_compression_bands,
+    "op10_packing": op10_packing,
 }
 
 # Checks for DuckDB, where SQL can express the query over whole tables in reasonable time.
