@@ -1,25 +1,71 @@
-"""A training-corpus pipeline over ``documents``: each stage reads what its predecessor wrote."""
+"""A training-corpus pipeline over ``documents``: each stage reads what its predecessor wrote.
+
+All stages but the last return the columns of documents; ``n_chars`` follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hookflow.llm import language_ppm, line_alignment, mixing, packing
 from hookflow.llm.common import table, written
 from hookflow.llm.ngram_jaccard import jaccard_components
+from hookflow.llm.queries import tokenizer_path
+
+# A text whose winning language has less than this share of the probability is not told from another language.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told stay; those without letters, or between languages, go."""
+    found = language_ppm.predict(docs, language_ppm.fit(docs), keep_text=True)
+    told = (F.col("__lang_pred") != language_ppm.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)
+    return found.where(told).select(docs.columns)
+
+
+def without_shared_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines shared with earlier documents are cut; documents of which no word is left go."""
+    found = line_alignment.dedup_lines(docs)
+    changed = F.col("__removed") > 0
+    left = found.where(~changed | F.col("__kept").rlike(mixing.WORD))
+    return _with_text(left.withColumnRenamed("__kept", "text"), docs.columns, changed)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies: the document with the smallest doc_id of each group stays."""
+    """Of near copies the document with the smallest doc_id stays, of equal rows one."""
     groups = jaccard_components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return left.dropDuplicates(["doc_id", "text"])
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document taken in two epochs comes twice."""
+    return _with_text(mixing.mixed(docs), docs.columns, F.lit(True))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+def _with_text(docs: DataFrame, columns: list[str], changed) -> DataFrame:
+    """The columns of documents, with the number of characters of a changed text."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return docs.select(columns)
 
 
 STAGES = [
+    ("language ID", known_language),
+    ("line dedup", without_shared_blocks),
     ("n-gram Jaccard join", one_of_each_group),
+    ("mixing", mixed_sources),
+    ("packing", packed),
 ]
 
+# Hash orders, code lengths and token ids are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -161,11 +161,11 @@ class Scorer:
             np.add.at(totals, [i for i, _ in pending], np.add.reduceat(self.bits(np.concatenate([w for _, w in pending])), starts, axis=0))
 
 
-def _predict(shared):
+def _predict(shared, text: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = utf8(batch.column(1))
+            texts = utf8(batch.column(text))
             speaks = [t is not None and any(map(str.isalpha, t.decode())) for t in texts]
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             if scorer.names and any(speaks):
@@ -175,9 +175,9 @@ def _predict(shared):
                 weight = np.exp2(np.maximum(totals.min(axis=1, keepdims=True) - totals, -1000)).sum(axis=1)
                 for i, b, w in zip(at, best, weight, strict=True):
                     langs[i], scores[i] = scorer.names[b], float(1 / w)
+            names = [n for n in batch.schema.names if keep or n != text]
             yield pa.RecordBatch.from_arrays(
-                [*(c for k, c in enumerate(batch.columns) if k != 1), pa.array(langs), pa.array(scores)],
-                [*(n for k, n in enumerate(batch.schema.names) if k != 1), "lang_pred", "score"],
+                [*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "__lang_pred", "__score"]
             )
 
     return run
@@ -207,14 +207,13 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN
     return train({k: v for k, v in samples.items() if any(v)})
 
 
-def predict(docs: DataFrame, model: tuple, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, lang_pred and score (share of the winner when code lengths are turned back into probabilities) for every row;
-    ``und`` with score 0 where the text is null or has no letter. Ties go to the first language by name."""
-    spark = docs.sparkSession
-    first, *others = carry
-    source = docs.select(F.col(first), F.col("text").cast("string"), *others)
-    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields) if i != 1)
-    return source.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{layout}, lang_pred string, score double")
+def predict(docs: DataFrame, model: tuple, keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` (``text`` only if asked for), __lang_pred, and __score: the winner's share when code lengths are turned back into
+    probabilities. ``und`` with score 0 where the text is null or has no letter. Ties go to the first language by name."""
+    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_predict(shared, "text", keep_text), f"{layout}, `__lang_pred` string, `__score` double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -224,5 +223,5 @@ def identify(docs: DataFrame) -> DataFrame:
     a null doc_id are not held out and teach nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    found = predict(rows, fit(rows))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = predict(rows.select("doc_id", "text"), fit(rows))
+    return found.select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))

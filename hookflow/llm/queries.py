@@ -3,20 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hookflow.llm import compression_bands, language_ppm, mixing, packing
+from hookflow.llm import compression_bands, impact_topk, language_ppm, line_alignment, mixing, packing, repeats, url_rules, warc
 from hookflow.llm.common import table
 from hookflow.llm.ngram_jaccard import jaccard_components
 
 
+def op1_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = impact_topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return impact_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, url_rules.page_links(pages), url_rules.rule_table(spark))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_alignment.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("__kept").alias("text"), F.col("__total").alias("n_lines"), F.col("__removed").alias("n_removed"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ppm.identify(table(spark, sf_dir, "documents"))
 
@@ -25,6 +45,11 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,12 +61,65 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {
+    "op1_impact_topk": op1_impact_topk,
+    "op2_url_rules": op2_url_rules,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_line_alignment": op4_line_alignment,
     "op5_mixing": op5_mixing,
+    "op6_warc_dictionary": op6_warc_dictionary,
     "op7_language_ppm": op7_language_ppm,
     "op8_compression_bands": op8_compression_bands,
+    "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
 }
 
 # Checks for DuckDB, where SQL can express the query over whole tables in reasonable time.
-CHECKS: dict[str, str] = {}
+CHECKS = {
+    "op1_impact_topk": """
+with v as (
+  select vec_id, min(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+qualify rank <= 5""",
+    "op2_url_rules": r"""
+with recursive rules as (
+  select * from (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(action, h, p)
+), raw as (
+  select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages
+), links as (
+  select url as src, coalesce(nullif(trim(regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')), ''),
+    nullif(trim(regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''>]*)', 1, 'is')), '')) as dst from raw
+), ends as (
+  select page_id, url, null as src from raw union all select null, dst, src from links where contains(dst, '://')
+), places as (
+  select page_id, src, url, case when contains(url, '://') then substring(url, instr(url, '://') + 3) else '' end as rest from ends
+), named as (
+  select page_id, src, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) as query, url from places
+), decided as (
+  select page_id, src, url, n.host, n.path, n.host || n.path || n.query as place, max({'n': length(h || p), 'allow': action = 'allow', 'rule': h || p, 'action': action}) as best
+  from named n left join rules r on (n.host = h or ends_with(n.host, '.' || h)) and starts_with(n.path, p) group by all
+), edges as (
+  select s.place as a, d.place as b from decided d join decided s on d.src = s.url and s.page_id is not null where s.host <> '' and d.host <> ''
+), reach(a, b) as (
+  select a, b from edges union select b, a from edges union select r.a, e.b from reach r join (select a, b from edges union select b, a from edges) e on r.b = e.a
+), spread as (
+  select distinct r.a as place from reach r join decided d on d.place = r.b where d.best.action = 'block'
+)
+select d.page_id, d.host, d.path, d.best.rule as rule, coalesce(d.best.action, case when s.place is not null then 'block' end, 'allow') as verdict
+from raw p join (select distinct page_id, url, host, path, place, best from decided where src is null) d on p.page_id is not distinct from d.page_id and p.url = d.url left join spread s on d.place = s.place and d.host <> ''""",
+    "op6_warc_dictionary": """
+with p as (
+  select page_id, encode(coalesce(html, '')) as body, sha1(coalesce(html, '')) as digest from pages
+), g as (select digest, max(page_id) as best from p group by digest)
+select p.page_id, cast(octet_length(body) as bigint) as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast((cast('0x' || substr(p.digest, cast(i // 8 * 10 + 1 as bigint), 10) as bigint) >> (35 - 5 * (i % 8))) & 31 as bigint) + 1, 1)), 'string_agg', '') as payload_digest,
+  case when best is null or p.page_id = best then 'response' else 'revisit' end as record_type,
+  case when best is null or p.page_id = best then null else best end as refers_to
+from p join g on p.digest = g.digest""",
+}
