@@ -80,7 +80,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchors = Anchors()
     for batch in batches:
         shas, places, hashes = [], [], []
-        for text in utf8(batch.column(0)):
+        for text in utf8(batch.column(1)):
             at, h = anchors(text or b"")
             shas.append(hashlib.sha256(text or b"").digest())
             places.append(at.astype(np.int32))
@@ -88,7 +88,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = pa.array(np.cumsum([0, *map(len, places)]).astype(np.int32))
         at, h = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((places, np.int32), (hashes, np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shas, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(h))], ["sha", "at", "anchor"]
+            [batch.column(0), pa.array(shas, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(h))],
+            ["doc_id", "sha", "at", "anchor"],
         )
 
 
@@ -225,18 +226,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     that has 200 bytes. ``kept`` is bytes, as a cut may fall inside a character.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = rows.select("text").mapInArrow(_profile, "sha binary, at array<int>, anchor array<long>").where(F.size("at") > 0)
-    grouped = profile.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.first("at").alias("at"), F.first("anchor").alias("anchor"))
+    profile = rows.mapInArrow(_profile, "doc_id long, sha binary, at array<int>, anchor array<long>").where(F.size("at") > 0)
+    grouped = profile.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("holder"), F.first("at").alias("at"), F.first("anchor").alias("anchor"))
     # The class number is fixed by being written.
     classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     entries = classes.select("cls", F.explode(F.arrays_zip("at", "anchor")).alias("e")).select("cls", "e.at", "e.anchor")
     counts = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     hits = entries.join(counts, "anchor").groupBy("cls").agg(F.collect_list(F.struct("at", "anchor", "n")).alias("hits"))
-    hits = written(hits.join(classes.select("cls", "sha"), "cls"), "hits")
+    hits = written(hits.join(classes.select("cls", "sha", "holder"), "cls"), "hits")
 
     by_sha = rows.where(F.octet_length("text") >= LENGTH).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    # Of equal texts each would give the same fragments; the scan takes every place once.
-    texts = by_sha.select("sha", "text").join(hits, "sha").select("cls", "text", "hits")
+    # One row of each class gives its fragments; of rows that repeat it as they are the scan takes every place once.
+    texts = by_sha.join(hits, "sha").where(F.col("doc_id").eqNullSafe(F.col("holder"))).select("cls", "text", "hits")
     fragments = texts.mapInArrow(_fragments, FRAGMENT_LAYOUT)
     scanned = fragments.where(F.col("n") <= HOT_GROUP).repartition("anchor").sortWithinPartitions("anchor", "after", "before")
     spans = scanned.mapInArrow(_scan, "cls long, start long, end long")
