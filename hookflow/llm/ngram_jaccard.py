@@ -7,10 +7,14 @@ here put frequent tokens last and break ties by two different hashes, so a share
 * order A makes the candidates: documents meet in the bucket of a shared prefix token;
 * a candidate must also share a prefix token under order B before its sets are intersected.
 
-Buckets are never expanded into all pairs at once. Equal sets are one class from the start. Each class is first verified
+Buckets are never expanded into all pairs at once. Equal sets are one class from the start. Each class is first held
 against one centre, the class with the smallest id of its bucket with which it shares most prefix tokens; links of that
 round contract most of each group of near copies. Only then are pairs taken whose classes still lie in different components,
-under size and position filters; pairs inside a component cannot change the result.
+under size and position filters; pairs inside a component cannot change the result. Before any text is fetched, pairs are held
+against parity bitmaps: each token flips one bit, so two sets differ in at least as many tokens as their bitmaps do in bits.
+
+Buckets of frequent tokens, known from the counts that order the tokens, are formed by a pre-aggregated minimum that is joined back, so
+that the planner can split them; all others by one sort.
 
 Set size and intersection are counted over 64-bit hashes, classes are named by 64 bits of a hash of the whole set.
 """
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hookflow.llm.common import components, mix, shingle_set, utf8, written
@@ -57,9 +61,14 @@ class TokenOrder:
         found = self.tokens[at] == tokens
         return np.where(found, self.level[at], 0) if found.any() else None
 
-    def prefix_a(self, tokens: np.ndarray, length: int) -> np.ndarray:
+    def prefix_a(self, tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix of a sorted set, its frequent tokens apart; they come last."""
         levels = self._levels(tokens)
-        return tokens[:length] if levels is None else tokens[np.argsort(levels, kind="stable")[:length]]
+        if levels is None:
+            return tokens[:length], tokens[:0]
+        order = np.argsort(levels, kind="stable")[:length]
+        rare = int((levels[order] == 0).sum())
+        return tokens[order[:rare]], tokens[order[rare:]]
 
     def prefix_b(self, tokens: np.ndarray, length: int) -> np.ndarray:
         other, levels = mix(tokens), self._levels(tokens)
@@ -91,27 +100,61 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens by their low bits, two bits or more for each token."""
+    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of tokens in one of two sets only; the longer bitmap is folded to the shorter."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    if len(x) != len(y):
+        size = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _prefixes(frequent, threshold: int):
+    """For each document its class, set size, bitmap, and prefix under order A, frequent tokens apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = TokenOrder(*frequent.value)
         for batch in batches:
-            classes, sizes, prefixes = [], [], []
+            rows = []
             for text in utf8(batch.column(0)):
                 tokens = shingle_set(text or b"")
                 if len(tokens):
-                    classes.append(_class_of(tokens))
-                    sizes.append(len(tokens))
-                    prefixes.append(order.prefix_a(tokens, prefix_length(len(tokens), threshold)).view(np.int64))
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            values = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
+                    rare, common = order.prefix_a(tokens, prefix_length(len(tokens), threshold))
+                    rows.append((_class_of(tokens), len(tokens), bitmap(tokens), rare.view(np.int64), common.view(np.int64)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)],
-                ["cls", "n", "prefix"],
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), *map(_lists, columns[3:])],
+                ["cls", "n", "bits", "rare", "common"],
             )
 
     return run
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.empty(0, np.int64)))
+
+
+def _near(threshold: int):
+    """Keeps the pairs whose bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            # The union is half of sizes and difference together, the intersection what remains.
+            keep = [(100 + threshold) * least_difference(b, d) <= (100 - threshold) * (a + c) + (100 + threshold) for a, c, b, d in zip(n, m, x, y, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(frequent, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = TokenOrder(*frequent.value)
@@ -147,9 +190,17 @@ def _verify(frequent, threshold: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, frequent, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link."""
-    left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a")
+def _links(pairs: DataFrame, bits: DataFrame, docs: DataFrame, members: DataFrame, frequent, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets link."""
+    x, y = (bits.select(F.col("cls").alias(i), F.col("n").alias(f"n_{i}"), F.col("bits").alias(f"bits_{i}")) for i in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    near = written(both.mapInArrow(_near(threshold), "a long, b long"), "near")
+    # One text for each class. It is recognised by its own class, so rows that repeat a doc_id do no harm.
+    classes = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = written(members.join(classes, "cls").groupBy("cls").agg(F.min("doc_id").alias("holder")), "wanted")
+    chosen = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("holder"))).select("cls", "text")
+    texts = written(chosen.mapInArrow(_own_text, "cls long, text string").dropDuplicates(["cls"]), "texts")
+    left = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a")
     full = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
     return written(full.select("a", "a_text", "b", "b_text").mapInArrow(_verify(frequent, threshold), "u long, v long"), "links")
 
@@ -173,21 +224,23 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     frequent = spark.sparkContext.broadcast((top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
 
     members = profile.where("frequent is null").select("doc_id", "n_shingles", "cls")
-    prefixes = docs.select("text").mapInArrow(_prefixes(frequent, threshold), "cls long, n long, prefix array<long>")
-    # Copies of one set need one entry in a bucket; the planner combines them before it shuffles.
-    entries = prefixes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    buckets = entries.groupBy("token").agg(F.min("cls").alias("centre"), F.max("cls").alias("last")).where("centre <> last")
-    shared = written(entries.join(buckets.select("token", "centre"), "token").select("token", "cls", "n", "pos", "centre").distinct(), "shared")
-
-    # One text for each class that shares a bucket. A text is recognised by its own class, so rows that repeat a doc_id do no harm.
-    wanted = members.join(shared.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    chosen = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("cls", "text")
-    texts = written(chosen.mapInArrow(_own_text, "cls long, text string").dropDuplicates(["cls"]), "texts")
+    layout = "cls long, n long, bits binary, rare array<long>, common array<long>"
+    prefixes = written(docs.select("text").mapInArrow(_prefixes(frequent, threshold), layout), "prefixes")
+    bucket = Window.partitionBy("token")
+    rare = prefixes.select("cls", "n", F.posexplode("rare").alias("pos", "token"))
+    rare = rare.withColumns({"centre": F.min("cls").over(bucket), "last": F.max("cls").over(bucket)}).where("centre <> last")
+    common = prefixes.select("cls", "n", F.size("rare").alias("before"), F.posexplode("common").alias("pos", "token")).withColumn("pos", F.col("before") + F.col("pos"))
+    buckets = common.groupBy("token").agg(F.min("cls").alias("centre"), F.max("cls").alias("last")).where("centre <> last")
+    columns = ("token", "cls", "n", "pos", "centre")
+    shared = rare.select(*columns).unionByName(common.join(buckets, "token").select(*columns))
+    # Copies of one set are one entry of a bucket.
+    shared = written(shared.distinct(), "shared")
+    bits = prefixes.select("cls", "n", "bits").dropDuplicates(["cls"])
 
     votes = shared.where("cls <> centre").groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("votes"))
     star = votes.groupBy("cls").agg(F.max(F.struct("votes", "centre")).alias("best")).select(F.col("cls").alias("a"), F.col("best.centre").alias("b"))
     star = written(star, "star")
-    first = _links(star, texts, frequent, threshold)
+    first = _links(star, bits, docs, members, frequent, threshold)
     labels = components(first)
 
     known = shared.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
@@ -205,7 +258,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
         & (F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= need),
     ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _links(pairs.join(tested, ["a", "b"], "left_anti"), texts, frequent, threshold)
+    second = _links(pairs.join(tested, ["a", "b"], "left_anti"), bits, docs, members, frequent, threshold)
 
     # Labels of the first round stand for its links.
     labelled = components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
