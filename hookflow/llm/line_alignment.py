@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share rare lines. Each document's shared lines name the first document that holds them; through its
-rarest lines a document is paired with those first holders, which are linear in the number of lines, however many copies
-there are. Each pair is aligned by patience diff over line hashes, and the aligned blocks go from the later document. As the first
-holder of a line is never the later one of a pair, one copy of every line stays.
+Documents overlap if they share rare lines. A document is paired, through its rarest shared lines, with the first document that
+holds each of them and with the last one before itself, and with the first copy of itself as a whole: pairs are linear in
+the number of lines, however many copies there are. Each pair is aligned by patience diff over line hashes, and the aligned blocks go
+from the later document. As the first holder of a line is never the later one of a pair, one copy of every line stays.
 """
 
 from __future__ import annotations
@@ -32,6 +32,11 @@ def line_hashes(text: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(s) - (1 << 63) or 1 if (s := line.strip()) else 0 for line in text.split(b"\n")]
 
 
+def whole(hashes: list[int]) -> int:
+    """A hash that only texts of the same lines have, blank ones aside."""
+    return xxhash.xxh3_64_intdigest(np.array([h for h in hashes if h], np.int64).tobytes()) - (1 << 63)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned (index in a, index in b), ascending in both: equal ends, then lines unique on both sides in longest increasing order,
     then the same between them."""
@@ -87,7 +92,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [line_hashes(t) for t in texts]
         sizes = [[len(s.strip()) for s in t.split(b"\n")] for t in texts]
         longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hashes, longs), pa.array(sizes, ints)], ["doc", "tie", "lines", "sizes"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hashes, longs), pa.array(sizes, ints), pa.array(map(whole, hashes), pa.int64())], ["doc", "tie", "lines", "sizes", "whole"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,13 +135,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     all shared is left with an empty text. All columns of ``docs`` come back.
     """
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__tie": F.xxhash64("text"), "__text": F.col("text").cast("string")})
-    lines = written(keyed.select("__doc", "__tie", "__text").where("__text is not null").mapInArrow(_lines, "doc long, tie long, lines array<long>, sizes array<int>"), "lines")
-    held = lines.select("doc", "tie", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
+    lines = written(keyed.select("__doc", "__tie", "__text").where("__text is not null").mapInArrow(_lines, "doc long, tie long, lines array<long>, sizes array<int>, whole long"), "lines")
+    held = lines.select("doc", "tie", F.explode(F.array_distinct(F.concat("lines", F.array("whole")))).alias("line")).where("line <> 0")
     shared = held.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("first")).where("df > 1")
     seeds = held.join(shared, "line").where("doc > first")
     nth = F.row_number().over(Window.partitionBy("doc", "tie").orderBy("df", "line"))
     rare = seeds.withColumn("nth", nth).where((F.col("df") <= RARE_DOCS) | (F.col("nth") <= RAREST_LINES))
-    pairs = written(rare.select("doc", "tie", "first").distinct(), "pairs")
+    # The holders of a rare line are few enough to be put in order.
+    holders = held.join(shared.where(F.col("df") <= RARE_DOCS), "line")
+    before = holders.withColumn("first", F.lag("doc").over(Window.partitionBy("line").orderBy("doc"))).where("doc > first")
+    pairs = written(rare.select("doc", "tie", "first").unionByName(before.select("doc", "tie", "first")).distinct(), "pairs")
     firsts = lines.select(F.col("doc").alias("first"), F.col("lines").alias("first_lines"))
     meetings = pairs.join(lines.dropDuplicates(["doc", "tie"]), ["doc", "tie"]).join(firsts, "first")
     blocks = meetings.select("doc", "tie", "lines", "sizes", "first_lines").mapInArrow(_aligned, "doc long, tie long, start long, end long")

@@ -1,22 +1,25 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 A document's set holds the hashes of its distinct five-word shingles. Two sets link when 100 * intersection >= 75 * union.
-If they do, then under any total order of the tokens their prefixes of n - ceil(0.75 n) + 1 tokens share a token. Orders
-here put frequent tokens last and break ties by two different hashes, so a shared passage does not make candidates:
+Three total orders of the tokens filter the candidates, and a pair must pass them all before its sets are intersected:
 
-* order A makes the candidates: documents meet in the bucket of a shared prefix token;
-* a candidate must also share a prefix token under order B before its sets are intersected.
+* by hash: of n tokens the first n - ceil(0.75 n) + 1 are indexed, and all below a fixed quarter of the hash space, so that
+  the indexed part of any two sets covers the same range. Linked sets share an indexed token; more, of its k tokens in the
+  quarter the smaller set shares all but n - ceil(6 n / 7), the most it may have for itself;
+* by how many indexed sets hold a token, rarest first: if a set shares at least c of its s tokens that others hold, one of them is among
+  its s - c + 1 rarest. The smaller set of a pair looks for partners by these only, and not at all if s < c. A passage
+  that many documents share is therefore no candidate, however many hold it;
+* by another hash: the prefixes under it must share a token too.
 
 Buckets are never expanded into all pairs at once. Equal sets are one class from the start. Each class is first held
-against one centre, the class with the smallest id of its bucket with which it shares most prefix tokens; links of that
-round contract most of each group of near copies. Only then are pairs taken whose classes still lie in different components,
-under size and position filters; pairs inside a component cannot change the result. Before any text is fetched, pairs are held
-against parity bitmaps: each token flips one bit, so two sets differ in at least as many tokens as their bitmaps do in bits.
-
-Buckets of frequent tokens, known from the counts that order the tokens, are formed by a pre-aggregated minimum that is joined back, so
-that the planner can split them; all others by one sort.
-
-Set size and intersection are counted over 64-bit hashes, classes are named by 64 bits of a hash of the whole set.
+against one centre, the class with the smallest id of its bucket with which it shares most tokens; links of that
+round contract most of each group of near copies. Only then are pairs taken whose classes still lie in different components;
+pairs inside a component cannot change the result. Before any text is fetched, pairs are held against parity bitmaps: each token
+flips one bit, so two sets differ in at least as many tokens as their bitmaps do in bits.
+
+Buckets of frequent tokens, counted batch by batch, are formed by a pre-aggregated minimum that is joined back, so that the planner can
+split them; all others by one sort. Set size and intersection are counted over 64-bit hashes, classes are named by 64 bits of a hash
+of the whole set.
 """
 
 from __future__ import annotations
@@ -34,9 +37,10 @@ from hookflow.llm.common import components, mix, shingle_set, utf8, written
 THRESHOLD = 75  # per cent
 # A token in so many documents of one Arrow batch is reported as frequent. The reports of all batches are summed.
 BATCH_FREQUENT = 8
-# The most frequent tokens are sent to every task to order tokens by (16 bytes each). Any choice gives the same result;
-# what the bound leaves out is ordered as rare.
+# The most frequent tokens are sent to every task (8 bytes each), which sets them apart. Any choice gives the same result.
 MAX_FREQUENT = 1 << 18
+# Tokens with hashes below this are always indexed: a quarter of them.
+QUARTER = 1 << 62
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -47,33 +51,24 @@ def linked(a: int, b: int, both: int, threshold: int = THRESHOLD) -> bool:
     return 100 * both >= threshold * (a + b - both)
 
 
-class TokenOrder:
-    """Two total orders of tokens: by frequency class, then by hash (A) or by another hash (B)."""
+def least_shared(n: int, below: int, threshold: int = THRESHOLD) -> int:
+    """How many of its ``below`` tokens in the quarter a set of n tokens shares with any linked set that is not smaller."""
+    overlap = -(-2 * threshold * n // (100 + threshold))
+    return max(1, below - (n - overlap))
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        order = np.argsort(tokens)
-        self.tokens, self.level = tokens[order], np.log2(np.maximum(counts[order], 1)).astype(np.int64) + 1
 
-    def _levels(self, tokens: np.ndarray) -> np.ndarray | None:
-        if not len(self.tokens):
-            return None
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        found = self.tokens[at] == tokens
-        return np.where(found, self.level[at], 0) if found.any() else None
+def indexed(tokens: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, int]:
+    """The indexed tokens of an ascending set, and how many of them lie in the quarter."""
+    below = int(np.searchsorted(tokens, np.uint64(QUARTER)))
+    return tokens[: max(below, prefix_length(len(tokens), threshold))], below
 
-    def prefix_a(self, tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The prefix of a sorted set, its frequent tokens apart; they come last."""
-        levels = self._levels(tokens)
-        if levels is None:
-            return tokens[:length], tokens[:0]
-        order = np.argsort(levels, kind="stable")[:length]
-        rare = int((levels[order] == 0).sum())
-        return tokens[order[:rare]], tokens[order[rare:]]
 
-    def prefix_b(self, tokens: np.ndarray, length: int) -> np.ndarray:
-        other, levels = mix(tokens), self._levels(tokens)
-        order = np.argsort(other) if levels is None else np.lexsort((other, levels))
-        return tokens[order[:length]]
+def other_prefix(tokens: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """The prefix under the order by another hash."""
+    length = prefix_length(len(tokens), threshold)
+    if length >= len(tokens):
+        return tokens
+    return tokens[np.argpartition(mix(tokens), length - 1)[:length]]
 
 
 def _class_of(tokens: np.ndarray) -> int:
@@ -117,26 +112,35 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _prefixes(frequent, threshold: int):
-    """For each document its class, set size, bitmap, and prefix under order A, frequent tokens apart."""
+    """For each document its class, set size, least shared tokens, bitmap, and indexed tokens, the frequent ones apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = TokenOrder(*frequent.value)
+        common = frequent.value
         for batch in batches:
             rows = []
             for text in utf8(batch.column(0)):
                 tokens = shingle_set(text or b"")
                 if len(tokens):
-                    rare, common = order.prefix_a(tokens, prefix_length(len(tokens), threshold))
-                    rows.append((_class_of(tokens), len(tokens), bitmap(tokens), rare.view(np.int64), common.view(np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                    index, below = indexed(tokens, threshold)
+                    apart = _among(index, common)
+                    need = least_shared(len(tokens), below, threshold)
+                    rows.append((_class_of(tokens), len(tokens), need, bitmap(tokens), index[~apart].view(np.int64), index[apart].view(np.int64)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), *map(_lists, columns[3:])],
-                ["cls", "n", "bits", "rare", "common"],
+                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()), *map(_lists, columns[4:])],
+                ["cls", "n", "need", "bits", "rare", "common"],
             )
 
     return run
 
 
+def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens an ascending array holds."""
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.empty(0, np.int64)))
@@ -155,9 +159,8 @@ def _near(threshold: int):
     return run
 
 
-def _verify(frequent, threshold: int):
+def _verify(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = TokenOrder(*frequent.value)
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # sets of the last few classes; pairs come sorted by b
 
         def described(cls: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +168,7 @@ def _verify(frequent, threshold: int):
                 if len(known) >= 64:
                     known.clear()
                 tokens = shingle_set(text)
-                known[cls] = tokens, order.prefix_b(tokens, prefix_length(len(tokens), threshold))
+                known[cls] = tokens, other_prefix(tokens, threshold)
             return known[cls]
 
         for batch in batches:
@@ -177,8 +180,7 @@ def _verify(frequent, threshold: int):
                 x, y = sorted((len(a_set), len(b_set)))
                 if 100 * x < threshold * y:
                     continue
-                a_prefix = order.prefix_b(a_set, prefix_length(len(a_set), threshold))
-                if not np.isin(a_prefix, b_prefix).any():
+                if not np.isin(other_prefix(a_set, threshold), b_prefix).any():
                     continue
                 both = np.concatenate((a_set, b_set))
                 both.sort()
@@ -190,7 +192,7 @@ def _verify(frequent, threshold: int):
     return run
 
 
-def _links(pairs: DataFrame, bits: DataFrame, docs: DataFrame, members: DataFrame, frequent, threshold: int) -> DataFrame:
+def _links(pairs: DataFrame, bits: DataFrame, docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets link."""
     x, y = (bits.select(F.col("cls").alias(i), F.col("n").alias(f"n_{i}"), F.col("bits").alias(f"bits_{i}")) for i in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
@@ -202,7 +204,7 @@ def _links(pairs: DataFrame, bits: DataFrame, docs: DataFrame, members: DataFram
     texts = written(chosen.mapInArrow(_own_text, "cls long, text string").dropDuplicates(["cls"]), "texts")
     left = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a")
     full = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
-    return written(full.select("a", "a_text", "b", "b_text").mapInArrow(_verify(frequent, threshold), "u long, v long"), "links")
+    return written(full.select("a", "a_text", "b", "b_text").mapInArrow(_verify(threshold), "u long, v long"), "links")
 
 
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -221,44 +223,46 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     reported = profile.where("frequent is not null").select(F.explode(F.arrays_zip("frequent", "counts")).alias("t"))
     counted = reported.groupBy(F.col("t.frequent").alias("token")).agg(F.sum("t.counts").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
-    frequent = spark.sparkContext.broadcast((top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
+    frequent = spark.sparkContext.broadcast(np.sort(top["token"].to_numpy(np.int64).view(np.uint64)))
 
     members = profile.where("frequent is null").select("doc_id", "n_shingles", "cls")
-    layout = "cls long, n long, bits binary, rare array<long>, common array<long>"
+    layout = "cls long, n long, need long, bits binary, rare array<long>, common array<long>"
     prefixes = written(docs.select("text").mapInArrow(_prefixes(frequent, threshold), layout), "prefixes")
+    columns = ("token", "cls", "n", "need", "df", "centre")
     bucket = Window.partitionBy("token")
-    rare = prefixes.select("cls", "n", F.posexplode("rare").alias("pos", "token"))
-    rare = rare.withColumns({"centre": F.min("cls").over(bucket), "last": F.max("cls").over(bucket)}).where("centre <> last")
-    common = prefixes.select("cls", "n", F.size("rare").alias("before"), F.posexplode("common").alias("pos", "token")).withColumn("pos", F.col("before") + F.col("pos"))
-    buckets = common.groupBy("token").agg(F.min("cls").alias("centre"), F.max("cls").alias("last")).where("centre <> last")
-    columns = ("token", "cls", "n", "pos", "centre")
-    shared = rare.select(*columns).unionByName(common.join(buckets, "token").select(*columns))
+    rare = prefixes.select("cls", "n", "need", F.explode("rare").alias("token"))
+    rare = rare.withColumns({"centre": F.min("cls").over(bucket), "last": F.max("cls").over(bucket), "df": F.count(F.lit(1)).over(bucket)})
+    common = prefixes.select("cls", "n", "need", F.explode("common").alias("token"))
+    buckets = common.groupBy("token").agg(F.min("cls").alias("centre"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("df"))
+    shared = rare.where("centre <> last").select(*columns).unionByName(common.join(buckets.where("centre <> last"), "token").select(*columns))
     # Copies of one set are one entry of a bucket.
     shared = written(shared.distinct(), "shared")
+    # What the smaller set of a pair looks for partners by; a need of more than one counts tokens in the quarter only.
+    own = Window.partitionBy("cls")
+    usable = shared.where(f"need = 1 or token between 0 and {QUARTER - 1}")
+    asking = usable.withColumns({"s": F.count(F.lit(1)).over(own), "nth": F.row_number().over(own.orderBy("df", "token"))})
+    asking = written(asking.where("nth <= s - need + 1").select("token", "cls", "n", "centre"), "asking")
     bits = prefixes.select("cls", "n", "bits").dropDuplicates(["cls"])
 
-    votes = shared.where("cls <> centre").groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("votes"))
+    votes = asking.where("cls <> centre").groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("votes"))
     star = votes.groupBy("cls").agg(F.max(F.struct("votes", "centre")).alias("best")).select(F.col("cls").alias("a"), F.col("best.centre").alias("b"))
     star = written(star, "star")
-    first = _links(star, bits, docs, members, frequent, threshold)
+    first = _links(star, bits, docs, members, threshold)
     labels = components(first)
 
-    known = shared.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    known = written(known.select("token", "cls", "n", "pos", "comp"), "known")
+    # A class whose bucket mates are all in its component by now has nothing left to ask.
+    comp = labels.select(F.col("id").alias("cls"), F.col("component").alias("comp"))
+    known = shared.select("token", "cls", "n").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    known = written(known.join(asking.select("token").distinct(), "token", "left_semi"), "known")
     open_buckets = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_rows = known.join(open_buckets, "token")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    need = F.expr(f"ceil({threshold} * (x.n + y.n) / {100 + threshold})")
-    pairs = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.cls") < F.col("y.cls"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & (100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
-        & (F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= need),
-    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    open_rows = known.join(open_buckets, "token", "left_semi")
+    x = asking.join(comp, "cls", "left").select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.coalesce("comp", "cls").alias("comp_a"))
+    y = open_rows.select(F.col("token").alias("token_b"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") != F.col("b")))
+    fits = smaller & (100 * F.col("n_a") >= threshold * F.col("n_b")) & (F.col("comp_a") != F.col("comp_b"))
+    pairs = x.join(y, (F.col("token") == F.col("token_b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _links(pairs.join(tested, ["a", "b"], "left_anti"), bits, docs, members, frequent, threshold)
+    second = _links(pairs.join(tested, ["a", "b"], "left_anti"), bits, docs, members, threshold)
 
     # Labels of the first round stand for its links.
     labelled = components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
