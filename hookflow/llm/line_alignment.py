@@ -150,7 +150,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     blocks = meetings.select("doc", "tie", "lines", "sizes", "first_lines").mapInArrow(_aligned, "doc long, tie long, start long, end long")
     spans = written(blocks.distinct().groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("__spans")), "spans")
     told = spans.select(F.col("doc").alias("__d"), F.col("tie").alias("__t"), "__spans")
-    full = keyed.join(told, (F.col("__doc") == F.col("__d")) & (F.col("__tie") == F.col("__t")), "left").drop("__doc", "__tie", "__d", "__t")
+    # The same plan at every size: texts move once.
+    full = keyed.hint("merge").join(told, (F.col("__doc") == F.col("__d")) & (F.col("__tie") == F.col("__t")), "left").drop("__doc", "__tie", "__d", "__t")
     # The text column itself comes back from the cut, so it travels once.
     columns = [c for c in docs.columns if c != "text"]
     source = full.select(*(F.col(f"`{c}`") for c in columns), "__text", "__spans")

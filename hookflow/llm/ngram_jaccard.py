@@ -200,7 +200,8 @@ def _links(pairs: DataFrame, bits: DataFrame, docs: DataFrame, members: DataFram
     # One text for each class. It is recognised by its own class, so rows that repeat a doc_id do no harm.
     classes = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = written(members.join(classes, "cls").groupBy("cls").agg(F.min("doc_id").alias("holder")), "wanted")
-    chosen = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("holder"))).select("cls", "text")
+    # The same plan at every size: texts move once.
+    chosen = docs.hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("holder"))).select("cls", "text")
     texts = written(chosen.mapInArrow(_own_text, "cls long, text string").dropDuplicates(["cls"]), "texts")
     left = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a")
     full = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")

@@ -10,6 +10,8 @@ rank among the pieces of its length; ranks come from counts of (task, length), n
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,35 +26,114 @@ from hookflow.llm.common import utf8, written
 
 SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1  # appended to each document
-_WORD_CACHE_SIZE = 1 << 19
+_WORD_CACHE_SIZE = 1 << 20  # about 300 MB a worker
+_WORDS_AT_ONCE = 1 << 17
 PIECE_LAYOUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, local_rank long"
 
 
-class _WordIds:
-    """Token ids of texts by way of their words. The tokenizer drops white space, and neither its normaliser nor its split
-    patterns look past it, so a text's ids are its words' ids in a row."""
+class _Flat:
+    """Runs of ids by number, in one flat array."""
+
+    def __init__(self):
+        self.ids, self.starts, self.lengths = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def extend(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these runs, one after another."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _WordIds(dict):
+    """Token ids of texts by way of their words: each word has a number, and the numbers' ids lie in one flat array. The tokenizer
+    drops white space, and neither its normaliser nor its split patterns look past it, so a text's ids are its words' ids in a row."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        # The id of a full stop or comma that follows a letter; always a token of its own.
+        self.tails = {mark: self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids for mark in (b".", b",")}
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.forms: dict[bytes, int] = {}
+        self.words, self.of_forms = _Flat(), _Flat()
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def _form(self, word: bytes) -> tuple[bytes, bytes]:
+        """What of a word is tokenised, and the mark after it. Case does not count in ASCII, special tokens aside."""
+        if b"<|" in word or not word.isascii():
+            return word, b""
+        word, mark = word.lower(), word[-1:]
+        return (word[:-1], mark) if mark in self.tails and word[-2:-1].isalpha() else (word, b"")
+
+    def learn(self) -> None:
+        """Tokenises the words met since the last time, each form once."""
+        if not self.new:
+            return
+        split, unseen = [self._form(w) for w in self.new], []
+        for form, _ in split:
+            if form not in self.forms:
+                self.forms[form] = len(self.forms)
+                unseen.append(form)
+        for i in range(0, len(unseen), 4096):
+            # Given as words already, they are tokenised one by one, in one call.
+            words = [w.decode() for w in unseen[i : i + 4096]]
+            found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+            self.of_forms.extend(np.array(found.ids, "<u4"), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))
+        forms = np.array([self.forms[form] for form, _ in split])
+        tails = np.array([self.tails[mark][0] if mark else -1 for _, mark in split])
+        lengths = self.of_forms.lengths[forms]
+        ids = np.insert(self.of_forms.take(forms), np.cumsum(lengths)[tails >= 0], tails[tails >= 0].astype("<u4"))
+        self.words.extend(ids, lengths + (tails >= 0))
+        self.new = []
 
     def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        split = [(t or b"").split() for t in texts]
-        if len(self.known) > _WORD_CACHE_SIZE:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4")) for w, e in zip(new, encoded, strict=True))
+        """The ids of each text with the end token; a bounded number of bytes is split at once, however long the texts are together."""
+        pending: list[np.ndarray] = []
+        size = 0
+        for text in texts:
+            if len(self) > _WORD_CACHE_SIZE and not pending:
+                self.reset()
+            words = (text or b"").split()
+            pending.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+            size += len(words)
+            if size >= _WORDS_AT_ONCE:
+                yield from self._ids(pending)
+                pending, size = [], 0
+        yield from self._ids(pending)
+
+    def _ids(self, numbered: list[np.ndarray]) -> Iterator[np.ndarray]:
+        self.learn()
         end = np.array([END_OF_DOCUMENT], "<u4")
-        for words in split:
-            yield np.concatenate([*map(self.known.__getitem__, words), end])
+        for words in numbered:
+            yield np.concatenate((self.words.take(words), end))
+
+
+def _worker_words(path: str) -> _WordIds:
+    """The table of this worker process, kept from task to task: most words of a task were met in the one before."""
+    kept = sys.modules.setdefault("hookflow_llm_words", types.ModuleType("hookflow_llm_words")).__dict__
+    if path not in kept:
+        kept[path] = _WordIds(path)
+    return kept[path]
 
 
 def _pieces(tokenizer_path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, ranks = _WordIds(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
+        words, task, ranks = _worker_words(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.texts(utf8(batch.column(1))), strict=True):
