@@ -5,8 +5,11 @@ Words everywhere are runs of ``[^\\x20\\x09-\\x0D]+``, which is what ``bytes.spl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,9 @@ from pyspark.sql import functions as F
 from hookflow.session import scratch_path
 
 SHINGLE_WORDS = 5
-_WORD_CACHE_SIZE = 1 << 20
+_WORD_CACHE_SIZE = 1 << 18
+# Texts of so many bytes are held in a worker's memory at a time; one longer text makes a piece of its own.
+PIECE_BYTES = 8 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -35,6 +40,20 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their texts pass another ``limit`` bytes; nothing is copied."""
+    for batch in batches:
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        sizes = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in texts]
+        held = np.cumsum(np.sum(sizes, axis=0, dtype=np.int64)) if sizes and batch.num_rows else np.empty(0, np.int64)
+        if not len(held) or held[-1] <= limit:
+            yield batch
+            continue
+        cuts = [0, *(np.flatnonzero(np.diff(held // limit)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            yield batch.slice(start, end - start)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)

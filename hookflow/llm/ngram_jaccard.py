@@ -32,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hookflow.llm.common import components, mix, shingle_set, utf8, written
+from hookflow.llm.common import components, mix, pieces, shingle_set, utf8, written
 
 THRESHOLD = 75  # per cent
-# A token in so many documents of one Arrow batch is reported as frequent. The reports of all batches are summed.
+# A token in so many documents of one batch of texts is reported as frequent. The reports of all batches are summed.
 BATCH_FREQUENT = 8
 # The most frequent tokens are sent to every task (8 bytes each), which sets them apart. Any choice gives the same result.
 MAX_FREQUENT = 1 << 18
+# Tokens of sets that a task of the exact test keeps for the next pairs.
+KEPT_TOKENS = 1 << 20
 # Tokens with hashes below this are always indexed: a quarter of them.
 QUARTER = 1 << 62
 
@@ -77,7 +79,7 @@ def _class_of(tokens: np.ndarray) -> int:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, set size and class of each document; for each batch one more row with its frequent tokens."""
-    for batch in batches:
+    for batch in pieces(batches):
         sets = [shingle_set(t or b"") for t in utf8(batch.column(1))]
         n = [len(s) for s in sets]
         frequent, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0))
@@ -116,7 +118,7 @@ def _prefixes(frequent, threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for text in utf8(batch.column(0)):
                 tokens = shingle_set(text or b"")
@@ -162,16 +164,20 @@ def _near(threshold: int):
 def _verify(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # sets of the last few classes; pairs come sorted by b
+        kept = 0
 
         def described(cls: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal kept
             if cls not in known:
-                if len(known) >= 64:
-                    known.clear()
                 tokens = shingle_set(text)
+                kept += len(tokens)
+                if kept > KEPT_TOKENS:
+                    known.clear()
+                    kept = len(tokens)
                 known[cls] = tokens, other_prefix(tokens, threshold)
             return known[cls]
 
-        for batch in batches:
+        for batch in pieces(batches):
             us, vs = [], []
             a_ids, b_ids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, a_text, b, b_text in zip(a_ids, utf8(batch.column(1)), b_ids, utf8(batch.column(3)), strict=True):
@@ -275,7 +281,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         classes = batch.column(0).to_pylist()
         own = [t is not None and len(s := shingle_set(t)) and _class_of(s) == c for c, t in zip(classes, utf8(batch.column(1)), strict=True)]
         yield batch.filter(pa.array(list(map(bool, own)), pa.bool_()))

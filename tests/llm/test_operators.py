@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,13 @@ def test_jaccard_matches_brute_force(spark, corpus):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_by_hand(corpus)
 
 
+def test_pieces_keep_every_row():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["a" * 5, None, "b" * 30, "", "c" * 8])], ["doc_id", "text"])
+    for limit in (1, 10, 100):
+        assert pa.Table.from_batches(common.pieces([batch], limit)).to_pylist() == batch.to_pylist()
+    assert [p.num_rows for p in common.pieces([batch.slice(0, 0)], 1)] == [0]
+
+
 def test_jaccard_on_odd_rows(spark):
     got = ngram_jaccard.jaccard_components(spark.createDataFrame(odd_documents(), DOCS)).collect()
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter(
