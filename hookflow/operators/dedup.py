@@ -9,6 +9,10 @@ next row is accepted. No single window function expresses that, so two exact way
   Every distinct instant gets a pointer to the first instant at or after its expiry, and
   the accepted instants are those reachable from the first one, found by doubling the
   pointers. All joins there are keyed by instant as well, so no task sees a whole key.
+
+A source may deliver one record several times. Rows are numbered when they are written to the shared
+folder, verdicts are carried by that number, and of the rows that share (source, id) the earliest
+is the one that takes part: exactly one row of an id can be accepted, on either path.
 """
 
 from __future__ import annotations
@@ -17,11 +21,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hookflow.functions.scalars import parse_window
-from hookflow.session import broadcast_if_small, cut_lineage
+from hookflow.session import broadcast_if_small, cut_lineage, stored_once
 
 KEY = ["source", "external_id"]
 # Rows of one key that may be folded in a single aggregation buffer.
 FOLD_LIMIT = 4096
+# Number of a row in its written table.
+ROW = "_row"
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """The events, written once, with a row number that survives retries because it is stored."""
+    return stored_once(events.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """The earliest row of each (source, id), and how many share it; a row without one of the two stands for itself."""
+    alone = F.when(F.col("id").isNull() | F.col("source").isNull(), F.col(ROW)).alias("_alone")
+    first = F.min(F.struct("created_at", "external_id", ROW)).alias("_first")
+    grouped = rows.groupBy("source", "id", alone).agg(first, F.count(F.lit(1)).alias("copies"))
+    return stored_once(grouped.select("source", "id", "_first.*", "copies"), "ids")
+
+
+def id_repeats(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Numbers of the rows that repeat an id, the one that takes part left out."""
+    repeated = firsts.filter("copies > 1").select("source", "id", F.col(ROW).alias("_kept"))
+    found = rows.select("source", "id", ROW).join(repeated, ["source", "id"])
+    return found.filter(F.col(ROW) != F.col("_kept")).select(ROW)
 
 
 def _keyed(events: DataFrame, sources: DataFrame) -> DataFrame:
@@ -31,14 +57,14 @@ def _keyed(events: DataFrame, sources: DataFrame) -> DataFrame:
     settings = settings.select(F.col("name").alias("source"), ttl.alias("ttl")).filter("ttl > 0")
     return (
         events.filter(F.col("external_id").isNotNull())
-        .select("source", "external_id", "id", F.col("created_at").alias("at"))
+        .select("source", "external_id", "id", ROW, F.col("created_at").alias("at"))
         .join(settings, "source")
     )
 
 
 def _fold_small(keyed: DataFrame) -> DataFrame:
     """Decisions for keys whose rows fit one aggregation buffer."""
-    rows = F.array_sort(F.collect_list(F.struct("at", "id")))
+    rows = F.array_sort(F.collect_list(F.struct("at", "id", ROW)))
     grouped = keyed.groupBy(*KEY, "ttl").agg(rows.alias("rows"))
     expiry = F.make_dt_interval(secs=F.col("ttl").cast("decimal(18,6)"))
 
@@ -55,7 +81,7 @@ def _fold_small(keyed: DataFrame) -> DataFrame:
     flags = F.aggregate("rows", start, step, lambda state: state["flags"])
     decided = F.posexplode(F.arrays_zip(F.col("rows"), flags.alias("accepted")))
     return grouped.select(*KEY, decided.alias("pos", "d")).select(
-        *KEY, "d.rows.at", "d.rows.id", "d.accepted", (F.col("pos") == 0).alias("first")
+        *KEY, "d.rows.at", "d.rows.id", f"d.rows.{ROW}", "d.accepted", (F.col("pos") == 0).alias("first")
     )
 
 
@@ -111,30 +137,26 @@ def _reachable(roots: DataFrame, jumps: DataFrame) -> DataFrame:
 
 def _jump_large(keyed: DataFrame) -> DataFrame:
     """Decisions for keys with too many rows to gather."""
-    instants = cut_lineage(keyed.groupBy(*KEY, "ttl", "at").agg(F.min("id").alias("id")))
+    instants = cut_lineage(keyed.groupBy(*KEY, "ttl", "at").agg(F.min(F.struct("id", ROW))[ROW].alias(ROW)))
     roots = instants.groupBy(*KEY).agg(F.min("at").alias("at"))
     reached = _reachable(roots, _next_instants(instants))
     yes = F.lit(True)
-    kept = instants.join(reached, [*KEY, "at"], "left_semi").select("id", yes.alias("accepted"))
-    heads = instants.join(roots, [*KEY, "at"], "left_semi").select("id", yes.alias("first"))
-    decided = keyed.join(kept, "id", "left").join(heads, "id", "left")
+    kept = instants.join(reached, [*KEY, "at"], "left_semi").select(ROW, yes.alias("accepted"))
+    heads = instants.join(roots, [*KEY, "at"], "left_semi").select(ROW, yes.alias("first"))
+    decided = keyed.join(kept, ROW, "left").join(heads, ROW, "left")
     no = F.lit(False)
     return decided.select(
-        *KEY, "at", "id", F.coalesce("accepted", no).alias("accepted"), F.coalesce("first", no).alias("first")
+        *KEY, "at", "id", ROW, F.coalesce("accepted", no).alias("accepted"), F.coalesce("first", no).alias("first")
     )
 
 
-def decide_ttl(
-    events: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT, materialise: bool = False
-) -> DataFrame:
-    """(source, external_id, at, id, accepted, first) for every row that takes part.
+def decide_ttl(firsts: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """(source, external_id, at, id, _row, accepted, first) for every row of ``one_per_id`` that takes part.
 
     Counting rows per key first costs one narrow, pre-aggregated pass and decides
-    which keys may be folded in a buffer at all. ``materialise`` writes the narrow rows
-    to the shared folder once, for inputs that are dear to compute twice.
+    which keys may be folded in a buffer at all.
     """
-    keyed = _keyed(events, sources)
-    keyed = cut_lineage(keyed) if materialise else keyed
+    keyed = _keyed(firsts, sources)
     counts = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     crowded = counts.filter(F.col("n") > fold_limit).select(*KEY)
     if crowded.isEmpty():
@@ -147,16 +169,22 @@ def decide_ttl(
     return _fold_small(small).unionByName(_jump_large(large))
 
 
-def dedup_ttl(
-    events: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT, materialise: bool = False
-) -> DataFrame:
+def ttl_repeats(rows: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Numbers of the ``numbered`` rows that repeat an id or fall into the window of an accepted row."""
+    firsts = one_per_id(rows)
+    late = decide_ttl(firsts, sources, fold_limit).filter(~F.col("accepted")).select(ROW)
+    return late.unionByName(id_repeats(rows, firsts))
+
+
+def dedup_ttl(events: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Events without the repeats that fall into the window of an accepted row.
 
-    Ties on the clock are settled by id. Rows without an external id, and rows of
-    sources that configure no deduplication, always pass.
+    Ties on the clock are settled by id. Of rows that share (source, id) the earliest takes part and
+    the others are repeats. Rows without an external id, and rows of sources that configure
+    no deduplication, are repeats only by their id.
     """
-    repeats = decide_ttl(events, sources, fold_limit, materialise).filter(~F.col("accepted")).select("id")
-    return events.join(repeats, "id", "left_anti")
+    rows = numbered(events)
+    return rows.join(ttl_repeats(rows, sources, fold_limit), ROW, "left_anti").drop(ROW)
 
 
 def first_rows(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,18 +218,23 @@ def append_events(new: DataFrame, stored: DataFrame, small_batch: bool = False)
 def dedup_hot_cold(
     events: DataFrame, stored: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMIT
 ) -> DataFrame:
-    """Both tiers: adds ``outcome`` = accepted, duplicate_hot or duplicate_cold.
+    """Both tiers: adds ``outcome`` = accepted, duplicate_hot, duplicate_cold or duplicate_id.
 
     A row past its window is acknowledged but not stored again, because the permanent
-    tier still knows its key.
+    tier still knows its key. Every input row comes back once; of rows that share (source, id)
+    all but the earliest are duplicate_id.
     """
-    decided = decide_ttl(events, sources, fold_limit)
-    known = stored.filter(F.col("external_id").isNotNull()).select(*KEY)
-    storable = decided.filter("first").join(known, KEY, "left_anti").select("id", F.lit(True).alias("_stored"))
+    rows = numbered(events)
+    firsts = one_per_id(rows)
+    decided = decide_ttl(firsts, sources, fold_limit)
+    known = stored.filter(F.col("external_id").isNotNull()).select(*KEY).distinct()
+    judged = decided.join(known.withColumn("_known", F.lit(True)), KEY, "left")
     label = (
         F.when(~F.col("accepted"), F.lit("duplicate_hot"))
-        .when(F.col("_stored").isNull(), F.lit("duplicate_cold"))
+        .when(~F.col("first") | F.col("_known"), F.lit("duplicate_cold"))
         .otherwise(F.lit("accepted"))
     )
-    labels = decided.join(storable, "id", "left").select("id", label.alias("outcome"))
-    return events.join(labels, "id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("accepted")))
+    labels = judged.select(ROW, label.alias("outcome"))
+    labels = labels.unionByName(id_repeats(rows, firsts).withColumn("outcome", F.lit("duplicate_id")))
+    labelled = rows.join(labels, ROW, "left").drop(ROW)
+    return labelled.withColumn("outcome", F.coalesce("outcome", F.lit("accepted")))

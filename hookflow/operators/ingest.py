@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from hookflow.functions import jsonvalue as J
 from hookflow.functions.scalars import parse_window
-from hookflow.operators.dedup import dedup_ttl
-from hookflow.operators.validation import reject_split, validate_events
+from hookflow.operators.dedup import ROW, numbered, ttl_repeats
+from hookflow.operators.validation import is_rejected, validate_events
 from hookflow.session import config_rows
 
 TYPE_FIELDS = ("type", "event", "event_type")
@@ -65,22 +65,24 @@ def event_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
-def ingest_events(raw: DataFrame, sources: DataFrame, schemas: DataFrame, parity: bool = False) -> DataFrame:
-    """Raw deliveries (source, payload, headers, received_at and optionally id, event_type) to events.
+def ingest_outcomes(raw: DataFrame, sources: DataFrame, schemas: DataFrame, parity: bool = False) -> DataFrame:
+    """One row per raw delivery (source, payload, headers, received_at and optionally id, event_type): the event and its ``outcome``.
 
-    By default a payload is validated before it may claim its deduplication key;
-    ``parity=True`` deduplicates first, so that a rejected payload blocks its corrected retry.
-    Unreadable JSON is refused.
+    accepted; duplicate (repeats an id, or a key inside its window); rejected, with ``validation_errors``; unreadable
+    (the payload is null or no JSON); bad_source (null, empty or over 100 characters). By default a payload is validated before
+    it may claim its deduplication key; ``parity=True`` deduplicates first, so that a rejected payload blocks its
+    corrected retry. The envelope is parsed and validated once and written; decisions read narrow columns of it.
     """
     explicit = F.col("event_type") if "event_type" in raw.columns else None
     headers = F.col("headers") if "headers" in raw.columns else F.create_map().cast("map<string,string>")
-    # The explode of at most one element parses once and drops unreadable text; a filter
-    # on the parsed value would be pushed down and parse again.
-    body = F.explode(F.array_compact(F.array(J.parse(F.col("payload")))))
-    typed = raw.filter(F.length("source").between(1, MAX_SOURCE_LENGTH)).withColumn("_body", body)
+    # The explode of one element parses once; an expression on the parsed value would be
+    # merged with others and parse again.
+    typed = raw.withColumn("_body", F.explode(F.array(J.parse(F.col("payload")))))
     made_id = F.col("id") if "id" in raw.columns else event_id(
         F.col("source"), F.unix_micros("received_at").cast("string"), F.col("payload")
     )
+    sourced = F.coalesce(F.length("source").between(1, MAX_SOURCE_LENGTH), F.lit(False))
+    refused = F.when(~sourced, F.lit("bad_source")).when(F.col("_body").isNull(), F.lit("unreadable"))
     rows = typed.select(
         made_id.alias("id"),
         external_id_by_source(typed, sources, F.col("_body")).alias("external_id"),
@@ -92,15 +94,24 @@ def ingest_events(raw: DataFrame, sources: DataFrame, schemas: DataFrame, parity
         F.lit("RECEIVED").alias("status"),
         F.lit(0).alias("attempts"),
         F.col("received_at").alias("created_at"),
+        refused.alias("_refused"),
         "_body",
     )
-    if parity:
-        unique = dedup_ttl(rows.drop("_body"), sources, materialise=True)
-        accepted, _ = reject_split(validate_events(unique, schemas))
-    else:
-        valid, _ = reject_split(validate_events(rows, schemas))
-        accepted = dedup_ttl(valid, sources, materialise=True)
-    return accepted.drop("reject_on_fail")
+    checked = validate_events(rows, schemas)
+    unread = F.col("_refused").isNotNull()
+    for name in ("validation_status", "validation_errors"):
+        checked = checked.withColumn(name, F.when(~unread, F.col(name)))
+    envelope = numbered(checked.withColumn("_rejected", ~unread & F.coalesce(is_rejected(), F.lit(False))).drop("reject_on_fail"))
+    candidates = envelope.filter("_refused is null") if parity else envelope.filter("_refused is null and not _rejected")
+    repeats = ttl_repeats(candidates, sources).withColumn("_repeat", F.lit("duplicate"))
+    outcome = F.coalesce("_refused", "_repeat", F.when(F.col("_rejected"), F.lit("rejected")), F.lit("accepted"))
+    judged = envelope.join(repeats, ROW, "left").withColumn("outcome", outcome)
+    return judged.drop(ROW, "_refused", "_rejected", "_repeat")
+
+
+def ingest_events(raw: DataFrame, sources: DataFrame, schemas: DataFrame, parity: bool = False) -> DataFrame:
+    """The accepted events of ``ingest_outcomes``."""
+    return ingest_outcomes(raw, sources, schemas, parity).filter("outcome = 'accepted'").drop("outcome")
 
 
 def rate_limit_breaches(events: DataFrame, sources: DataFrame) -> DataFrame:

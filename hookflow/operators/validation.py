@@ -91,9 +91,14 @@ def validation_errors(events: DataFrame, schemas: DataFrame) -> DataFrame:
     return exploded.select("id", "e.path", "e.message", "e.keyword", F.to_json("e.params").alias("params"))
 
 
+def is_rejected() -> Column:
+    """INVALID rows whose schema says to reject."""
+    return (F.col("validation_status") == "INVALID") & F.coalesce("reject_on_fail", F.lit(False))
+
+
 def reject_split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): rejected are INVALID rows whose schema says to reject."""
-    rejected = (F.col("validation_status") == "INVALID") & F.coalesce("reject_on_fail", F.lit(False))
+    rejected = is_rejected()
     return validated.filter(~rejected), validated.filter(rejected)
 
 

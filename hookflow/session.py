@@ -64,6 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_once(df: DataFrame, label: str) -> DataFrame:
+    """Compute a frame once, as Parquet in the shared folder: later passes read only the columns they need."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def config_rows(df: DataFrame, limit: int = MAX_CONFIG_ROWS) -> list[Row]:
     """Rows of a configuration table, refusing anything that is not configuration-sized."""
     rows = df.limit(limit + 1).collect()

@@ -134,3 +134,41 @@ def test_rejected_payload_and_its_retry(table):
     )
     assert [r.id for r in ingest.ingest_events(raw, sources, schemas).collect()] == ["2"]
     assert ingest.ingest_events(raw, sources, schemas, parity=True).count() == 0
+
+
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_repeated_ids_keep_one_row_on_both_paths(table, limit):
+    rng = random.Random(7)
+    once = [(f"{i:03d}", "s", rng.choice(["hot", "hot", "b"]), START + timedelta(seconds=rng.randrange(300))) for i in range(120)]
+    once += [("none", "s", None, START), ("open", "unknown", "k", START)]
+    again = [(i, s, k, at + timedelta(seconds=rng.choice([0, 0, 1, 500]))) for i, s, k, at in once]
+    sources = table([("s", "id", "20s")], SOURCE)
+    want = {"none", "open"}
+    for key in ("hot", "b"):
+        want.update(greedy([(r[3], r[0]) for r in once if r[2] == key], 20))
+    rows = table(once + again + once, EVENT)
+    assert sorted(r.id for r in dedup.dedup_ttl(rows, sources, fold_limit=limit).collect()) == sorted(want)
+    labels = dedup.dedup_hot_cold(rows, table([], EVENT), sources, fold_limit=limit).collect()
+    assert len(labels) == 3 * len(once)
+    accepted = [r.id for r in labels if r.outcome == "accepted"]
+    assert len(accepted) == len(set(accepted)) and {"none", "open"} <= set(accepted)
+    assert sum(r.outcome == "duplicate_id" for r in labels) == 2 * len(once)
+
+
+@pytest.mark.parametrize("parity", [False, True])
+def test_every_delivery_has_an_outcome(table, parity):
+    good, bad = '{"type":"t","id":"k","n":1}', '{"type":"t","id":"j"}'
+    raw = table(
+        [("s", good, START), ("s", good, START), ("s", good, START + timedelta(seconds=1)), ("s", bad, START), ("s", "{broken", START),
+         ("s", None, START), ("x" * 101, good, START), ("", good, START), (None, good, START), ("other", "7", START)],
+        "source string, payload string, received_at timestamp",
+    )
+    sources = table([("s", "id", "1h")], SOURCE)
+    schemas = table(
+        [("s", "t", 1, '{"required":["n"]}', True, True)],
+        "source string, event_type string, version int, schema string, reject_on_fail boolean, active boolean",
+    )
+    got = ingest.ingest_outcomes(raw, sources, schemas, parity).collect()
+    counts = {name: sum(r.outcome == name for r in got) for name in {r.outcome for r in got}}
+    assert counts == {"accepted": 2, "duplicate": 2, "rejected": 1, "unreadable": 2, "bad_source": 3}
+    assert all((r.validation_errors is not None) == (r.outcome == "rejected") for r in got)
