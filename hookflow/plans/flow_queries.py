@@ -81,6 +81,26 @@ def _(t: Tables):
     return ingest.ingest_events(raw_events(t), t.sources, t.schemas, parity=True).select(*ENVELOPE)
 
 
+@query(
+    "ingest_outcomes",
+    qualified(
+        f"select e.id, e.source, case when {REJECTED} then 'rejected' when e.source = 'shopify' or c.id is not null then 'accepted'"
+        " else 'duplicate' end as outcome from env e left join chain c on e.id = c.id"
+        f" union all select e.id, e.source, case when {REJECTED} then 'rejected' else 'duplicate' end from env e"
+        " union all select 'b-' || e.id, e.source, 'unreadable' from env e"
+        " union all select 'n-' || e.id, '', 'bad_source' from env e"
+    ),
+    greedy(f"{ENV_KEYED} and not {REJECTED}"),
+)
+def _(t: Tables):
+    """Every delivery comes twice, once cut short and once without a source."""
+    raw = raw_events(t)
+    broken = raw.withColumns({"id": F.concat(F.lit("b-"), "id"), "payload": F.lit("{")})
+    nameless = raw.withColumns({"id": F.concat(F.lit("n-"), "id"), "source": F.lit("")})
+    deliveries = raw.unionByName(raw).unionByName(broken).unionByName(nameless)
+    return ingest.ingest_outcomes(deliveries, t.sources, t.schemas).select("id", "source", "outcome")
+
+
 @query(
     "ingest_csv",
     "select cast(event_id as varchar) as id, event_type, cast(user_id as varchar) as user_id, props from events",
@@ -223,6 +243,16 @@ def _(t: Tables):
     return dedup.dedup_ttl(t.env, t.sources).select("id", "source", "external_id")
 
 
+@query(
+    "dedup_repeated_rows",
+    "select e.id, e.source, e.external_id from env e left join chain c on e.id = c.id where e.source = 'shopify' or c.id is not null",
+    greedy(ENV_KEYED),
+)
+def _(t: Tables):
+    """Every event delivered twice: one row of each id is left."""
+    return dedup.dedup_ttl(t.env.unionByName(t.env), t.sources).select("id", "source", "external_id")
+
+
 @query(
     "dedup_ttl_hot_key",
     "select id, source from chain",
