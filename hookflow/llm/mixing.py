@@ -113,6 +113,8 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     taken = _taken(rows, seed).where("__taken > 0")
     epochs = F.expr("sequence(1, int((__taken + __size - 1) div __size))")
     out = taken.withColumn("__epoch", F.explode(epochs)).withColumn("__words", F.least(F.col("__size"), F.expr("__taken - (__epoch - 1) * __size")))
-    cut = F.expr(r"regexp_extract(text, concat('(?s)^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', __words, '}'), 0)")
+    # Words are matched one by one: a pattern that repeats a group once for each word recurses in the matcher and overflows on long texts.
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), "")
     whole = F.col("__words") == F.col("__size")
     return out.select(*(F.when(whole, F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns))

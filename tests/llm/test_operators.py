@@ -417,3 +417,14 @@ def test_url_rules_run_without_python(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x", "<p>")], "page_id long, url string, html string")
     plan = url_rules.judge(pages, url_rules.page_links(pages), url_rules.rule_table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mix_cuts_very_long_texts(spark):
+    text = " \t" + "\n ".join(f"w{i}" for i in range(200_000)) + "  "
+    rows = [(1, "a", text), (2, "b", text), (3, None, text)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    for doc_id, n in taken.items():
+        texts = [r["text"] for r in got if r["doc_id"] == doc_id]
+        assert sum(len(t.split()) for t in texts) == n and all(text.startswith(t) for t in texts)
+    assert any(0 < n % 200_000 for n in taken.values())
