@@ -12,9 +12,12 @@ Three total orders of the tokens filter the candidates, and a pair must pass the
 * by another hash: the prefixes under it must share a token too.
 
 Buckets are never expanded into all pairs at once. Equal sets are one class from the start. Each class is first held
-against one centre, the class with the smallest id of its bucket with which it shares most tokens; links of that
-round contract most of each group of near copies. Only then are pairs taken whose classes still lie in different components;
-pairs inside a component cannot change the result. Before any text is fetched, pairs are held against parity bitmaps: each token
+against one centre, the class of its buckets with which it shares most tokens; the centre of a bucket is the class
+whose tokens are the most frequent, which of a group of near copies is the one the others were made from. Links of that
+round contract most of each group. Only then are pairs taken whose classes still lie in different components;
+pairs inside a component cannot change the result. For them the second order is taken again, over all tokens of the classes that
+share a bucket with another component: what a set shares with no other component counts against it, so variants too far
+from their group ask for no partner. Before any text is fetched, pairs are held against parity bitmaps: each token
 flips one bit, so two sets differ in at least as many tokens as their bitmaps do in bits.
 
 Buckets of frequent tokens, counted batch by batch, are formed by a pre-aggregated minimum that is joined back, so that the planner can
@@ -49,14 +52,18 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
+def least_overlap(n: int, threshold: int = THRESHOLD) -> int:
+    """How many tokens a set of n tokens shares with any linked set that is not smaller."""
+    return -(-2 * threshold * n // (100 + threshold))
+
+
 def linked(a: int, b: int, both: int, threshold: int = THRESHOLD) -> bool:
     return 100 * both >= threshold * (a + b - both)
 
 
 def least_shared(n: int, below: int, threshold: int = THRESHOLD) -> int:
     """How many of its ``below`` tokens in the quarter a set of n tokens shares with any linked set that is not smaller."""
-    overlap = -(-2 * threshold * n // (100 + threshold))
-    return max(1, below - (n - overlap))
+    return max(1, below - (n - least_overlap(n, threshold)))
 
 
 def indexed(tokens: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, int]:
@@ -114,7 +121,8 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _prefixes(frequent, threshold: int):
-    """For each document its class, set size, least shared tokens, bitmap, and indexed tokens, the frequent ones apart."""
+    """For each document its class, set size, least shared tokens, bitmap, indexed tokens, the frequent ones apart, and the low
+    halves of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
@@ -126,11 +134,11 @@ def _prefixes(frequent, threshold: int):
                     index, below = indexed(tokens, threshold)
                     apart = _among(index, common)
                     need = least_shared(len(tokens), below, threshold)
-                    rows.append((_class_of(tokens), len(tokens), need, bitmap(tokens), index[~apart].view(np.int64), index[apart].view(np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                    rows.append((_class_of(tokens), len(tokens), need, bitmap(tokens), index[~apart].view(np.int64), index[apart].view(np.int64), tokens.astype(np.uint32).view(np.int32)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()), *map(_lists, columns[4:])],
-                ["cls", "n", "need", "bits", "rare", "common"],
+                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()), *map(_lists, columns[4:6]), _lists(columns[6], np.int32)],
+                ["cls", "n", "need", "bits", "rare", "common", "halves"],
             )
 
     return run
@@ -143,9 +151,9 @@ def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+def _lists(arrays: list[np.ndarray], dtype=np.int64) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.empty(0, np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.empty(0, dtype)))
 
 
 def _near(threshold: int):
@@ -233,41 +241,47 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     frequent = spark.sparkContext.broadcast(np.sort(top["token"].to_numpy(np.int64).view(np.uint64)))
 
     members = profile.where("frequent is null").select("doc_id", "n_shingles", "cls")
-    layout = "cls long, n long, need long, bits binary, rare array<long>, common array<long>"
+    layout = "cls long, n long, need long, bits binary, rare array<long>, common array<long>, halves array<int>"
     prefixes = written(docs.select("text").mapInArrow(_prefixes(frequent, threshold), layout), "prefixes")
-    columns = ("token", "cls", "n", "need", "df", "centre")
+    columns = ("token", "cls", "n", "need", "df")
     bucket = Window.partitionBy("token")
     rare = prefixes.select("cls", "n", "need", F.explode("rare").alias("token"))
-    rare = rare.withColumns({"centre": F.min("cls").over(bucket), "last": F.max("cls").over(bucket), "df": F.count(F.lit(1)).over(bucket)})
+    rare = rare.withColumns({"lo": F.min("cls").over(bucket), "hi": F.max("cls").over(bucket), "df": F.count(F.lit(1)).over(bucket)})
     common = prefixes.select("cls", "n", "need", F.explode("common").alias("token"))
-    buckets = common.groupBy("token").agg(F.min("cls").alias("centre"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("df"))
-    shared = rare.where("centre <> last").select(*columns).unionByName(common.join(buckets.where("centre <> last"), "token").select(*columns))
-    # Copies of one set are one entry of a bucket.
-    shared = written(shared.distinct(), "shared")
-    # What the smaller set of a pair looks for partners by; a need of more than one counts tokens in the quarter only.
-    own = Window.partitionBy("cls")
-    usable = shared.where(f"need = 1 or token between 0 and {QUARTER - 1}")
-    asking = usable.withColumns({"s": F.count(F.lit(1)).over(own), "nth": F.row_number().over(own.orderBy("df", "token"))})
-    asking = written(asking.where("nth <= s - need + 1").select("token", "cls", "n", "centre"), "asking")
+    buckets = common.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("df"))
+    shared = rare.where("lo <> hi").select(*columns).unionByName(common.join(buckets.where("lo <> hi"), "token").select(*columns))
+    # Copies of one set are one entry of a bucket. A need of more than one counts tokens in the quarter only.
+    shared = shared.distinct().withColumn("usable", F.expr(f"need = 1 or token between 0 and {QUARTER - 1}"))
+    shared = written(_asking(shared), "shared").withColumn("comp", F.col("cls"))
     bits = prefixes.select("cls", "n", "bits").dropDuplicates(["cls"])
 
-    votes = asking.where("cls <> centre").groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("votes"))
-    star = votes.groupBy("cls").agg(F.max(F.struct("votes", "centre")).alias("best")).select(F.col("cls").alias("a"), F.col("best.centre").alias("b"))
-    star = written(star, "star")
+    star = written(_to_centres(shared), "star")
     first = _links(star, bits, docs, members, threshold)
     labels = components(first)
 
     # A class whose bucket mates are all in its component by now has nothing left to ask.
     comp = labels.select(F.col("id").alias("cls"), F.col("component").alias("comp"))
-    known = shared.select("token", "cls", "n").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    known = written(known.join(asking.select("token").distinct(), "token", "left_semi"), "known")
-    open_buckets = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_rows = known.join(open_buckets, "token", "left_semi")
-    x = asking.join(comp, "cls", "left").select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.coalesce("comp", "cls").alias("comp_a"))
-    y = open_rows.select(F.col("token").alias("token_b"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    known = shared.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    known = written(known.select("token", "cls", "n", "comp", "asks"), "known")
+    sizes = F.min(F.when(F.col("asks"), F.col("n"))).alias("least"), F.max(F.when(F.col("asks"), F.col("n"))).alias("most")
+    open_buckets = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *sizes)
+    open_buckets = open_buckets.where("lo <> hi and least is not null").select("token", "least", "most")
+    # Only classes of a size that one of the bucket asks for; those that ask are among them.
+    met = known.join(open_buckets, "token").where(f"n >= least and {threshold} * n <= 100 * most")
+    open_classes = written(met.select("cls", "comp").distinct(), "open")
+    sets = prefixes.select("cls", "n", "halves").join(open_classes, "cls").dropDuplicates(["cls"])
+    # Two tokens of one set with equal low halves stay two rows: an upper bound of what the set shares, never less.
+    tokens = written(sets.select("cls", "n", "comp", F.explode("halves").alias("token")), "tokens")
+    buckets = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df"))
+    need = F.expr(f"({2 * threshold} * n + {99 + threshold}) div {100 + threshold}")
+    across = tokens.join(buckets.where("lo <> hi").select("token", "df"), "token").withColumns({"need": need, "usable": F.lit(True)})
+    across = written(_asking(across, "comp"), "across")
+    x = across.where("asks").select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("comp").alias("comp_a"))
+    y = across.select(F.col("token").alias("token_b"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("comp").alias("comp_b"))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") != F.col("b")))
     fits = smaller & (100 * F.col("n_a") >= threshold * F.col("n_b")) & (F.col("comp_a") != F.col("comp_b"))
-    pairs = x.join(y, (F.col("token") == F.col("token_b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    enough = (100 + threshold) * F.least("s_a", "s_b") >= threshold * (F.col("n_a") + F.col("n_b"))
+    pairs = x.join(y, (F.col("token") == F.col("token_b")) & fits & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _links(pairs.join(tested, ["a", "b"], "left_anti"), bits, docs, members, threshold)
 
@@ -280,6 +294,25 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     return members.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _asking(rows: DataFrame, *others: str) -> DataFrame:
+    """Marks what the smaller set of a pair looks for partners by: of its s usable tokens that others hold the s - need + 1 rarest.
+    Also sums up how frequent a class's tokens are."""
+    own = Window.partitionBy("cls")
+    nth = F.row_number().over(own.orderBy(F.desc("usable"), "df", "token"))
+    counted = rows.withColumns({"s": F.count_if("usable").over(own), "nth": nth, "score": F.sum("df").over(own)})
+    return counted.select("token", "cls", "n", *others, "s", "score", F.expr("usable and nth <= s - need + 1").alias("asks"))
+
+
+def _to_centres(rows: DataFrame) -> DataFrame:
+    """(a, b): each asking class with that centre of its buckets it shares most tokens with."""
+    asking = rows.where("asks").select("token", "cls")
+    centres = rows.groupBy("token").agg(F.max(F.struct("score", "cls")).alias("best"), F.max("asks").alias("asked"))
+    centres = centres.where("asked").select("token", F.col("best.cls").alias("centre"))
+    votes = asking.join(centres, "token").where("cls <> centre").groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("votes"))
+    star = votes.groupBy("cls").agg(F.max(F.struct("votes", "centre")).alias("best"))
+    return star.select(F.col("cls").alias("a"), F.col("best.centre").alias("b"))
+
+
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         classes = batch.column(0).to_pylist()

@@ -97,6 +97,21 @@ def test_jaccard_matches_brute_force(spark, corpus):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_by_hand(corpus)
 
 
+def test_jaccard_in_a_large_group_of_variants(spark):
+    rng = random.Random(11)
+    base = prose(rng, 150, [f"v{i}" for i in range(3000)]).split()
+    passage = prose(rng, 50, [f"p{i}" for i in range(3000)])
+    docs = []
+    for i in range(260):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randint(0, 9)):
+            words[at] = rng.choice(["other", f"own{i}"])
+        docs.append((i, " ".join(words)))
+    docs += [(300 + i, prose(rng, rng.randint(1, 12)) + " " + passage) for i in range(120)]
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows_of(docs), DOCS)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_by_hand(docs)
+
+
 def test_pieces_keep_every_row():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["a" * 5, None, "b" * 30, "", "c" * 8])], ["doc_id", "text"])
     for limit in (1, 10, 100):
