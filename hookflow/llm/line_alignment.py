@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share rare lines. A document is paired, through its rarest shared lines, with the first document that
-holds each of them and with the last one before itself, and with the first copy of itself as a whole: pairs are linear in
+Documents overlap if they share lines. A document is paired with the first document that holds each of its lines, for rare lines
+also with the last one before itself, and with the first copy of itself as a whole: pairs are linear in
 the number of lines, however many copies there are. Each pair is aligned by patience diff over line hashes, and the aligned blocks go
 from the later document. As the first holder of a line is never the later one of a pair, one copy of every line stays.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from hookflow.llm.common import utf8, written
 
-# Lines in so many documents or fewer are rare and always pair; of more frequent lines a document's rarest few do.
-RARE_DOCS, RAREST_LINES = 64, 4
+# Lines in so many documents or fewer are rare: their holders are also put in order.
+RARE_DOCS = 64
 # An aligned block of fewer bytes stays.
 MIN_BLOCK_BYTES = 100
 _LAST = (1 << 63) - 1
@@ -139,12 +139,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     held = lines.select("doc", "tie", F.explode(F.array_distinct(F.concat("lines", F.array("whole")))).alias("line")).where("line <> 0")
     shared = held.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("first")).where("df > 1")
     seeds = held.join(shared, "line").where("doc > first")
-    nth = F.row_number().over(Window.partitionBy("doc", "tie").orderBy("df", "line"))
-    rare = seeds.withColumn("nth", nth).where((F.col("df") <= RARE_DOCS) | (F.col("nth") <= RAREST_LINES))
     # The holders of a rare line are few enough to be put in order.
     holders = held.join(shared.where(F.col("df") <= RARE_DOCS), "line")
     before = holders.withColumn("first", F.lag("doc").over(Window.partitionBy("line").orderBy("doc"))).where("doc > first")
-    pairs = written(rare.select("doc", "tie", "first").unionByName(before.select("doc", "tie", "first")).distinct(), "pairs")
+    pairs = written(seeds.select("doc", "tie", "first").unionByName(before.select("doc", "tie", "first")).distinct(), "pairs")
     firsts = lines.select(F.col("doc").alias("first"), F.col("lines").alias("first_lines"))
     meetings = pairs.join(lines.dropDuplicates(["doc", "tie"]), ["doc", "tie"]).join(firsts, "first")
     blocks = meetings.select("doc", "tie", "lines", "sizes", "first_lines").mapInArrow(_aligned, "doc long, tie long, start long, end long")

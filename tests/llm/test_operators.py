@@ -214,6 +214,15 @@ def test_line_dedup_keeps_one_copy_of_every_line(spark):
     assert got[0]["cls"] == 1 and got[0]["spans"] == "y"
 
 
+def test_line_dedup_cuts_a_frequent_passage_beside_rare_lines(spark):
+    rng = random.Random(14)
+    frequent = [prose(rng, 60) for _ in range(6)]
+    rare = [prose(rng, 30) for _ in range(4)]
+    texts = [(i, "\n".join([f"own {i}", *frequent])) for i in range(80)] + [(90, "\n".join(rare)), (91, "\n".join([*rare, "own 91", frequent[0]]))]
+    got = {r["doc_id"]: r["__kept"] for r in line_alignment.dedup_lines(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    assert got == {**{i: f"own {i}" for i in range(80)}, 0: texts[0][1], 90: texts[80][1], 91: "own 91"}
+
+
 def test_line_dedup_on_odd_rows(spark):
     got = {(r["doc_id"], r["__kept"]) for r in line_alignment.dedup_lines(spark.createDataFrame(odd_documents(), DOCS)).collect()}
     assert (1, None) in got and (2, "") in got and (None, None) in got and (7, "") in got
