@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
 Documents overlap if they share lines. A document is paired with the first document that holds each of its lines, for rare lines
-also with the last one before itself, and with the first copy of itself as a whole: pairs are linear in
-the number of lines, however many copies there are. Each pair is aligned by patience diff over line hashes, and the aligned blocks go
+also with the last one before itself, with the first holder of each of its shortest runs of lines that are long enough to be cut, and
+with the first copy of itself as a whole: pairs are linear in the number of lines, however many copies there are. Each pair is aligned by patience diff over line hashes, and the aligned blocks go
 from the later document. As the first holder of a line is never the later one of a pair, one copy of every line stays.
 """
 
@@ -37,6 +37,18 @@ def whole(hashes: list[int]) -> int:
     return xxhash.xxh3_64_intdigest(np.array([h for h in hashes if h], np.int64).tobytes()) - (1 << 63)
 
 
+def runs(hashes: list[int], sizes: list[int], least: int = MIN_BLOCK_BYTES) -> list[int]:
+    """Hashes of the runs of two or more lines, blank ones aside, of at least ``least`` bytes: from each line on the shortest, and up to each
+    line the shortest. Together with the single lines of that size they cover every line of any block of so many bytes."""
+    held = [(h, n) for h, n in zip(hashes, sizes, strict=True) if h]
+    values, ends = np.array([h for h, _ in held], np.int64), np.cumsum([0, *(n for _, n in held)])
+    at = np.arange(len(held))
+    stop = np.searchsorted(ends, ends[:-1] + least)  # line i to line stop - 1
+    start = np.searchsorted(ends, ends[1:] - least, "right") - 1  # line start to line i
+    found = {(i, e) for i, e in zip(at.tolist(), stop.tolist()) if e <= len(held)} | {(b, i + 1) for i, b in zip(at.tolist(), start.tolist()) if b >= 0}
+    return sorted({xxhash.xxh3_64_intdigest(values[b:e].tobytes()) - (1 << 63) for b, e in found if e - b > 1})
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned (index in a, index in b), ascending in both: equal ends, then lines unique on both sides in longest increasing order,
     then the same between them."""
@@ -92,7 +104,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [line_hashes(t) for t in texts]
         sizes = [[len(s.strip()) for s in t.split(b"\n")] for t in texts]
         longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hashes, longs), pa.array(sizes, ints), pa.array(map(whole, hashes), pa.int64())], ["doc", "tie", "lines", "sizes", "whole"])
+        longer = [runs(h, n) for h, n in zip(hashes, sizes, strict=True)]
+        columns = [pa.array(hashes, longs), pa.array(sizes, ints), pa.array(longer, longs), pa.array(map(whole, hashes), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc", "tie", "lines", "sizes", "runs", "whole"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +149,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     all shared is left with an empty text. All columns of ``docs`` come back.
     """
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__tie": F.xxhash64("text"), "__text": F.col("text").cast("string")})
-    lines = written(keyed.select("__doc", "__tie", "__text").where("__text is not null").mapInArrow(_lines, "doc long, tie long, lines array<long>, sizes array<int>, whole long"), "lines")
-    held = lines.select("doc", "tie", F.explode(F.array_distinct(F.concat("lines", F.array("whole")))).alias("line")).where("line <> 0")
+    lines = written(keyed.select("__doc", "__tie", "__text").where("__text is not null").mapInArrow(_lines, "doc long, tie long, lines array<long>, sizes array<int>, runs array<long>, whole long"), "lines")
+    held = lines.select("doc", "tie", F.explode(F.array_distinct(F.concat("lines", "runs", F.array("whole")))).alias("line")).where("line <> 0")
     shared = held.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("first")).where("df > 1")
     seeds = held.join(shared, "line").where("doc > first")
     # The holders of a rare line are few enough to be put in order.

@@ -223,6 +223,29 @@ def test_line_dedup_cuts_a_frequent_passage_beside_rare_lines(spark):
     assert got == {**{i: f"own {i}" for i in range(80)}, 0: texts[0][1], 90: texts[80][1], 91: "own 91"}
 
 
+def test_runs_cover_every_block():
+    rng = random.Random(15)
+    for _ in range(300):
+        sizes = [rng.choice([0, 5, 30, 60, 99, 100, 130]) for _ in range(rng.randint(0, 9))]
+        hashes = [rng.randrange(1, 10**6) if n else 0 for n in sizes]
+        block = [h for h in hashes if h]
+        wanted = {h for h, n in zip(hashes, sizes, strict=True) if n >= 100} if sum(sizes) >= 100 else set(block)
+        found = set(line_alignment.runs(hashes, sizes))
+        for b in range(len(block)):
+            for e in range(b + 2, len(block) + 1):
+                if line_alignment.whole(block[b:e]) in found:
+                    wanted |= set(block[b:e])
+        assert wanted == set(block) and len(found) <= 2 * len(block) and (sum(sizes) >= 100 or not found)
+
+
+def test_line_dedup_finds_blocks_of_lines_that_others_hold_first(spark):
+    a, b, c = "a " * 28, "b " * 25 + "b", "c " * 28
+    texts = [(1, f"own 1\n{a}\nx"), (2, f"own 2\n{b}\ny"), (3, f"own 3\n{c}\nz"), (4, f"own 4\n{a}\n{b}\n{c}"), (5, f"own 5\n{b}\nu\n{a}"), (6, f"own 6\n{a}\nv\n{b}"), (7, f"own 7\n{a}\n{b}\nw")]
+    texts += [(100 + i, f"own {100 + i}\n{a}\n-{i}\n{b}") for i in range(70)] + [(200, f"own 200\n{a}\n{b}\nw 200")]
+    got = {r["doc_id"]: r["__kept"] for r in line_alignment.dedup_lines(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    assert got == {**dict(texts), 7: "own 7\nw", 200: "own 200\nw 200"}
+
+
 def test_line_dedup_on_odd_rows(spark):
     got = {(r["doc_id"], r["__kept"]) for r in line_alignment.dedup_lines(spark.createDataFrame(odd_documents(), DOCS)).collect()}
     assert (1, None) in got and (2, "") in got and (None, None) in got and (7, "") in got
