@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -369,6 +370,19 @@ def test_quality_counts_and_bands(spark, corpus):
     assert compression_bands.quality(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_quality_rejects_half_garbage_and_hex(spark):
+    rng = random.Random(16)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(150)]
+    hexes = lambda n: " ".join(rng.randbytes(4).hex() for _ in range(n // 9 + 1))[:n]
+    base64s = lambda n: " ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(n // 9 + 1))[:n]
+    text = lambda n: prose(rng, n // 3, words)[:n]
+    bad = [hexes(80_000), hexes(9_000), base64s(8_000), "".join(text(4096) + base64s(4096) for _ in range(10)), text(4_000) + base64s(4_000)]
+    bad += [text(4_000) + base64s(3_000), text(4096 * 20) + base64s(4096 * 2), text(4096 * 2) + base64s(1_500)]
+    clean = [text(n) for n in (700, 1_500, 3_000, 6_000, 8_300, 20_000, 80_000)]
+    got = {r["doc_id"]: r["kept"] for r in compression_bands.quality(spark.createDataFrame(rows_of(enumerate(bad + clean)), DOCS)).collect()}
+    assert got == {i: i >= len(bad) for i in range(len(bad + clean))}
+
+
 def test_packing_places_every_id_once(spark, corpus):
     path = queries.tokenizer_path()
     from tokenizers import Tokenizer
