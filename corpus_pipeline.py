@@ -18,9 +18,13 @@ LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told stay; those without letters, or between languages, go."""
-    found = language_ppm.predict(docs, language_ppm.fit(docs), keep_text=True)
+    """Documents whose language is told stay; those without letters, between languages, or in none that was learned, go."""
+    model = language_ppm.fit(docs)
+    most = language_ppm.limits(docs, model)
+    found = language_ppm.predict(docs, model, keep_text=True)
     told = (F.col("__lang_pred") != language_ppm.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)
+    for lang, bits in most.items():
+        told &= (F.col("__lang_pred") != lang) | (F.col("__bits") <= bits)
     return found.where(told).select(docs.columns)
 
 

@@ -23,6 +23,9 @@ ORDER = 3
 # Bounds of the training sample: about so many documents of each language, chosen by hash, and so many characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
 UNDETERMINED = "und"
+# A text is foreign to its winner if its code, but for the first bits, takes over MARGIN times as many bits a byte as all but LOOSE_SHARE of
+# the rows labelled so; code lengths are counted in steps of 1/STEPS bit.
+FREE_BITS, LOOSE_SHARE, MARGIN, STEPS = 32, 0.01, 2.0, 64
 _BLOCK_CELLS = 1 << 22  # bytes scored at once, times languages
 _SPREAD = np.uint32(0x9E3779B1)
 
@@ -167,18 +170,17 @@ def _predict(shared, text: str, keep: bool):
         for batch in batches:
             texts = utf8(batch.column(text))
             speaks = [t is not None and any(map(str.isalpha, t.decode())) for t in texts]
-            langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            langs, scores, bits = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             if scorer.names and any(speaks):
                 at = [i for i, s in enumerate(speaks) if s]
                 totals = scorer.totals([texts[i] for i in at])
                 best = totals.argmin(axis=1)
                 weight = np.exp2(np.maximum(totals.min(axis=1, keepdims=True) - totals, -1000)).sum(axis=1)
-                for i, b, w in zip(at, best, weight, strict=True):
-                    langs[i], scores[i] = scorer.names[b], float(1 / w)
+                for i, b, w, total in zip(at, best, weight, totals.min(axis=1), strict=True):
+                    langs[i], scores[i], bits[i] = scorer.names[b], float(1 / w), max(0.0, float(total) - FREE_BITS) / len(texts[i])
             names = [n for n in batch.schema.names if keep or n != text]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "__lang_pred", "__score"]
-            )
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], [*names, "__lang_pred", "__score", "__bits"])
 
     return run
 
@@ -188,13 +190,18 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def teaches():
+    """Whether a row is labelled and not held out."""
+    return F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()
+
+
 def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> tuple:
     """Trees from a sample of the labelled rows that are not held out; rows without doc_id, text or lang teach nothing.
 
     The sample is bounded: about ``docs_per_language`` rows of each language by a hash of the row, four times as many over all at most,
     ``chars`` characters of each.
     """
-    labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    labelled = docs.where(teaches())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], []
@@ -209,11 +216,31 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN
 
 def predict(docs: DataFrame, model: tuple, keep_text: bool = False) -> DataFrame:
     """All columns of ``docs`` (``text`` only if asked for), __lang_pred, and __score: the winner's share when code lengths are turned back into
-    probabilities. ``und`` with score 0 where the text is null or has no letter. Ties go to the first language by name."""
+    probabilities. ``und`` with score 0 where the text is null or has no letter. Ties go to the first language by name. __bits: the winner's exact
+    code length beyond the first FREE_BITS, a byte."""
     fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(shared, "text", keep_text), f"{layout}, `__lang_pred` string, `__score` double")
+    return docs.mapInArrow(_predict(shared, "text", keep_text), f"{layout}, `__lang_pred` string, `__score` double, `__bits` double")
+
+
+def limits(docs: DataFrame, model: tuple) -> dict[str, float]:
+    """The most bits a byte (__bits of ``predict``) of a text of each language, from all labelled rows that are not held out and are predicted
+    as labelled. Exact: code lengths are counted by step. A language without such a row has no limit."""
+    found = predict(docs.where(teaches()).select("lang", "text"), model).where(F.col("lang") == F.col("__lang_pred"))
+    counted: dict[str, list] = {}
+    for row in found.groupBy("lang", F.ceil(F.col("__bits") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "step").collect():
+        counted.setdefault(row["lang"], []).append((row["step"], row["n"]))
+    out = {}
+    for lang, steps in counted.items():
+        above = sum(n for _, n in steps)
+        allowed = LOOSE_SHARE * above
+        for step, n in steps:
+            above -= n
+            if above <= allowed:
+                out[lang] = MARGIN * step / STEPS
+                break
+    return out
 
 
 def identify(docs: DataFrame) -> DataFrame:

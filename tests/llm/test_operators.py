@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -316,6 +317,20 @@ def test_language_trees_code_exactly(spark):
     assert language_ppm.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_pipeline_rejects_unlearned_languages_and_junk(spark):
+    rng = random.Random(17)
+    letters = lambda alphabet, n: " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    words = {lang: letters("etaoinshrdlucmf", 120).split() for lang in ("xx", "yy")}
+    clean = [(i, prose(rng, rng.randint(3, 200), words[lang]), lang) for i in range(300) for lang in [rng.choice(sorted(words))]]
+    clean += [(300, "A.", "xx"), (301, words["yy"][0], "yy")]
+    junk = [letters("абвгдежзиклмн", 40), letters("abcdefghijklmnopqrstuvwxyz", 60), base64.b64encode(rng.randbytes(600)).decode(), " ".join(rng.randbytes(4).hex() for _ in range(50))]
+    rows = [(i, t, lang, "s", 0, 1, 2, "x", "y") for i, t, lang in clean + [(1000 + k, t, None) for k, t in enumerate(junk)]]
+    told = corpus_pipeline.known_language(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    scored = {r["doc_id"]: r["score"] for r in language_ppm.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {r["doc_id"] for r in told} == {i for i, _, _ in clean if scored[i] >= 0.5}
+    assert all(scored[1000 + k] >= 0.5 for k in range(len(junk)))
+
+
 def test_code_lengths_match_a_plain_tree():
     samples = {"a": [b"abracadabra", b"abba"], "b": [b"banana band"]}
     scorer = language_ppm.Scorer(language_ppm.train(samples))
