@@ -26,11 +26,13 @@ def last_fired(rules: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def metric_values(events: DataFrame, rules: DataFrame, as_of: Column | datetime) -> DataFrame:
+def metric_values(
+    events: DataFrame, rules: DataFrame, as_of: Column | datetime, latency_sample: int | None = None
+) -> DataFrame:
     """(metric, window_ms, value) for every combination the active rules use.
 
     The counting metrics of all windows come from one pass over the events; a latency
-    rule adds a bounded top-k per distinct window.
+    rule adds exact ranks per distinct window, or those of the newest ``latency_sample`` deliveries.
     """
     now = instant(as_of)
     used = rules.filter("active").select("metric", parse_duration(F.col("window")).alias("window_ms")).distinct()
@@ -70,7 +72,7 @@ def metric_values(events: DataFrame, rules: DataFrame, as_of: Column | datetime)
         entries = F.explode(F.array(*[labelled(*v) for v in values]))
         parts.append(events.agg(*aggregates).select(entries.alias("m")).select("m.*"))
     for window_ms in latency:
-        single = metric_latency_p95(events, as_of, window_ms)
+        single = metric_latency_p95(events, as_of, window_ms, latency_sample)
         parts.append(single.select(labelled("LATENCY_P95", window_ms, F.col("value")).alias("m")).select("m.*"))
     if not parts:
         empty = F.explode(F.filter(F.array(labelled("", 0, F.lit(0.0))), lambda m: F.lit(False)))
@@ -82,7 +84,8 @@ def metric_values(events: DataFrame, rules: DataFrame, as_of: Column | datetime)
 
 
 def evaluate_alerts(
-    events: DataFrame, rules: DataFrame, history: DataFrame, as_of: Column | datetime, label: str = "Alert"
+    events: DataFrame, rules: DataFrame, history: DataFrame, as_of: Column | datetime, label: str = "Alert",
+    latency_sample: int | None = None,
 ) -> DataFrame:
     """All active rules at ``as_of``: value, whether the threshold is passed, suppression and message.
 
@@ -91,7 +94,7 @@ def evaluate_alerts(
     """
     now = instant(as_of)
     state = last_fired(rules.filter("active"), history).withColumn("window_ms", parse_duration(F.col("window")))
-    joined = state.join(metric_values(events, rules, as_of), ["metric", "window_ms"], "left")
+    joined = state.join(metric_values(events, rules, as_of, latency_sample), ["metric", "window_ms"], "left")
     value = F.coalesce("value", F.lit(0.0))
     above = value > F.col("threshold")
     elapsed = F.unix_micros(now) - F.unix_micros("last_fired_at")

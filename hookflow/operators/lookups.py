@@ -18,25 +18,29 @@ def events_by_status(events: DataFrame, status: str, n: int = 100) -> DataFrame:
     return events.filter(F.col("status") == status).orderBy("created_at", "id").limit(n)
 
 
-def stuck_received(events: DataFrame, as_of: Column | datetime, n: int = 100) -> DataFrame:
-    """Oldest RECEIVED events created before ``as_of`` minus one minute."""
+def _oldest(events: DataFrame, n: int | None) -> DataFrame:
+    return events if n is None else events.orderBy("created_at", "id").limit(n)
+
+
+def stuck_received(events: DataFrame, as_of: Column | datetime, n: int | None = None) -> DataFrame:
+    """RECEIVED events created before ``as_of`` minus one minute: all, or the oldest ``n``."""
     before = instant(as_of) - F.make_dt_interval(secs=F.lit(STUCK_RECEIVED_SECONDS))
     old = events.filter((F.col("status") == "RECEIVED") & (F.col("created_at") < before))
-    return old.orderBy("created_at", "id").limit(n)
+    return _oldest(old, n)
 
 
-def stuck_queued(events: DataFrame, as_of: Column | datetime, n: int = 100, limit_first: bool = True) -> DataFrame:
-    """QUEUED events waiting for more than five minutes.
+def stuck_queued(events: DataFrame, as_of: Column | datetime, n: int | None = None, limit_first: bool = False) -> DataFrame:
+    """QUEUED events waiting for more than five minutes: all, or the oldest ``n``.
 
-    The oldest ``n`` are taken before the age test, as the service does; then young rows
-    can hide old ones. ``limit_first=False`` tests first.
+    ``limit_first=True`` takes the oldest ``n`` before the age test, as the service does; then
+    young rows can hide old ones.
     """
     queued = events.filter(F.col("status") == "QUEUED")
     since = F.coalesce("queued_at", "created_at")
     waited = since < instant(as_of) - F.make_dt_interval(secs=F.lit(STUCK_QUEUED_SECONDS))
     if limit_first:
-        return queued.orderBy("created_at", "id").limit(n).filter(waited)
-    return queued.filter(waited).orderBy("created_at", "id").limit(n)
+        return _oldest(queued, n).filter(waited)
+    return _oldest(queued.filter(waited), n)
 
 
 def _dead(events: DataFrame, source: str | None, event_type: str | None) -> DataFrame:

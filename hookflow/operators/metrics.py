@@ -99,11 +99,11 @@ def ranked_values(
 SHARES = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
 
 
-def latency_by_source(events: DataFrame, sample: int | None = 1000) -> DataFrame:
+def latency_by_source(events: DataFrame, sample: int | None = None) -> DataFrame:
     """Count, rounded mean and percentiles of delivery latency per source.
 
-    The newest ``sample`` deliveries over all sources are read (a bounded top-k);
-    ``sample=None`` uses every delivery and exact ranks over value counts.
+    Every delivery counts, by exact ranks over value counts; with a ``sample`` only the
+    newest so many over all sources are read (a bounded top-k), as the service does.
     """
     ms = latency_ms(F.col("created_at"), F.col("processed_at")).alias("ms")
     delivered = events.filter(_delivered())
@@ -180,14 +180,14 @@ def metric_dlq_size(events: DataFrame, as_of: Column | datetime | None = None, w
     return events.agg(F.count_if(F.col("status") == "DEAD").cast("double").alias("value"))
 
 
-def metric_latency_p95(events: DataFrame, as_of: Column | datetime, window_ms: int, sample: int = 500) -> DataFrame:
-    """Latency at rank ``floor(n * 0.95)`` of the newest ``sample`` deliveries created in the window."""
-    newest = (
-        since(events, as_of, secs=window_ms / 1000)
-        .filter(_delivered())
-        .orderBy(F.desc("processed_at"), "id")
-        .limit(sample)
-    )
+def metric_latency_p95(events: DataFrame, as_of: Column | datetime, window_ms: int, sample: int | None = None) -> DataFrame:
+    """Latency at rank ``floor(n * 0.95)`` of the deliveries created in the window: all, or the newest ``sample``."""
+    delivered = since(events, as_of, secs=window_ms / 1000).filter(_delivered())
+    if sample is None:
+        rows = delivered.select(latency_ms(F.col("created_at"), F.col("processed_at")).alias("ms"))
+        ranks = {"value": lambda total: F.floor(total.cast("double") * F.lit(0.95))}
+        return ranked_values(rows, "ms", ranks, []).select(F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    newest = delivered.orderBy(F.desc("processed_at"), "id").limit(sample)
     values = F.sort_array(F.collect_list(latency_ms(F.col("created_at"), F.col("processed_at"))))
     listed = newest.agg(values.alias("l"))
     return listed.select(F.coalesce(element_at_rank(F.col("l"), 0.95).cast("double"), F.lit(0.0)).alias("value"))

@@ -735,7 +735,7 @@ ALERTS = HISTORY + (
     ALERTS,
 )
 def _(t: Tables):
-    out = alerts.evaluate_alerts(t.env, t.rules, history(t), t.as_of())
+    out = alerts.evaluate_alerts(t.env, t.rules, history(t), t.as_of(), latency_sample=500)
     return out.select("id", "metric", "value", "above", "suppressed", "fired", "message")
 
 
@@ -746,7 +746,7 @@ def _(t: Tables):
     ALERTS,
 )
 def _(t: Tables):
-    evaluated = alerts.evaluate_alerts(t.env, t.rules, history(t), t.as_of())
+    evaluated = alerts.evaluate_alerts(t.env, t.rules, history(t), t.as_of(), latency_sample=500)
     out = alerts.append_alert_history(history(t), evaluated)
     return out.select("alert_rule_id", "metric_value", "message", "fired_at")
 

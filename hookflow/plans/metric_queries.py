@@ -61,7 +61,7 @@ def _latency(source: str) -> str:
     _latency("(select * from env where status = 'DELIVERED' order by processed_at desc, id limit 1000)"),
 )
 def _(t: Tables):
-    return metrics.latency_by_source(t.env)
+    return metrics.latency_by_source(t.env, sample=1000)
 
 
 @query("latency_by_source_all", _latency("(select * from env where status = 'DELIVERED')"))
@@ -143,6 +143,15 @@ def _(t: Tables):
     "select coalesce(l[cast(floor(len(l) * 0.95::double) as int) + 1], 0)::double as value from (select list_sort(list(latency_ms)) as l from"
     f" (select * from env where status = 'DELIVERED' and {IN_WEEK} order by processed_at desc, id limit 500))",
 )
+def _(t: Tables):
+    return metrics.metric_latency_p95(t.env, t.as_of(), WEEK_MS, sample=500)
+
+
+@query(
+    "metric_latency_p95_all",
+    "select coalesce(l[cast(floor(len(l) * 0.95::double) as int) + 1], 0)::double as value from (select list_sort(list(latency_ms)) as l from"
+    f" (select * from env where status = 'DELIVERED' and {IN_WEEK}))",
+)
 def _(t: Tables):
     return metrics.metric_latency_p95(t.env, t.as_of(), WEEK_MS)
 
@@ -213,7 +222,7 @@ def _(t: Tables):
     f"select id, created_at from env where status = 'RECEIVED' and created_at < {NOW} - interval 60 second order by created_at, id limit 100",
 )
 def _(t: Tables):
-    return lookups.stuck_received(t.env, t.as_of()).select("id", "created_at")
+    return lookups.stuck_received(t.env, t.as_of(), n=100).select("id", "created_at")
 
 
 @query(
@@ -222,7 +231,7 @@ def _(t: Tables):
     f" where coalesce(queued_at, created_at) < {NOW} - interval 5 minute",
 )
 def _(t: Tables):
-    return lookups.stuck_queued(t.env, t.as_of()).select("id", "queued_at")
+    return lookups.stuck_queued(t.env, t.as_of(), n=100, limit_first=True).select("id", "queued_at")
 
 
 @query(
@@ -231,7 +240,20 @@ def _(t: Tables):
     " order by created_at, id limit 100",
 )
 def _(t: Tables):
-    return lookups.stuck_queued(t.env, t.as_of(), limit_first=False).select("id", "queued_at")
+    return lookups.stuck_queued(t.env, t.as_of(), n=100).select("id", "queued_at")
+
+
+@query("stuck_received_uncapped", f"select id, created_at from env where status = 'RECEIVED' and created_at < {NOW} - interval 60 second")
+def _(t: Tables):
+    return lookups.stuck_received(t.env, t.as_of()).select("id", "created_at")
+
+
+@query(
+    "stuck_queued_uncapped",
+    f"select id, queued_at from env where status = 'QUEUED' and coalesce(queued_at, created_at) < {NOW} - interval 5 minute",
+)
+def _(t: Tables):
+    return lookups.stuck_queued(t.env, t.as_of()).select("id", "queued_at")
 
 
 @query(

@@ -89,7 +89,8 @@ def _(t: Tables):
     folder = scratch_path(t.spark, "alerts")
     ticks = t.event_stream().select("created_at")
     job = jobs.stream_alerts(
-        ticks, lambda: t.env, t.rules, folder, folder + "-log", clock=lambda batch: batch.select(F.max("created_at")).scalar()
+        ticks, lambda: t.env, t.rules, folder, folder + "-log", clock=lambda batch: batch.select(F.max("created_at")).scalar(),
+        latency_sample=500,
     )
     job.awaitTermination()
     return t.spark.read.parquet(folder).select("alert_rule_id", "metric_value", "message", "fired_at")

@@ -174,6 +174,7 @@ def stream_alerts(
     checkpoint: str,
     trigger: Trigger = ONCE,
     clock: Callable[[DataFrame], Column | datetime] | None = None,
+    latency_sample: int | None = None,
 ) -> StreamingQuery:
     """Evaluate all active rules on every trigger and append what fired to the history table.
 
@@ -185,7 +186,7 @@ def stream_alerts(
         as_of = clock(batch) if clock else F.current_timestamp()
         spark.createDataFrame([], ALERT_HISTORY).write.mode("ignore").parquet(history_path)
         history = spark.read.schema(ALERT_HISTORY).parquet(history_path)
-        fired = fired_rows(evaluate_alerts(read_events(), rules, history, as_of))
+        fired = fired_rows(evaluate_alerts(read_events(), rules, history, as_of, latency_sample=latency_sample))
         fired.join(history.select("id"), "id", "left_anti").coalesce(1).write.mode("append").parquet(history_path)
 
     return _start(ticks, each, checkpoint, trigger)
