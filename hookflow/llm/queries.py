@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hookflow.llm import compression_bands, impact_topk, language_ppm, line_alignment, mixing, packing, repeats, url_rules, warc
+from hookflow.llm import compression_bands, fill_in_middle, impact_topk, language_ppm, line_alignment, mixing, packing, pii, repeats, url_rules, warc
 from hookflow.llm.common import table
 from hookflow.llm.ngram_jaccard import jaccard_components
 
@@ -54,6 +54,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored("output", "form")
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -71,6 +83,8 @@ QUERIES = {
     "op8_compression_bands": op8_compression_bands,
     "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
+    "op12_pii": op12_pii,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 # Checks for DuckDB, where SQL can express the query over whole tables in reasonable time.
@@ -122,4 +136,61 @@ select p.page_id, cast(octet_length(body) as bigint) as payload_bytes,
   case when best is null or p.page_id = best then 'response' else 'revisit' end as record_type,
   case when best is null or p.page_id = best then null else best end as refers_to
 from p join g on p.digest = g.digest""",
+    "op12_pii": r"""
+with rules(p, kind, ord, pattern, near, proposal, checked, context) as (values
+  ('email', 'email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 'mail|contact|write|kontakt|correo|courriel', 60, 20, 20),
+  ('ip', 'ip', 2, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', 'ip|host|server|address|adresse', 50, 30, 20),
+  ('card', 'card', 3, '[0-9](?:[\x20-]?[0-9])+', 'card|visa|credit|amex|karte|carte|tarjeta', 30, 30, 30),
+  ('phone', 'phone', 4, '\+[0-9][\x20().0-9-]+[0-9]', 'phone|tel|call|fax|mobil|handy|móvil|appel', 50, 30, 20),
+  ('local', 'phone', 4, '[0-9(][\x20().0-9-]{5,22}[0-9]', 'phone|tel|call|fax|mobil|handy|móvil|appel', 30, 20, 30),
+  ('iban', 'iban', 5, '[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)', 'iban|account|konto|compte|cuenta', 40, 40, 20),
+  ('ssn', 'ssn', 6, '[0-9]{3}-[0-9]{2}-[0-9]{4}', 'ssn|social security', 30, 30, 30)
+), docs as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), found as (
+  select r, rules.*, regexp_extract_all(t, pattern) as m, string_split_regex(t, pattern) as g from docs, rules where regexp_matches(t, pattern)
+), each as (
+  select * exclude (m, g, pattern), unnest(m) as value, unnest(g[:-2]) as gap, unnest(list_transform(list_zip(g[2:], list_concat(m[2:], [''])), lambda z: (z[1] || z[2])[1])) as following,
+    unnest(range(len(m))) as i from found
+), placed as (
+  select *, sum(length(gap) + length(value)) over (partition by r, p order by i rows unbounded preceding) as e,
+    case when gap = '' and i > 0 then '0' else right(gap, 1) end as before, regexp_replace(value, '[^0-9]', '', 'g') as digits, replace(value, ' ', '') as bare from each
+), checks as (
+  select *, case p
+    when 'email' then regexp_matches(value, '\.[A-Za-z]{2,}$')
+    when 'ip' then len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(nullif(ltrim(x, '0'), '') as bigint), 0) > 255)) = 0
+    when 'card' then length(digits) between 13 and 19 and list_sum(list_transform(range(length(digits)), lambda k:
+      case when k % 2 = 0 then cast(digits[length(digits) - k] as bigint) else (2 * cast(digits[length(digits) - k] as bigint)) // 10 + (2 * cast(digits[length(digits) - k] as bigint)) % 10 end)) % 10 = 0
+    when 'phone' then length(digits) between 8 and 15
+    when 'local' then length(digits) between 7 and 12 and not regexp_matches(value, '^[0-9]+(?:\.[0-9]+){3}$')
+    when 'iban' then length(bare) between 15 and 34 and list_reduce(list_concat([0::bigint], list_transform(string_split(bare[5:] || bare[:4], ''), lambda c: cast(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1 as bigint))),
+      lambda a, v: (a * (case when v > 9 then 100 else 10 end) + v) % 97) = 1
+    else not regexp_matches(value, '^(?:000|666|9)|-00-|0000$') end as valid from placed
+), judged as (
+  select *, p = 'email' or (p in ('ip', 'phone') and valid) or (p = 'card' and valid and length(digits) >= 16) as base,
+    not regexp_matches(before, '[0-9A-Za-z+@._%-]') and not regexp_matches(following, '[0-9A-Za-z@]') as alone,
+    regexp_matches(translate(right(gap, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), near) as close from checks
+), kept as (
+  select *, kind || ':' || cast(e - length(value) as bigint) || ':' || cast(e as bigint) as name, cast(e - length(value) as bigint) as s from judged
+  where base or (valid and alone and proposal + checked + (case when close then context else 0 end) >= 80)
+), joined as (
+  select r, count(*) filter (base and p = 'email') as n_email, count(*) filter (base and p = 'ip') as n_ip, count(*) filter (base and p = 'card') as n_card,
+    count(*) filter (base and p = 'phone') as n_phone, string_agg(name, ',' order by ord, s) filter (base) as b, string_agg(name, ',' order by ord, s, e) as spans from kept group by r
+)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+  sha256(coalesce(b, '')) as base_sha256, coalesce(spans, '') as spans from docs left join joined using (r)""",
+    "op13_fill_in_middle": """
+with drawn as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), numbers as (
+  select *, cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2, cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from drawn
+), cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from numbers
+), parts as (
+  select *, substring(t, 1, a) as prefix, substring(t, a + 1, b - a) as middle, substring(t, b + 1) as suffix from cut
+)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256 from parts""",
 }
