@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hookflow.llm import compression_bands, fill_in_middle, impact_topk, language_ppm, line_alignment, mixing, packing, pii, repeats, url_rules, warc
+from hookflow.llm import collocations, compression_bands, fill_in_middle, impact_topk, language_ppm, line_alignment, mixing, packing, pii, repeats, url_rules, warc
 from hookflow.llm.common import table
 from hookflow.llm.ngram_jaccard import jaccard_components
 
@@ -54,6 +54,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_compression_bands": op8_compression_bands,
     "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
     "op12_pii": op12_pii,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -136,6 +141,30 @@ select p.page_id, cast(octet_length(body) as bigint) as payload_bytes,
   case when best is null or p.page_id = best then 'response' else 'revisit' end as record_type,
   case when best is null or p.page_id = best then null else best end as refers_to
 from p join g on p.digest = g.digest""",
+    "op11_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from words, range(1, 6) sizes(k)
+), f as (
+  select lang, k, phrase, cast(count(*) as hugeint) as f, split(phrase, ' ') as w from grams group by lang, k, phrase having count(*) >= 100 or k = 1
+), totals as (
+  select lang, sum(f) as n from f where k = 1 group by lang
+), cuts as (
+  select lang, phrase, w, k, f as a, unnest(range(1, k)) as j from f where k > 1
+), scores as (
+  select c.lang, c.phrase, c.w, c.k, c.a, l.f as l, r.f as r, n, cast(1000 as hugeint) * c.a * n // (l.f * r.f) as score
+  from cuts c join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:j], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[j + 1:c.k], ' ') join totals t on t.lang = c.lang
+  qualify row_number() over (partition by c.lang, c.phrase order by score, j) = 1
+), inner_sizes as (
+  select lang, a, k, w, unnest(range(2, k)) as size from scores where k > 2
+), inside as (
+  select lang, array_to_string(w[i:i + size - 1], ' ') as phrase, max(a) as longer from (select *, unnest(range(1, k - size + 2)) as i from inner_sizes) group by all
+)
+select s.lang, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank, s.phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n,
+  cast(score as bigint) as score from scores s left join inside i on i.lang = s.lang and i.phrase = s.phrase where coalesce(100 * longer < 100 * a, true) qualify rank <= 2000""",
     "op12_pii": r"""
 with rules(p, kind, ord, pattern, near, proposal, checked, context) as (values
   ('email', 'email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 'mail|contact|write|kontakt|correo|courriel', 60, 20, 20),
