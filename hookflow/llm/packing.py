@@ -10,8 +10,6 @@ rank among the pieces of its length; ranks come from counts of (task, length), n
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,12 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hookflow.llm.common import utf8, written
+from hookflow.llm.common import pieces, utf8, written
 
 SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1  # appended to each document
-_WORD_CACHE_SIZE = 1 << 20  # about 300 MB a worker
-_WORDS_AT_ONCE = 1 << 17
+_END = np.array([END_OF_DOCUMENT], "<u4")
+# Words that a task keeps, and words that it looks up at once; at most about 100 MB a task, forms included.
+_WORDS_KNOWN, _WORDS_AT_ONCE = 1 << 18, 1 << 16
 PIECE_LAYOUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, local_rank long"
 
 
@@ -51,7 +50,11 @@ class _Flat:
 
 class _WordIds(dict):
     """Token ids of texts by way of their words: each word has a number, and the numbers' ids lie in one flat array. The tokenizer
-    drops white space, and neither its normaliser nor its split patterns look past it, so a text's ids are its words' ids in a row."""
+    drops white space, and neither its normaliser nor its split patterns look past it, so a text's ids are its words' ids in a row.
+
+    Of one task, which drops it at its end. Words are numbered in runs of ``_WORDS_AT_ONCE``, whatever text they are from; before a run a table
+    of more than ``_WORDS_KNOWN`` words keeps the more used half at most, so it never holds more than the two together.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,13 +63,17 @@ class _WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         # The id of a full stop or comma that follows a letter; always a token of its own.
         self.tails = {mark: self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids for mark in (b".", b",")}
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
+        # Ids that end a word: letters and nothing else make one such id.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[number] = token.endswith("</w>")
         self.new: list[bytes] = []
+        self.words, self.uses = _Flat(), np.empty(0, np.int64)
+        self._forget_forms()
+
+    def _forget_forms(self) -> None:
         self.forms: dict[bytes, int] = {}
-        self.words, self.of_forms = _Flat(), _Flat()
+        self.of_forms = _Flat()
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
@@ -75,25 +82,39 @@ class _WordIds(dict):
 
     def _form(self, word: bytes) -> tuple[bytes, bytes]:
         """What of a word is tokenised, and the mark after it. Case does not count in ASCII, special tokens aside."""
-        if b"<|" in word or not word.isascii():
+        if not word.isascii() or b"<|" in word:
             return word, b""
         word, mark = word.lower(), word[-1:]
         return (word[:-1], mark) if mark in self.tails and word[-2:-1].isalpha() else (word, b"")
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words and the number of each word's ids."""
+        plain = all(map(str.isalpha, words))
+        if plain:
+            # One text for all; faster than word by word. Every word has an end at least, so equal numbers show that each has one.
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(words) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        # Given as words already, they are tokenised one by one, in one call.
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, "<u4"), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+
     def learn(self) -> None:
         """Tokenises the words met since the last time, each form once."""
         if not self.new:
             return
-        split, unseen = [self._form(w) for w in self.new], []
+        split = list(map(self._form, self.new))
+        letters, others = [], []
         for form, _ in split:
             if form not in self.forms:
-                self.forms[form] = len(self.forms)
-                unseen.append(form)
-        for i in range(0, len(unseen), 4096):
-            # Given as words already, they are tokenised one by one, in one call.
-            words = [w.decode() for w in unseen[i : i + 4096]]
-            found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-            self.of_forms.extend(np.array(found.ids, "<u4"), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))
+                self.forms[form] = -1
+                (letters if (word := form.decode()).isalpha() else others).append(word)
+        for unseen in (letters, others):
+            first = len(self.of_forms.lengths)
+            for i in range(0, len(unseen), 4096):
+                self.of_forms.extend(*self._encoded(unseen[i : i + 4096]))
+            self.forms.update(zip(map(str.encode, unseen), range(first, first + len(unseen)), strict=True))
         forms = np.array([self.forms[form] for form, _ in split])
         tails = np.array([self.tails[mark][0] if mark else -1 for _, mark in split])
         lengths = self.of_forms.lengths[forms]
@@ -102,39 +123,59 @@ class _WordIds(dict):
         self.new = []
 
     def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        """The ids of each text with the end token; a bounded number of bytes is split at once, however long the texts are together."""
+        """The ids of each text with the end token; a bounded number of words is looked up at once, however long a text is or the texts together."""
         pending: list[np.ndarray] = []
         size = 0
         for text in texts:
-            if len(self) > _WORD_CACHE_SIZE and not pending:
-                self.reset()
             words = (text or b"").split()
-            pending.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-            size += len(words)
-            if size >= _WORDS_AT_ONCE:
+            if size + len(words) > _WORDS_AT_ONCE:
                 yield from self._ids(pending)
                 pending, size = [], 0
+            if len(words) > _WORDS_AT_ONCE:
+                yield np.concatenate([*self._in_runs(words), _END])
+                continue
+            if not pending:
+                self._make_room()
+            pending.append(self._numbers(words))
+            size += len(words)
         yield from self._ids(pending)
 
+    def _in_runs(self, words: list[bytes]) -> Iterator[np.ndarray]:
+        for start in range(0, len(words), _WORDS_AT_ONCE):
+            self._make_room()
+            yield next(self._ids([self._numbers(words[start : start + _WORDS_AT_ONCE])]))[:-1]
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def _make_room(self) -> None:
+        """Most words of a full table were met once; those met more often stay, the most used ones if they are many."""
+        if len(self) <= _WORDS_KNOWN:
+            return
+        often = np.argsort(-self.uses, kind="stable")[: _WORDS_KNOWN // 2]
+        kept = np.sort(often[self.uses[often] > 1])
+        names, ids = list(self), self.words.take(kept)
+        lengths = self.words.lengths[kept]
+        self.clear()
+        self.update(zip((names[i] for i in kept.tolist()), range(len(kept)), strict=True))
+        self.words, self.uses = _Flat(), self.uses[kept]
+        self.words.extend(ids, lengths)
+        self._forget_forms()
+
     def _ids(self, numbered: list[np.ndarray]) -> Iterator[np.ndarray]:
         self.learn()
-        end = np.array([END_OF_DOCUMENT], "<u4")
+        if numbered:
+            used = np.bincount(np.concatenate(numbered), minlength=len(self))
+            used[: len(self.uses)] += self.uses
+            self.uses = used
         for words in numbered:
-            yield np.concatenate((self.words.take(words), end))
-
-
-def _worker_words(path: str) -> _WordIds:
-    """The table of this worker process, kept from task to task: most words of a task were met in the one before."""
-    kept = sys.modules.setdefault("hookflow_llm_words", types.ModuleType("hookflow_llm_words")).__dict__
-    if path not in kept:
-        kept[path] = _WordIds(path)
-    return kept[path]
+            yield np.concatenate((self.words.take(words), _END))
 
 
 def _pieces(tokenizer_path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, ranks = _worker_words(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        words, task, ranks = _WordIds(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
+        for batch in pieces(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.texts(utf8(batch.column(1))), strict=True):
                 for start in range(0, len(ids), size):
@@ -219,14 +260,14 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE_TOKENS) -> D
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = written(source.mapInArrow(_pieces(tokenizer_path, size), PIECE_LAYOUT), "pieces")
+    cut = written(source.mapInArrow(_pieces(tokenizer_path, size), PIECE_LAYOUT), "pieces")
     # A task id names one task of the job that wrote the pieces, so ranks are fixed once they are written.
-    counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    histogram = {row["length"]: row["n"] for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    histogram = {row["length"]: row["n"] for row in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.sparkContext.broadcast(slots(shortest_pack_first(histogram, size)))
-    ranked = pieces.join(bases, ["task", "length"]).select(
+    ranked = cut.join(bases, ["task", "length"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("local_rank")).alias("rank")
     )
     layout = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
