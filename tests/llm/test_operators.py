@@ -445,25 +445,73 @@ def vectors(spark, rows):
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(impact_topk, "BLOCK_VECTORS", 64)
-    monkeypatch.setattr(impact_topk, "QUERY_CHUNK", 4)
+    monkeypatch.setattr(impact_topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(impact_topk, "SAMPLE_VECTORS", 32)
     rng = np.random.default_rng(12)
     centres = rng.normal(size=(5, 16))
     data = [(i, [float(x) for x in np.float32(centres[i % 5] + rng.normal(size=16) * 0.1)], 0) for i in range(400)]
-    data += [(400 + i, data[0][1], 0) for i in range(8)] + [(50, data[50][1], 0)]
+    data += [(400 + i, data[0][1], 0) for i in range(8)] + [(50, data[50][1], 0), (50, data[51][1], 0)]
     odd = [(1000, None, 0), (1050, [1.0, None], 0), (1100, [float("nan")], 0), (1150, [float("inf")], 0), (None, [1.0], 0), (1200, [], 0), (1250, [0.5, -0.5], 0)]
     frame = vectors(spark, data + odd)
     got = impact_topk.top_k(frame, frame.where("vec_id % 50 = 0"), 5).collect()
-    whole = {i: np.floor(256 * np.array(np.float32(v), np.float64)).astype(np.int64) for i, v, _ in data}
-    whole |= {1200: np.zeros(16, np.int64), 1250: np.array([128, -128] + [0] * 14)}
-    want = set()
-    for q in [i for i in whole if i % 50 == 0]:
-        order = sorted((-int(np.pad(v, (0, 16 - len(v))) @ whole[q]), i) for i, v in whole.items() if i != q)[:5]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(order)}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+    whole = [(i, np.floor(256 * np.pad(np.array(np.float32(v), np.float64), (0, 16 - len(v)))).astype(np.int64)) for i, v, _ in data + odd[-2:]]
+    want = Counter()
+    for at, (q, query) in enumerate(whole):
+        if q % 50 == 0:
+            order = sorted((-int(v @ query), i) for other, (i, v) in enumerate(whole) if other != at)[:5]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(order))
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
     nothing = vectors(spark, [])
     assert impact_topk.top_k(nothing, nothing, 5).count() == 0
 
 
+def test_top_k_is_exact_at_any_component(spark, monkeypatch):
+    """Components from 1e-3 to 1e7, vectors whose terms nearly cancel, and few distinct scores, against Python integers."""
+    monkeypatch.setattr(impact_topk, "BLOCK_VECTORS", 100)
+    monkeypatch.setattr(impact_topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(impact_topk, "SAMPLE_VECTORS", 24)
+    rng = np.random.default_rng(5)
+    data = [(i, rng.normal(size=12) * 10.0 ** rng.uniform(-3, 6, size=12)) for i in range(300)]
+    for i in range(300, 600):  # x and -x against equal query components: large terms, tiny scores
+        x = rng.normal(size=6) * 1e6
+        data.append((i, np.concatenate((x, -x + rng.integers(-2, 3, size=6) / 256))))
+    for i in range(600, 640, 1):
+        data.append((i, np.full(12, 1e6) if i % 2 else np.ones(12)))
+    data += [(700, [2e6] * 1), (750, [1.0]), (760, [3e6]), (770, [1e7]), (800, [-1e7] * 12)]
+    frame = impact_topk.integer_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in data], "vec_id long, embedding array<double>"))
+    got = impact_topk.top_k(frame, frame.where("vec_id % 50 = 0"), 5).collect()
+    whole = [(i, [int(np.floor(256 * float(x))) for x in v] + [0] * (12 - len(v))) for i, v in data]
+    want = set()
+    for q, query in whole:
+        if q % 50 == 0:
+            order = sorted((-sum(a * b for a, b in zip(v, query, strict=True)), i) for i, v in whole if i != q)[:5]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(order)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+
+
+def test_top_k_refuses_what_a_long_does_not_hold(spark):
+    beyond = spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        impact_topk.integer_vectors(beyond)
+    big = impact_topk.integer_vectors(spark.createDataFrame([(0, [1e15]), (1, [1e15])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond a long"):
+        impact_topk.top_k(big, big, 5).collect()
+
+
+def test_blocks_end_early_on_proof():
+    """On like vectors most blocks are skipped, and what is left is scored for few pairs."""
+    rng = np.random.default_rng(1)
+    values = np.round(rng.normal(size=(2000, 64)) * 32).astype(np.int64)
+    block = impact_topk.Block(np.arange(2000), np.arange(2000), values)
+    queries = np.round(rng.normal(size=(20, 64)) * 32).astype(np.int64)
+    scores = queries @ values.T
+    bars = np.sort(scores, axis=1)[:, -6]
+    of, rows, found = block.members(queries, np.full(20, -1), 5, bars)
+    assert len(of) <= 20 * 2000 * impact_topk.POSSIBLE_SHARE and np.array_equal(found, scores[of, rows])
+    assert {(q, r) for q, r in zip(of.tolist(), rows.tolist(), strict=True)} >= {(q, r) for q in range(20) for r in np.flatnonzero(scores[q] >= bars[q]).tolist()}
+    assert len(block.members(queries, np.full(20, -1), 5, np.full(20, 10**7))[0]) == 0
+
+
 def test_urls_and_rules(spark):
     urls = [
         (1, "http://A.Example.NET/en/x?q#f", "allow", "example.net/en/"), (2, "http://b.net/y", "block", "net/"), (3, "http://b.net", "allow", None), (4, None, "allow", None),
