@@ -7,8 +7,9 @@ prefix (language and first word). Runs are merged per prefix partition: Spark br
 more rows than a partition should have is dealt over several partitions by the whole phrase.
 
 Nothing is counted that cannot be frequent, and nothing that can is left out: a phrase is at most as frequent as the words and pairs in
-it. Words are counted first, then pairs of frequent words, then longer phrases all of whose pairs are frequent. What is frequent is sent to the
-tasks as a bitmap of fixed size over hashes: a collision lets a phrase be counted in vain, never the other way round.
+it. Words are counted first. Pairs of frequent words are then counted by hash alone, in a fixed number of cells; a pair is at most as frequent as its cell.
+Last, phrases all of whose pairs lie in frequent cells are counted as such. Both sieves go to the tasks as bitmaps of fixed size: a collision lets a
+phrase be counted in vain, never the other way round. Texts are split once, into written chunks of word ids with their dictionaries.
 """
 
 from __future__ import annotations
@@ -34,14 +35,18 @@ UNKNOWN = "und"  # language of rows without one
 BURST_ENTRIES = 1 << 13  # of a container
 TRIE_ENTRIES = 1 << 19  # of a task's trie before its largest subtrees are spilled; about 100 MB
 WORDS_KNOWN = 1 << 19  # of a task before it spills all and starts its word ids anew
-CHUNK_WORDS = 1 << 19  # counted at once
-BITMAP_BITS = 1 << 26  # of what is frequent: 8 MB, whatever the input
-_BITMAP_BLOCK = 1 << 15  # bits that bitmap_construct_agg puts in a row
+CHUNK_WORDS = 1 << 20  # of a chunk; a longer text makes a longer one
+WORD_BITS = 1 << 26  # of the bitmap of frequent words: 8 MB, whatever the input
+PAIR_BITS = 1 << 28  # of the bitmap of cells with frequent pairs: 32 MB, whatever the input
+_WORD_BLOCK = 1 << 15  # bits that bitmap_construct_agg puts in a row
+_PAIR_BLOCK = 1 << 16  # cells that are counted together
+CELLS_AT_ONCE = 1 << 22  # pairs of a task that are sorted by cell at once
 PREFIX_BUCKETS = 1 << 12  # a bucket with more than its even share of the rows is dealt out by phrase
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _BREAK = b"."  # stands for a break between pieces; no word can be one
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-RUN_LAYOUT = "lang string, words int, phrase string, bucket int, slot long, n long"
+RUN_LAYOUT = "lang string, phrase string, n long"
+CHUNK_LAYOUT = "ids binary, text_langs binary, text_sizes binary, words binary, langs array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -50,23 +55,18 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class _Names(dict):
-    """Ids of words or languages by first occurrence, with the hash of each."""
+    """Ids of words or languages by first occurrence."""
 
-    def __init__(self):
+    def __init__(self, *names: bytes):
         self.listed: list[bytes] = []
-        self._hashes = np.empty(0, np.uint64)
+        for name in names:
+            self[name]
 
     def __missing__(self, name: bytes) -> int:
         number = self[name] = len(self.listed)
         self.listed.append(name)
         return number
 
-    def hashes(self) -> np.ndarray:
-        new = self.listed[len(self._hashes) :]
-        if new:
-            self._hashes = np.concatenate((self._hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))))
-        return self._hashes
-
 
 class HatTrie:
     """Counts of id sequences: nodes by leading ids, and hash containers for the rest."""
@@ -75,25 +75,32 @@ class HatTrie:
         self.root: dict | Counter = Counter()
         self.depth, self.burst, self.entries = depth, burst, 0
 
-    def add(self, keys: np.ndarray) -> None:
-        """Counts rows of big-endian ids; all have the same number of ids, more than the trie's depth."""
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """Counts rows of big-endian ids, or adds their counts; all have the same number of ids, more than the trie's depth."""
         if len(keys):
-            self.root = self._add(self.root, keys, 0)
+            self.root = self._add(self.root, keys, counts, 0)
 
-    def _add(self, node: dict | Counter, keys: np.ndarray, depth: int) -> dict | Counter:
+    def _add(self, node: dict | Counter, keys: np.ndarray, counts: np.ndarray | None, depth: int) -> dict | Counter:
         if isinstance(node, Counter):
             before = len(node)
             rest = np.ascontiguousarray(keys)
-            node.update(rest.view(f"V{4 * rest.shape[1]}").ravel().tolist())
+            listed = rest.view(f"V{4 * rest.shape[1]}").ravel().tolist()
+            if counts is None:
+                node.update(listed)
+            else:
+                for key, n in zip(listed, counts.tolist(), strict=True):
+                    node[key] += n
             self.entries += len(node) - before
             return self._burst(node) if len(node) > self.burst and depth < self.depth else node
         order = np.argsort(keys[:, 0], kind="stable")
         heads = keys[order, 0]
         rest = keys[order, 1:]
+        ordered = None if counts is None else counts[order]
         cuts = [0, *(np.flatnonzero(heads[1:] != heads[:-1]) + 1).tolist(), len(heads)]
         for start, end in zip(cuts, cuts[1:]):
             head = int(heads[start])
-            node[head] = self._add(node.get(head) if head in node else Counter(), rest[start:end], depth + 1)
+            below = None if ordered is None else ordered[start:end]
+            node[head] = self._add(node[head] if head in node else Counter(), rest[start:end], below, depth + 1)
         return node
 
     @staticmethod
@@ -135,18 +142,129 @@ class HatTrie:
         return taken
 
 
-def _slots(langs: np.ndarray, *words: np.ndarray) -> np.ndarray:
-    """Places in the bitmap of a word, or a pair of words, of a language; from their hashes."""
-    h = mix(langs ^ words[0])
-    for word in words[1:]:
-        h = mix(h * _PAIR + word)
-    return h & np.uint64(BITMAP_BITS - 1)
+def _hashed(langs: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(langs ^ words)
+
+
+def _paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The cells of pairs, from the hashes of a word of a language and of the next word."""
+    return mix(first * _PAIR + second) & np.uint64(PAIR_BITS - 1)
 
 
 def _held(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as chunks of word ids; each chunk has its own dictionary, in which id 0 is the break."""
+
+    def chunk() -> pa.RecordBatch:
+        cells = [np.concatenate(held).astype("<i4").tobytes(), np.array(text_langs, "<i4").tobytes(), np.array([len(x) for x in held], "<i4").tobytes(), b" ".join(words.listed)]
+        arrays = [pa.array([c], pa.binary()) for c in cells]
+        names = [x.decode() for x in langs.listed]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([names], pa.list_(pa.string()))], [c.split()[0] for c in CHUNK_LAYOUT.split(", ")])
+
+    words, langs, held, text_langs, size = _Names(_BREAK), _Names(), [], [], 0
+    for batch in pieces(batches):
+        for lang, text in zip(utf8(batch.column(0)), utf8(batch.column(1)), strict=True):
+            found = words_of(text or b"")
+            held.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+            text_langs.append(langs[lang])
+            size += len(found)
+            if size >= CHUNK_WORDS:
+                yield chunk()
+                words, langs, held, text_langs, size = _Names(_BREAK), _Names(), [], [], 0
+    if held:
+        yield chunk()
+
+
+class _Chunk:
+    """A chunk read back: word ids with breaks, and of every place the language."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.ids, text_langs, sizes = (np.frombuffer(batch.column(i)[row].as_buffer(), "<i4") for i in range(3))
+        self.words = batch.column(3)[row].as_py().split(b" ")
+        self.langs = [x.encode() for x in batch.column(4)[row].as_py()]
+        self.lang = np.repeat(text_langs, sizes)
+        word_hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        lang_hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.langs), np.uint64, len(self.langs))
+        self.after = word_hashes[self.ids]
+        self.hashes = _hashed(lang_hashes[self.lang], self.after)
+
+    def linked(self, frequent_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a frequent word stands at a place, and whether the next place holds one of the same piece too."""
+        # Texts end with a break, so no pair reaches into another text.
+        inside = (self.ids != 0) & _held(frequent_words, self.hashes & np.uint64(WORD_BITS - 1))
+        return inside, inside[:-1] & inside[1:]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield _Chunk(batch, row)
+
+
+def _cells(frequent_words):
+    """Cells of the pairs of frequent words, in blocks: (block, sorted places in it, each as often as it came)."""
+
+    def told(cells: np.ndarray, least: int) -> pa.RecordBatch:
+        cells, n = np.unique(cells, return_counts=True)
+        # What comes ``least`` times is frequent already.
+        cells = np.repeat(cells, np.minimum(n, least))
+        block = cells // _PAIR_BLOCK
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        places = np.split((cells % _PAIR_BLOCK).astype("<u2"), starts[1:])
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array([p.tobytes() for p in places], pa.binary())], ["block", "places"])
+
+    def run(least: int):
+        def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for chunk in _chunks(batches):
+                _, linked = chunk.linked(frequent_words.value)
+                held.append(_paired(chunk.hashes[:-1][linked], chunk.after[1:][linked]).astype(np.int64))
+                size += len(held[-1])
+                if size >= CELLS_AT_ONCE:
+                    yield told(np.concatenate(held), least)
+                    held, size = [], 0
+            if size:
+                yield told(np.concatenate(held), least)
+
+        return cells_of
+
+    return run
+
+
+def _frequent_cells(least: int):
+    """Blocks of cells, sorted by block, as bitmaps of the cells with at least ``least`` pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, n = None, np.zeros(_PAIR_BLOCK, np.int64)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if current is not None and (n >= least).any():
+                bits = np.packbits(n >= least, bitorder="little").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([bits], pa.binary())], ["block", "bits"])
+
+        for batch in batches:
+            for block, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != current:
+                    yield from told()
+                    current, n = block, np.zeros(_PAIR_BLOCK, np.int64)
+                n += np.bincount(np.frombuffer(places.as_buffer(), "<u2"), minlength=_PAIR_BLOCK)
+        yield from told()
+
+    return run
+
+
+def _bitmap(rows: list, size: int) -> np.ndarray:
+    """Rows (block, bits) as one bitmap of ``size`` bits, which bounds what comes to the driver."""
+    bits = np.zeros(size // 8, np.uint8)
+    for row in rows:
+        part = np.frombuffer(row["bits"], np.uint8)
+        bits[row["block"] * len(part) : (row["block"] + 1) * len(part)] = part
+    return bits
+
+
 class _Counting:
     """A task's counts of phrases of some lengths."""
 
@@ -157,30 +275,32 @@ class _Counting:
 
     def _forget(self) -> None:
         self.words, self.trie = _Names(), HatTrie(min(self.lengths))
-        self.words[_BREAK]  # id 0
-
-    def add(self, ids: list[np.ndarray], langs: list[int]) -> None:
-        """Counts the phrases in texts, given as word ids with breaks."""
-        a = np.concatenate(ids)
-        lang = np.repeat(np.array(langs, np.int64), [len(x) for x in ids])
-        inside = a != 0
-        word_hashes, lang_hashes = self.words.hashes()[a], self.langs.hashes()[lang]
+
+    def add(self, chunk: _Chunk) -> None:
+        ids = np.fromiter(map(self.words.__getitem__, chunk.words), np.int64, len(chunk.words))[chunk.ids]
+        lang = np.fromiter(map(self.langs.__getitem__, chunk.langs), np.int64, len(chunk.langs))[chunk.lang]
+        whole = chunk.ids != 0
+        if self.lengths == (1,):
+            keys, n = np.unique((lang[whole] << 32) | ids[whole], return_counts=True)
+            self.trie.add(np.stack((keys >> 32, keys & 0xFFFFFFFF), axis=1).astype(">u4"), n)
+            return
         if self.frequent_words is not None:
-            inside &= _held(self.frequent_words, _slots(lang_hashes, word_hashes))
-        whole = inside  # a phrase of one word may start here
-        # Pieces end with a break, so no phrase reaches into another text.
-        linked = inside[:-1] & inside[1:]
+            whole, linked = chunk.linked(self.frequent_words)
+        else:
+            linked = whole[:-1] & whole[1:]
         if self.frequent_pairs is not None:
-            linked &= _held(self.frequent_pairs, _slots(lang_hashes[:-1], word_hashes[:-1], word_hashes[1:]))
+            at = np.flatnonzero(linked)
+            linked = np.zeros(len(linked), bool)
+            linked[at] = _held(self.frequent_pairs, _paired(chunk.hashes[at], chunk.after[at + 1]))
         for k in range(1, max(self.lengths) + 1):
             if k > 1:
-                whole = whole[: len(a) - k + 1] & linked[k - 2 :]
+                whole = whole[: len(ids) - k + 1] & linked[k - 2 :]
             if k in self.lengths:
                 at = np.flatnonzero(whole)
                 keys = np.empty((len(at), k + 1), ">u4")
                 keys[:, 0] = lang[at]
                 for i in range(k):
-                    keys[:, i + 1] = a[at + i]
+                    keys[:, i + 1] = ids[at + i]
                 self.trie.add(keys)
 
     def run(self, keep: int) -> Iterator[pa.RecordBatch]:
@@ -194,50 +314,26 @@ class _Counting:
                 by_length.setdefault(length, []).append(head + key)
                 counts.setdefault(length, []).append(n)
         for length, keys in by_length.items():
-            yield from self._rows(length, np.frombuffer(b"".join(keys), ">u4").reshape(-1, length + 1).astype(np.int64), np.array(counts[length]))
+            yield from self._rows(length, np.frombuffer(b"".join(keys), ">u4").reshape(-1, length + 1).astype(np.int64), np.array(counts[length], np.int64))
 
     def _rows(self, length: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         listed = pa.array(self.words.listed, pa.binary())
         names = pa.array([x.decode() for x in self.langs.listed], pa.string())
-        lang_hashes, word_hashes = self.langs.hashes()[keys[:, 0]], self.words.hashes()
-        slots = _slots(lang_hashes, *(word_hashes[keys[:, i]] for i in range(1, min(length, 2) + 1)))
-        buckets = mix(lang_hashes ^ mix(word_hashes[keys[:, 1]])) % np.uint64(PREFIX_BUCKETS)
         for start in range(0, len(keys), 1 << 16):
             part = slice(start, start + (1 << 16))
             words = [listed.take(pa.array(keys[part, i])) for i in range(1, length + 1)]
             phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary())) if length > 1 else words[0]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    names.take(pa.array(keys[part, 0])),
-                    pa.array(np.full(len(phrase), length, np.int32)),
-                    phrase.view(pa.string()),
-                    pa.array(buckets[part].astype(np.int32)),
-                    pa.array(slots[part].astype(np.int64)),
-                    pa.array(counts[part].astype(np.int64)),
-                ],
-                [c.split()[0] for c in RUN_LAYOUT.split(", ")],
-            )
+            columns = [names.take(pa.array(keys[part, 0])), phrase.view(pa.string()), pa.array(counts[part])]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RUN_LAYOUT.split(", ")])
 
     def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        langs: list[int] = []
-        size = 0
-        for batch in pieces(batches):
-            for lang, text in zip(utf8(batch.column(0)), utf8(batch.column(1)), strict=True):
-                words = words_of(text or b"")
-                held.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
-                langs.append(self.langs[lang])
-                size += len(words)
-                if size >= CHUNK_WORDS:
-                    self.add(held, langs)
-                    held, langs, size = [], [], 0
-                    if len(self.words) > WORDS_KNOWN:
-                        yield from self.run(0)
-                        self._forget()
-                    elif self.trie.entries > TRIE_ENTRIES:
-                        yield from self.run(TRIE_ENTRIES // 2)
-        if held:
-            self.add(held, langs)
+        for chunk in _chunks(batches):
+            self.add(chunk)
+            if len(self.words) > WORDS_KNOWN:
+                yield from self.run(0)
+                self._forget()
+            elif self.trie.entries > TRIE_ENTRIES:
+                yield from self.run(TRIE_ENTRIES // 2)
         yield from self.run(0)
 
 
@@ -245,19 +341,24 @@ def _lang() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
 
 
-def counts(docs: DataFrame, lengths: tuple[int, ...], words: DataFrame | None = None, pairs: DataFrame | None = None, least: int = 1) -> DataFrame:
-    """lang, words (number of words), phrase, slot, n: phrases of the lengths that come at least ``least`` times in a language.
+def chunks(docs: DataFrame) -> DataFrame:
+    """The texts of ``docs`` as written chunks of word ids."""
+    texts = docs.select(_lang().alias("lang"), F.col("text").cast("string").alias("text"))
+    return written(texts.mapInArrow(_split, CHUNK_LAYOUT), "chunks")
 
-    With ``words`` (frequent words, as this function returns them) phrases of other words are left out, with ``pairs`` those with other pairs.
+
+def counts(texts: DataFrame, lengths: tuple[int, ...], words=None, pairs=None) -> DataFrame:
+    """lang, phrase, n: how often phrases of the lengths come in the ``chunks`` of a language.
+
+    With ``words`` and ``pairs``, broadcast bitmaps, phrases with words or pairs that are not in them are left out.
     """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(_bitmap(x)) if x is not None else None for x in (words, pairs)]
+    spark = texts.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _Counting(lengths, *(x.value if x is not None else None for x in sent)).batches(batches)
+        yield from _Counting(lengths, *(x.value if x is not None else None for x in (words, pairs))).batches(batches)
 
-    texts = docs.select(_lang().alias("lang"), F.col("text").cast("string").alias("text"))
-    runs = written(texts.mapInArrow(run, RUN_LAYOUT), "runs")
+    prefix = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 1)), F.lit(PREFIX_BUCKETS)).cast("int")
+    runs = written(texts.mapInArrow(run, RUN_LAYOUT), "runs").withColumn("bucket", prefix)
     # At most PREFIX_BUCKETS rows, whatever the input, and as many parts again for buckets above their even share.
     sizes = [(r["bucket"], r["n"]) for r in runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()]
     share = max(1, sum(n for _, n in sizes) // PREFIX_BUCKETS)
@@ -265,35 +366,41 @@ def counts(docs: DataFrame, lengths: tuple[int, ...], words: DataFrame | None =
     placed = runs.join(F.broadcast(deal), "bucket").withColumn("part", F.pmod(F.xxhash64("phrase"), F.col("parts")))
     # Runs of one prefix partition meet in one task; equal phrases are in one part of their bucket.
     placed = placed.repartition("bucket", "part")
-    merged = placed.groupBy("bucket", "part", "lang", "phrase").agg(F.sum("n").alias("n"), F.first("words").alias("words"), F.first("slot").alias("slot"))
-    return merged.where(F.col("n") >= least).select("lang", "words", "phrase", "slot", "n")
+    return placed.groupBy("bucket", "part", "lang", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
 
 
-def _bitmap(frequent: DataFrame) -> np.ndarray:
-    """The slots of these rows as a bitmap; blocks are built by Spark, and at most ``BITMAP_BITS`` bits come to the driver."""
-    block = (F.col("slot") / _BITMAP_BLOCK).cast("long")
-    rows = frequent.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(F.col("slot") % _BITMAP_BLOCK).alias("bits")).collect()
-    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for row in rows:
-        start = row["block"] * (_BITMAP_BLOCK // 8)
-        bits[start : start + _BITMAP_BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
-    return bits
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs, words = (np.fromiter(map(xxhash.xxh3_64_intdigest, utf8(batch.column(i))), np.uint64, batch.num_rows) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array((_hashed(langs, words) & np.uint64(WORD_BITS - 1)).astype(np.int64))], ["slot"])
+
+
+def word_bitmap(words: DataFrame) -> np.ndarray:
+    """The (lang, phrase) rows as a bitmap over their hashes."""
+    slots = words.select("lang", "phrase").mapInArrow(_slots, "slot long")
+    block = F.expr(f"slot div {_WORD_BLOCK}").alias("block")
+    return _bitmap(slots.groupBy(block).agg(F.bitmap_construct_agg(F.col("slot") % _WORD_BLOCK).alias("bits")).collect(), WORD_BITS)
+
+
+def pair_bitmap(texts: DataFrame, words, least: int) -> np.ndarray:
+    """The cells with at least ``least`` pairs of words in the bitmap ``words``."""
+    cells = texts.mapInArrow(_cells(words)(least), "block long, places binary").repartition("block").sortWithinPartitions("block")
+    return _bitmap(cells.mapInArrow(_frequent_cells(least), "block long, bits binary").collect(), PAIR_BITS)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, n) of all phrases of 1 to ``longest`` words that come at least ``least`` times, and (lang, total) with the number of
     all words of each language."""
-    words = written(counts(docs, (1,)), "words")
+    spark, texts = docs.sparkSession, chunks(docs)
+    words = written(counts(texts, (1,)), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    found = [words.where(F.col("n") >= least)]
+    frequent = words.where(F.col("n") >= least)
     if longest > 1:
-        found.append(written(counts(docs, (2,), words=found[0], least=least), "pairs"))
-    if longest > 2:
-        found.append(written(counts(docs, tuple(range(3, longest + 1)), words=found[0], pairs=found[1], least=least), "phrases"))
-    frequent = found[0]
-    for more in found[1:]:
-        frequent = frequent.unionByName(more)
-    return frequent.select("lang", "words", "phrase", "n"), totals
+        sieve = spark.sparkContext.broadcast(word_bitmap(frequent))
+        pairs = spark.sparkContext.broadcast(pair_bitmap(texts, sieve, least))
+        phrases = counts(texts, tuple(range(2, longest + 1)), sieve, pairs).where(F.col("n") >= least)
+        frequent = written(frequent.unionByName(phrases), "frequent")
+    return frequent.select("lang", F.size(F.split("phrase", " ", -1)).alias("words"), "phrase", "n"), totals
 
 
 def _part(words: Column, start: Column, size: Column) -> Column:

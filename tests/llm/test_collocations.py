@@ -7,7 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
+import pyarrow as pa
 
 from hookflow.llm import collocations
 
@@ -72,24 +72,32 @@ def test_matches_brute_force(spark):
 
 def test_spills_bursts_and_new_word_ids_change_nothing(spark, monkeypatch):
     rows = corpus()[:80]
-    text = frame(spark, rows).select(F.col("text"), F.col("lang")).coalesce(1)
-    plain = {(r["lang"], r["phrase"]): r["n"] for r in collocations.counts(text, (1, 2, 3)).collect()}
-    counted = collocations._Counting((1, 2, 3), None, None)
-    import pyarrow as pa
-
+    whole = collocations.chunks(frame(spark, rows).coalesce(1))
+    plain = {(r["lang"], r["phrase"]): r["n"] for r in collocations.counts(whole, (1, 2, 3)).collect()}
+    alone = {(r["lang"], r["phrase"]): r["n"] for r in collocations.counts(whole, (1,)).collect()}
+    assert alone == {key: n for key, n in plain.items() if " " not in key[1]}
     batch = pa.RecordBatch.from_pydict({"lang": [lang or "und" for _, lang in rows], "text": [t for t, _ in rows]})
-    for name, value in (("BURST_ENTRIES", 8), ("TRIE_ENTRIES", 64), ("CHUNK_WORDS", 50), ("WORDS_KNOWN", 120)):
+    for name, value in (("TRIE_ENTRIES", 64), ("CHUNK_WORDS", 50), ("WORDS_KNOWN", 120)):
         monkeypatch.setattr(collocations, name, value)
     monkeypatch.setattr(collocations.HatTrie.__init__, "__defaults__", (8,))
     small = collocations._Counting((1, 2, 3), None, None)
     got, runs = Counter(), 0
-    for out in small.batches(iter([batch])):
+    for out in small.batches(collocations._split(iter([batch]))):
         runs += 1
         found = out.to_pydict()
         for lang, phrase, n in zip(found["lang"], found["phrase"], found["n"], strict=True):
             got[lang, phrase] += n
     assert dict(got) == plain and runs > 10
-    assert counted.trie.entries == 0
+
+
+def test_sieves_let_every_frequent_phrase_through(spark, monkeypatch):
+    """However few bits they have."""
+    rows = corpus()
+    want = by_hand(rows, 40)
+    for bits in (1 << 16, 1 << 20):
+        monkeypatch.setattr(collocations, "PAIR_BITS", bits)
+        monkeypatch.setattr(collocations, "CELLS_AT_ONCE", 500)
+        assert sorted(tuple(r) for r in collocations.mine(frame(spark, rows), least=40).collect()) == want
 
 
 def test_trie_counts_like_a_counter():
@@ -100,7 +108,8 @@ def test_trie_counts_like_a_counter():
         trie.add(keys)
         want.update(map(tuple, keys.tolist()))
         short = keys[:, :3].copy()
-        trie.add(short)
+        trie.add(short[:100])
+        trie.add(short[100:], np.ones(100, np.int64))
         want.update(map(tuple, short.tolist()))
     assert trie.entries == len(want)
     got = Counter()
