@@ -6,18 +6,28 @@ next row is accepted. No single window function expresses that, so two exact way
 
 * keys with few rows fold their sorted rows inside one aggregate;
 * keys with many rows (one key may hold a large share of all data) are never gathered.
-  Every distinct instant gets a pointer to the first instant at or after its expiry, and
-  the accepted instants are those reachable from the first one, found by doubling the
-  pointers. All joins there are keyed by instant as well, so no task sees a whole key.
-
-A source may deliver one record several times. Rows are numbered when they are written to the shared
-folder, verdicts are carried by that number, and of the rows that share (source, id) the earliest
-is the one that takes part: exactly one row of an id can be accepted, on either path.
+  Their distinct instants are range-split by time into blocks. One pass over a block tells
+  where a chain that enters it leaves it; only these exits are chained from block to block,
+  and one more pass over each block marks what its chain accepts. The number of jobs does not
+  depend on the chain. A chain can enter a block only within one window of its start, so
+  the exits are few unless blocks are shorter than windows. Where they are too many for one place,
+  every instant gets a pointer to the first instant after its window and accepted instants
+  are found by doubling the pointers, in as many rounds as the logarithm of the longest chain.
+
+A source may deliver one record several times. Of the rows that share (source, id) the earliest
+is the one that takes part: exactly one row of an id can be accepted, on either path. Where no id comes twice,
+which one narrow aggregate shows, rows are told apart by their ids; else they are numbered when they are written to the
+shared folder, and verdicts are carried by that number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from hookflow.functions.scalars import parse_window
@@ -28,6 +38,12 @@ KEY = ["source", "external_id"]
 FOLD_LIMIT = 4096
 # Number of a row in its written table.
 ROW = "_row"
+# Distinct instants of one key that make a block; a task holds one block.
+BLOCK_INSTANTS = 1 << 17
+# Ways through blocks that are chained in one place, 16 bytes each; beyond, pointers are doubled.
+MAX_CHAINED = 1 << 20
+_BLOCK = "source string, external_id string, part long, number long, start long, ways long, entries binary, exits binary, instants binary, rows binary, ttl long"
+_DUE = "part long, number long, due long, head boolean"
 
 
 def numbered(events: DataFrame) -> DataFrame:
@@ -35,11 +51,21 @@ def numbered(events: DataFrame) -> DataFrame:
     return stored_once(events.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def names_rows(rows: DataFrame) -> bool:
+    """Whether (source, id) names each row: neither is null, and none comes twice."""
+    odd = F.bool_or(F.col("source").isNull() | F.col("id").isNull())
+    counted = rows.groupBy("source", "id").agg(F.count(F.lit(1)).alias("n"), odd.alias("odd"))
+    return counted.filter("n > 1 or odd").isEmpty()
+
+
 def one_per_id(rows: DataFrame) -> DataFrame:
     """The earliest row of each (source, id), and how many share it; a row without one of the two stands for itself."""
+    narrow = rows.select("source", "id", "created_at", "external_id", ROW)
+    if names_rows(narrow):
+        return narrow.withColumn("copies", F.lit(1))
     alone = F.when(F.col("id").isNull() | F.col("source").isNull(), F.col(ROW)).alias("_alone")
     first = F.min(F.struct("created_at", "external_id", ROW)).alias("_first")
-    grouped = rows.groupBy("source", "id", alone).agg(first, F.count(F.lit(1)).alias("copies"))
+    grouped = narrow.groupBy("source", "id", alone).agg(first, F.count(F.lit(1)).alias("copies"))
     return stored_once(grouped.select("source", "id", "_first.*", "copies"), "ids")
 
 
@@ -135,17 +161,114 @@ def _reachable(roots: DataFrame, jumps: DataFrame) -> DataFrame:
         jumps = cut_lineage(jumps.join(second, [*KEY, "next_at"]).select(*KEY, "at", F.col("after").alias("next_at")))
 
 
+def _ways(at: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, exits) of a block: a chain that is due at or before an entry, and after the entry before it, leaves the block due at its exit.
+
+    A chain comes from an instant before the block, so it is due less than a window after the block's start. Entries in a
+    row that leave alike are one way.
+    """
+    last = min(len(at), int(np.searchsorted(at, at[0] + ttl)) + 1)
+    onward = np.searchsorted(at, at + ttl)
+    # Doubling inside the block: every instant to the last one that its chain accepts here, which points to itself.
+    ending = np.where(onward < len(at), onward, np.arange(len(at)))
+    while not np.array_equal(further := ending[ending], ending):
+        ending = further
+    exits = at[ending[:last]] + ttl
+    ends = np.append(exits[1:] != exits[:-1], True)
+    return at[:last][ends], exits[ends]
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (source, external_id, ttl, at, row), sorted by key and time, as one row for each block of a key."""
+    part, number = TaskContext.get().partitionId(), 0
+    key: tuple | None = None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def block() -> pa.RecordBatch:
+        at, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        entries, exits = _ways(at, key[2])
+        cells = (*key[:2], part, number, int(at[0]), len(entries), entries.tobytes(), exits.tobytes(), at.tobytes(), rows.tobytes(), key[2])
+        names = [c.split() for c in _BLOCK.split(", ")]
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([c], kinds[kind]) for c, (_, kind) in zip(cells, names, strict=True)], [name for name, _ in names])
+
+    for batch in batches:
+        sources, ids, ttls = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        at, rows = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4))
+        changes = (sources[1:] != sources[:-1]) | (ids[1:] != ids[:-1])
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for start, end in zip(cuts, cuts[1:]):
+            new = (sources[start], ids[start], int(ttls[start]))
+            if held and (new != key or size + end - start > BLOCK_INSTANTS):
+                yield block()
+                held, size, number = [], 0, number + 1
+            key = new
+            held.append((at[start:end], rows[start:end]))
+            size += end - start
+    if held:
+        yield block()
+
+
+def _chained(blocks: list[Row]) -> list[tuple[int, int, int, bool]]:
+    """(part, number, due, whether it is the key's first) of every block that a chain enters; blocks are sorted by key and start."""
+    found, key, due = [], None, 0
+    for row in blocks:
+        head = (row.source, row.external_id) != key
+        if head:
+            key, due = (row.source, row.external_id), row.start
+        entries = np.frombuffer(row.entries, np.int64)
+        way = int(np.searchsorted(entries, due))
+        if way < len(entries):
+            found.append((row.part, row.number, due, head))
+            due = int(np.frombuffer(row.exits, np.int64)[way])
+    return found
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the rows that the chains through the blocks accept, and whether each is the first of its key."""
+    for batch in batches:
+        for instants, rows, ttl, due, head in zip(*(batch.column(i) for i in range(5)), strict=True):
+            at, numbers = (np.frombuffer(x.as_buffer(), np.int64) for x in (instants, rows))
+            onward = np.searchsorted(at, at + ttl.as_py()).tolist()
+            taken, i = [], int(np.searchsorted(at, due.as_py()))
+            while i < len(onward):
+                taken.append(i)
+                i = onward[i]
+            first = np.zeros(len(taken), bool)
+            first[:1] = head.as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[taken]), pa.array(first)], [ROW, "first"])
+
+
+def _accepted_large(instants: DataFrame) -> DataFrame:
+    """(_row, first) of the accepted rows among the distinct instants of keys with too many rows to gather."""
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    ttl = (F.col("ttl").cast("decimal(18,6)") * 1000000).cast("long")
+    ordered = instants.select(*KEY, ttl.alias("ttl"), micros.alias("at"), ROW)
+    ordered = ordered.repartitionByRange(*KEY, "at").sortWithinPartitions(*KEY, "at")
+    blocks = stored_once(ordered.mapInArrow(_block_rows, _BLOCK), "blocks")
+    if (blocks.agg(F.sum("ways")).first()[0] or 0) > MAX_CHAINED:
+        return _accepted_by_jumps(instants)
+    rows = blocks.select(*KEY, "part", "number", "start", "entries", "exits").orderBy(*KEY, "start").collect()
+    dues = instants.sparkSession.createDataFrame(_chained(rows), _DUE)
+    entered = blocks.join(broadcast_if_small(dues), ["part", "number"]).select("instants", "rows", "ttl", "due", "head")
+    return entered.mapInArrow(_marked, f"{ROW} long, first boolean")
+
+
+def _accepted_by_jumps(instants: DataFrame) -> DataFrame:
+    roots = instants.groupBy(*KEY).agg(F.min("at").alias("at"))
+    reached = _reachable(roots, _next_instants(instants))
+    kept = instants.join(reached, [*KEY, "at"], "left_semi")
+    heads = instants.join(roots, [*KEY, "at"], "left_semi").select(ROW, F.lit(True).alias("first"))
+    return kept.select(ROW).join(heads, ROW, "left").select(ROW, F.coalesce("first", F.lit(False)).alias("first"))
+
+
 def _jump_large(keyed: DataFrame) -> DataFrame:
     """Decisions for keys with too many rows to gather."""
     instants = cut_lineage(keyed.groupBy(*KEY, "ttl", "at").agg(F.min(F.struct("id", ROW))[ROW].alias(ROW)))
-    roots = instants.groupBy(*KEY).agg(F.min("at").alias("at"))
-    reached = _reachable(roots, _next_instants(instants))
-    yes = F.lit(True)
-    kept = instants.join(reached, [*KEY, "at"], "left_semi").select(ROW, yes.alias("accepted"))
-    heads = instants.join(roots, [*KEY, "at"], "left_semi").select(ROW, yes.alias("first"))
-    decided = keyed.join(kept, ROW, "left").join(heads, ROW, "left")
+    kept = _accepted_large(instants).withColumn("accepted", F.lit(True))
     no = F.lit(False)
-    return decided.select(
+    return keyed.join(kept, ROW, "left").select(
         *KEY, "at", "id", ROW, F.coalesce("accepted", no).alias("accepted"), F.coalesce("first", no).alias("first")
     )
 
@@ -183,6 +306,12 @@ def dedup_ttl(events: DataFrame, sources: DataFrame, fold_limit: int = FOLD_LIMI
     the others are repeats. Rows without an external id, and rows of sources that configure
     no deduplication, are repeats only by their id.
     """
+    narrow = stored_once(
+        events.select("source", "id", "external_id", "created_at", F.monotonically_increasing_id().alias(ROW)), "keys"
+    )
+    if names_rows(narrow):
+        late = decide_ttl(narrow, sources, fold_limit).filter(~F.col("accepted")).select("source", "id")
+        return events.join(late, ["source", "id"], "left_anti").select(events.columns)
     rows = numbered(events)
     return rows.join(ttl_repeats(rows, sources, fold_limit), ROW, "left_anti").drop(ROW)
 
@@ -224,8 +353,12 @@ def dedup_hot_cold(
     tier still knows its key. Every input row comes back once; of rows that share (source, id)
     all but the earliest are duplicate_id.
     """
-    rows = numbered(events)
-    firsts = one_per_id(rows)
+    narrow = stored_once(
+        events.select("source", "id", "external_id", "created_at", F.monotonically_increasing_id().alias(ROW)), "keys"
+    )
+    named = names_rows(narrow)
+    rows = events if named else numbered(events)
+    firsts = narrow if named else one_per_id(rows)
     decided = decide_ttl(firsts, sources, fold_limit)
     known = stored.filter(F.col("external_id").isNotNull()).select(*KEY).distinct()
     judged = decided.join(known.withColumn("_known", F.lit(True)), KEY, "left")
@@ -234,7 +367,9 @@ def dedup_hot_cold(
         .when(~F.col("first") | F.col("_known"), F.lit("duplicate_cold"))
         .otherwise(F.lit("accepted"))
     )
-    labels = judged.select(ROW, label.alias("outcome"))
-    labels = labels.unionByName(id_repeats(rows, firsts).withColumn("outcome", F.lit("duplicate_id")))
-    labelled = rows.join(labels, ROW, "left").drop(ROW)
+    by = ["source", "id"] if named else [ROW]
+    labels = judged.select(*by, label.alias("outcome")).filter("outcome <> 'accepted'")
+    if not named:
+        labels = labels.unionByName(id_repeats(rows, firsts).withColumn("outcome", F.lit("duplicate_id")))
+    labelled = rows.join(labels, by, "left").select(*events.columns, "outcome")
     return labelled.withColumn("outcome", F.coalesce("outcome", F.lit("accepted")))

@@ -54,6 +54,62 @@ def test_both_paths_equal_the_fold(table, limit, seed):
     assert {r.id for r in dedup.dedup_ttl(frame, sources, fold_limit=limit).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize(("block", "chained"), [(7, 1 << 20), (64, 1 << 20), (1 << 17, 1 << 20), (7, 0)])
+def test_time_blocks_equal_the_fold(table, monkeypatch, seed, block, chained):
+    """Dense and sparse keys, windows longer and shorter than blocks, and the way by pointers alone."""
+    monkeypatch.setattr(dedup, "BLOCK_INSTANTS", block)
+    monkeypatch.setattr(dedup, "MAX_CHAINED", chained)
+    rng = random.Random(seed)
+    rows = []
+    for key, size, span in (("dense", 900, 900), ("sparse", 300, 90_000), ("bursts", 300, 20_000)):
+        for i in range(size):
+            at = rng.randrange(span) if key != "bursts" else rng.randrange(8) * 2500 + rng.randrange(40)
+            rows.append((f"{key}-{i:04d}", "s", key, START + timedelta(seconds=at)))
+    ttl = rng.choice([1, 10, 300, 5000])
+    sources = table([("s", "id", f"{ttl}s")], SOURCE)
+    want = set()
+    for key in ("dense", "sparse", "bursts"):
+        want.update(greedy([(r[3], r[0]) for r in rows if r[2] == key], ttl))
+    assert {r.id for r in dedup.dedup_ttl(table(rows, EVENT), sources, fold_limit=2).collect()} == want
+    labels = dedup.dedup_hot_cold(table(rows, EVENT), table([], EVENT), sources, fold_limit=2).collect()
+    assert {r.id for r in labels if r.outcome != "duplicate_hot"} == want
+    assert sum(r.outcome == "accepted" for r in labels) == 3
+
+
+def test_ways_through_a_block():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        at = np.unique(rng.integers(0, 200, size=rng.integers(1, 60)))
+        ttl = int(rng.integers(1, 80))
+        entries, exits = dedup._ways(at, ttl)
+        for due in range(int(at[0]) - 3, int(at[0]) + ttl):
+            last, until = None, due
+            for instant in at:
+                if instant >= until:
+                    last, until = instant, instant + ttl
+            way = np.searchsorted(entries, due)
+            assert (way == len(entries)) == (last is None)
+            assert last is None or exits[way] == until
+
+
+def test_repeated_ids_and_rows_without_one(table):
+    """A record delivered twice, and rows without id or source, on the way by row numbers."""
+    at = [START + timedelta(seconds=t) for t in (0, 5, 20, 40)]
+    rows = table(
+        [("a", "s", "k", at[1]), ("a", "s", "k", at[0]), ("b", "s", "k", at[2]), (None, "s", "k", at[3]), (None, "s", "k", at[3]),
+         ("c", None, "k", at[0]), ("c", None, "k", at[0])],
+        EVENT,
+    )
+    sources = table([("s", "id", "10s")], SOURCE)
+    kept = dedup.dedup_ttl(rows, sources).collect()
+    assert sorted((r.id or "", r.source or "", (r.created_at - START).seconds) for r in kept) == [
+        ("", "s", 40), ("a", "s", 0), ("b", "s", 20), ("c", "", 0), ("c", "", 0),
+    ]
+
+
 def test_sources_without_dedup_pass(table):
     rows = events(table, [0, 1], source="open").unionByName(events(table, [0, 1], source="unknown"))
     sources = table([("open", None, "72h")], SOURCE)

@@ -62,10 +62,12 @@ def test_hot_keys_are_never_gathered(t):
     """With every key over the folding limit no row list is built for those keys."""
     one_key = t.env.withColumn("external_id", F.col("source"))
     sources = t.sources.withColumns({"dedup_field": F.lit("source"), "dedup_window": F.lit("1d")})
-    keyed = dedup._keyed(one_key, sources)
+    keyed = dedup._keyed(dedup.one_per_id(dedup.numbered(one_key)), sources)
     text = plan(dedup._jump_large(keyed))
     assert "collect_list" not in text
-    pointers = plan(dedup._next_instants(keyed.groupBy(*dedup.KEY, "ttl", "at").agg(F.min("id").alias("id"))))
+    instants = keyed.groupBy(*dedup.KEY, "ttl", "at").agg(F.min(dedup.ROW).alias(dedup.ROW))
+    assert "collect_list" not in plan(dedup._accepted_by_jumps(instants))
+    pointers = plan(dedup._next_instants(instants))
     windows = [line for line in pointers.splitlines() if " Window " in line]
     assert windows and all("cell" in line for line in windows)
 
