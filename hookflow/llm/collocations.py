@@ -35,12 +35,12 @@ UNKNOWN = "und"  # language of rows without one
 BURST_ENTRIES = 1 << 13  # of a container
 TRIE_ENTRIES = 1 << 19  # of a task's trie before its largest subtrees are spilled; about 100 MB
 WORDS_KNOWN = 1 << 19  # of a task before it spills all and starts its word ids anew
-CHUNK_WORDS = 1 << 20  # of a chunk; a longer text makes a longer one
+CHUNK_WORDS = 1 << 18  # of a chunk; a longer text makes a longer one
 WORD_BITS = 1 << 26  # of the bitmap of frequent words: 8 MB, whatever the input
 PAIR_BITS = 1 << 28  # of the bitmap of cells with frequent pairs: 32 MB, whatever the input
 _WORD_BLOCK = 1 << 15  # bits that bitmap_construct_agg puts in a row
 _PAIR_BLOCK = 1 << 16  # cells that are counted together
-CELLS_AT_ONCE = 1 << 22  # pairs of a task that are sorted by cell at once
+CELLS_AT_ONCE = 1 << 20  # pairs of a task that are sorted by cell at once
 PREFIX_BUCKETS = 1 << 12  # a bucket with more than its even share of the rows is dealt out by phrase
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _BREAK = b"."  # stands for a break between pieces; no word can be one
@@ -212,16 +212,16 @@ def _cells(frequent_words):
         # What comes ``least`` times is frequent already.
         cells = np.repeat(cells, np.minimum(n, least))
         block = cells // _PAIR_BLOCK
-        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         places = np.split((cells % _PAIR_BLOCK).astype("<u2"), starts[1:])
-        return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array([p.tobytes() for p in places], pa.binary())], ["block", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int64)), pa.array([p.tobytes() for p in places], pa.binary())], ["block", "places"])
 
     def run(least: int):
         def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
             for chunk in _chunks(batches):
                 _, linked = chunk.linked(frequent_words.value)
-                held.append(_paired(chunk.hashes[:-1][linked], chunk.after[1:][linked]).astype(np.int64))
+                held.append(_paired(chunk.hashes[:-1][linked], chunk.after[1:][linked]).astype(np.uint32))
                 size += len(held[-1])
                 if size >= CELLS_AT_ONCE:
                     yield told(np.concatenate(held), least)
