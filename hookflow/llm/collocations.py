@@ -33,9 +33,9 @@ TOP = 2000  # phrases of a language
 UNKNOWN = "und"  # language of rows without one
 
 BURST_ENTRIES = 1 << 13  # of a container
-TRIE_ENTRIES = 1 << 19  # of a task's trie before its largest subtrees are spilled; about 100 MB
-WORDS_KNOWN = 1 << 19  # of a task before it spills all and starts its word ids anew
-CHUNK_WORDS = 1 << 18  # of a chunk; a longer text makes a longer one
+TRIE_ENTRIES = 1 << 18  # of a task's trie before its largest subtrees are spilled; about 50 MB
+WORDS_KNOWN = 1 << 18  # of a task before it spills all and starts its word ids anew
+CHUNK_WORDS = 1 << 16  # of a chunk, which is then a row of some 200 KB; a longer text makes a longer one
 WORD_BITS = 1 << 26  # of the bitmap of frequent words: 8 MB, whatever the input
 PAIR_BITS = 1 << 28  # of the bitmap of cells with frequent pairs: 32 MB, whatever the input
 _WORD_BLOCK = 1 << 15  # bits that bitmap_construct_agg puts in a row
@@ -159,7 +159,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as chunks of word ids; each chunk has its own dictionary, in which id 0 is the break."""
 
     def chunk() -> pa.RecordBatch:
-        cells = [np.concatenate(held).astype("<i4").tobytes(), np.array(text_langs, "<i4").tobytes(), np.array([len(x) for x in held], "<i4").tobytes(), b" ".join(words.listed)]
+        ids = np.concatenate(held).astype("<u2" if len(words) <= 1 << 16 else "<u4")
+        cells = [ids.tobytes(), np.array(text_langs, "<i4").tobytes(), np.array([len(x) for x in held], "<i4").tobytes(), b" ".join(words.listed)]
         arrays = [pa.array([c], pa.binary()) for c in cells]
         names = [x.decode() for x in langs.listed]
         return pa.RecordBatch.from_arrays([*arrays, pa.array([names], pa.list_(pa.string()))], [c.split()[0] for c in CHUNK_LAYOUT.split(", ")])
@@ -182,7 +183,9 @@ class _Chunk:
     """A chunk read back: word ids with breaks, and of every place the language."""
 
     def __init__(self, batch: pa.RecordBatch, row: int):
-        self.ids, text_langs, sizes = (np.frombuffer(batch.column(i)[row].as_buffer(), "<i4") for i in range(3))
+        text_langs, sizes = (np.frombuffer(batch.column(i)[row].as_buffer(), "<i4") for i in (1, 2))
+        ids = batch.column(0)[row].as_buffer()
+        self.ids = np.frombuffer(ids, f"<u{ids.size // max(1, int(sizes.sum()))}" if ids.size else "<u2")
         self.words = batch.column(3)[row].as_py().split(b" ")
         self.langs = [x.encode() for x in batch.column(4)[row].as_py()]
         self.lang = np.repeat(text_langs, sizes)
