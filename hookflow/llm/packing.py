@@ -10,6 +10,7 @@ rank among the pieces of its length; ranks come from counts of (task, length), n
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -61,8 +62,8 @@ class _WordIds(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        # The id of a full stop or comma that follows a letter; always a token of its own.
-        self.tails = {mark: self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids for mark in (b".", b",")}
+        # The ids of marks that end a word after a letter; such a mark is always a token of its own.
+        self.tails = {mark.encode(): self.tokenizer.encode(mark, add_special_tokens=False).ids for mark in string.punctuation if mark != "'"}
         # Ids that end a word: letters and nothing else make one such id.
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -82,9 +83,12 @@ class _WordIds(dict):
 
     def _form(self, word: bytes) -> tuple[bytes, bytes]:
         """What of a word is tokenised, and the mark after it. Case does not count in ASCII, special tokens aside."""
-        if not word.isascii() or b"<|" in word:
+        if b"<|" in word:
             return word, b""
-        word, mark = word.lower(), word[-1:]
+        mark = word[-1:]
+        if not word.isascii():
+            return (word[:-1], mark) if mark in self.tails and word.decode()[-2:-1].isalpha() else (word, b"")
+        word = word.lower()
         return (word[:-1], mark) if mark in self.tails and word[-2:-1].isalpha() else (word, b"")
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

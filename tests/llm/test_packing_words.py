@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import string
 
 import pytest
 from tokenizers import Tokenizer
@@ -15,8 +16,8 @@ def test_ids_are_those_of_whole_texts(monkeypatch, known, at_once):
     monkeypatch.setattr(packing, "_WORDS_KNOWN", known)
     monkeypatch.setattr(packing, "_WORDS_AT_ONCE", at_once)
     rng = random.Random(4)
-    odd = ["Word.", "word,", "word", "WORD.", "é.", "É", "İstanbul", "été", "क़", "ẖ", "H̱", "it's", "'s", "<|endoftext|>", "a<|startoftext|>b", "...", "x..", "5.", "3,000", "​", "ß", "ﬁ", "中文", "\U0001f600", "a_b", "?!", "</w>", "x</w>"]
-    texts = [" ".join(rng.choice(odd) if rng.random() < 0.4 else "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    odd = ["Word.", "word,", "word", "WORD.", "é.", "É", "İstanbul", "été", "क़", "ẖ", "H̱", "it's", "'s", "<|endoftext|>", "a<|startoftext|>b", "...", "x..", "5.", "3,000", "​", "ß", "ﬁ", "中文", "\U0001f600", "a_b", "?!", "</w>", "x</w>", *(w + m for w in ("ab", "né", "É", "中", "x1", "--", "e\u0301") for m in string.punctuation)]
+    texts = [" ".join(rng.choice(odd) if rng.random() < 0.4 else "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 60))) for _ in range(200)]
     texts += ["", " \n\t ", None]
     path = queries.tokenizer_path()
     words, plain = packing._WordIds(path), Tokenizer.from_file(path)
