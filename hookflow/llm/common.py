@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookflow.session import scratch_path
@@ -27,7 +27,45 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The frame, computed once: Parquet in the shared folder, so lost executors cost a re-read only."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._written_to = path
+    return stored
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of ``written`` frames that nothing will read again: what was made of them is written itself."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame._written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each made longer until it is no column's; letter case does not tell columns apart."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def refuse(columns: list[str], *names: str) -> None:
+    """An error where a column has a name that results need."""
+    taken = {c.lower() for c in columns}
+    if clash := [name for name in names if name.lower() in taken]:
+        raise ValueError(f"the input has columns named like results: {clash}")
+
+
+def packed(columns: list[str]) -> Column:
+    """The columns as one struct, so that no name of theirs meets an internal one."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in columns))
+
+
+def unpacked(rows: DataFrame, *columns: Column) -> DataFrame:
+    """The columns of the struct ``row``, then others."""
+    return rows.select("row.*", *columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,9 +156,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = _smallest(both).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = written(large, "edges")
+        discard(edges)
         low = _smallest(large)
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").where("u > v").distinct(), "edges")
+        discard(large)
         after = _fingerprint(edges)
         if after == before:
             break

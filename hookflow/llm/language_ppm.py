@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hookflow.llm.common import utf8
+from hookflow.llm.common import packed, refuse, utf8
 
 ORDER = 3
 # Bounds of the training sample: about so many documents of each language, chosen by hash, and so many characters of each.
@@ -164,11 +165,11 @@ class Scorer:
             np.add.at(totals, [i for i, _ in pending], np.add.reduceat(self.bits(np.concatenate([w for _, w in pending])), starts, axis=0))
 
 
-def _predict(shared, text: str, keep: bool):
+def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = utf8(batch.column(text))
+            texts = utf8(batch.column(1))
             speaks = [t is not None and any(map(str.isalpha, t.decode())) for t in texts]
             langs, scores, bits = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             if scorer.names and any(speaks):
@@ -178,9 +179,8 @@ def _predict(shared, text: str, keep: bool):
                 weight = np.exp2(np.maximum(totals.min(axis=1, keepdims=True) - totals, -1000)).sum(axis=1)
                 for i, b, w, total in zip(at, best, weight, totals.min(axis=1), strict=True):
                     langs[i], scores[i], bits[i] = scorer.names[b], float(1 / w), max(0.0, float(total) - FREE_BITS) / len(texts[i])
-            names = [n for n in batch.schema.names if keep or n != text]
             found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], [*names, "__lang_pred", "__score", "__bits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "lang_pred", "score", "bits"])
 
     return run
 
@@ -214,14 +214,18 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS, chars: int = TRAIN
     return train({k: v for k, v in samples.items() if any(v)})
 
 
-def predict(docs: DataFrame, model: tuple, keep_text: bool = False) -> DataFrame:
-    """All columns of ``docs`` (``text`` only if asked for), __lang_pred, and __score: the winner's share when code lengths are turned back into
-    probabilities. ``und`` with score 0 where the text is null or has no letter. Ties go to the first language by name. __bits: the winner's exact
-    code length beyond the first FREE_BITS, a byte."""
-    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+def predict(docs: DataFrame, model: tuple, lang: str = "__lang_pred", score: str = "__score", bits: str = "__bits") -> DataFrame:
+    """All columns of ``docs``, ``lang``, and ``score``: the winner's share when code lengths are turned back into
+    probabilities. ``und`` with score 0 where the text is null or has no letter. Ties go to the first language by name. ``bits``: the winner's exact
+    code length beyond the first FREE_BITS, a byte. Columns of docs may have any name but those of the results, which are refused."""
+    refuse(docs.columns, lang, score, bits)
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select((packed(others) if others else F.struct(F.lit(0))).alias("row"), F.col("text").cast("string").alias("text"))
+    kinds = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(shared, "text", keep_text), f"{layout}, `__lang_pred` string, `__score` double, `__bits` double")
+    found = rows.mapInArrow(_predict(shared), T.StructType([*rows.schema.fields, *(T.StructField(name, kind) for name, kind in kinds)]))
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return found.select(*columns, F.col("lang_pred").alias(lang), F.col("score").alias(score), F.col("bits").alias(bits))
 
 
 def limits(docs: DataFrame, model: tuple) -> dict[str, float]:

@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share lines. A document is paired with the first document that holds each of its lines, for rare lines
-also with the last one before itself, with the first holder of each of its shortest runs of lines that are long enough to be cut, and
-with the first copy of itself as a whole: pairs are linear in the number of lines, however many copies there are. Each pair is aligned by patience diff over line hashes, and the aligned blocks go
+Documents overlap if they share lines. A document is paired with the first document that holds each of its lines, with the first holder of
+each of its shortest runs of lines that are long enough to be cut, and with the first copy of itself as a whole. Every line of a block that an earlier
+document holds lies in such a line or run, so the block has a pair; pairs are linear in the number of lines, however many copies there are. Each pair is aligned by patience diff over line hashes, and the aligned blocks go
 from the later document. As the first holder of a line is never the later one of a pair, one copy of every line stays.
 """
 
@@ -15,13 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hookflow.llm.common import utf8, written
+from hookflow.llm.common import discard, packed, refuse, unpacked, utf8, written
 
-# Lines in so many documents or fewer are rare: their holders are also put in order.
-RARE_DOCS = 64
 # An aligned block of fewer bytes stays.
 MIN_BLOCK_BYTES = 100
 _LAST = (1 << 63) - 1
@@ -121,7 +120,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, total, removed = [], [], []
-        for text, spans in zip(utf8(batch.column("__text")), batch.column("__spans").to_pylist(), strict=True):
+        for text, spans in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             if text is None:
                 kept.append(None)
                 total.append(0)
@@ -134,38 +133,40 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"\n".join(line for line, g in zip(lines, gone, strict=True) if not g) if gone.any() else text)
             total.append(len(lines))
             removed.append(int(gone.sum()))
-        others = [i for i, n in enumerate(batch.schema.names) if n not in ("__text", "__spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in others), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
-            [*(batch.schema.names[i] for i in others), "__kept", "__total", "__removed"],
-        )
+        found = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["row", "kept", "total", "removed"])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with __kept (the text without the blocks it shares with earlier documents), __total and __removed (lines).
+def dedup_lines(docs: DataFrame, kept: str = "__kept", total: str = "__total", removed: str = "__removed") -> DataFrame:
+    """All columns of ``docs`` but text, and ``kept`` (the text without the blocks it shares with earlier documents), ``total`` and ``removed`` (lines).
 
-    Documents are ordered by doc_id, a null one last. Lines end at "\\n" and are compared without white space around them. Rows of one doc_id are not
-    held against each other, so repeated rows have the same result. A null text stays null, an empty one empty; a document whose lines are
-    all shared is left with an empty text. All columns of ``docs`` come back.
+    Documents are ordered by doc_id, a null one last, then by a hash of their text: different texts of one doc_id, or of none, are held
+    against each other, repeated rows are one document and have the same result. Lines end at "\\n" and are compared without white space around them.
+    A null text stays null, an empty one empty; a document whose lines are all shared is left with an empty text. Other columns may have any
+    name but those of the results, which are refused. An empty table gives no rows.
     """
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__tie": F.xxhash64("text"), "__text": F.col("text").cast("string")})
-    lines = written(keyed.select("__doc", "__tie", "__text").where("__text is not null").mapInArrow(_lines, "doc long, tie long, lines array<long>, sizes array<int>, runs array<long>, whole long"), "lines")
-    held = lines.select("doc", "tie", F.explode(F.array_distinct(F.concat("lines", "runs", F.array("whole")))).alias("line")).where("line <> 0")
-    shared = held.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("first")).where("df > 1")
-    seeds = held.join(shared, "line").where("doc > first")
-    # The holders of a rare line are few enough to be put in order.
-    holders = held.join(shared.where(F.col("df") <= RARE_DOCS), "line")
-    before = holders.withColumn("first", F.lag("doc").over(Window.partitionBy("line").orderBy("doc"))).where("doc > first")
-    pairs = written(seeds.select("doc", "tie", "first").unionByName(before.select("doc", "tie", "first")).distinct(), "pairs")
-    firsts = lines.select(F.col("doc").alias("first"), F.col("lines").alias("first_lines"))
-    meetings = pairs.join(lines.dropDuplicates(["doc", "tie"]), ["doc", "tie"]).join(firsts, "first")
-    blocks = meetings.select("doc", "tie", "lines", "sizes", "first_lines").mapInArrow(_aligned, "doc long, tie long, start long, end long")
-    spans = written(blocks.distinct().groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("__spans")), "spans")
-    told = spans.select(F.col("doc").alias("__d"), F.col("tie").alias("__t"), "__spans")
+    others = [c for c in docs.columns if c != "text"]
+    refuse(others, kept, total, removed)
+    text = F.col("text").cast("string")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    keyed = docs.select(packed(others).alias("row"), doc.alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    layout = "doc long, tie long, lines array<long>, sizes array<int>, runs array<long>, whole long"
+    lines = written(keyed.where("text is not null").select("doc", "tie", "text").mapInArrow(_lines, layout), "lines")
+    place = F.struct("doc", "tie")
+    held = lines.select(place.alias("doc"), F.explode(F.array_distinct(F.concat("lines", "runs", F.array("whole")))).alias("line")).where("line <> 0")
+    # A line held more than once; repeated rows are one place, so their lines have no other holder.
+    shared = held.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    seeds = held.join(shared.select("line", "first"), "line").where("doc > first")
+    pairs = written(seeds.select("doc", "first").distinct(), "pairs")
+    one = lines.dropDuplicates(["doc", "tie"])
+    firsts = one.select(place.alias("first"), F.col("lines").alias("first_lines"))
+    later = one.select(place.alias("doc"), "lines", "sizes")
+    meetings = pairs.join(later, "doc").join(firsts, "first").select("doc.*", "lines", "sizes", "first_lines")
+    blocks = meetings.mapInArrow(_aligned, "doc long, tie long, start long, end long")
+    spans = written(blocks.distinct().groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    discard(lines, pairs)
     # The same plan at every size: texts move once.
-    full = keyed.hint("merge").join(told, (F.col("__doc") == F.col("__d")) & (F.col("__tie") == F.col("__t")), "left").drop("__doc", "__tie", "__d", "__t")
-    # The text column itself comes back from the cut, so it travels once.
-    columns = [c for c in docs.columns if c != "text"]
-    source = full.select(*(F.col(f"`{c}`") for c in columns), "__text", "__spans")
-    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in columns)).schema.fields)
-    return source.mapInArrow(_cut, f"{layout}, `__kept` string, `__total` long, `__removed` long")
+    full = keyed.hint("merge").join(spans, ["doc", "tie"], "left").select("row", "text", "spans")
+    kinds = [("kept", T.StringType()), ("total", T.LongType()), ("removed", T.LongType())]
+    cut = full.mapInArrow(_cut, T.StructType([full.schema["row"], *(T.StructField(name, kind) for name, kind in kinds)]))
+    return unpacked(cut, F.col("kept").alias(kept), F.col("total").alias(total), F.col("removed").alias(removed))

@@ -12,10 +12,11 @@ from fractions import Fraction
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hookflow.llm.common import written
+from hookflow.llm.common import packed, written
 
 WEIGHTS = (5, 2, 1)  # of sources by code point, null last; repeating
 SHARE = Fraction(3, 2)  # of all sizes
@@ -62,8 +63,8 @@ def _taken(rows: DataFrame, seed: int) -> DataFrame:
     keyed = rows.withColumn("__key", F.xxhash64(F.lit(seed), "__id", "__size", "__tie"))
     ranges = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = keyed.repartitionByRange(ranges, "__source", "__key").sortWithinPartitions("__source", "__key", "__id")
-    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
-    running = written(ordered.mapInArrow(_running, f"{layout}, `__part` long, `__before` long"), "running")
+    layout = T.StructType([*ordered.schema.fields, T.StructField("__part", T.LongType()), T.StructField("__before", T.LongType())])
+    running = written(ordered.mapInArrow(_running, layout), "running")
     sums = running.groupBy("__source", "__part").agg(F.sum("__size").alias("__sum"))
     earlier = Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("__source").alias("__s"), F.col("__part").alias("__p"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
@@ -87,10 +88,9 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     last in order. Repeated rows are rows of their own; which of several equal rows is cut does not show. The last row inside a budget is
     taken in part, so a source gives its target, rounded down, to the word. Sources without words have target 0.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"), size.alias("__size"), F.xxhash64("text").alias("__tie")
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), *_measured())
+    # Written first: the range sampler reads the rows too, and texts are counted once.
+    rows = written(rows, "sizes")
     return _taken(rows, seed).select(
         F.col("__id").alias("doc_id"),
         F.col("__size").alias("size"),
@@ -100,21 +100,27 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     )
 
 
+def _measured() -> list[Column]:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return [F.col("source").cast("string").alias("__source"), size.alias("__size"), F.xxhash64("text").alias("__tie")]
+
+
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: rows of ``docs``, a row for each epoch it is taken in; the last one is cut to the words that fit its budget.
 
-    All columns of ``docs`` come back as they are, but for the text of rows taken in part.
+    All columns of ``docs`` come back as they are, whatever their names, but for the text of rows taken in part. Rows are written once with a number; only
+    narrow rows are sorted, and texts are joined back by that number. Odd rows as in ``mix``; a row without words is never taken.
     """
     columns = docs.columns
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumns(
-        {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": size, "__tie": F.xxhash64("text")}
-    )
-    taken = _taken(rows, seed).where("__taken > 0")
+    numbered = F.monotonically_increasing_id().alias("__n")
+    rows = written(docs.select(numbered, packed(columns).alias("row"), F.col("doc_id").cast("long").alias("__id"), *_measured()), "rows")
+    taken = _taken(rows.drop("row"), seed).where("__taken > 0").select("__n", "__size", "__taken")
     epochs = F.expr("sequence(1, int((__taken + __size - 1) div __size))")
-    out = taken.withColumn("__epoch", F.explode(epochs)).withColumn("__words", F.least(F.col("__size"), F.expr("__taken - (__epoch - 1) * __size")))
+    out = rows.select("__n", "row").join(taken, "__n").withColumn("__epoch", F.explode(epochs))
+    out = out.withColumn("__words", F.least(F.col("__size"), F.expr("__taken - (__epoch - 1) * __size")))
     # Words are matched one by one: a pattern that repeats a group once for each word recurses in the matcher and overflows on long texts.
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), "")
     whole = F.col("__words") == F.col("__size")
-    return out.select(*(F.when(whole, F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns))
+    text = F.when(whole, F.col("row.text")).otherwise(cut)
+    return out.select(*(text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))

@@ -9,15 +9,17 @@ Three total orders of the tokens filter the candidates, and a pair must pass the
 * by how many indexed sets hold a token, rarest first: if a set shares at least c of its s tokens that others hold, one of them is among
   its s - c + 1 rarest. The smaller set of a pair looks for partners by these only, and not at all if s < c. A passage
   that many documents share is therefore no candidate, however many hold it;
-* by another hash: the prefixes under it must share a token too.
+* by another hash: the prefixes under it must share a token too. They are written with the class and intersect the pairs before any
+  text is fetched.
 
 Buckets are never expanded into all pairs at once. Equal sets are one class from the start. Each class is first held
 against one centre, the class of its buckets with which it shares most tokens; the centre of a bucket is the class
 whose tokens are the most frequent, which of a group of near copies is the one the others were made from. Links of that
 round contract most of each group. Only then are pairs taken whose classes still lie in different components;
 pairs inside a component cannot change the result. For them the second order is taken again, over all tokens of the classes that
-share a bucket with another component: what a set shares with no other component counts against it, so variants too far
-from their group ask for no partner. Before any text is fetched, pairs are held against parity bitmaps: each token
+share a bucket with another component, and on both sides: the larger set, too, has a prefix that a linked set must meet, and at the first token that
+two sets hold, enough must be able to follow. What a set shares with no other component counts against it, so variants too far
+from their group ask for no partner. Before any text is fetched, pairs are also held against parity bitmaps: each token
 flips one bit, so two sets differ in at least as many tokens as their bitmaps do in bits.
 
 Buckets of frequent tokens, counted batch by batch, are formed by a pre-aggregated minimum that is joined back, so that the planner can
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hookflow.llm.common import components, mix, pieces, shingle_set, utf8, written
+from hookflow.llm.common import components, discard, mix, pieces, shingle_set, utf8, written
 
 THRESHOLD = 75  # per cent
 # A token in so many documents of one batch of texts is reported as frequent. The reports of all batches are summed.
@@ -85,9 +87,9 @@ def _class_of(tokens: np.ndarray) -> int:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, set size and class of each document; for each batch one more row with its frequent tokens."""
+    """doc_id, tie, set size and class of each document; for each batch one more row with its frequent tokens."""
     for batch in pieces(batches):
-        sets = [shingle_set(t or b"") for t in utf8(batch.column(1))]
+        sets = [shingle_set(t or b"") for t in utf8(batch.column(2))]
         n = [len(s) for s in sets]
         frequent, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0))
         frequent, counts = frequent[counts >= BATCH_FREQUENT], counts[counts >= BATCH_FREQUENT]
@@ -95,12 +97,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.nulls(1, pa.int64())]),
+                pa.concat_arrays([batch.column(1), pa.nulls(1, pa.int64())]),
                 pa.array([*n, None], pa.int64()),
                 pa.array([*(_class_of(s) if len(s) else None for s in sets), None], pa.int64()),
                 pa.concat_arrays([empty, pa.array([frequent.view(np.int64).tolist()], pa.list_(pa.int64()))]),
                 pa.concat_arrays([empty, pa.array([counts.tolist()], pa.list_(pa.int64()))]),
             ],
-            ["doc_id", "n_shingles", "cls", "frequent", "counts"],
+            ["doc_id", "tie", "n_shingles", "cls", "frequent", "counts"],
         )
 
 
@@ -122,7 +125,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 def _prefixes(frequent, threshold: int):
     """For each document its class, set size, least shared tokens, bitmap, indexed tokens, the frequent ones apart, and the low
-    halves of all tokens."""
+    halves of the prefix under the other order and of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
@@ -134,16 +137,21 @@ def _prefixes(frequent, threshold: int):
                     index, below = indexed(tokens, threshold)
                     apart = _among(index, common)
                     need = least_shared(len(tokens), below, threshold)
-                    rows.append((_class_of(tokens), len(tokens), need, bitmap(tokens), index[~apart].view(np.int64), index[apart].view(np.int64), tokens.astype(np.uint32).view(np.int32)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                    other = _halves(other_prefix(tokens, threshold))
+                    rows.append((_class_of(tokens), len(tokens), need, bitmap(tokens), index[~apart].view(np.int64), index[apart].view(np.int64), other, _halves(tokens)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()), *map(_lists, columns[4:6]), _lists(columns[6], np.int32)],
-                ["cls", "n", "need", "bits", "rare", "common", "halves"],
+                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()), *map(_lists, columns[4:6]), *(_lists(c, np.int32) for c in columns[6:])],
+                ["cls", "n", "need", "bits", "rare", "common", "other", "halves"],
             )
 
     return run
 
 
+def _halves(tokens: np.ndarray) -> np.ndarray:
+    return tokens.astype(np.uint32).view(np.int32)
+
+
 def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which tokens an ascending array holds."""
     if not len(known):
@@ -171,10 +179,10 @@ def _near(threshold: int):
 
 def _verify(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # sets of the last few classes; pairs come sorted by b
+        known: dict[int, np.ndarray] = {}  # sets of the last few classes; pairs come sorted by b
         kept = 0
 
-        def described(cls: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        def described(cls: int, text: bytes) -> np.ndarray:
             nonlocal kept
             if cls not in known:
                 tokens = shingle_set(text)
@@ -182,20 +190,18 @@ def _verify(threshold: int):
                 if kept > KEPT_TOKENS:
                     known.clear()
                     kept = len(tokens)
-                known[cls] = tokens, other_prefix(tokens, threshold)
+                known[cls] = tokens
             return known[cls]
 
         for batch in pieces(batches):
             us, vs = [], []
             a_ids, b_ids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, a_text, b, b_text in zip(a_ids, utf8(batch.column(1)), b_ids, utf8(batch.column(3)), strict=True):
-                b_set, b_prefix = described(b, b_text)
+                b_set = described(b, b_text)
                 a_set = shingle_set(a_text)
                 x, y = sorted((len(a_set), len(b_set)))
                 if 100 * x < threshold * y:
                     continue
-                if not np.isin(other_prefix(a_set, threshold), b_prefix).any():
-                    continue
                 both = np.concatenate((a_set, b_set))
                 both.sort()
                 if linked(len(a_set), len(b_set), int((both[1:] == both[:-1]).sum()), threshold):
@@ -206,10 +212,11 @@ def _verify(threshold: int):
     return run
 
 
-def _links(pairs: DataFrame, bits: DataFrame, docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets link."""
-    x, y = (bits.select(F.col("cls").alias(i), F.col("n").alias(f"n_{i}"), F.col("bits").alias(f"bits_{i}")) for i in "ab")
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+def _links(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets link. The other order's prefixes and the bitmaps are met before any text."""
+    one = prefixes.select("cls", "n", "bits", "other").dropDuplicates(["cls"])
+    x, y = (one.select(F.col("cls").alias(i), F.col("n").alias(f"n_{i}"), F.col("bits").alias(f"bits_{i}"), F.col("other").alias(f"other_{i}")) for i in "ab")
+    both = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("other_a", "other_b")).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     near = written(both.mapInArrow(_near(threshold), "a long, b long"), "near")
     # One text for each class. It is recognised by its own class, so rows that repeat a doc_id do no harm.
     classes = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -219,30 +226,67 @@ def _links(pairs: DataFrame, bits: DataFrame, docs: DataFrame, members: DataFram
     texts = written(chosen.mapInArrow(_own_text, "cls long, text string").dropDuplicates(["cls"]), "texts")
     left = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a")
     full = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
-    return written(full.select("a", "a_text", "b", "b_text").mapInArrow(_verify(threshold), "u long, v long"), "links")
+    links = written(full.select("a", "a_text", "b", "b_text").mapInArrow(_verify(threshold), "u long, v long"), "links")
+    discard(near, wanted, texts)
+    return links
 
 
-def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) for every row of ``docs``.
+def _candidates(sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a below b: classes of different components whose prefixes, rarest tokens first, share a token far enough ahead.
 
-    Reads doc_id and text only; other columns, whatever their names, are ignored. Null, empty or blank text: an empty
-    set that links with nothing, n_shingles 0, component_id the row's own doc_id. Repeated rows come back as often as they
-    came. Rows with a null doc_id take part; a component_id is the smallest non-null doc_id of the component. Texts
-    of one doc_id that differ are documents of their own; a shared doc_id is no link.
+    ``sets`` holds cls, n, comp and all tokens (``halves``). Two tokens of one set with equal low halves stay two rows: an upper bound of
+    what the set shares, never less. Only tokens in two components or more count; what a set shares with a linked one is among them.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = written(
-        docs.select("doc_id", "text").mapInArrow(_profile, "doc_id long, n_shingles long, cls long, frequent array<long>, counts array<long>"), "profile"
-    )
+    tokens = written(sets.select("cls", "n", "comp", F.explode("halves").alias("token")), "tokens")
+    buckets = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df"))
+    need = F.expr(f"({2 * threshold} * n + {99 + threshold}) div {100 + threshold}")
+    across = tokens.join(buckets.where("lo <> hi").select("token", "df"), "token").withColumns({"need": need, "usable": F.lit(True)})
+    # The larger set of a pair shares at least the threshold's part of its own tokens.
+    most = F.expr(f"nth <= s - ({threshold} * n + 99) div 100 + 1")
+    across = written(_asking(across, "comp").withColumn("offers", most).where("asks or offers"), "across")
+    discard(tokens)
+    x = across.where("asks").select("token", *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "s", "nth", "comp")))
+    y = across.where("offers").select(F.col("token").alias("token_b"), *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "s", "nth", "comp")))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") != F.col("cls_b")))
+    fits = smaller & (100 * F.col("n_a") >= threshold * F.col("n_b")) & (F.col("comp_a") != F.col("comp_b"))
+    # At the first token that both hold, no more than the rest of either set can follow.
+    rest = F.least(F.col("s_a") - F.col("nth_a"), F.col("s_b") - F.col("nth_b")) + 1
+    enough = (100 + threshold) * rest >= threshold * (F.col("n_a") + F.col("n_b"))
+    pairs = x.join(y, (F.col("token") == F.col("token_b")) & fits & enough)
+    return written(pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct(), "pairs")
+
+
+def _profiled(docs: DataFrame) -> DataFrame:
+    layout = "doc_id long, tie long, n_shingles long, cls long, frequent array<long>, counts array<long>"
+    return written(docs.select("doc_id", "tie", "text").mapInArrow(_profile, layout), "profile")
+
+
+def _prepared(docs: DataFrame, profile: DataFrame, threshold: int) -> DataFrame:
     reported = profile.where("frequent is not null").select(F.explode(F.arrays_zip("frequent", "counts")).alias("t"))
     counted = reported.groupBy(F.col("t.frequent").alias("token")).agg(F.sum("t.counts").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
-    frequent = spark.sparkContext.broadcast(np.sort(top["token"].to_numpy(np.int64).view(np.uint64)))
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(top["token"].to_numpy(np.int64).view(np.uint64)))
+    layout = "cls long, n long, need long, bits binary, rare array<long>, common array<long>, other array<int>, halves array<int>"
+    return written(docs.select("text").mapInArrow(_prefixes(frequent, threshold), layout), "prefixes")
 
-    members = profile.where("frequent is null").select("doc_id", "n_shingles", "cls")
-    layout = "cls long, n long, need long, bits binary, rare array<long>, common array<long>, halves array<int>"
-    prefixes = written(docs.select("text").mapInArrow(_prefixes(frequent, threshold), layout), "prefixes")
+
+def _plain(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+
+
+def jaccard_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, tie (xxhash64 of the text), n_shingles, comp, component_id for every row of ``docs``; comp names the component, null for an empty set.
+
+    Reads doc_id and text only; other columns, whatever their names, are ignored. Null, empty or blank text: an empty
+    set that links with nothing, n_shingles 0, component_id the row's own doc_id. Repeated rows come back as often as they
+    came. Rows with a null doc_id take part; a component_id is the smallest non-null doc_id of the component. Texts
+    of one doc_id that differ are documents of their own; a shared doc_id is no link. An empty table gives no rows.
+    """
+    docs = _plain(docs)
+    profile = _profiled(docs)
+    members = profile.where("frequent is null").select("doc_id", "tie", "n_shingles", "cls")
+    prefixes = _prepared(docs, profile, threshold)
     columns = ("token", "cls", "n", "need", "df")
     bucket = Window.partitionBy("token")
     rare = prefixes.select("cls", "n", "need", F.explode("rare").alias("token"))
@@ -252,46 +296,64 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     shared = rare.where("lo <> hi").select(*columns).unionByName(common.join(buckets.where("lo <> hi"), "token").select(*columns))
     # Copies of one set are one entry of a bucket. A need of more than one counts tokens in the quarter only.
     shared = shared.distinct().withColumn("usable", F.expr(f"need = 1 or token between 0 and {QUARTER - 1}"))
-    shared = written(_asking(shared), "shared").withColumn("comp", F.col("cls"))
-    bits = prefixes.select("cls", "n", "bits").dropDuplicates(["cls"])
+    shared = written(_asking(shared), "shared")
 
     star = written(_to_centres(shared), "star")
-    first = _links(star, bits, docs, members, threshold)
+    first = _links(star, prefixes, docs, members, threshold)
     labels = components(first)
 
     # A class whose bucket mates are all in its component by now has nothing left to ask.
     comp = labels.select(F.col("id").alias("cls"), F.col("component").alias("comp"))
-    known = shared.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    known = shared.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     known = written(known.select("token", "cls", "n", "comp", "asks"), "known")
+    discard(shared)
     sizes = F.min(F.when(F.col("asks"), F.col("n"))).alias("least"), F.max(F.when(F.col("asks"), F.col("n"))).alias("most")
     open_buckets = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *sizes)
     open_buckets = open_buckets.where("lo <> hi and least is not null").select("token", "least", "most")
     # Only classes of a size that one of the bucket asks for; those that ask are among them.
     met = known.join(open_buckets, "token").where(f"n >= least and {threshold} * n <= 100 * most")
     open_classes = written(met.select("cls", "comp").distinct(), "open")
-    sets = prefixes.select("cls", "n", "halves").join(open_classes, "cls").dropDuplicates(["cls"])
-    # Two tokens of one set with equal low halves stay two rows: an upper bound of what the set shares, never less.
-    tokens = written(sets.select("cls", "n", "comp", F.explode("halves").alias("token")), "tokens")
-    buckets = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df"))
-    need = F.expr(f"({2 * threshold} * n + {99 + threshold}) div {100 + threshold}")
-    across = tokens.join(buckets.where("lo <> hi").select("token", "df"), "token").withColumns({"need": need, "usable": F.lit(True)})
-    across = written(_asking(across, "comp"), "across")
-    x = across.where("asks").select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("comp").alias("comp_a"))
-    y = across.select(F.col("token").alias("token_b"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("comp").alias("comp_b"))
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") != F.col("b")))
-    fits = smaller & (100 * F.col("n_a") >= threshold * F.col("n_b")) & (F.col("comp_a") != F.col("comp_b"))
-    enough = (100 + threshold) * F.least("s_a", "s_b") >= threshold * (F.col("n_a") + F.col("n_b"))
-    pairs = x.join(y, (F.col("token") == F.col("token_b")) & fits & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    discard(known)
+    pairs = _candidates(prefixes.select("cls", "n", "halves").join(open_classes, "cls").dropDuplicates(["cls"]), threshold)
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _links(pairs.join(tested, ["a", "b"], "left_anti"), bits, docs, members, threshold)
+    second = _links(pairs.join(tested, ["a", "b"], "left_anti"), prefixes, docs, members, threshold)
+    discard(prefixes, pairs, open_classes)
 
     # Labels of the first round stand for its links.
     labelled = components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
-    lowest = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
+    full, empty = members.where("cls is not null"), members.where("cls is null")
+    lowest = full.groupBy("cls").agg(F.min("doc_id").alias("low"))
     named = lowest.join(labelled.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
     component_ids = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_class = named.join(component_ids, "comp").select("cls", "component_id")
-    return members.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_class = named.join(component_ids, "comp").select("cls", "comp", "component_id")
+    # Empty sets have no class; joined on it they would all go to one task.
+    alone = empty.select("doc_id", "tie", "n_shingles", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    grouped = full.join(by_class, "cls").select("doc_id", "tie", "n_shingles", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return grouped.unionByName(alone)
+
+
+def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach) for every row of ``docs``; odd rows as in ``jaccard_groups``."""
+    return jaccard_groups(docs, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(links, members): the links (a, b) between classes of equal sets, and doc_id, n_shingles, cls, links (of the class to others) of every row.
+
+    Every link between different sets comes, those inside one component too, so the work grows with the pairs of a group of variants, unlike that of
+    ``jaccard_groups``. Rows of one class link with each other too; these links are not listed. Odd rows as in ``jaccard_groups``; an empty set has no class.
+    """
+    docs = _plain(docs)
+    profile = _profiled(docs)
+    members = profile.where("frequent is null").select("doc_id", "n_shingles", "cls")
+    prefixes = _prepared(docs, profile, threshold)
+    sets = prefixes.select("cls", "n", F.col("cls").alias("comp"), "halves").dropDuplicates(["cls"])
+    links = _links(_candidates(sets, threshold), prefixes, docs, members, threshold)
+    counts = links.select(F.explode(F.array("u", "v")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    full, empty = members.where("cls is not null"), members.where("cls is null")
+    counted = full.join(counts, "cls", "left").select("doc_id", "n_shingles", "cls", F.coalesce("links", F.lit(0)).alias("links"))
+    members = counted.unionByName(empty.select("doc_id", "n_shingles", "cls", F.lit(0).cast("long").alias("links")))
+    return links.select(F.col("u").alias("a"), F.col("v").alias("b")), members
 
 
 def _asking(rows: DataFrame, *others: str) -> DataFrame:
@@ -300,7 +362,7 @@ def _asking(rows: DataFrame, *others: str) -> DataFrame:
     own = Window.partitionBy("cls")
     nth = F.row_number().over(own.orderBy(F.desc("usable"), "df", "token"))
     counted = rows.withColumns({"s": F.count_if("usable").over(own), "nth": nth, "score": F.sum("df").over(own)})
-    return counted.select("token", "cls", "n", *others, "s", "score", F.expr("usable and nth <= s - need + 1").alias("asks"))
+    return counted.select("token", "cls", "n", *others, "s", "nth", "score", F.expr("usable and nth <= s - need + 1").alias("asks"))
 
 
 def _to_centres(rows: DataFrame) -> DataFrame:

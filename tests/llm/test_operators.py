@@ -13,6 +13,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from hookflow.llm import common, compression_bands, impact_topk, language_ppm, line_alignment, mixing, ngram_jaccard, packing, queries, repeats, url_rules, warc
@@ -94,6 +95,33 @@ def jaccard_by_hand(docs):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_jaccard_links_match_brute_force(spark, corpus):
+    links, members = ngram_jaccard.jaccard_links(spark.createDataFrame(rows_of(corpus), DOCS))
+    rows = {r["doc_id"]: r for r in members.collect()}
+    classes = {}
+    for i, t in corpus:
+        words = "".join(c.lower() if c.isascii() else c for c in t).split()
+        classes.setdefault(frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else None, []).append(i)
+    for members_of in classes.values():
+        assert len({rows[i]["cls"] for i in members_of}) == 1
+    name = {c: rows[m[0]]["cls"] for c, m in classes.items()}
+    want = {tuple(sorted((name[a], name[b]))) for a in classes for b in classes if a and b and a != b and 100 * len(a & b) >= 75 * len(a | b)}
+    got = [tuple(sorted((r["a"], r["b"]))) for r in links.collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 20
+    assert all(rows[m[0]]["links"] == sum(name[c] in pair for pair in want) for c, m in classes.items())
+
+
+def test_one_of_each_group_by_row(spark):
+    """Two texts of one doc_id are two documents; of a group without ids one row stays; blank rows stay."""
+    rng = random.Random(20)
+    first, other, third = (prose(rng, 80) for _ in range(3))
+    near = first + " more"
+    rows = rows_of([(1, first), (7, near), (7, other), (None, third), (None, third + " x"), (None, third), (9, ""), (8, None), (3, first)])
+    left = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert len(left) == 5 and {(r["doc_id"], r["text"]) for r in left if r["doc_id"] is not None} == {(1, first), (7, other), (9, ""), (8, None)}
+    assert [r["text"] for r in left if r["doc_id"] is None][0] in (third, third + " x")
+
+
 def test_jaccard_matches_brute_force(spark, corpus):
     got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows_of(corpus), DOCS)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_by_hand(corpus)
@@ -216,6 +244,103 @@ def test_line_dedup_keeps_one_copy_of_every_line(spark):
     assert got[0]["cls"] == 1 and got[0]["spans"] == "y"
 
 
+def naive_patience(a, b):
+    """Pairs of equal lines: equal heads and tails, then the longest chain of lines unique on both sides, and the same between them."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    pairs = [(i, i) for i in range(head)] + [(len(a) - 1 - i, len(b) - 1 - i) for i in range(tail)]
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    unique = [(i, b.index(x)) for i, x in enumerate(a) if x and a.count(x) == 1 and b.count(x) == 1]
+    if not unique:
+        return sorted(pairs)
+    length, parent = [], []
+    for k, (_, p) in enumerate(unique):
+        before = [j for j in range(k) if unique[j][1] < p]
+        length.append(1 + max((length[j] for j in before), default=0))
+        parent.append(max((j for j in range(k) if length[j] == length[k] - 1), default=None))
+    k = max(k for k in range(len(unique)) if length[k] == max(length))
+    chain = []
+    while k is not None:
+        chain.append(unique[k])
+        k = parent[k]
+    chain.reverse()
+    for (p, q), (p_end, q_end) in zip([(-1, -1), *chain], [*chain, (len(a), len(b))], strict=True):
+        pairs += [(head + p + 1 + i, head + q + 1 + j) for i, j in naive_patience(a[p + 1 : p_end], b[q + 1 : q_end])]
+    return sorted(pairs + [(head + p, head + q) for p, q in chain])
+
+
+def lines_by_hand(rows):
+    """Kept lines of each (place, text): aligned with the first holder of each line, of each shortest run of 100 bytes, and of all lines."""
+    docs = {(i is None, i or 0, tie): text for i, tie, text in rows if text is not None}
+    stripped = {place: [line.strip(" \t\r\x0b\x0c") for line in text.split("\n")] for place, text in docs.items()}
+    first = {}
+
+    def keys(lines):
+        held = [x for x in lines if x]
+        found = {("line", x) for x in held} | {("whole", tuple(held))}
+        size = lambda b, e: sum(len(x.encode()) for x in held[b:e])
+        for i in range(len(held)):
+            found |= {("run", tuple(held[i:e])) for e in [next((e for e in range(i + 1, len(held) + 1) if size(i, e) >= 100), None)] if e}
+            found |= {("run", tuple(held[b : i + 1])) for b in [next((b for b in range(i, -1, -1) if size(b, i + 1) >= 100), None)] if b is not None}
+        return {(kind if kind == "whole" or len(x) > 1 and kind == "run" else "line", x if kind != "run" or len(x) > 1 else x[0]) for kind, x in found if x}
+
+    for place in sorted(stripped):
+        for key in keys(stripped[place]):
+            first.setdefault(key, place)
+    out = {}
+    for place, lines in stripped.items():
+        gone = set()
+        for other in {first[key] for key in keys(lines)} - {place}:
+            block = []
+            for i, j in [*naive_patience(lines, stripped[other]), (None, None)]:
+                if block and (i is None or (i, j) != (block[-1][0] + 1, block[-1][1] + 1)):
+                    if sum(len(lines[k].encode()) for k, _ in block) >= 100:
+                        gone |= {k for k, _ in block}
+                    block = []
+                block.append((i, j))
+        out[place] = "\n".join(x for k, x in enumerate(docs[place].split("\n")) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_matches_brute_force(spark, seed):
+    """Shared lines of all lengths, blank lines, null and repeated ids, copies."""
+    rng = random.Random(seed)
+    pool = [prose(rng, n) for n in (1, 2, 3, 5, 8, 12, 20, 30) for _ in range(4)] + ["", " ", "\t"]
+    texts = ["\n".join(" " * rng.randrange(2) + rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(70)]
+    for _ in range(15):
+        lines = rng.choice(texts).split("\n")
+        lines[rng.randrange(len(lines))] = rng.choice(pool)
+        texts.append("\n".join(lines))
+    ids = [rng.choice([i, i, i, None, 7]) for i in range(len(texts))]
+    frame = spark.createDataFrame(rows_of([*zip(ids, texts, strict=True), (500, None), (3, texts[0])]), DOCS)
+    ties = {r["text"]: r["tie"] for r in frame.select("text", F.xxhash64("text").alias("tie")).collect()}
+    want = lines_by_hand([(i, ties[t], t) for i, t in [*zip(ids, texts, strict=True), (3, texts[0])]])
+    got = line_alignment.dedup_lines(frame.withColumn("whole", F.col("text"))).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        if r["whole"] is not None:
+            assert r["__kept"] == want[r["doc_id"] is None, r["doc_id"] or 0, ties[r["whole"]]]
+    assert sum(r["__removed"] for r in got) > 50
+
+
+def test_results_refuse_columns_of_their_names_and_bear_all_others(spark):
+    names = "row doc tie text_ spans whole part n size source_ taken __doc __tie __text __spans __id __size __source __n __taken __words cls a_b"
+    layout = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in [*names.split(), "a.b", "c`d".replace("`", "``")])
+    rows = [(i, "one two three " * 20, "en", "s", *[f"{k}" for k in range(len(names.split()) + 2)]) for i in range(3)]
+    docs = spark.createDataFrame(rows, layout)
+    extra = docs.columns[4:]
+    for out in (line_alignment.dedup_lines(docs), mixing.mixed(docs), language_ppm.predict(docs, language_ppm.fit(docs))):
+        assert {tuple(r[c] for c in extra) for r in out.collect()} == {tuple(f"{k}" for k in range(len(extra)))}
+    for clash, call in (("__KEPT", line_alignment.dedup_lines), ("__score", lambda d: language_ppm.predict(d, ([], [])))):
+        with pytest.raises(ValueError, match="named like results"):
+            call(docs.withColumn(clash, F.lit(1)))
+
+
 def test_line_dedup_cuts_a_frequent_passage_beside_rare_lines(spark):
     rng = random.Random(14)
     frequent = [prose(rng, 60) for _ in range(6)]
@@ -385,6 +510,49 @@ def test_quality_counts_and_bands(spark, corpus):
     assert compression_bands.quality(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def verdict_by_hand(text, bands):
+    raw, press = text.encode(), lambda part: len(zstandard.compress(part, 3)) / len(part)
+    n_words, *_, repeated = quality_by_hand(text)
+    if n_words < 50 or 100 * repeated > 50 * n_words:
+        return False
+
+    def inside(part):
+        start, low, high = max(b for b in bands if b[0] <= len(part))
+        return low <= press(part) <= high
+
+    bad = sum(len(part) for part in (raw[i : i + 4096] for i in range(0, len(raw), 4096)) if not inside(part))
+    return inside(raw) and bad * 100 <= 5 * len(raw)
+
+
+def test_quality_verdict_matches_brute_force(spark):
+    """Prose, prose with garbage, tables of numbers and repeats of all lengths."""
+    rng = random.Random(31)
+    kinds = [lambda: rng.choice(["the", "and", "of"]), lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))), lambda: f"{rng.randrange(16**12):x}", lambda: rng.choice("éñü") * 4]
+    texts = []
+    for _ in range(250):
+        parts = [kinds[rng.randrange(4)] for _ in range(rng.randint(1, 3))]
+        texts.append(" ".join(part() for part in parts for _ in range(rng.choice([10, 60, 400, 3000]) // len(parts))))
+    got = {r["doc_id"]: r["kept"] for r in compression_bands.quality(spark.createDataFrame(rows_of(enumerate(texts)), DOCS)).collect()}
+    assert got == {i: verdict_by_hand(t, compression_bands.BANDS) for i, t in enumerate(texts)}
+    assert 30 < sum(got.values()) < 220
+
+
+def test_bands_can_be_fitted_to_another_script(spark):
+    """Words of three bytes a character fall outside the given bands; bands fitted to such a corpus keep them and still reject garbage."""
+    rng = random.Random(32)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x4E00 + 500)) for _ in range(rng.randint(1, 3))) for _ in range(2000)]
+    clean = [prose(rng, rng.choice([60, 200, 800, 3000]), words) for _ in range(400)]
+    junk = ["".join(chr(rng.randrange(0x4E00, 0x9000)) + (" " if k % 3 == 0 else "") for k in range(n)) for n in (300, 1500, 6000)]
+    docs = spark.createDataFrame(rows_of(enumerate(clean)), DOCS)
+    bands = compression_bands.fit_bands(docs, outside=0.0, least=20)
+    assert [b[0] for b in bands] == [b[0] for b in compression_bands.BANDS] and bands != compression_bands.BANDS
+    texts = clean + junk + [None, ""]
+    got = [r["kept"] for r in compression_bands.quality(spark.createDataFrame(rows_of(enumerate(texts)), DOCS), bands).orderBy("doc_id").collect()]
+    assert got == [True] * len(clean) + [False] * 5
+    assert got[0] == verdict_by_hand(clean[0], bands)
+    assert compression_bands.fit_bands(docs.limit(0)) == compression_bands.BANDS
+
+
 def test_quality_rejects_half_garbage_and_hex(spark):
     rng = random.Random(16)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(150)]
