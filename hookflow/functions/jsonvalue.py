@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hookflow.functions.scalars import js_number_text
+from hookflow.functions.scalars import bind, js_number_text
 
 # White space JavaScript trims, beyond what regex \s covers here.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 DIGITS = "0123456789abcdef"
-# Arrays inside arrays deeper than this keep their JSON text when turned into a string.
-MAX_ARRAY_DEPTH = 4
+# Strings, marks and scalars of JSON text without white space between them.
+TOKEN = r'"(?:[^"\\]++|\\.)*+"|[\[\]{},]|[^\[\]{},"]++'
 
 
 def parse(payload: Column) -> Column:
@@ -26,11 +26,6 @@ def parse(payload: Column) -> Column:
     return F.try_parse_json(payload)
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def undefined() -> Column:
     return F.lit(None).cast("variant")
 
@@ -76,17 +71,9 @@ def elements(value: Column) -> Column:
 
 
 def from_number(number: Column) -> Column:
-    """A double as VARIANT, stored so that JSON text carries no ``.0`` or exponent."""
+    """A double as VARIANT: whole numbers as such, all others kept as doubles."""
     d = number.cast("double")
-    size = F.abs(d)
-    return (
-        F.when((d == F.rint(d)) & (size < F.lit(9.0e18)), d.try_cast("bigint").cast("variant"))
-        .when(
-            (d != F.rint(d)) & (size >= F.lit(1e-6)) & (size < F.lit(1e17)),
-            d.try_cast("decimal(38,20)").cast("variant"),
-        )
-        .otherwise(d.cast("variant"))
-    )
+    return F.when((d == F.rint(d)) & (F.abs(d) < F.lit(9.0e18)), d.try_cast("bigint").cast("variant")).otherwise(d.cast("variant"))
 
 
 def quoted(segment: str) -> str:
@@ -115,27 +102,48 @@ def field(value: Column, path: str) -> Column:
     return current
 
 
-def text(value: Column, depth: int = MAX_ARRAY_DEPTH) -> Column:
-    """``String(value)`` for a defined value: arrays join by comma, objects lose their content."""
-    if depth == 0:
-        joined = F.to_json(value)
-    else:
-        joined = F.array_join(
-            F.transform(
-                elements(value),
-                lambda item: F.when(is_nullish(item), F.lit("")).otherwise(text(item, depth - 1)),
-            ),
-            ",",
-        )
+def _scalar_text(value: Column) -> Column:
     return (
         F.when(is_kind(value, "string") | is_kind(value, "boolean"), as_string(value))
         .when(is_kind(value, "number"), number_text(value))
-        .when(is_kind(value, "array"), joined)
         .when(is_kind(value, "object"), F.lit("[object Object]"))
-        .when(value.isNotNull(), F.lit("null"))
     )
 
 
+def _flattened(value: Column) -> Column:
+    """An array of any depth joined by commas: its JSON text without the brackets that stand outside strings and objects."""
+
+    def step(state: Column, token: Column) -> Column:
+        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        shown = (
+            F.when((state["depth"] > 0) | token.isin("[", "]", "}", "null"), "")
+            .when(token == "{", "[object Object]")
+            .when(token == ",", ",")
+            .otherwise(bind(F.try_parse_json(token), _scalar_text))
+        )
+        return F.struct(depth.alias("depth"), F.concat(state["text"], shown).alias("text"))
+
+    tokens = F.regexp_extract_all(F.to_json(value), F.lit(TOKEN), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    return F.aggregate(tokens, start, step, lambda state: state["text"])
+
+
+def text(value: Column) -> Column:
+    """``String(value)`` for a defined value: arrays join by comma, however deep they are, objects lose their content."""
+    nested = F.exists(elements(value), lambda item: is_kind(item, "array"))
+    flat = F.array_join(F.transform(elements(value), lambda item: F.when(is_nullish(item), F.lit("")).otherwise(_scalar_text(item))), ",")
+    return (
+        F.when(is_kind(value, "array"), F.when(nested, _flattened(value)).otherwise(flat))
+        .when(is_nullish(value), F.when(value.isNotNull(), F.lit("null")))
+        .otherwise(_scalar_text(value))
+    )
+
+
+def json_text(value: Column) -> Column:
+    """A value as JSON text, numbers as JavaScript writes them; NULL when undefined."""
+    return bind(value, lambda v: F.when(is_kind(v, "number"), number_text(v)).otherwise(F.to_json(v)))
+
+
 def number_text(value: Column) -> Column:
     """Whole numbers keep every digit; the rest print as JavaScript doubles."""
     whole = F.try_variant_get(value, "$", "bigint")

@@ -6,6 +6,7 @@ mapping is looked at here; values are handled by Spark.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -198,5 +199,13 @@ def compile_mapping(mapping: Mapping[str, str | None], payload: Column, context:
     if not mapping:
         return F.lit("{}")
     names = sorted(mapping, key=_field_order)
-    fields = [compile_expression(mapping[name], payload, context).alias(name) for name in names]
-    return F.to_json(F.struct(*fields))
+    # Undefined fields are left out.
+    fields = [F.concat(F.lit(f"{json.dumps(name, ensure_ascii=False)}:"), _field_text(mapping[name], payload, context)) for name in names]
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def _field_text(expression: str, payload: Column, context: Context) -> Column:
+    """JSON text of one field. Only computed numbers need JavaScript's form; those of the payload keep the one they came in."""
+    value = compile_expression(expression, payload, context)
+    computed = any(op.strip().startswith(("divide", "multiply", "toNumber")) for op in expression.split("|")[1:])
+    return J.json_text(value) if computed else F.to_json(value)

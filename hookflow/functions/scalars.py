@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from hookflow.model import ROUTE_PRIORITIES
 UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 DEFAULT_WINDOW_SECONDS = 259200
 DEFAULT_DURATION_MS = 300000
+# Doubles below this have fewer bits.
+SMALLEST_NORMAL = 2.2250738585072014e-308
 
 
 def _duration(text: Column, per_unit: dict[str, int], default: int) -> Column:
@@ -39,21 +43,85 @@ def js_round(value: Column, digits: int = 0) -> Column:
     return F.floor(value.cast("double") * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
-def js_number_text(value: Column) -> Column:
-    """A double as JavaScript prints it: no trailing ``.0`` and no exponent in the common range."""
-    d = value.cast("double")
-    size = F.abs(d)
-    plain = F.regexp_replace(d.try_cast("decimal(38,20)").cast("string"), r"\.?0+\z", "")
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _decimal_parts(size: Column) -> Column:
+    """(digits, point) of a positive double: it is 0.digits times ten to the power of point, digits without zeros at the ends."""
+
+    def split(shown: Column) -> Column:
+        mantissa = F.substring_index(shown, "E", 1)
+        whole, fraction = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+        power = F.when(F.contains(shown, F.lit("E")), F.substring_index(shown, "E", -1).cast("int")).otherwise(0)
+        digits = F.concat(whole, fraction)
+        significant = F.ltrim(digits, F.lit("0"))
+        point = F.length(whole) + power - (F.length(digits) - F.length(significant))
+        return F.struct(F.rtrim(significant, F.lit("0")).alias("digits"), point.alias("point"))
+
+    return bind(size.cast("string"), split)
+
+
+def _rounded(parts: Column, places: int) -> Column:
+    """The digits to so many places, as a whole number (which a carry makes one place longer)."""
+    kept, rest = F.left(parts["digits"], F.lit(places)).cast("bigint"), F.substring(parts["digits"], F.lit(places + 1), F.lit(1))
+    return kept + F.when(rest >= "5", 1).otherwise(0)
+
+
+def _shortest(size: Column, parts: Column) -> Column:
+    """The fewest digits that read as the same double. The platform's text may have 16 to 18 where fewer do, and for the
+    smallest doubles any number; what it rounds to is tried, fewest places first."""
+
+    def tried(places: int, other: Column) -> Column:
+        def use(number: Column) -> Column:
+            same = F.concat(number.cast("string"), F.lit("E"), (parts["point"] - places).cast("string")).cast("double") == size
+            digits = number.cast("string")
+            point = parts["point"] + F.length(digits) - places
+            return F.when(same, F.struct(F.rtrim(digits, F.lit("0")).alias("digits"), point.alias("point"))).otherwise(other)
+
+        return bind(_rounded(parts, places), use)
+
+    def first(places: range) -> Column:
+        found = parts
+        for n in reversed(places):
+            found = tried(n, found)
+        return found
+
+    count = F.length(parts["digits"])
+    return F.when(size < SMALLEST_NORMAL, first(range(1, 18))).when(count < 16, parts).otherwise(first(range(15, 18)))
+
+
+def _placed(parts: Column) -> Column:
+    """Digits with the point where JavaScript puts it: plain from 1e-6 up to 1e21, with an exponent beyond."""
+    digits, point = parts["digits"], parts["point"]
+    count = F.length(digits)
+    tail = F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise("")
+    sign = F.when(point > 0, "e+").otherwise("e-")
     return (
-        F.when(F.isnan(d), F.lit("NaN"))
-        .when(size == F.lit(float("inf")), F.when(d > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
-        .when((d == F.rint(d)) & (size < F.lit(1e18)), d.try_cast("bigint").cast("string"))
-        .when((d == F.rint(d)) & (size < F.lit(1e21)), d.try_cast("decimal(38,0)").cast("string"))
-        .when((size >= F.lit(1e-6)) & (size < F.lit(1e17)), plain)
-        .otherwise(d.cast("string"))
+        F.when((point >= count) & (point <= 21), F.rpad(digits, point, F.lit("0")))
+        .when(point.between(1, 21), F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, count)))
+        .when(point.between(-5, 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .otherwise(F.concat(F.left(digits, F.lit(1)), tail, sign, F.abs(point - 1).cast("string")))
     )
 
 
+def js_number_text(value: Column) -> Column:
+    """A double as JavaScript prints it: the fewest digits that read as the same number, placed by its rules for exponents."""
+
+    def text(d: Column) -> Column:
+        size = F.abs(d)
+        placed = bind(_decimal_parts(size), lambda parts: bind(_shortest(size, parts), _placed))
+        return (
+            F.when(F.isnan(d), F.lit("NaN"))
+            .when(size == F.lit(float("inf")), F.when(d > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
+            .when((d == F.rint(d)) & (size < F.lit(9.0e15)), d.try_cast("bigint").cast("string"))
+            .when(d.isNotNull(), F.concat(F.when(d < 0, "-").otherwise(""), placed))
+        )
+
+    return bind(value.cast("double"), text)
+
+
 def iso_millis(at: Column) -> Column:
     """ISO-8601 UTC text with milliseconds (session time zone is UTC)."""
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

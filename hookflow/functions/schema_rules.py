@@ -20,8 +20,9 @@ ANNOTATIONS = {"$schema", "$id", "$comment", "title", "description", "examples",
 KEYWORDS = {
     "type", "required", "properties", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum",
     "minLength", "maxLength", "pattern", "enum", "const", "items", "minItems", "maxItems",
-    "additionalProperties",
+    "additionalProperties", "allOf", "anyOf", "oneOf", "not", "if", "then", "else",
 }
+ERROR_TYPE = "array<struct<path:string,message:string,keyword:string,params:string>>"
 TYPES = {"null", "boolean", "object", "array", "number", "integer", "string"}
 
 
@@ -32,11 +33,20 @@ def _matches(value: Column, name: str) -> Column:
     return J.is_kind(value, name)
 
 
-def _pointer(parent: str, key: str) -> str:
-    return parent + "/" + key.replace("~", "~0").replace("/", "~1")
+# Where a value stands: text, or a column inside the elements of an array.
+Path = str | Column
+
+
+def _pointer(parent: Path, key: str) -> Path:
+    step = "/" + key.replace("~", "~0").replace("/", "~1")
+    return parent + step if isinstance(parent, str) else F.concat(parent, F.lit(step))
+
 
+def _as_column(path: Path) -> Column:
+    return F.lit(path) if isinstance(path, str) else path
 
-def _error(path: str | Column, message: str | Column, keyword: str, params: str | Column) -> Column:
+
+def _error(path: Path, message: str | Column, keyword: str, params: str | Column) -> Column:
     def column(part: str | Column) -> Column:
         return part if isinstance(part, Column) else F.lit(part)
 
@@ -65,7 +75,7 @@ def _same(value: Column, expected: Any) -> Column:
     return F.to_json(value) == F.to_json(F.parse_json(F.lit(_json(expected))))
 
 
-def _type_rules(schema: dict, value: Column, path: str) -> list[Column]:
+def _type_rules(schema: dict, value: Column, path: Path) -> list[Column]:
     wanted = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
     unknown = set(wanted) - TYPES
     if unknown:
@@ -77,7 +87,7 @@ def _type_rules(schema: dict, value: Column, path: str) -> list[Column]:
     return [F.when(value.isNotNull() & ~fits, F.array(error))]
 
 
-def _limit_rules(schema: dict, value: Column, path: str) -> list[Column]:
+def _limit_rules(schema: dict, value: Column, path: Path) -> list[Column]:
     """Ordered comparisons: each entry is keyword, guard kind, measured column, violation, message."""
     d = J.as_double(value)
     length = F.length(J.as_string(value))
@@ -114,7 +124,7 @@ def _limit_rules(schema: dict, value: Column, path: str) -> list[Column]:
     return out
 
 
-def _constant_rules(schema: dict, value: Column, path: str) -> list[Column]:
+def _constant_rules(schema: dict, value: Column, path: Path) -> list[Column]:
     out = []
     if "const" in schema:
         error = _error(path, "must be equal to constant", "const", _json({"allowedValue": schema["const"]}))
@@ -130,32 +140,73 @@ def _constant_rules(schema: dict, value: Column, path: str) -> list[Column]:
     return out
 
 
-def _item_rules(schema: dict, value: Column, path: str) -> list[Column]:
+def _item_rules(schema: dict, value: Column, path: Path) -> list[Column]:
+    """The rules of ``items`` for every element, whose index becomes part of the error's path."""
     rules = schema["items"]
-    extra = set(rules) - {"type"} - ANNOTATIONS
-    if extra:
-        raise ValueError(f"unsupported keyword under items: {sorted(extra)}")
-    if "type" not in rules:
-        return []
-    wanted = rules["type"] if isinstance(rules["type"], list) else [rules["type"]]
+    if not isinstance(rules, dict):
+        raise ValueError("items must be one schema")
 
-    def wrong(item: Column, position: Column) -> Column:
-        fits = F.lit(False)
-        for name in wanted:
-            fits = fits | _matches(item, name)
-        error = _error(
-            F.concat(F.lit(path + "/"), position.cast("string")),
-            f"must be {','.join(wanted)}",
-            "type",
-            _json({"type": rules["type"]}),
-        )
-        return F.when(~fits, error)
+    def of_element(item: Column, position: Column) -> Column:
+        return _all(_rules(rules, item, (), F.concat(_as_column(path), F.lit("/"), position.cast("string"))))
 
-    errors = F.array_compact(F.transform(J.elements(value), wrong))
+    if not _rules(rules, F.lit(None).cast("variant"), (), ""):
+        return []
+    errors = F.flatten(F.transform(J.elements(value), of_element))
     return [F.when(J.is_kind(value, "array") & (F.size(errors) > 0), errors)]
 
 
-def _object_rules(schema: dict, body: Column, steps: tuple[str, ...], path: str) -> list[Column]:
+def _all(rules: list[Column]) -> Column:
+    """All errors of some rules as one array, empty where they hold."""
+    if not rules:
+        return F.array().cast(ERROR_TYPE)
+    return F.flatten(F.array_compact(F.array(*rules))).cast(ERROR_TYPE)
+
+
+def _composed_rules(schema: dict, body: Column, steps: tuple[str, ...], path: Path) -> list[Column]:
+    """Schemas made of schemas. An undefined value passes every part, as it does every rule."""
+    value = _at(body, steps)
+
+    def part(rules: Any) -> Column:
+        if not isinstance(rules, dict):
+            raise ValueError("boolean schemas are not supported")
+        return _all(_rules(rules, body, steps, path))
+
+    def failed(keyword: str, message: str, params: str | Column) -> Column:
+        return F.array(_error(path, message, keyword, params))
+
+    def passed(errors: Column) -> Column:
+        return F.size(errors) == 0
+
+    out = []
+    for rules in schema.get("allOf", []):
+        out.append(F.nullif(part(rules), F.array().cast(ERROR_TYPE)))
+    if "anyOf" in schema:
+        parts = [part(rules) for rules in schema["anyOf"]]
+        none = F.lit(True)
+        for errors in parts:
+            none = none & ~passed(errors)
+        out.append(F.when(value.isNotNull() & none, F.concat(*parts, failed("anyOf", "must match a schema in anyOf", "{}"))))
+    if "oneOf" in schema:
+        parts = [part(rules) for rules in schema["oneOf"]]
+        right = F.array_compact(F.array(*(F.when(passed(errors), F.lit(i)) for i, errors in enumerate(parts))))
+        first_two = F.concat(F.lit('{"passingSchemas":['), F.array_join(F.slice(right, 1, 2).cast("array<string>"), ","), F.lit("]}"))
+        message = "must match exactly one schema in oneOf"
+        none = F.concat(*parts, failed("oneOf", message, '{"passingSchemas":null}'))
+        many = failed("oneOf", message, first_two)
+        out.append(F.when(value.isNotNull(), F.when(F.size(right) == 0, none).when(F.size(right) > 1, many)))
+    if "not" in schema:
+        out.append(F.when(value.isNotNull() & passed(part(schema["not"])), failed("not", "must NOT be valid", "{}")))
+    if "if" in schema:
+        holds = passed(part(schema["if"]))
+        for keyword, applies in (("then", holds), ("else", ~holds)):
+            if keyword in schema:
+                errors = part(schema[keyword])
+                said = failed("if", f'must match "{keyword}" schema', _json({"failingKeyword": keyword}))
+                out.append(F.when(value.isNotNull() & applies & ~passed(errors), F.concat(errors, said)))
+    return out
+
+
+def _object_rules(schema: dict, body: Column, steps: tuple[str, ...], path: Path) -> list[Column]:
     out = []
     value = _at(body, steps)
     is_object = J.is_kind(value, "object")
@@ -190,7 +241,7 @@ def _at(body: Column, steps: tuple[str, ...]) -> Column:
     return F.try_variant_get(body, "$" + "".join(J.quoted(step) for step in steps), "variant")
 
 
-def _rules(schema: dict, body: Column, steps: tuple[str, ...], path: str) -> list[Column]:
+def _rules(schema: dict, body: Column, steps: tuple[str, ...], path: Path) -> list[Column]:
     value = _at(body, steps)
     unknown = set(schema) - KEYWORDS - ANNOTATIONS
     if unknown:
@@ -202,7 +253,8 @@ def _rules(schema: dict, body: Column, steps: tuple[str, ...], path: str) -> lis
     out += _constant_rules(schema, value, path)
     if "items" in schema:
         out += _item_rules(schema, value, path)
-    return out + _object_rules(schema, body, steps, path)
+    out += _object_rules(schema, body, steps, path)
+    return out + _composed_rules(schema, body, steps, path)
 
 
 def compile_schema(schema: dict, payload: Column) -> list[Column]:
@@ -210,12 +262,15 @@ def compile_schema(schema: dict, payload: Column) -> list[Column]:
     return _rules(schema, payload, (), "")
 
 
-ERROR_TYPE = "array<struct<path:string,message:string,keyword:string,params:string>>"
-
-
 def schema_errors(schema: dict, payload: Column) -> Column:
     """All violations of a schema as one array, empty when the payload conforms."""
-    rules = compile_schema(schema, payload)
-    if not rules:
-        return F.array().cast(ERROR_TYPE)
-    return F.flatten(F.array_compact(F.array(*rules))).cast(ERROR_TYPE)
+    return _all(compile_schema(schema, payload))
+
+
+def unsupported(text: str) -> str | None:
+    """Why a schema cannot be compiled, or None if it can."""
+    try:
+        compile_schema(json.loads(text), F.lit(None).cast("variant"))
+    except (ValueError, TypeError, AttributeError) as error:
+        return str(error) or type(error).__name__
+    return None

@@ -2,7 +2,7 @@
 
 Counting. Each task keeps a HAT-trie: a shallow trie by language and word ids whose leaves are hash containers from the rest of a phrase to its
 count. A container that grows too large bursts into one child for each next word; containers stop bursting while a phrase still has a word
-left. When the trie holds too many entries its largest subtrees are spilled whole, as sorted runs. A run's rows carry the bucket of their
+left. When the trie holds too many entries, whole subtrees are spilled as sorted runs, those of the rarest phrases first. A run's rows carry the bucket of their
 prefix (language and first word). Runs are merged per prefix partition: Spark brings the rows of a partition together and adds them up; a prefix with
 more rows than a partition should have is dealt over several partitions by the whole phrase.
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hookflow.llm.common import mix, pieces, utf8, written
+from hookflow.llm.common import discard, mix, pieces, utf8, written
 from hookflow.session import broadcast_if_small
 
 LONGEST = 5  # words in a phrase
@@ -33,7 +33,7 @@ TOP = 2000  # phrases of a language
 UNKNOWN = "und"  # language of rows without one
 
 BURST_ENTRIES = 1 << 13  # of a container
-TRIE_ENTRIES = 1 << 18  # of a task's trie before its largest subtrees are spilled; about 50 MB
+TRIE_ENTRIES = 1 << 18  # of a task's trie before subtrees are spilled; about 50 MB
 WORDS_KNOWN = 1 << 18  # of a task before it spills all and starts its word ids anew
 CHUNK_WORDS = 1 << 16  # of a chunk, which is then a row of some 200 KB; a longer text makes a longer one
 WORD_BITS = 1 << 26  # of the bitmap of frequent words: 8 MB, whatever the input
@@ -125,9 +125,10 @@ class HatTrie:
         return found
 
     def spill(self, keep: int) -> list[tuple[tuple[int, ...], Counter]]:
-        """Takes the largest subtrees out until at most ``keep`` entries are left; each comes as (path, container)."""
+        """Takes whole subtrees out until at most ``keep`` entries are left, those first whose entries were met least often; each comes as
+        (path, container)."""
         taken = []
-        for path, container, size in sorted(self.subtrees(), key=lambda s: -s[2]):
+        for path, container, size in sorted(self.subtrees(), key=lambda s: sum(s[1].values()) / max(1, s[2])):
             if self.entries <= keep:
                 break
             taken.append((path, container))
@@ -350,25 +351,32 @@ def chunks(docs: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(_split, CHUNK_LAYOUT), "chunks")
 
 
-def counts(texts: DataFrame, lengths: tuple[int, ...], words=None, pairs=None) -> DataFrame:
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 1)), F.lit(PREFIX_BUCKETS)).cast("int")
+
+
+def counts(texts: DataFrame, lengths: tuple[int, ...], words=None, pairs=None, heads: DataFrame | None = None) -> DataFrame:
     """lang, phrase, n: how often phrases of the lengths come in the ``chunks`` of a language.
 
-    With ``words`` and ``pairs``, broadcast bitmaps, phrases with words or pairs that are not in them are left out.
+    With ``words`` and ``pairs``, broadcast bitmaps, phrases with words or pairs that are not in them are left out. ``heads``, the words that
+    phrases begin with (lang, phrase, n), tell how many rows a prefix may have.
     """
     spark = texts.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _Counting(lengths, *(x.value if x is not None else None for x in (words, pairs))).batches(batches)
 
-    prefix = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 1)), F.lit(PREFIX_BUCKETS)).cast("int")
-    runs = written(texts.mapInArrow(run, RUN_LAYOUT), "runs").withColumn("bucket", prefix)
-    # At most PREFIX_BUCKETS rows, whatever the input, and as many parts again for buckets above their even share.
-    sizes = [(r["bucket"], r["n"]) for r in runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()]
-    share = max(1, sum(n for _, n in sizes) // PREFIX_BUCKETS)
-    deal = spark.createDataFrame([(bucket, -(-n // share)) for bucket, n in sizes], "bucket int, parts long")
-    placed = runs.join(F.broadcast(deal), "bucket").withColumn("part", F.pmod(F.xxhash64("phrase"), F.col("parts")))
+    runs = texts.mapInArrow(run, RUN_LAYOUT).withColumn("bucket", _bucket())
+    part = F.lit(0)
+    if heads is not None:
+        # At most PREFIX_BUCKETS rows, whatever the input, and as many parts again for buckets above their even share.
+        sizes = [(r["bucket"], r["n"]) for r in heads.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n")).collect()]
+        share = max(1, sum(n for _, n in sizes) // PREFIX_BUCKETS)
+        deal = spark.createDataFrame([(bucket, -(-n // share)) for bucket, n in sizes], "bucket int, parts long")
+        runs = runs.join(F.broadcast(deal), "bucket", "left")
+        part = F.pmod(F.xxhash64("phrase"), F.coalesce("parts", F.lit(1)))
     # Runs of one prefix partition meet in one task; equal phrases are in one part of their bucket.
-    placed = placed.repartition("bucket", "part")
+    placed = runs.withColumn("part", part).repartition("bucket", "part")
     return placed.groupBy("bucket", "part", "lang", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
 
 
@@ -395,14 +403,18 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """(lang, words, phrase, n) of all phrases of 1 to ``longest`` words that come at least ``least`` times, and (lang, total) with the number of
     all words of each language."""
     spark, texts = docs.sparkSession, chunks(docs)
-    words = written(counts(texts, (1,)), "words")
+    # Of rarer words only their number in the language is needed: they come as rows without a phrase.
+    words = counts(texts, (1,))
+    kept = F.when(F.col("n") >= least, F.col("phrase"))
+    words = written(words.groupBy("lang", kept.alias("phrase")).agg(F.sum("n").alias("n")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = words.where(F.col("n") >= least)
+    frequent = words.where("phrase is not null")
     if longest > 1:
         sieve = spark.sparkContext.broadcast(word_bitmap(frequent))
         pairs = spark.sparkContext.broadcast(pair_bitmap(texts, sieve, least))
-        phrases = counts(texts, tuple(range(2, longest + 1)), sieve, pairs).where(F.col("n") >= least)
+        phrases = counts(texts, tuple(range(2, longest + 1)), sieve, pairs, frequent).where(F.col("n") >= least)
         frequent = written(frequent.unionByName(phrases), "frequent")
+    discard(texts)
     return frequent.select("lang", F.size(F.split("phrase", " ", -1)).alias("words"), "phrase", "n"), totals
 
 

@@ -26,6 +26,12 @@ def last_fired(rules: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
+def rule_history(history: DataFrame, rule_id: Column | str, n: int | None = None) -> DataFrame:
+    """Alerts of one rule, newest first: all, or the newest ``n``."""
+    own = history.filter(F.col("alert_rule_id") == rule_id).orderBy(F.desc("fired_at"), "id")
+    return own if n is None else own.limit(n)
+
+
 def metric_values(
     events: DataFrame, rules: DataFrame, as_of: Column | datetime, latency_sample: int | None = None
 ) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hookflow.functions import jsonvalue as J
-from hookflow.functions.scalars import parse_window
+from hookflow.functions.scalars import bind, parse_window
+from hookflow.model import WILDCARD
+from hookflow.operators.config import Dispatch, rules_in_use
 from hookflow.operators.dedup import ROW, numbered, ttl_repeats
 from hookflow.operators.validation import is_rejected, validate_events
-from hookflow.session import config_rows
 
 TYPE_FIELDS = ("type", "event", "event_type")
 MAX_SOURCE_LENGTH = 100
@@ -50,14 +51,13 @@ def source_config(events: DataFrame, sources: DataFrame) -> DataFrame:
 
 def external_id_by_source(events: DataFrame, sources: DataFrame, payload: Column) -> Column:
     """External id of each row by the path its source configures, as one projection (no join)."""
-    names_by_path: dict[str, list[str]] = {}
-    for row in config_rows(sources.select("name", "dedup_field")):
-        if row.dedup_field:
-            names_by_path.setdefault(row.dedup_field, []).append(row.name)
-    picked = F.lit(None).cast("string")
-    for path, names in names_by_path.items():
-        picked = F.when(F.col("source").isin(names), extract_external_id(payload, path)).otherwise(picked)
-    return picked
+    fields = sources.filter(F.nullif("dedup_field", F.lit("")).isNotNull())
+    dispatch = Dispatch()
+    for row in rules_in_use(fields.select(F.col("name").alias("source"), F.lit(WILDCARD).alias("event_type"), "dedup_field"), events, [WILDCARD]):
+        dispatch.add(row.source, None, row.dedup_field)
+    number = dispatch.number(F.col("source"), F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    return bind(F.coalesce(number, F.lit(-1)), lambda n: dispatch.pick(n, lambda path: extract_external_id(payload, path), none))
 
 
 def event_id(*parts: Column) -> Column:
@@ -85,7 +85,7 @@ def ingest_outcomes(raw: DataFrame, sources: DataFrame, schemas: DataFrame, pari
     refused = F.when(~sourced, F.lit("bad_source")).when(F.col("_body").isNull(), F.lit("unreadable"))
     rows = typed.select(
         made_id.alias("id"),
-        external_id_by_source(typed, sources, F.col("_body")).alias("external_id"),
+        external_id_by_source(raw, sources, F.col("_body")).alias("external_id"),
         "source",
         detect_event_type(F.col("_body"), explicit).alias("event_type"),
         "payload",

@@ -1,4 +1,7 @@
-"""Bounded look-ups over events and deliveries. Equal timestamps are ordered by id."""
+"""Look-ups over events and deliveries, as pages or as whole sets. Equal timestamps are ordered by id.
+
+With ``n=None`` (or ``limit=None``) a look-up returns every row and sorts nothing: order is a matter of pages.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +17,33 @@ STUCK_RECEIVED_SECONDS = 60
 STUCK_QUEUED_SECONDS = 300
 
 
-def events_by_status(events: DataFrame, status: str, n: int = 100) -> DataFrame:
-    return events.filter(F.col("status") == status).orderBy("created_at", "id").limit(n)
+def _oldest(rows: DataFrame, n: int | None, offset: int = 0) -> DataFrame:
+    return rows if n is None else rows.orderBy("created_at", "id").offset(offset).limit(n)
+
+
+def _newest(rows: DataFrame, n: int | None) -> DataFrame:
+    return rows if n is None else rows.orderBy(F.desc("created_at"), "id").limit(n)
+
+
+def events_by_status(events: DataFrame, status: str, n: int | None = 100) -> DataFrame:
+    """Events in a state: the oldest ``n``, or all."""
+    return _oldest(events.filter(F.col("status") == status), n)
+
+
+def newest_events(events: DataFrame, n: int = 500) -> DataFrame:
+    """The newest ``n`` events, newest first."""
+    return _newest(events, n)
+
+
+def oldest_page(events: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the events, oldest first."""
+    return _oldest(events, limit, offset)
 
 
-def _oldest(events: DataFrame, n: int | None) -> DataFrame:
-    return events if n is None else events.orderBy("created_at", "id").limit(n)
+def newest_per_source(events: DataFrame) -> DataFrame:
+    """source, created_at and id of each source's newest event: an aggregate, so no source is gathered."""
+    newest = F.max(F.struct("created_at", "id")).alias("n")
+    return events.groupBy("source").agg(newest).select("source", "n.created_at", "n.id")
 
 
 def stuck_received(events: DataFrame, as_of: Column | datetime, n: int | None = None) -> DataFrame:
@@ -53,11 +77,13 @@ def _dead(events: DataFrame, source: str | None, event_type: str | None) -> Data
 
 
 def dlq_list(
-    events: DataFrame, source: str | None = None, event_type: str | None = None, limit: int = 50, offset: int = 0
+    events: DataFrame, source: str | None = None, event_type: str | None = None, limit: int | None = 50, offset: int = 0
 ) -> DataFrame:
-    """A page of the dead-letter set, newest failure first (rows without a failure time lead)."""
-    if not 1 <= limit <= 100:
-        raise ValueError("limit must be between 1 and 100")
+    """A page of the dead-letter set, newest failure first (rows without a failure time lead); the whole set without a limit."""
+    if limit is None:
+        return _dead(events, source, event_type)
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     page = _dead(events, source, event_type).orderBy(F.desc_nulls_first("failed_at"), "id")
     return page.offset(offset).limit(limit)
 
@@ -83,9 +109,11 @@ def deliveries_by_event(deliveries: DataFrame, event_id: Column | str) -> DataFr
     return deliveries.filter(F.col("event_id") == event_id).orderBy(F.desc("created_at"), "id")
 
 
-def deliveries_by_route(deliveries: DataFrame, route_id: Column | str, n: int = 100) -> DataFrame:
-    return deliveries.filter(F.col("route_id") == route_id).orderBy(F.desc("created_at"), "id").limit(n)
+def deliveries_by_route(deliveries: DataFrame, route_id: Column | str, n: int | None = 100) -> DataFrame:
+    """Deliveries of a route: the newest ``n``, or all."""
+    return _newest(deliveries.filter(F.col("route_id") == route_id), n)
 
 
-def pending_deliveries(deliveries: DataFrame, n: int = 100) -> DataFrame:
-    return deliveries.filter(F.col("status") == "PENDING").orderBy("created_at", "id").limit(n)
+def pending_deliveries(deliveries: DataFrame, n: int | None = 100) -> DataFrame:
+    """Deliveries not made yet: the oldest ``n``, or all."""
+    return _oldest(deliveries.filter(F.col("status") == "PENDING"), n)

@@ -144,14 +144,14 @@ def dlq_by_source(events: DataFrame) -> DataFrame:
     return counts.withColumn("total", F.sum("count").over(Window.partitionBy(F.lit(1))))
 
 
-def dlq_by_error(events: DataFrame, n: int = 10) -> DataFrame:
-    """DEAD events per error text; ranked by non-null errors, so the null group comes last."""
+def dlq_by_error(events: DataFrame, n: int | None = 10) -> DataFrame:
+    """DEAD events per error text, the ``n`` most frequent or all; ranked by non-null errors, so the null group comes last."""
     counts = (
         events.filter(F.col("status") == "DEAD")
         .groupBy("last_error")
         .agg(_rows().alias("count"), F.count("last_error").alias("_rank"))
     )
-    top = counts.orderBy(F.desc("_rank"), F.asc_nulls_last("last_error")).limit(n)
+    top = counts if n is None else counts.orderBy(F.desc("_rank"), F.asc_nulls_last("last_error")).limit(n)
     return top.select(F.coalesce("last_error", F.lit("unknown")).alias("error"), "count")
 
 

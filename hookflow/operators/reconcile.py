@@ -8,22 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hookflow.operators.ingest import event_id
-from hookflow.session import instant
+from hookflow.session import broadcast_if_small, instant
 
 KEY = ["source", "external_id"]
 
 
-def _known(stored: DataFrame) -> DataFrame:
-    return stored.filter(F.col("external_id").isNotNull()).select(*KEY)
+def _known(external: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored keys that the external rows name. An external period is small against the store: its keys go to the store's
+    scan, after a count, so the store is filtered where it is read and not shuffled."""
+    keys = broadcast_if_small(external.select(*KEY).distinct())
+    return stored.filter(F.col("external_id").isNotNull()).select(*KEY).join(keys, KEY, "left_semi")
 
 
 def reconcile_missing(external: DataFrame, stored: DataFrame) -> DataFrame:
     """External events (with their source) that are not stored."""
-    return external.join(_known(stored), KEY, "left_anti")
+    return external.join(_known(external, stored), KEY, "left_anti")
 
 
 def reconcile_matched(external: DataFrame, stored: DataFrame) -> DataFrame:
-    return external.join(_known(stored), KEY, "left_semi")
+    return external.join(_known(external, stored), KEY, "left_semi")
 
 
 def reconcile_inject(missing: DataFrame, as_of: Column | datetime) -> DataFrame:
@@ -60,7 +63,7 @@ def reconcile_summary(
     travels once.
     """
     counted = external.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    flagged = counted.join(_known(stored).distinct().withColumn("_known", F.lit(True)), KEY, "left")
+    flagged = counted.join(_known(counted, stored).distinct().withColumn("_known", F.lit(True)), KEY, "left")
     missing = F.sum(F.when(F.col("_known").isNull(), F.col("n")).otherwise(0))
     out = flagged.groupBy("source").agg(
         F.sum("n").alias("external_count"),

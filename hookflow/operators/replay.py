@@ -39,13 +39,14 @@ def replay_predicate(filters: Mapping[str, Any]) -> Column:
 
 
 def replay_select(events: DataFrame, filters: Mapping[str, Any], ordered: bool = True) -> DataFrame:
-    """Events a filter selects, oldest first, optionally one page of them."""
+    """Events a filter selects, oldest first, optionally one page of them. An offset alone skips rows and keeps all others."""
     out = events.filter(replay_predicate(filters))
     paged = filters.get("limit") is not None or filters.get("offset") is not None
     if ordered or paged:
         out = out.orderBy("created_at", "id")
     if paged:
-        out = out.offset(filters.get("offset") or 0).limit(filters.get("limit") or 100)
+        out = out.offset(filters.get("offset") or 0)
+        out = out if filters.get("limit") is None else out.limit(filters["limit"])
     return out
 
 
@@ -69,9 +70,16 @@ def replay_progress(requests: DataFrame) -> DataFrame:
 
 
 def replay_request(
-    events: DataFrame, filters: Mapping[str, Any], requested_by: str | None = None, check: bool = True
+    events: DataFrame,
+    filters: Mapping[str, Any],
+    requested_by: str | None = None,
+    check: bool = True,
+    requested_at: Column | datetime | None = None,
 ) -> DataFrame:
-    """One PENDING request row; a filter that selects nothing is an error."""
+    """One PENDING request row; a filter that selects nothing is an error.
+
+    Its id names the filters, who asked and when, so the same filters asked for again are another request.
+    """
     if check and events.filter(replay_predicate(filters)).isEmpty():
         raise NoEventsToReplayError("No events match the given filters")
     named = {name: filters.get(name) for name in ("source", "event_type", "status", "from", "to")}
@@ -83,8 +91,11 @@ def replay_request(
         return column.cast(kinds.get(name, "string")).alias(f"filter_{name}")
 
     columns = [literal(name) for name in named]
+    asked = F.unix_micros(F.current_timestamp() if requested_at is None else instant(requested_at))
     return replay_preview(events, filters).select(
-        event_id(*[F.coalesce(c.cast("string"), F.lit("")) for c in columns]).alias("id"),
+        event_id(
+            *[F.coalesce(c.cast("string"), F.lit("")) for c in columns], F.lit(requested_by or ""), asked.cast("string")
+        ).alias("id"),
         *columns,
         "total_events",
         F.lit(0).cast("bigint").alias("replayed_events"),

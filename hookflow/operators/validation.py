@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from hookflow.functions import jsonvalue as J
-from hookflow.functions.schema_rules import ERROR_TYPE, schema_errors
-from hookflow.operators.config import choose
-from hookflow.session import config_rows, instant
+from hookflow.functions.schema_rules import ERROR_TYPE, schema_errors, unsupported
+from hookflow.operators.config import Dispatch, rules_in_use
+from hookflow.session import instant
+
+UNSUPPORTED = {"path": "/", "message": "schema is not supported", "keyword": "$schema"}
 
 
 def active_schemas(schemas: DataFrame) -> DataFrame:
@@ -48,26 +50,35 @@ def errors_json(errors: Column) -> Column:
 def validate_events(events: DataFrame, schemas: DataFrame) -> DataFrame:
     """Add ``validation_status``, ``validation_errors`` and ``reject_on_fail``.
 
-    The schemas in force are compiled into one projection, so validation reads each
-    event once and shuffles nothing. A parsed payload in ``_body`` is used as it is.
+    The schemas in force are compiled into one projection, equal ones once, so validation reads each
+    event once and shuffles nothing. A parsed payload in ``_body`` is used as it is. A schema that cannot be compiled touches only
+    the events it is for: they are INVALID with one error that says so, and are not rejected.
     """
-    rules: dict[tuple[str, str], Column] = {}
-    rejects: dict[tuple[str, str], Column] = {}
     in_force: dict[tuple[str, str], Row] = {}
-    for row in config_rows(schemas.filter("active")):
+    for row in rules_in_use(schemas.filter("active"), events):
         key = (row.source, row.event_type)
         if key not in in_force or row.version > in_force[key].version:
             in_force[key] = row
-    for key, row in in_force.items():
-        rules[key] = schema_errors(json.loads(row.schema), F.col("_body"))
-        rejects[key] = F.lit(bool(row.reject_on_fail))
-    source, kind = F.col("source"), F.col("event_type")
+    dispatch = Dispatch()
+    for (source, kind), row in in_force.items():
+        dispatch.add(source, kind, (row.schema, bool(row.reject_on_fail)))
+    broken = {text: reason for text, _ in dispatch.numbers if (reason := unsupported(text))}
+
+    def compiled(rule: tuple[str, bool]) -> Column:
+        text, _ = rule
+        if text not in broken:
+            return schema_errors(json.loads(text), F.col("_body"))
+        return F.from_json(F.lit(json.dumps([{**UNSUPPORTED, "params": json.dumps({"reason": broken[text]})}])), ERROR_TYPE)
+
+    rejecting = [n for (text, reject), n in dispatch.numbers.items() if reject and text not in broken]
+    kind = F.col("event_type")
     none = F.lit(None).cast(ERROR_TYPE)
     # The explode of one element keeps the rule columns in one place: a filter on the
     # status is not pushed below it, which would evaluate every rule a second time.
     parsed = events if "_body" in events.columns else events.withColumn("_body", J.parse(F.col("payload")))
-    found = F.explode(F.array(F.struct(choose(rules, source, kind, none).alias("errors"))))
-    checked = parsed.withColumn("_checked", found).withColumn("_errors", F.col("_checked.errors"))
+    number = dispatch.number(F.col("source"), kind)
+    found = F.explode(F.array(F.struct(dispatch.pick(F.col("_rule"), compiled, none).alias("errors"))))
+    checked = parsed.withColumn("_rule", number).withColumn("_checked", found).withColumn("_errors", F.col("_checked.errors"))
     status = (
         F.when(kind.isNull() | (kind == ""), F.lit("SKIPPED"))
         .when(F.col("_errors").isNull(), F.lit("NO_SCHEMA"))
@@ -78,9 +89,9 @@ def validate_events(events: DataFrame, schemas: DataFrame) -> DataFrame:
         {
             "validation_status": status,
             "validation_errors": errors_json(F.col("_errors")),
-            "reject_on_fail": choose(rejects, source, kind, F.lit(False)),
+            "reject_on_fail": F.coalesce(F.col("_rule").isin(rejecting), F.lit(False)),
         }
-    ).drop("_body", "_checked", "_errors")
+    ).drop("_body", "_rule", "_checked", "_errors")
 
 
 def validation_errors(events: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from hookflow.plans.registry import query
 from hookflow.plans.tables import Tables
 from hookflow.sources import csv_batch, external
 
-TTL = "case source when 'stripe' then 259200 when 'github' then 86400 when 'hubspot' then 259200 end"
+TTL = "case source when 'harbor' then 259200 when 'orchard' then 86400 when 'museum' then 259200 end"
 
 
 def greedy(rows: str) -> str:
@@ -37,7 +37,7 @@ def greedy(rows: str) -> str:
     )
 
 
-ENV_KEYED = f"select source, external_id, id, created_at, {TTL} as ttl from env where source <> 'shopify'"
+ENV_KEYED = f"select source, external_id, id, created_at, {TTL} as ttl from env where source <> 'ferry'"
 
 # --- ingest and sources -----------------------------------------------------------------
 
@@ -46,26 +46,26 @@ def raw_events(t: Tables) -> DataFrame:
     return t.checked_env.select("id", "source", "payload", F.col("created_at").alias("received_at"))
 
 
-# A refund fails its schema when the amount or the whole object is missing.
-REFUND_BAD = "(coalesce(checked_type, '') = 'charge.refunded' and (event_id % 5 = 0 or event_id % 2 = 0))"
-PAYMENT_BAD = "(checked_type = 'payment_intent.succeeded' and (event_id % 4 <= 1 or event_id % 3 = 0))"
+# A tank fails its schema without levels, and with one level alone.
+TANK_BAD = "(coalesce(checked_type, '') = 'tank.gauged' and (event_id % 5 = 0 or event_id % 2 = 0))"
+VESSEL_BAD = "(checked_type = 'vessel.moored' and (event_id % 4 <= 1 or event_id % 3 = 0))"
 CHECK_STATUS = (
     "case when checked_type is null then 'SKIPPED'"
-    " when source = 'stripe' and checked_type = 'payment_intent.succeeded' then"
-    f" case when {PAYMENT_BAD} then 'INVALID' else 'VALID' end"
-    " when source in ('stripe', 'github') and checked_type = 'charge.refunded' then"
-    f" case when {REFUND_BAD} then 'INVALID' else 'VALID' end else 'NO_SCHEMA' end"
+    " when source = 'harbor' and checked_type = 'vessel.moored' then"
+    f" case when {VESSEL_BAD} then 'INVALID' else 'VALID' end"
+    " when source in ('harbor', 'orchard') and checked_type = 'tank.gauged' then"
+    f" case when {TANK_BAD} then 'INVALID' else 'VALID' end else 'NO_SCHEMA' end"
 )
-REJECTED = f"(source = 'stripe' and {REFUND_BAD})"
+REJECTED = f"(source = 'harbor' and {TANK_BAD})"
 INGESTED = (
-    "select e.id, case when e.source <> 'shopify' then e.external_id end as external_id, e.source, e.checked_type as event_type,"
+    "select e.id, case when e.source <> 'ferry' then e.external_id end as external_id, e.source, e.checked_type as event_type,"
     f" 'RECEIVED' as status, {CHECK_STATUS} as validation_status, e.created_at from env e left join chain c on e.id = c.id"
-    f" where not {REJECTED} and (e.source = 'shopify' or c.id is not null)"
+    f" where not {REJECTED} and (e.source = 'ferry' or c.id is not null)"
 ).replace(" id, ", " e.id, ")
 
 
 def qualified(sql: str) -> str:
-    return sql.replace("source = 'stripe'", "e.source = 'stripe'").replace("source in (", "e.source in (")
+    return sql.replace("source = 'harbor'", "e.source = 'harbor'").replace("source in (", "e.source in (")
 
 
 ENVELOPE = ["id", "external_id", "source", "event_type", "status", "validation_status", "created_at"]
@@ -84,7 +84,7 @@ def _(t: Tables):
 @query(
     "ingest_outcomes",
     qualified(
-        f"select e.id, e.source, case when {REJECTED} then 'rejected' when e.source = 'shopify' or c.id is not null then 'accepted'"
+        f"select e.id, e.source, case when {REJECTED} then 'rejected' when e.source = 'ferry' or c.id is not null then 'accepted'"
         " else 'duplicate' end as outcome from env e left join chain c on e.id = c.id"
         f" union all select e.id, e.source, case when {REJECTED} then 'rejected' else 'duplicate' end from env e"
         " union all select 'b-' || e.id, e.source, 'unreadable' from env e"
@@ -236,7 +236,7 @@ def _(t: Tables):
 
 @query(
     "dedup_ttl",
-    "select e.id, e.source, e.external_id from env e left join chain c on e.id = c.id where e.source = 'shopify' or c.id is not null",
+    "select e.id, e.source, e.external_id from env e left join chain c on e.id = c.id where e.source = 'ferry' or c.id is not null",
     greedy(ENV_KEYED),
 )
 def _(t: Tables):
@@ -245,7 +245,7 @@ def _(t: Tables):
 
 @query(
     "dedup_repeated_rows",
-    "select e.id, e.source, e.external_id from env e left join chain c on e.id = c.id where e.source = 'shopify' or c.id is not null",
+    "select e.id, e.source, e.external_id from env e left join chain c on e.id = c.id where e.source = 'ferry' or c.id is not null",
     greedy(ENV_KEYED),
 )
 def _(t: Tables):
@@ -275,7 +275,7 @@ def _(t: Tables):
 
 @query(
     "dedup_hot_cold",
-    "select e.id, case when e.source = 'shopify' then 'accepted' when c.id is null then 'duplicate_hot'"
+    "select e.id, case when e.source = 'ferry' then 'accepted' when c.id is null then 'duplicate_hot'"
     " when f.id is null or s.external_id is not null then 'duplicate_cold' else 'accepted' end as outcome"
     " from env e left join chain c on e.id = c.id left join (select id from (select *, row_number() over"
     " (partition by source, external_id order by created_at, id) as rn from keyed) where rn = 1) f on e.id = f.id"
@@ -309,7 +309,7 @@ def _(t: Tables):
 
 @query(
     "resolve_transform",
-    "select id, case when source = 'stripe' then case when event_type = 'purchase' then event_type else '*' end end as transform_type from env",
+    "select id, case when source = 'harbor' then case when event_type = 'purchase' then event_type else '*' end end as transform_type from env",
 )
 def _(t: Tables):
     return routing.resolve_transform(t.env, t.transforms).select("id", "transform_type")
@@ -420,6 +420,42 @@ def _(t: Tables):
     return alerts.last_fired(t.rules, history(t)).select("id", "name", "last_fired_at", "last_message")
 
 
+@query("rule_history", "select id, metric_value, fired_at from history where alert_rule_id = 'a2' order by fired_at desc, id", HISTORY)
+def _(t: Tables):
+    return alerts.rule_history(history(t), "a2").select("id", "metric_value", "fired_at")
+
+
+@query(
+    "reconcile_sources",
+    "select source, count(*) as external_count, count(*) filter (where known) as matched_count, count(*) filter (where not known) as missing_count,"
+    " count(*) filter (where not known) as injected_count, null as failure from (select e.*, bool_or(status <> 'RECEIVED') over (partition by source,"
+    f" external_id) as known from env e) where created_at > {NOW} - interval 10 day and source <> 'museum' group by source"
+    " union all select 'museum', null, null, null, null, 'unreachable'",
+)
+def _(t: Tables):
+    """Each source against its own record of ten days; one of them cannot be read."""
+    from hookflow.streaming import jobs
+
+    as_of = t.env.agg(F.max("created_at")).first()[0]
+
+    def reader(name: str):
+        def read(start, end) -> DataFrame:
+            if name == "museum":
+                raise ConnectionError("unreachable")
+            rows = t.env.filter((F.col("source") == name) & (F.col("created_at") > start) & (F.col("created_at") <= end))
+            return rows.select("external_id", "event_type", "payload", F.col("created_at").alias("occurred_at"))
+
+        return read
+
+    names = ("harbor", "orchard", "ferry", "museum")
+    done, failed = jobs.reconcile_sources({name: reader(name) for name in names}, lambda: t.stored, lambda rows: None, as_of, 10 * 1440)
+    columns = ["source", "external_count", "matched_count", "missing_count", "injected_count"]
+    out = t.spark.createDataFrame(list(failed.items()), "source string, failure string")
+    for summary in done:
+        out = out.unionByName(summary.select(columns), allowMissingColumns=True)
+    return out.select(*columns, "failure")
+
+
 # --- delivery ---------------------------------------------------------------------------
 
 OUTCOMES = (
@@ -449,7 +485,7 @@ def _(t: Tables):
 @query(
     "plan_deliveries",
     "select e.id as event_id, r.id as route_id, r.method, r.target_url as url, r.timeout, 'application/json' as content_type,"
-    " case when r.id = 'r1' then 'billing' end as team from env e join routes r on " + ON_ROUTE,
+    " case when r.id = 'r1' then 'crane desk' end as team from env e join routes r on " + ON_ROUTE,
 )
 def _(t: Tables):
     plan = routing.plan_deliveries(t.orders_env, t.routes, t.transforms, t.as_of())
@@ -460,7 +496,7 @@ def _(t: Tables):
         "url",
         "timeout",
         F.element_at("headers", "Content-Type").alias("content_type"),
-        F.try_element_at("headers", F.lit("X-Team")).alias("team"),
+        F.try_element_at("headers", F.lit("X-Berth")).alias("team"),
     )
 
 
@@ -483,19 +519,20 @@ def _(t: Tables):
     return validation.validate_events(t.checked_env, t.schemas).select("id", "validation_status")
 
 
-PAYMENT = "source = 'stripe' and checked_type = 'payment_intent.succeeded'"
-REFUND = "source in ('stripe', 'github') and checked_type = 'charge.refunded'"
+VESSEL = "source = 'harbor' and checked_type = 'vessel.moored'"
+TANK = "source in ('harbor', 'orchard') and checked_type = 'tank.gauged'"
+# The texts of violations are fixed values.
 ERRORS = (
-    f"verrors as (select id, source, checked_type, created_at, '/data/object/amount' as path, 'must be number' as message, 'type' as keyword,"
-    f" '{{\"type\":\"number\"}}' as params from env where {PAYMENT} and event_id % 4 = 0"
-    " union all select id, source, checked_type, created_at, '/data/object/amount', 'must be >= 0', 'minimum',"
-    f" '{{\"comparison\":\">=\",\"limit\":0}}' from env where {PAYMENT} and event_id % 4 = 1"
-    " union all select id, source, checked_type, created_at, '/data/object/currency', 'must NOT have fewer than 3 characters', 'minLength',"
-    f" '{{\"limit\":3}}' from env where {PAYMENT} and event_id % 3 = 0"
-    " union all select id, source, checked_type, created_at, '/data', 'must have required property ''object''', 'required',"
-    f" '{{\"missingProperty\":\"object\"}}' from env where {REFUND} and event_id % 5 = 0"
-    " union all select id, source, checked_type, created_at, '/data/object', 'must have required property ''amount_refunded''', 'required',"
-    f" '{{\"missingProperty\":\"amount_refunded\"}}' from env where {REFUND} and event_id % 5 <> 0 and event_id % 2 = 0)"
+    f"verrors as (select id, source, checked_type, created_at, '/ship/draught_cm' as path, 'must be integer' as message, 'type' as keyword,"
+    f" '{{\"type\":\"integer\"}}' as params from env where {VESSEL} and event_id % 4 = 0"
+    " union all select id, source, checked_type, created_at, '/ship/draught_cm', 'must be > 0', 'exclusiveMinimum',"
+    f" '{{\"comparison\":\">\",\"limit\":0}}' from env where {VESSEL} and event_id % 4 = 1"
+    " union all select id, source, checked_type, created_at, '/ship/flag', 'must be equal to one of the allowed values', 'enum',"
+    f" '{{\"allowedValues\":[\"no\",\"pa\",\"mt\"]}}' from env where {VESSEL} and event_id % 3 = 0"
+    " union all select id, source, checked_type, created_at, '/', 'must have required property ''levels''', 'required',"
+    f" '{{\"missingProperty\":\"levels\"}}' from env where {TANK} and event_id % 5 = 0"
+    " union all select id, source, checked_type, created_at, '/levels', 'must NOT have fewer than 2 items', 'minItems',"
+    f" '{{\"limit\":2}}' from env where {TANK} and event_id % 5 <> 0 and event_id % 2 = 0)"
 )
 
 
@@ -506,22 +543,43 @@ def _(t: Tables):
 
 @query(
     "schema_predicates",
-    "select id, event_id % 4 <= 1 or event_id % 3 = 0 as broken from env where checked_type = 'payment_intent.succeeded'",
+    "select id, event_id % 4 <= 1 or event_id % 3 = 0 as broken from env where checked_type = 'vessel.moored'",
 )
 def _(t: Tables):
     import json
 
     from hookflow.functions.schema_rules import compile_schema
-    from hookflow.plans.tables import PAYMENT_SCHEMA
+    from hookflow.plans.tables import VESSEL_SCHEMA
 
-    rules = compile_schema(json.loads(PAYMENT_SCHEMA), F.col("_body"))
+    rules = compile_schema(json.loads(VESSEL_SCHEMA), F.col("_body"))
     broken = F.lit(False)
     for rule in rules:
         broken = broken | rule.isNotNull()
-    rows = t.checked_env.filter("event_type = 'payment_intent.succeeded'")
+    rows = t.checked_env.filter("event_type = 'vessel.moored'")
     return rows.withColumn("_body", J.parse(F.col("payload"))).select("id", broken.alias("broken"))
 
 
+@query(
+    "schema_predicates_items",
+    "select id, '/readings/' || i || case when k = 0 then '/unit' else '/value' end as path, case when k = 0 then 'enum' else 'anyOf' end as keyword"
+    " from (select id, event_id, unnest(range(3)) as i from env) cross join (values (0), (1)) v(k)"
+    " where (k = 0 and (event_id + i) % 4 = 0) or (k = 1 and (event_id + i) % 3 = 0)",
+)
+def _(t: Tables):
+    """Rules for the elements of an array: three readings of each event, of which some have a wrong unit or value."""
+    from hookflow.functions.schema_rules import schema_errors
+
+    reading = (
+        "concat('{\"unit\":\"', case when (event_id + {0}) % 4 = 0 then 'ell' else 'cm' end, '\",\"value\":',"
+        " case when (event_id + {0}) % 3 = 0 then 'true' when (event_id + {0}) % 3 = 1 then '7' else '\"low\"' end, '}}')"
+    )
+    body = F.concat(F.lit('{"readings":['), F.concat_ws(",", *(F.expr(reading.format(i)) for i in range(3))), F.lit("]}"))
+    value = {"anyOf": [{"type": "number"}, {"enum": ["low", "high"]}]}
+    schema = {"properties": {"readings": {"items": {"properties": {"unit": {"enum": ["cm", "m"]}, "value": value}}}}}
+    rows = t.env.select("id", F.explode(schema_errors(schema, J.parse(body))).alias("e")).select("id", "e.path", "e.keyword")
+    return rows.filter("not (path like '%/value' and keyword <> 'anyOf')")
+
+
 @query(
     "reject_split",
     f"select id, case when {REJECTED} then 'rejected' else 'accepted' end as side from env",
@@ -603,12 +661,12 @@ def _(t: Tables):
 @query(
     "upsert_sources",
     "select s.name, case when n.source is null then s.dedup_field end as dedup_field, n.n::int as rate_limit_max, s.active from sources s"
-    " left join (select source, count(*) as n from env where source <> 'hubspot' group by source) n on n.source = s.name"
-    " where n.source is not null union all select name, dedup_field, rate_limit_max, active from sources where name = 'hubspot'",
+    " left join (select source, count(*) as n from env where source <> 'museum' group by source) n on n.source = s.name"
+    " where n.source is not null union all select name, dedup_field, rate_limit_max, active from sources where name = 'museum'",
 )
 def _(t: Tables):
     """New limits from observed volume; settings the update leaves out become null."""
-    volume = t.env.filter("source <> 'hubspot'").groupBy(F.col("source").alias("name"))
+    volume = t.env.filter("source <> 'museum'").groupBy(F.col("source").alias("name"))
     updates = volume.agg(F.count(F.lit(1)).cast("int").alias("rate_limit_max"))
     merged = config.upsert_sources(t.sources, updates)
     return merged.select("name", "dedup_field", "rate_limit_max", "active")
@@ -617,7 +675,7 @@ def _(t: Tables):
 @query(
     "upsert_transforms",
     "select distinct source, event_type, '@event_type' as kind, true as active from env union all"
-    " select 'stripe', '*', null, true union all select 'github', '*', null, false",
+    " select 'harbor', '*', null, true union all select 'orchard', '*', null, false",
 )
 def _(t: Tables):
     """A mapping for every (source, type) seen: the exact one is replaced, the wildcards stay."""
@@ -631,11 +689,11 @@ def _(t: Tables):
 # --- replay -----------------------------------------------------------------------------
 
 FROM = "timestamp '2024-01-10 00:00:00'"
-REPLAY = f"source = 'stripe' and status = 'FAILED' and created_at >= {FROM} and created_at <= {NOW}"
+REPLAY = f"source = 'harbor' and status = 'FAILED' and created_at >= {FROM} and created_at <= {NOW}"
 
 
 def replay_filters(t: Tables, **more) -> dict:
-    return {"source": "stripe", "from": "2024-01-10 00:00:00", "to": t.as_of(), **more}
+    return {"source": "harbor", "from": "2024-01-10 00:00:00", "to": t.as_of(), **more}
 
 
 @query("replay_select", f"select id, created_at from env where {REPLAY} order by created_at, id")
@@ -648,7 +706,7 @@ def _(t: Tables):
     return replay.replay_preview(t.env, replay_filters(t, status="FAILED"))
 
 
-IN_RANGE = f"source = 'stripe' and created_at >= {FROM} and created_at <= {NOW}"
+IN_RANGE = f"source = 'harbor' and created_at >= {FROM} and created_at <= {NOW}"
 
 
 @query(
@@ -697,9 +755,40 @@ def _(t: Tables):
     return queued.select("event_id", "status", "queued_at")
 
 
+@query(
+    "replay_resumed",
+    f"select id, source, event_type, 'COMPLETED' as status, count(*) over () as replayed_events from env where {IN_RANGE} and status not in ('QUEUED', 'PROCESSING')",
+)
+def _(t: Tables):
+    """A replay that is cancelled after two chunks, fails in a later one, and goes on to the end."""
+    from hookflow.operators.replay_run import ReplayRunner
+    from hookflow.session import scratch_path
+
+    events = t.env.select("id", "source", "event_type", "status", "created_at")
+    as_of = events.agg(F.max("created_at")).first()[0]
+    filters = replay_filters(t) | {"to": as_of}
+    runner = ReplayRunner(t.spark, scratch_path(t.spark, "replay"), max(1, events.count() // 40))
+    request = runner.submit(events, filters, as_of, "me")
+    asked = iter([False, False, True])
+    runner.run(events, filters, request, as_of, cancelled=lambda: next(asked))
+
+    def lost(chunk: DataFrame) -> None:
+        raise ConnectionError("the receiver is gone")
+
+    try:
+        runner.run(events, filters, request, as_of, each=lost)
+    except ConnectionError:
+        runner.run(events, filters, request, as_of)
+    done = runner.requests().select("status", "replayed_events")
+    emitted = runner.emitted(request, "id string, source string, event_type string")
+    return emitted.withColumns(
+        {"status": done.select("status").scalar(), "replayed_events": done.select("replayed_events").scalar()}
+    )
+
+
 @query(
     "replay_request",
-    f"select 'stripe' as filter_source, 'FAILED' as filter_status, {FROM} as filter_from, count(*) as total_events,"
+    f"select 'harbor' as filter_source, 'FAILED' as filter_status, {FROM} as filter_from, count(*) as total_events,"
     f" 0::bigint as replayed_events, 'PENDING' as status from env where {REPLAY}",
 )
 def _(t: Tables):

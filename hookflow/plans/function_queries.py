@@ -31,7 +31,7 @@ def evaluated(t: Tables, **expressions: str):
     context = M.Context(F.col("id"), F.col("source"), F.col("event_type"), as_of)
     rows = t.orders_env.withColumn("_body", J.parse(F.col("payload")))
     return rows.select(
-        "id", *[F.to_json(M.compile_expression(e, F.col("_body"), context)).alias(n) for n, e in expressions.items()]
+        "id", *[J.json_text(M.compile_expression(e, F.col("_body"), context)).alias(n) for n, e in expressions.items()]
     )
 
 
@@ -43,25 +43,26 @@ CENTS = "cast(round(value * 100) as bigint)"
 AMOUNT = (
     f"case when {CENTS} % 100 = 0 then cast({CENTS} // 100 as varchar) else cast({CENTS} / 100.0::double as varchar) end"
 )
+# Fields come in the order of the stored object: shorter names first, then by bytes.
 EXACT_BODY = (
-    "concat('{\"item\":\"', event_type, '\",\"kind\":\"', event_type, '\",\"amount\":', "
-    f"{AMOUNT}, ',\"status\":\"pending\",\"currency\":\"USD\",\"order_id\":\"', upper(substr(concat('evt_', id), 5, 8)), '\"}}')"
+    "concat('{\"kind\":\"', event_type, '\",\"unit\":\"USD\",\"berth\":\"open sea\",\"cargo\":\"', event_type,"
+    f" '\",\"ticket\":\"', upper(substr(concat('evt_', id), 5, 8)), '\",\"tonnes\":', {AMOUNT}, '}}')"
 )
-WILD_BODY = "concat('{\"from\":\"', source, '\",\"event\":\"', id, '\",\"label\":\"', event_type, '\"}')"
+WILD_BODY = "concat('{\"log\":\"', id, '\",\"note\":\"', event_type, '\",\"port\":\"', source, '\"}')"
 BODY = (
-    f"case when source = 'stripe' and event_type = 'purchase' then {EXACT_BODY} when source = 'stripe' then {WILD_BODY}"
+    f"case when source = 'harbor' and event_type = 'purchase' then {EXACT_BODY} when source = 'harbor' then {WILD_BODY}"
     " else order_payload end"
 )
 
 
-@query("f_apply_mapping", f"select id, {BODY} as transformed, source = 'stripe' as has_transform from env")
+@query("f_apply_mapping", f"select id, {BODY} as transformed, source = 'harbor' as has_transform from env")
 def _(t: Tables):
     return transform.apply_mapping(t.orders_env, t.transforms, t.as_of()).select("id", "transformed", "has_transform")
 
 
 @query(
     "f_transform_preview",
-    f"select id, order_payload as original, {BODY} as transformed, source = 'stripe' as has_transform from env",
+    f"select id, order_payload as original, {BODY} as transformed, source = 'harbor' as has_transform from env",
 )
 def _(t: Tables):
     return transform.transform_preview(t.orders_env, t.transforms, t.as_of())
@@ -191,6 +192,40 @@ def _(t: Tables):
     return evaluated(t, mixed="mixed | toString", amount="amount | divide(100) | toString")
 
 
+# A number of cents times ten to a power from -10 to 25, read as a double. So few digits come back as they are; only their place is at issue.
+POWER = "(event_id % 36 - 10)"
+_TEXT = f"rtrim(cast({CENTS} as varchar), '0')"
+_POINT = f"cast(length(cast({CENTS} as varchar)) + {POWER} as int)"
+NUMBER_TEXT = (
+    f"case when {CENTS} = 0 then '0' when {_POINT} between length({_TEXT}) and 21 then rpad({_TEXT}, {_POINT}, '0')"
+    f" when {_POINT} between 1 and 21 then substr({_TEXT}, 1, {_POINT}) || '.' || substr({_TEXT}, {_POINT} + 1)"
+    f" when {_POINT} between -5 and 0 then '0.' || repeat('0', -{_POINT}) || {_TEXT}"
+    f" else substr({_TEXT}, 1, 1) || case when length({_TEXT}) > 1 then '.' || substr({_TEXT}, 2) else '' end"
+    f" || case when {_POINT} > 0 then 'e+' else 'e-' end || cast(abs({_POINT} - 1) as varchar) end"
+)
+
+
+@query("f_number_text", f"select id, {NUMBER_TEXT} as plain, '[' || {NUMBER_TEXT} || ']' as message from env")
+def _(t: Tables):
+    number = F.expr(f"cast(concat(cast({CENTS} as string), 'E', cast({POWER} as string)) as double)")
+    rows = t.env.withColumn("n", number)
+    value = J.text(F.col("n").cast("variant"))
+    return rows.select("id", scalars.js_number_text(F.col("n")).alias("plain"), F.concat(F.lit("["), value, F.lit("]")).alias("message"))
+
+
+@query(
+    "f_deep_array_text",
+    "select id, user_id || ',' || event_type || ',,[object Object],a,[\"]{,,true' as deep from env",
+)
+def _(t: Tables):
+    """Ten arrays deep, with objects, empty arrays, nulls, and strings that hold marks."""
+    body = F.concat(
+        F.lit("[[[[[[[[[["), F.col("user_id").cast("string"), F.lit("],[\""), F.col("event_type"),
+        F.lit('"]]]]],null,{"a":[1,{"b":[2]}]},["a,[\\"]{"]]],[[]],true]]]'),
+    )
+    return t.env.select("id", J.text(J.parse(body)).alias("deep"))
+
+
 @query(
     "f_to_number",
     f"select id, {mixed({2: repr('null'), 3: repr('0'), 4: repr('null')})} as mixed, '12.5' as padded from env",

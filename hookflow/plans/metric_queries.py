@@ -235,7 +235,7 @@ def _(t: Tables):
 
 
 @query(
-    "stuck_queued_all",
+    "stuck_queued_oldest",
     f"select id, queued_at from env where status = 'QUEUED' and coalesce(queued_at, created_at) < {NOW} - interval 5 minute"
     " order by created_at, id limit 100",
 )
@@ -256,14 +256,42 @@ def _(t: Tables):
     return lookups.stuck_queued(t.env, t.as_of()).select("id", "queued_at")
 
 
+@query("events_by_status_all", "select id, source, created_at from env where status = 'FAILED'")
+def _(t: Tables):
+    return lookups.events_by_status(t.env, "FAILED", None).select("id", "source", "created_at")
+
+
+@query("deliveries_by_route_all", "select id, event_id, status from deliveries where route_id = 'r2'")
+def _(t: Tables):
+    return lookups.deliveries_by_route(t.deliveries, "r2", None).select("id", "event_id", "status")
+
+
+@query("pending_deliveries_all", "select id, event_id, route_id from deliveries where status = 'PENDING'")
+def _(t: Tables):
+    return lookups.pending_deliveries(t.deliveries, None).select("id", "event_id", "route_id")
+
+
+@query("dlq_list_all", "select id, source, failed_at from env where status = 'DEAD'")
+def _(t: Tables):
+    return lookups.dlq_list(t.env, limit=None).select("id", "source", "failed_at")
+
+
+@query(
+    "dlq_by_error_all",
+    "select coalesce(last_error, 'unknown') as error, count(*) as count from env where status = 'DEAD' group by last_error",
+)
+def _(t: Tables):
+    return metrics.dlq_by_error(t.env, None)
+
+
 @query(
     "dlq_list",
-    "select id, source, failed_at, (select count(*) from env where status = 'DEAD' and source = 'stripe') as total from env"
-    " where status = 'DEAD' and source = 'stripe' order by failed_at desc, id limit 50 offset 20",
+    "select id, source, failed_at, (select count(*) from env where status = 'DEAD' and source = 'harbor') as total from env"
+    " where status = 'DEAD' and source = 'harbor' order by failed_at desc, id limit 50 offset 20",
 )
 def _(t: Tables):
-    page = lookups.dlq_list(t.env, source="stripe", offset=20)
-    return page.select("id", "source", "failed_at", lookups.dlq_total(t.env, source="stripe").scalar().alias("total"))
+    page = lookups.dlq_list(t.env, source="harbor", offset=20)
+    return page.select("id", "source", "failed_at", lookups.dlq_total(t.env, source="harbor").scalar().alias("total"))
 
 
 @query(
@@ -325,12 +353,12 @@ def _(t: Tables):
 
 @query("top_k_newest", "select id, created_at from env order by created_at desc, id limit 500")
 def _(t: Tables):
-    return t.env.orderBy(F.desc("created_at"), "id").limit(500).select("id", "created_at")
+    return lookups.newest_events(t.env, 500).select("id", "created_at")
 
 
 @query("page_oldest", "select id, created_at from env order by created_at, id limit 100 offset 200")
 def _(t: Tables):
-    return t.env.orderBy("created_at", "id").offset(200).limit(100).select("id", "created_at")
+    return lookups.oldest_page(t.env, 100, 200).select("id", "created_at")
 
 
 @query(
@@ -338,5 +366,4 @@ def _(t: Tables):
     "select source, max(created_at) as created_at, arg_max(id, (created_at, id)) as id from env group by source",
 )
 def _(t: Tables):
-    newest = F.max(F.struct("created_at", "id")).alias("n")
-    return t.env.groupBy("source").agg(newest).select("source", "n.created_at", "n.id")
+    return lookups.newest_per_source(t.env)

@@ -53,7 +53,7 @@ def _(t: Tables):
 
 @query(
     "stream_dedup",
-    "select e.id, e.source from env e left join chain c on e.id = c.id where e.source = 'shopify' or c.id is not null",
+    "select e.id, e.source from env e left join chain c on e.id = c.id where e.source = 'ferry' or c.id is not null",
     flow.greedy(flow.ENV_KEYED),
 )
 def _(t: Tables):
@@ -61,6 +61,25 @@ def _(t: Tables):
     return drained(t, jobs.stream_dedup(stream, t.sources), "deduped").select("id", "source")
 
 
+@query(
+    "stream_dedup_files",
+    "select e.id, e.source from env e left join chain c on e.id = c.id where e.source = 'ferry' or c.id is not null",
+    flow.greedy(flow.ENV_KEYED),
+)
+def _(t: Tables):
+    """The events in four files by time, a micro-batch each: windows stay open from one batch to the next."""
+    folder = scratch_path(t.spark, "slices")
+    rows = t.env.select("id", "source", "external_id", "created_at")
+    first, last = rows.select(F.min("created_at"), F.max("created_at")).first()
+    step = (last - first) / 4
+    for i in range(4):
+        after = F.lit(True) if i == 0 else F.col("created_at") > first + step * i
+        until = F.lit(True) if i == 3 else F.col("created_at") <= first + step * (i + 1)
+        rows.filter(after & until).coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return drained(t, jobs.stream_dedup(stream, t.sources), "deduped").select("id", "source")
+
+
 ROLLING = (
     "select window_start, window_start + interval 1 day as window_end, source, count(*) as total, count(*) filter (where failed) as failed,"
     f" {rnd('count(*) / 86400.0', 2)} as per_second, {rnd('count(*) filter (where failed) / count(*)::double * 100', 2)} as error_rate from"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from datetime import datetime
@@ -9,6 +10,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+# State of streams by key lies on disk, beside the task that owns it.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Driver-side reads of configuration tables stop here; event-sized data never goes this way.
 MAX_CONFIG_ROWS = 10_000
 # Narrow key rows (tens of bytes each) that may be sent to every executor.
@@ -25,6 +29,7 @@ def build_session(app: str = "hookflow", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         # Materialised intermediate results go once nothing refers to them any more.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(STATE_STORE, ROCKSDB)
         # Call-site capture costs a round trip per column expression; compiled rules have many.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -38,8 +43,8 @@ def build_session(app: str = "hookflow", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the session names none (unit tests on one machine) a new temporary
-    folder is made and set.
+    Only where driver and executors are one process, as in tests, a temporary folder stands in for it. On a cluster
+    without the setting there is no folder that all could read, and that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -48,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hookflow-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

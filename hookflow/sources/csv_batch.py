@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hookflow.session import cut_lineage
+from hookflow.session import broadcast_if_small, cut_lineage, stored_once
 
 CHUNK_SIZE = 500
 POSITION = ["_file", "_block", "_row"]
@@ -75,19 +75,42 @@ def with_row_number(rows: DataFrame, order_by: list[str | Column], name: str = "
     return numbered.drop("_p", "_m", "_start")
 
 
+def numbered_in_place(rows: DataFrame, name: str = "row_number") -> DataFrame:
+    """0-based position of rows in file order (``POSITION``), without a sort.
+
+    A split of a file is read by one task in order, so its rows carry consecutive numbers; they are written once, which pins
+    them. What is summed over splits is one row for each. Only where rows were dropped after the numbering, which leaves gaps,
+    are the rows of each split counted anew, split by split.
+    """
+    rows = stored_once(rows, "csv")
+    split = ["_file", "_block"]
+    sizes = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("_first"), F.max("_row").alias("_last"))
+    sizes = stored_once(sizes, "splits")
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*split, "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    if not sizes.filter("_last - _first + 1 <> n").isEmpty():
+        inside = Window.partitionBy(*split).orderBy("_row")
+        rows = rows.withColumn("_row", F.row_number().over(inside))
+        starts = starts.withColumn("_first", F.lit(1))
+    joined = rows.join(broadcast_if_small(starts), split)
+    return joined.withColumn(name, F.col("_start") + F.col("_row") - F.col("_first")).drop("_start", "_first")
+
+
 def csv_chunks(rows: DataFrame, order_by: list[str | Column], size: int = CHUNK_SIZE) -> DataFrame:
     """Chunks of ``size`` rows in order: ``chunk_index`` (0-based), ``rows`` and ``total_rows``.
 
-    Every row is a map from column name to text.
+    Every row is a map from column name to text. In file order (``POSITION``) rows are numbered in place, in any other by a sort.
     """
     names = [c for c in rows.columns if c not in POSITION]
     pairs = [part for c in names for part in (F.lit(c), F.col(f"`{c}`").cast("string"))]
     row = F.struct(F.col("row_number").alias("n"), F.create_map(*pairs).alias("row"))
+    # Ordered by number, which no two rows share, so the maps are never compared.
     gathered = F.array_sort(
         F.collect_list(row), lambda a, b: (a["n"] - b["n"]).cast("int")
     )
+    numbered = numbered_in_place(rows) if order_by == POSITION else with_row_number(rows, order_by)
     return (
-        with_row_number(rows, order_by)
+        numbered
         .groupBy(F.floor(F.col("row_number") / size).alias("chunk_index"))
         .agg(F.transform(gathered, lambda r: r["row"]).alias("rows"), F.count(F.lit(1)).alias("total_rows"))
     )

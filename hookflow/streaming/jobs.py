@@ -1,37 +1,40 @@
 """Continuous twins of the batch operators, on Structured Streaming.
 
 Batch logic is reused inside ``foreachBatch``; the checkpoint is the write-ahead log,
-and deterministic ids make a repeated micro-batch harmless.
+and a micro-batch that is repeated writes over what it wrote before.
 """
 
 from __future__ import annotations
 
+import hashlib
 import logging
+import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime, timedelta
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from hookflow.functions.scalars import js_round, parse_window
 from hookflow.model import ALERT_HISTORY, ERROR_STATUSES
 from hookflow.operators.alerts import evaluate_alerts, fired_rows
 from hookflow.operators.dedup import append_events
 from hookflow.operators.ingest import ingest_events
+from hookflow.operators.keyindex import BUCKETS, KeyIndex
 from hookflow.operators.reconcile import reconcile_inject, reconcile_missing, reconcile_summary
 from hookflow.operators.routing import plan_deliveries
-from hookflow.session import cut_lineage
+from hookflow.session import ROCKSDB, STATE_STORE, cut_lineage
 
 log = logging.getLogger(__name__)
 
 Trigger = Mapping[str, object]
 ONCE: Trigger = {"availableNow": True}
 DATE_COLUMN = "created_date"
+BATCH_COLUMN = "stored_by"
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: Trigger) -> StreamingQuery:
@@ -39,23 +42,34 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
     return writer.trigger(**trigger).start()
 
 
-def append_to_store(rows: DataFrame, path: str) -> None:
-    """Append a batch of events to the stored table, skipping conflicts, partitioned by creation day.
+def append_to_store(rows: DataFrame, path: str, stored_by: str | None = None, buckets: int = BUCKETS) -> None:
+    """Append a batch of events to the stored table, skipping conflicts, partitioned by creation day and batch.
 
-    The batch is kept for its several uses; lost blocks are recomputed from its source.
+    Conflicts are looked up in the key index beside the store. ``stored_by`` names the batch: run again under its name, it replaces what it
+    stored before. The batch is kept for its several uses; lost blocks are recomputed from its source.
     """
     spark = rows.sparkSession
+    stored_by = stored_by or f"load-{uuid.uuid4().hex}"
+    index = KeyIndex(spark, path, buckets)
     rows = rows.persist()
     try:
-        rows.limit(0).withColumn(DATE_COLUMN, F.to_date("created_at")).write.mode("ignore").parquet(path)
-        stored = spark.read.schema(rows.schema).parquet(path)
-        fresh = append_events(rows, stored, small_batch=True).withColumn(DATE_COLUMN, F.to_date("created_at"))
+        fresh = append_events(rows, index.known(rows, stored_by), small_batch=True)
+        dated = fresh.withColumns({DATE_COLUMN: F.to_date("created_at"), BATCH_COLUMN: F.lit(stored_by)})
+        rows.limit(0).withColumns({DATE_COLUMN: F.to_date("created_at"), BATCH_COLUMN: F.lit("")}).write.mode("ignore").parquet(path)
         # Rebalancing gives each day files of a sensible size and splits a day that holds most rows.
-        fresh.hint("rebalance", DATE_COLUMN).write.mode("append").partitionBy(DATE_COLUMN).parquet(path)
+        writer = dated.hint("rebalance", DATE_COLUMN).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(DATE_COLUMN, BATCH_COLUMN).parquet(path)
+        own = spark.read.schema(dated.schema).parquet(path).filter(F.col(BATCH_COLUMN) == stored_by)
+        index.add(own, stored_by)
     finally:
         rows.unpersist()
 
 
+def batch_name(checkpoint: str, number: int) -> str:
+    """A name for a micro-batch that is the same whenever it is run again, and no other's."""
+    return f"batch-{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{number}"
+
+
 def stream_ingest(
     stream: DataFrame,
     path: str,
@@ -70,75 +84,82 @@ def stream_ingest(
     Batch size follows the source's own limits (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
 
-    def each(batch: DataFrame, _: int) -> None:
-        append_to_store(ingest_events(batch, sources, schemas, parity), path)
+    def each(batch: DataFrame, number: int) -> None:
+        append_to_store(ingest_events(batch, sources, schemas, parity), path, batch_name(checkpoint, number))
 
     return _start(stream, each, checkpoint, trigger)
 
 
-STATE = "keys array<string>, untils array<bigint>"
-BUCKETS = 1024
-
-
-def _accept(_: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Greedy time-to-live rule for one bucket of keys; state is the window end per open key (microseconds)."""
-    watermark = state.getCurrentWatermarkMs() * 1000
-    open_until = dict(zip(*state.get, strict=True)) if state.exists else {}
-    open_until = {key: until for key, until in open_until.items() if until > watermark}
-    rows = None if state.hasTimedOut else pd.concat(frames, ignore_index=True)
-    if rows is not None and len(rows):
-        rows = rows.sort_values(["_key", "created_at", "id"], kind="stable", ignore_index=True)
-        times = rows["created_at"].to_numpy().astype("datetime64[us]").astype("int64")
-        names = rows["_key"].to_numpy()
-        windows = rows["_ttl"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-        kept = []
-        for start, end in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
-            own, key = times[start:end], names[start]
-            at = int(own.searchsorted(open_until[key])) if key in open_until else 0
-            while at < len(own):
-                kept.append(start + at)
-                open_until[key] = int(own[at]) + int(windows[start]) * 1_000_000
-                at = int(own.searchsorted(open_until[key]))
-        if kept:
-            yield rows.iloc[kept].drop(columns=["_ttl", "_key", "_bucket"])
-    still_open = {key: until for key, until in open_until.items() if until > watermark}
-    if still_open:
-        state.update((list(still_open), list(still_open.values())))
-        state.setTimeoutTimestamp(-(-max(still_open.values()) // 1000) + 1)
-    elif state.exists:
-        state.remove()
+WINDOWS = "starts array<bigint>, touched bigint"
+
+
+class _OpenWindows(StatefulProcessor):
+    """The greedy time-to-live rule for one key. Its state is the starts of the accepted windows that a row may still fall into
+    (microseconds), and the clock of its last change; one timer drops it."""
+
+    def __init__(self, columns: list[str], late: int, idle: int):
+        self.columns, self.late, self.idle = columns, late, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.windows = handle.getValueState("windows", WINDOWS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.windows.get() if self.windows.exists() else None
+        starts = list(known[0]) if known else []
+        changed, ttl = False, 0
+        for row in sorted(rows, key=lambda r: (r["_at"], r["id"] is None, r["id"])):
+            at, ttl = row["_at"], row["_ttl"]
+            place = bisect_right(starts, at)
+            if place and at < starts[place - 1] + ttl:
+                continue
+            starts.insert(place, at)
+            changed = True
+            yield Row(*(row[c] for c in self.columns))
+        if changed:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            oldest = starts[-1] - self.late
+            self.windows.update(([s for s in starts if s + ttl > oldest], now))
+            if not known:
+                self.handle.registerTimer(now + ttl // 1000 + self.idle)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        # The timer was set when the key was new; a key that has been busy since gets as long again from its last change.
+        due = self.windows.get()[1] + self.idle if self.windows.exists() else now
+        if due > now:
+            self.handle.registerTimer(due)
+        else:
+            self.windows.clear()
+        return iter(())
 
 
 def stream_dedup(
-    stream: DataFrame, sources: DataFrame, late: str = "10 minutes", buckets: int = BUCKETS
+    stream: DataFrame, sources: DataFrame, late: timedelta = timedelta(minutes=10), idle: timedelta = timedelta(days=3)
 ) -> DataFrame:
-    """The time-to-live rule on a stream, with state per hash bucket of (source, external id).
+    """The time-to-live rule on a stream, with one state value and one timer for each (source, external id).
+
+    No row is lost for being late: a row inside an accepted window of its key is a repeat, any other is kept. Rows up to ``late``
+    older than the key's newest accepted one are held against all windows they may fall into; of still older ones only those windows that
+    are open then. Rows of one micro-batch are taken in order of time, then id, so a stream in order gives what the batch rule gives.
 
-    Buckets spread the call and state cost over many keys; choose them as a multiple of
-    the cluster's cores (a later change needs a new checkpoint). A key's state is dropped
-    once the watermark has passed its window. Rows that take no part in deduplication
-    bypass the stateful step. The rows of one bucket in one micro-batch meet in one task,
-    so the source's trigger limit bounds that group.
+    A key's state goes when the key has accepted nothing for ``idle`` beyond its window, by the clock of the cluster, as a replayed stream
+    may run at any pace. State lives in RocksDB, so open keys need not fit in memory. Rows that take no part in deduplication bypass the
+    stateful step. The rows of one key in one micro-batch meet in one task; the source's trigger limit bounds them.
     """
+    spark = stream.sparkSession
+    spark.conf.set(STATE_STORE, ROCKSDB)
     ttl = parse_window(F.coalesce("dedup_window", F.lit("72h")))
     settings = sources.filter(F.nullif("dedup_field", F.lit("")).isNotNull()).select(
-        F.col("name").alias("source"), ttl.alias("_ttl")
+        F.col("name").alias("source"), (ttl * 1_000_000).cast("bigint").alias("_ttl")
     )
     maps = {f.name: f.dataType for f in stream.schema if isinstance(f.dataType, T.MapType)}
     flat = stream.withColumns({name: F.to_json(name) for name in maps}) if maps else stream
-    marked = flat.withWatermark("created_at", late).join(settings.filter("_ttl > 0"), "source", "left")
+    marked = flat.join(settings.filter("_ttl > 0"), "source", "left").select(*flat.columns, "_ttl")
     takes_part = F.col("_ttl").isNotNull() & F.col("external_id").isNotNull()
-    schema = T.StructType([f for f in marked.schema if f.name != "_ttl"])
-    keyed = marked.filter(takes_part).withColumns(
-        {
-            "_key": F.concat_ws("\u001f", "source", "external_id"),
-            "_bucket": F.pmod(F.hash("source", "external_id"), F.lit(buckets)),
-        }
-    )
-    kept = keyed.groupBy("_bucket").applyInPandasWithState(
-        _accept, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    keyed = marked.filter(takes_part).withColumn("_at", F.unix_micros("created_at"))
+    rule = _OpenWindows(flat.columns, int(late.total_seconds() * 1_000_000), int(idle.total_seconds() * 1000))
+    kept = keyed.groupBy("source", "external_id").transformWithState(rule, flat.schema, "append", "ProcessingTime")
     out = kept.unionByName(marked.filter(~takes_part).drop("_ttl"))
     return out.withColumns({name: F.from_json(name, kind) for name, kind in maps.items()}) if maps else out
 
@@ -230,13 +251,13 @@ def stream_reconcile(
     ``external`` carries source, external_id, event_type, payload and occurred_at.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(path)
-        rows = reconcile_inject(reconcile_missing(batch, stored), F.current_timestamp())
+    def each(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, batch_name(checkpoint, number)
+        names = [c for c in spark.read.parquet(path).columns if c not in (DATE_COLUMN, BATCH_COLUMN)]
+        known = KeyIndex(spark, path).known(batch.withColumn("id", F.lit(None).cast("string")), name)
+        rows = reconcile_inject(reconcile_missing(batch, known), F.current_timestamp())
         rows = rows.withColumn("created_at", F.col("occurred_at")).drop("occurred_at")
-        names = [c for c in stored.columns if c != DATE_COLUMN]
-        append_to_store(rows.select(*[c for c in names if c in rows.columns]), path)
+        append_to_store(rows.select(*[c for c in names if c in rows.columns]), path, name)
 
     return _start(external, each, checkpoint, trigger)
 

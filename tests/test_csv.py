@@ -4,7 +4,7 @@ import pytest
 
 from hookflow.session import scratch_path
 from hookflow.sources import csv_batch_stats, csv_chunks, ingest_csv
-from hookflow.sources.csv_batch import POSITION
+from hookflow.sources.csv_batch import POSITION, numbered_in_place
 
 
 def write(tmp_path, text, name="in.csv"):
@@ -52,6 +52,30 @@ def test_file_order_survives_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_file_order_needs_no_sort(spark, tmp_path):
+    """Several files in several splits, with and without rows dropped after they were numbered."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        folder = tmp_path / "many"
+        folder.mkdir()
+        for part in range(3):
+            write(folder, "id,v\n" + "".join(f"{part}-{i},{'x' * 50}\n" for i in range(1000)), f"{part}.csv")
+        rows = ingest_csv(spark, str(folder), position=True)
+        numbered = numbered_in_place(rows)
+        text = numbered._jdf.queryExecution().executedPlan().toString()
+        # What is sorted has a row for each split.
+        assert text.count("Sort [") == 1 and "rangepartitioning" not in text and "Exchange hashpartitioning" not in text
+        want = [f"{part}-{i}" for part in range(3) for i in range(1000)]
+        assert {r.id: r.row_number for r in numbered.collect()} == {name: n for n, name in enumerate(want)}
+        dropped = rows.filter("not id like '%7'")
+        kept = [name for name in want if not name.endswith("7")]
+        assert {r.id: r.row_number for r in numbered_in_place(dropped).collect()} == {name: n for n, name in enumerate(kept)}
+        got = [r["id"] for c in csv_chunks(dropped, POSITION, 700).orderBy("chunk_index").collect() for r in c.rows]
+        assert got == kept
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_row_hook_and_round_trip(spark, tmp_path):
     path = scratch_path(spark, "csv")
     spark.range(5).selectExpr("id", "concat('n', id) as name").write.csv(path, header=True)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from hookflow.operators import alerts, config, delivery, lifecycle, lookups, metrics, reconcile, replay, routing, transform
 from hookflow.operators.ingest import rate_limit_breaches
+from hookflow.operators.replay_run import ReplayRunner
+from hookflow.session import scratch_path
 
 T0 = datetime(2024, 1, 1)
 ROUTE = (
@@ -211,6 +213,42 @@ def test_discard(table):
     assert lifecycle.dlq_discard(rows, ids, T0, strict=False).count() == 2
 
 
+def test_replay_resumes(table, spark):
+    """Cancelled, failed and resumed: progress is kept, nothing is emitted twice, the counters follow the ledger."""
+    layout = "id string, source string, event_type string, status string, created_at timestamp"
+    rows = [(f"{i:03d}", "s", "t", "QUEUED" if i % 7 == 0 else "FAILED", T0 + timedelta(minutes=i // 3)) for i in range(60)]
+    events = table(rows, layout)
+    want = [r[0] for r in rows if r[3] == "FAILED"]
+    runner = ReplayRunner(spark, scratch_path(spark, "replay"), 10)
+    request = runner.submit(events, {"source": "s"}, T0, "me")
+    assert runner.submit(events, {"source": "s"}, T0, "you") != request != runner.submit(events, {"source": "s"}, T0 + timedelta(1), "me")
+    state = lambda: next((r.status, r.replayed_events, r.total_events) for r in runner.requests().collect() if r.id == request)
+    assert state() == ("PENDING", 0, 60)
+    asked = iter([False, True])
+    assert runner.run(events, {"source": "s"}, request, T0, cancelled=lambda: next(asked)) == "CANCELLED"
+    status, first, _ = state()
+    assert status == "CANCELLED" and 0 < first < len(want)
+    handed = []
+
+    def each(chunk):
+        handed.append(sorted(r.id for r in chunk.collect()))
+        if len(handed) == 2:
+            raise ConnectionError
+
+    with pytest.raises(ConnectionError):
+        runner.run(events, {"source": "s"}, request, T0, each=each)
+    status, second, _ = state()
+    assert status == "PENDING" and first < second < len(want)
+    emitted = lambda: sorted(r.id for r in runner.emitted(request, "id string").collect())
+    assert emitted() == want[:second]
+    assert runner.run(events, {"source": "s"}, request, T0, each=each) == "COMPLETED"
+    assert handed[1] == handed[2] and state() == ("COMPLETED", len(want), 60) and emitted() == want
+    assert runner.run(events, {"source": "s"}, request, T0, each=each) == "COMPLETED" and emitted() == want
+    assert sorted(r.event_id for r in runner.queued(request, T0).collect()) == want
+    with pytest.raises(replay.NoEventsToReplayError):
+        runner.submit(events, {"source": "none"}, T0)
+
+
 def test_replay(table):
     rows = state(table, [("1", "s", "FAILED", None, at(0)), ("2", "s", "QUEUED", None, at(5)), ("3", "s", "DEAD", None, at(10)), ("4", "x", "DEAD", None, at(10))])
     window = {"source": "s", "from": at(0), "to": at(10)}
@@ -279,7 +317,7 @@ def test_alert_counts_come_from_one_scan(spark):
 def test_configuration(table):
     schemas = table([("s", "t", 1, "{}", True, False), ("s", "t", 2, "{}", True, True), ("x", "t", 1, "{}", False, True)],
                     "source string, event_type string, version int, schema string, reject_on_fail boolean, active boolean")
-    new = table([("s", "t", "{1}"), ("n", "t", "{2}")], "source string, event_type string, schema string")
+    new = table([("s", "t", '{"type":"object"}'), ("n", "t", '{"type":"array"}')], "source string, event_type string, schema string")
     got = sorted((r.source, r.version, r.active) for r in config.publish_schema(schemas, new).collect())
     assert got == [("n", 1, True), ("s", 1, False), ("s", 2, False), ("s", 3, True), ("x", 1, True)]
     transforms = table([("s", "t", {"a": "b"}, False), ("x", "t", {"a": "b"}, True)], "source string, event_type string, mapping map<string,string>, active boolean")

@@ -8,8 +8,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from hookflow.operators import dedup, lookups, metrics, replay, transform
+from hookflow.operators import dedup, keyindex, lookups, metrics, reconcile, replay, transform
 from hookflow.plans.tables import Tables
+from hookflow.session import scratch_path
 
 AS_OF = "2024-01-30 00:00:00"
 
@@ -72,6 +73,36 @@ def test_hot_keys_are_never_gathered(t):
     assert windows and all("cell" in line for line in windows)
 
 
+def shuffled_scans(text: str) -> list[str]:
+    """Lines of scans that stand under an exchange with nothing but projections and filters between."""
+    lines, found = text.splitlines(), []
+    for i, line in enumerate(lines):
+        if "FileScan" in line:
+            above = next((x for x in reversed(lines[:i]) if not re.search("Project|Filter|ColumnarToRow|InputAdapter", x)), "")
+            if "Exchange hashpartitioning" in above:
+                found.append(line)
+    return found
+
+
+def test_a_short_reconciliation_does_not_shuffle_the_store(t, spark):
+    external = spark.createDataFrame([("harbor", f"x{i}", "t", "{}") for i in range(50)], "source string, external_id string, event_type string, payload string")
+    for df in (reconcile.reconcile_missing(external, t.stored), reconcile.reconcile_matched(external, t.stored), reconcile.reconcile_summary(external, t.stored)):
+        text = plan(df)
+        assert "BroadcastHashJoin" in text and not shuffled_scans(text)
+
+
+def test_a_batch_reads_its_buckets_of_the_index_only(t, spark):
+    index = keyindex.KeyIndex(spark, scratch_path(spark, "store"), buckets=16)
+    index.add(t.stored, "load")
+    assert len({r.bucket for r in index.read().select("bucket").distinct().collect()}) == 16
+    batch = t.stored.limit(2)
+    known = index.known(batch)
+    text = plan(known)
+    listed = re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(([\d,]+)\)", text)
+    assert listed and len(listed.group(1).split(",")) <= 4 and not shuffled_scans(text)
+    assert known.filter("external_id is not null").distinct().count() == batch.select("source", "external_id").distinct().count()
+
+
 def test_percentiles_collect_nothing(t):
     text = plan(metrics.latency_by_source(t.env, sample=None))
     assert "collect_list" not in text and "percentile" not in text

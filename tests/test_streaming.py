@@ -44,16 +44,81 @@ def sample(n=200, seed=7):
     return rows
 
 
-@pytest.mark.parametrize("buckets", [1, 64])
-def test_stream_dedup_equals_batch(spark, table, folder, buckets):
+SOURCES = "name string, dedup_field string, dedup_window string"
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_stream_dedup_equals_batch(spark, table, folder, files):
     rows = sample()
-    sources = table([("s", "id", "60s"), ("open", None, None)], "name string, dedup_field string, dedup_window string")
-    stream = split_files(spark, rows, LAYOUT, folder("in"))
-    got = drain(spark, jobs.stream_dedup(stream, sources, buckets=buckets), folder("out"))
+    sources = table([("s", "id", "60s"), ("open", None, None)], SOURCES)
+    stream = split_files(spark, rows, LAYOUT, folder("in"), files)
+    got = drain(spark, jobs.stream_dedup(stream, sources), folder("out"))
     want = dedup.dedup_ttl(table(rows, LAYOUT), sources)
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
 
 
+def test_late_rows_are_held_against_windows_and_never_lost(spark, table, folder):
+    """Five micro-batches; the later ones hold rows long before what was seen."""
+    at = [1000, 1030, 5000, 10, 4990, 1059, 1060, 20, 900, 5059]
+    keys = ["k", "k", "k", "new", "k", "k", "k", "new", "k", "k"]
+    rows = [(str(i), "s", key, "DEAD", T0 + timedelta(seconds=t)) for i, (t, key) in enumerate(zip(at, keys, strict=True))]
+    sources = table([("s", "id", "60s")], SOURCES)
+    stream = split_files(spark, rows, LAYOUT, folder("in"), files=5)
+    got = drain(spark, jobs.stream_dedup(stream, sources, late=timedelta(days=1)), folder("out"))
+    # 1: inside 1000's window; 5: too, though 5000 came since; 7: inside 10's; 9: inside 5000's. 4 and 8 come before the windows near them.
+    assert sorted(r.id for r in got.collect()) == ["0", "2", "3", "4", "6", "8"]
+    short = drain(spark, jobs.stream_dedup(stream, sources, late=timedelta(0)), folder("out2"))
+    # With no lateness only the newest window of a key is known, and what it does not cover is kept.
+    assert sorted(r.id for r in short.collect()) == ["0", "2", "3", "4", "5", "6", "8"]
+
+
+def test_idle_keys_are_dropped():
+    """A key's timer drops it, or waits on if the key has been busy since."""
+    from pyspark.sql import Row
+
+    class Value:
+        def __init__(self):
+            self.held = None
+
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers = Value(), []
+
+        def getValueState(self, name, layout):  # noqa: N802
+            return self.value
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return self.now
+
+    rule, handle = jobs._OpenWindows(["id"], 0, 500), Handle()
+    rule.init(handle)
+    row = lambda i, at: Row(id=str(i), _at=at, _ttl=60_000_000)
+    assert [r[0] for r in rule.handleInputRows(("s", "k"), iter([row(1, 0)]), Clock(1000))] == ["1"]
+    assert handle.timers == [61_500]
+    assert [r[0] for r in rule.handleInputRows(("s", "k"), iter([row(2, 90_000_000)]), Clock(61_400))] == ["2"]
+    assert handle.timers == [61_500] and handle.value.held == ([90_000_000], 61_400)
+    list(rule.handleExpiredTimer(("s", "k"), Clock(61_500), None))
+    assert handle.timers == [61_500, 61_900] and handle.value.exists()
+    list(rule.handleExpiredTimer(("s", "k"), Clock(61_900), None))
+    assert not handle.value.exists()
+
+
 def test_stream_dedup_keeps_maps(spark, table, folder):
     layout = "id string, source string, external_id string, headers map<string,string>, created_at timestamp"
     rows = [("1", "s", "k", {"a": "b"}, T0), ("2", "s", "k", {"a": "c"}, T0), ("3", "s", None, {"a": "d"}, T0)]
@@ -91,6 +156,33 @@ def test_stream_ingest_is_idempotent(spark, table, folder):
     assert "created_date" in got.columns
 
 
+def test_a_repeated_batch_stores_nothing_twice(spark, table, folder, monkeypatch):
+    """Run again after it was done, after its rows were stored but not indexed, and beside another batch with the same keys."""
+    layout = "id string, source string, external_id string, created_at timestamp"
+    rows = table([("1", "s", "a", T0), ("2", "s", "b", T0), ("3", "s", None, T0), ("2", "s", "b", T0)], layout)
+    path = folder("store")
+    stored = lambda: sorted((r.id, r.external_id) for r in spark.read.parquet(path).collect())
+    want = [("1", "a"), ("2", "b"), ("3", None)]
+    jobs.append_to_store(rows, path, "batch-x-0")
+    assert stored() == want
+    jobs.append_to_store(rows, path, "batch-x-0")
+    assert stored() == want
+    jobs.append_to_store(rows, path, "batch-y-0")
+    assert stored() == want
+    more = table([("4", "s", "a", T0), ("5", "s", "c", T0), ("1", "s", "d", T0)], layout)
+    with monkeypatch.context() as lost:
+        lost.setattr(jobs.KeyIndex, "add", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            jobs.append_to_store(more, path, "batch-x-1")
+    assert stored() == sorted([*want, ("5", "c")], key=lambda r: r[0])
+    jobs.append_to_store(more, path, "batch-x-1")
+    assert stored() == sorted([*want, ("5", "c")], key=lambda r: r[0])
+    index = jobs.KeyIndex(spark, path)
+    before = {tuple(r) for r in index.read().collect()}
+    index.rebuild(spark.read.parquet(path))
+    assert {tuple(r) for r in index.read().collect()} == before
+
+
 def test_stream_alerts_respect_cooldown(spark, table, folder):
     events = table([("1", "DEAD", "VALID", T0, None), ("2", "DEAD", "VALID", T0, None)],
                    "id string, status string, validation_status string, created_at timestamp, processed_at timestamp")
