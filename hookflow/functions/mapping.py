@@ -200,11 +200,11 @@ def compile_mapping(mapping: Mapping[str, str | None], payload: Column, context:
         return F.lit("{}")
     names = sorted(mapping, key=_field_order)
     # Undefined fields are left out.
-    fields = [F.concat(F.lit(f"{json.dumps(name, ensure_ascii=False)}:"), _field_text(mapping[name], payload, context)) for name in names]
+    fields = [F.concat(F.lit(f"{json.dumps(name, ensure_ascii=False)}:"), field_text(mapping[name], payload, context)) for name in names]
     return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
 
 
-def _field_text(expression: str, payload: Column, context: Context) -> Column:
+def field_text(expression: str, payload: Column, context: Context) -> Column:
     """JSON text of one field. Only computed numbers need JavaScript's form; those of the payload keep the one they came in."""
     value = compile_expression(expression, payload, context)
     computed = any(op.strip().startswith(("divide", "multiply", "toNumber")) for op in expression.split("|")[1:])

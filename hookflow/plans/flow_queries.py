@@ -570,10 +570,10 @@ def _(t: Tables):
     from hookflow.functions.schema_rules import schema_errors
 
     reading = (
-        "concat('{\"unit\":\"', case when (event_id + {0}) % 4 = 0 then 'ell' else 'cm' end, '\",\"value\":',"
-        " case when (event_id + {0}) % 3 = 0 then 'true' when (event_id + {0}) % 3 = 1 then '7' else '\"low\"' end, '}}')"
+        "concat('{\"unit\":\"', case when (event_id + _i_) % 4 = 0 then 'ell' else 'cm' end, '\",\"value\":',"
+        " case when (event_id + _i_) % 3 = 0 then 'true' when (event_id + _i_) % 3 = 1 then '7' else '\"low\"' end, '}')"
     )
-    body = F.concat(F.lit('{"readings":['), F.concat_ws(",", *(F.expr(reading.format(i)) for i in range(3))), F.lit("]}"))
+    body = F.concat(F.lit('{"readings":['), F.concat_ws(",", *(F.expr(reading.replace("_i_", str(i))) for i in range(3))), F.lit("]}"))
     value = {"anyOf": [{"type": "number"}, {"enum": ["low", "high"]}]}
     schema = {"properties": {"readings": {"items": {"properties": {"unit": {"enum": ["cm", "m"]}, "value": value}}}}}
     rows = t.env.select("id", F.explode(schema_errors(schema, J.parse(body))).alias("e")).select("id", "e.path", "e.keyword")

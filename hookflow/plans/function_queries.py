@@ -31,7 +31,7 @@ def evaluated(t: Tables, **expressions: str):
     context = M.Context(F.col("id"), F.col("source"), F.col("event_type"), as_of)
     rows = t.orders_env.withColumn("_body", J.parse(F.col("payload")))
     return rows.select(
-        "id", *[J.json_text(M.compile_expression(e, F.col("_body"), context)).alias(n) for n, e in expressions.items()]
+        "id", *[M.field_text(e, F.col("_body"), context).alias(n) for n, e in expressions.items()]
     )
 
 

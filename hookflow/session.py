@@ -10,9 +10,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-# State of streams by key lies on disk, beside the task that owns it.
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Driver-side reads of configuration tables stop here; event-sized data never goes this way.
 MAX_CONFIG_ROWS = 10_000
 # Narrow key rows (tens of bytes each) that may be sent to every executor.
@@ -29,7 +26,6 @@ def build_session(app: str = "hookflow", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         # Materialised intermediate results go once nothing refers to them any more.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config(STATE_STORE, ROCKSDB)
         # Call-site capture costs a round trip per column expression; compiled rules have many.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -13,11 +13,12 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hookflow.functions.scalars import js_round, parse_window
 from hookflow.model import ALERT_HISTORY, ERROR_STATUSES
@@ -27,7 +28,7 @@ from hookflow.operators.ingest import ingest_events
 from hookflow.operators.keyindex import BUCKETS, KeyIndex
 from hookflow.operators.reconcile import reconcile_inject, reconcile_missing, reconcile_summary
 from hookflow.operators.routing import plan_deliveries
-from hookflow.session import ROCKSDB, STATE_STORE, cut_lineage
+from hookflow.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -90,65 +91,56 @@ def stream_ingest(
     return _start(stream, each, checkpoint, trigger)
 
 
-WINDOWS = "starts array<bigint>, touched bigint"
-
-
-class _OpenWindows(StatefulProcessor):
-    """The greedy time-to-live rule for one key. Its state is the starts of the accepted windows that a row may still fall into
-    (microseconds), and the clock of its last change; one timer drops it."""
-
-    def __init__(self, columns: list[str], late: int, idle: int):
-        self.columns, self.late, self.idle = columns, late, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.windows = handle.getValueState("windows", WINDOWS)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        known = self.windows.get() if self.windows.exists() else None
-        starts = list(known[0]) if known else []
-        changed, ttl = False, 0
-        for row in sorted(rows, key=lambda r: (r["_at"], r["id"] is None, r["id"])):
-            at, ttl = row["_at"], row["_ttl"]
-            place = bisect_right(starts, at)
-            if place and at < starts[place - 1] + ttl:
-                continue
-            starts.insert(place, at)
-            changed = True
-            yield Row(*(row[c] for c in self.columns))
-        if changed:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            oldest = starts[-1] - self.late
-            self.windows.update(([s for s in starts if s + ttl > oldest], now))
-            if not known:
-                self.handle.registerTimer(now + ttl // 1000 + self.idle)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        now = timerValues.getCurrentProcessingTimeInMs()
-        # The timer was set when the key was new; a key that has been busy since gets as long again from its last change.
-        due = self.windows.get()[1] + self.idle if self.windows.exists() else now
-        if due > now:
-            self.handle.registerTimer(due)
-        else:
-            self.windows.clear()
-        return iter(())
+STATE = "keys array<string>, starts array<bigint>, ends array<bigint>, newest bigint"
+BUCKETS = 1024
+
+
+class _OpenWindows:
+    """The greedy time-to-live rule for a bucket of keys. State is the accepted windows that a row may still fall into (microseconds)."""
+
+    def __init__(self, late: int):
+        self.late = late
+
+    def __call__(self, _: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        windows: dict[str, list[tuple[int, int]]] = {}
+        newest = -(1 << 62)
+        if state.exists:
+            *columns, newest = state.get
+            for key, start, end in zip(*columns, strict=True):
+                windows.setdefault(key, []).append((start, end))
+        held = [frame for frame in frames if len(frame)]
+        if held:
+            rows = pd.concat(held, ignore_index=True).sort_values(["_at", "id"], kind="stable", ignore_index=True)
+            kept = []
+            for place, (key, at, ttl) in enumerate(zip(rows["_key"], rows["_at"].tolist(), rows["_ttl"].tolist(), strict=True)):
+                own = windows.setdefault(key, [])
+                before = bisect_right(own, (at, 1 << 62))
+                if not before or at >= own[before - 1][1]:
+                    own.insert(before, (at, at + ttl))
+                    kept.append(place)
+            newest = max(newest, int(rows["_at"].max()))
+            if kept:
+                yield rows.iloc[kept].drop(columns=["_ttl", "_key", "_bucket", "_at"])
+        # Only windows that rows up to ``late`` behind may fall into are kept; a key without one is dropped.
+        open_ = [(key, start, end) for key, own in windows.items() for start, end in own if end > newest - self.late]
+        keys, starts, ends = map(list, zip(*open_, strict=True)) if open_ else ([], [], [])
+        state.update((keys, starts, ends, newest))
 
 
 def stream_dedup(
-    stream: DataFrame, sources: DataFrame, late: timedelta = timedelta(minutes=10), idle: timedelta = timedelta(days=3)
+    stream: DataFrame, sources: DataFrame, late: timedelta = timedelta(minutes=10), buckets: int = BUCKETS
 ) -> DataFrame:
-    """The time-to-live rule on a stream, with one state value and one timer for each (source, external id).
+    """The time-to-live rule on a stream, with state per hash bucket of (source, external id).
 
-    No row is lost for being late: a row inside an accepted window of its key is a repeat, any other is kept. Rows up to ``late``
-    older than the key's newest accepted one are held against all windows they may fall into; of still older ones only those windows that
-    are open then. Rows of one micro-batch are taken in order of time, then id, so a stream in order gives what the batch rule gives.
+    No row is lost for being late: a row inside a known window of its key is a repeat, any other is kept. Windows are known until the newest row of
+    the bucket is ``late`` past their end. Rows of one micro-batch are taken in order of time, then id, so a stream in order gives what
+    the batch rule gives.
 
-    A key's state goes when the key has accepted nothing for ``idle`` beyond its window, by the clock of the cluster, as a replayed stream
-    may run at any pace. State lives in RocksDB, so open keys need not fit in memory. Rows that take no part in deduplication bypass the
-    stateful step. The rows of one key in one micro-batch meet in one task; the source's trigger limit bounds them.
+    Buckets spread the call and state cost over many keys, as a call for each key costs more than its work; choose them as a multiple of the cluster's cores
+    (a later change needs a new checkpoint). No clock drops state, as a replayed stream may run at any pace: each batch drops the windows
+    that its rows have passed. Rows that take no part in deduplication bypass the stateful step. The rows of one bucket in
+    one micro-batch meet in one task, so the source's trigger limit bounds that group.
     """
-    spark = stream.sparkSession
-    spark.conf.set(STATE_STORE, ROCKSDB)
     ttl = parse_window(F.coalesce("dedup_window", F.lit("72h")))
     settings = sources.filter(F.nullif("dedup_field", F.lit("")).isNotNull()).select(
         F.col("name").alias("source"), (ttl * 1_000_000).cast("bigint").alias("_ttl")
@@ -157,9 +149,17 @@ def stream_dedup(
     flat = stream.withColumns({name: F.to_json(name) for name in maps}) if maps else stream
     marked = flat.join(settings.filter("_ttl > 0"), "source", "left").select(*flat.columns, "_ttl")
     takes_part = F.col("_ttl").isNotNull() & F.col("external_id").isNotNull()
-    keyed = marked.filter(takes_part).withColumn("_at", F.unix_micros("created_at"))
-    rule = _OpenWindows(flat.columns, int(late.total_seconds() * 1_000_000), int(idle.total_seconds() * 1000))
-    kept = keyed.groupBy("source", "external_id").transformWithState(rule, flat.schema, "append", "ProcessingTime")
+    keyed = marked.filter(takes_part).withColumns(
+        {
+            "_key": F.concat_ws("\u001f", "source", "external_id"),
+            "_bucket": F.pmod(F.hash("source", "external_id"), F.lit(buckets)),
+            "_at": F.unix_micros("created_at"),
+        }
+    )
+    rule = _OpenWindows(int(late.total_seconds() * 1_000_000))
+    kept = keyed.groupBy("_bucket").applyInPandasWithState(
+        rule.__call__, flat.schema, STATE, "append", GroupStateTimeout.NoTimeout
+    )
     out = kept.unionByName(marked.filter(~takes_part).drop("_ttl"))
     return out.withColumns({name: F.from_json(name, kind) for name, kind in maps.items()}) if maps else out
 
