@@ -361,8 +361,6 @@ def counts(texts: DataFrame, lengths: tuple[int, ...], words=None, pairs=None, h
     With ``words`` and ``pairs``, broadcast bitmaps, phrases with words or pairs that are not in them are left out. ``heads``, the words that
     phrases begin with (lang, phrase, n), tell how many rows a prefix may have.
     """
-    spark = texts.sparkSession
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _Counting(lengths, *(x.value if x is not None else None for x in (words, pairs))).batches(batches)
 
@@ -372,9 +370,11 @@ def counts(texts: DataFrame, lengths: tuple[int, ...], words=None, pairs=None, h
         # At most PREFIX_BUCKETS rows, whatever the input, and as many parts again for buckets above their even share.
         sizes = [(r["bucket"], r["n"]) for r in heads.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n")).collect()]
         share = max(1, sum(n for _, n in sizes) // PREFIX_BUCKETS)
-        deal = spark.createDataFrame([(bucket, -(-n // share)) for bucket, n in sizes], "bucket int, parts long")
-        runs = runs.join(F.broadcast(deal), "bucket", "left")
-        part = F.pmod(F.xxhash64("phrase"), F.coalesce("parts", F.lit(1)))
+        deal = [1] * PREFIX_BUCKETS
+        for bucket, n in sizes:
+            deal[bucket] = -(-n // share)
+        parts = F.element_at(F.from_json(F.lit(str(deal)), "array<long>"), F.col("bucket") + 1)
+        part = F.pmod(F.xxhash64("phrase"), parts)
     # Runs of one prefix partition meet in one task; equal phrases are in one part of their bucket.
     placed = runs.withColumn("part", part).repartition("bucket", "part")
     return placed.groupBy("bucket", "part", "lang", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
