@@ -20,6 +20,7 @@ SHINGLE_WORDS = 5
 _WORD_CACHE_SIZE = 1 << 18
 # Texts of so many bytes are held in a worker's memory at a time; one longer text makes a piece of its own.
 PIECE_BYTES = 8 << 20
+SIEVE_CELLS = 1 << 24
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -68,6 +69,16 @@ def unpacked(rows: DataFrame, *columns: Column) -> DataFrame:
     return rows.select("row.*", *columns)
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key``, a long hash, may be one of the wanted frame's, before they are shuffled for a join that must follow: by a bitmap of keys
+    in rows of 64 bits, at most ``SIEVE_CELLS / 64``, which goes to every task. The more is wanted, the more others pass."""
+    cell = F.pmod(F.col(key), F.lit(SIEVE_CELLS))
+    word, bit = F.floor(cell / 64).cast("long"), F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))")
+    bitmap = wanted.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    met = rows.withColumn("__word", word).join(F.broadcast(bitmap), "__word")
+    return met.where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,8 +9,8 @@ Three total orders of the tokens filter the candidates, and a pair must pass the
 * by how many indexed sets hold a token, rarest first: if a set shares at least c of its s tokens that others hold, one of them is among
   its s - c + 1 rarest. The smaller set of a pair looks for partners by these only, and not at all if s < c. A passage
   that many documents share is therefore no candidate, however many hold it;
-* by another hash: the prefixes under it must share a token too. They are written with the class and intersect the pairs before any
-  text is fetched.
+* by another hash: the prefixes under it must share a token too. They are made for the classes of pairs only and intersect the pairs
+  before any two texts meet.
 
 Buckets are never expanded into all pairs at once. Equal sets are one class from the start. Each class is first held
 against one centre, the class of its buckets with which it shares most tokens; the centre of a bucket is the class
@@ -19,9 +19,12 @@ round contract most of each group. Only then are pairs taken whose classes still
 pairs inside a component cannot change the result. For them the second order is taken again, over all tokens of the classes that
 share a bucket with another component, and on both sides: the larger set, too, has a prefix that a linked set must meet, and at the first token that
 two sets hold, enough must be able to follow. What a set shares with no other component counts against it, so variants too far
-from their group ask for no partner. Before any text is fetched, pairs are also held against parity bitmaps: each token
+from their group ask for no partner. Before two texts meet, pairs are also held against parity bitmaps: each token
 flips one bit, so two sets differ in at least as many tokens as their bitmaps do in bits.
 
+Only indexed tokens of all documents are written, and they go once buckets are formed. What else a round needs of a class is made
+anew from one of its texts; a bitmap of fixed size keeps the texts of other classes from being moved.
+
 Buckets of frequent tokens, counted batch by batch, are formed by a pre-aggregated minimum that is joined back, so that the planner can
 split them; all others by one sort. Set size and intersection are counted over 64-bit hashes, classes are named by 64 bits of a hash
 of the whole set.
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hookflow.llm.common import components, discard, mix, pieces, shingle_set, utf8, written
+from hookflow.llm.common import components, discard, mix, pieces, shingle_set, sieved, utf8, written
 
 THRESHOLD = 75  # per cent
 # A token in so many documents of one batch of texts is reported as frequent. The reports of all batches are summed.
@@ -48,6 +51,7 @@ MAX_FREQUENT = 1 << 18
 KEPT_TOKENS = 1 << 20
 # Tokens with hashes below this are always indexed: a quarter of them.
 QUARTER = 1 << 62
+SETS = "cls long, n long, comp long, halves array<int>"
 
 
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
@@ -124,8 +128,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _prefixes(frequent, threshold: int):
-    """For each document its class, set size, least shared tokens, bitmap, indexed tokens, the frequent ones apart, and the low
-    halves of the prefix under the other order and of all tokens."""
+    """For each document its class, set size, least shared tokens and indexed tokens, the frequent ones apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
@@ -137,17 +140,41 @@ def _prefixes(frequent, threshold: int):
                     index, below = indexed(tokens, threshold)
                     apart = _among(index, common)
                     need = least_shared(len(tokens), below, threshold)
-                    other = _halves(other_prefix(tokens, threshold))
-                    rows.append((_class_of(tokens), len(tokens), need, bitmap(tokens), index[~apart].view(np.int64), index[apart].view(np.int64), other, _halves(tokens)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()), *map(_lists, columns[4:6]), *(_lists(c, np.int32) for c in columns[6:])],
-                ["cls", "n", "need", "bits", "rare", "common", "other", "halves"],
-            )
+                    rows.append((_class_of(tokens), len(tokens), need, index[~apart].view(np.int64), index[apart].view(np.int64)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), *map(_lists, columns[3:])], ["cls", "n", "need", "rare", "common"])
 
     return run
 
 
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Of rows that end in a class and a text those whose text has that class, and the texts' sets."""
+    for batch in pieces(batches):
+        classes, texts = batch.column(batch.num_columns - 2).to_pylist(), utf8(batch.column(batch.num_columns - 1))
+        sets = [shingle_set(t or b"") for t in texts]
+        own = [len(s) > 0 and _class_of(s) == c for c, s in zip(classes, sets, strict=True)]
+        yield batch.filter(pa.array(own, pa.bool_())), [s for s, kept in zip(sets, own, strict=True) if kept]
+
+
+def _described(threshold: int):
+    """Class, set size, bitmap, the low halves of the prefix under the other order, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _own(batches):
+            n, bits = pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(bitmap, sets)), pa.binary())
+            other = _lists([_halves(other_prefix(s, threshold)) for s in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, bits, other, batch.column(1)], ["cls", "n", "bits", "other", "text"])
+
+    return run
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class, set size, component and the low halves of all tokens, of rows (component, class, text)."""
+    for batch, sets in _own(batches):
+        n, halves = pa.array(list(map(len, sets)), pa.int64()), _lists(list(map(_halves, sets)), np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(1), n, batch.column(0), halves], ["cls", "n", "comp", "halves"])
+
+
 def _halves(tokens: np.ndarray) -> np.ndarray:
     return tokens.astype(np.uint32).view(np.int32)
 
@@ -212,22 +239,27 @@ def _verify(threshold: int):
     return run
 
 
-def _links(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+def _texts(docs: DataFrame, members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, wanted): the columns of ``classes``, which end in cls, and the text of one document of each class, taken by a hash of its
+    doc_id and text; and the frame that names these documents, to be discarded once texts are read."""
+    key = F.xxhash64("doc_id", "tie")
+    wanted = written(members.join(classes, "cls").groupBy(*classes.columns).agg(F.min(key).alias("key")), "wanted")
+    rows = sieved(docs.select(key.alias("key"), "text"), wanted, "key").dropDuplicates(["key"])
+    # The same plan at every size: texts move once.
+    return rows.hint("merge").join(wanted, "key").select(*classes.columns, "text"), wanted
+
+
+def _links(pairs: DataFrame, docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets link. The other order's prefixes and the bitmaps are met before any text."""
-    one = prefixes.select("cls", "n", "bits", "other").dropDuplicates(["cls"])
-    x, y = (one.select(F.col("cls").alias(i), F.col("n").alias(f"n_{i}"), F.col("bits").alias(f"bits_{i}"), F.col("other").alias(f"other_{i}")) for i in "ab")
+    texts, wanted = _texts(docs, members, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    sets = written(texts.mapInArrow(_described(threshold), "cls long, n long, bits binary, other array<int>, text string"), "sets")
+    x, y = (sets.select(F.col("cls").alias(i), F.col("n").alias(f"n_{i}"), F.col("bits").alias(f"bits_{i}"), F.col("other").alias(f"other_{i}")) for i in "ab")
     both = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("other_a", "other_b")).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     near = written(both.mapInArrow(_near(threshold), "a long, b long"), "near")
-    # One text for each class. It is recognised by its own class, so rows that repeat a doc_id do no harm.
-    classes = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = written(members.join(classes, "cls").groupBy("cls").agg(F.min("doc_id").alias("holder")), "wanted")
-    # The same plan at every size: texts move once.
-    chosen = docs.hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("holder"))).select("cls", "text")
-    texts = written(chosen.mapInArrow(_own_text, "cls long, text string").dropDuplicates(["cls"]), "texts")
-    left = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a")
-    full = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
+    left = near.join(sets.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a")
+    full = left.join(sets.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b")
     links = written(full.select("a", "a_text", "b", "b_text").mapInArrow(_verify(threshold), "u long, v long"), "links")
-    discard(near, wanted, texts)
+    discard(near, wanted, sets)
     return links
 
 
@@ -266,7 +298,7 @@ def _prepared(docs: DataFrame, profile: DataFrame, threshold: int) -> DataFrame:
     counted = reported.groupBy(F.col("t.frequent").alias("token")).agg(F.sum("t.counts").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
     frequent = docs.sparkSession.sparkContext.broadcast(np.sort(top["token"].to_numpy(np.int64).view(np.uint64)))
-    layout = "cls long, n long, need long, bits binary, rare array<long>, common array<long>, other array<int>, halves array<int>"
+    layout = "cls long, n long, need long, rare array<long>, common array<long>"
     return written(docs.select("text").mapInArrow(_prefixes(frequent, threshold), layout), "prefixes")
 
 
@@ -297,9 +329,10 @@ def jaccard_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # Copies of one set are one entry of a bucket. A need of more than one counts tokens in the quarter only.
     shared = shared.distinct().withColumn("usable", F.expr(f"need = 1 or token between 0 and {QUARTER - 1}"))
     shared = written(_asking(shared), "shared")
+    discard(prefixes)
 
     star = written(_to_centres(shared), "star")
-    first = _links(star, prefixes, docs, members, threshold)
+    first = _links(star, docs, members, threshold)
     labels = components(first)
 
     # A class whose bucket mates are all in its component by now has nothing left to ask.
@@ -312,12 +345,12 @@ def jaccard_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     open_buckets = open_buckets.where("lo <> hi and least is not null").select("token", "least", "most")
     # Only classes of a size that one of the bucket asks for; those that ask are among them.
     met = known.join(open_buckets, "token").where(f"n >= least and {threshold} * n <= 100 * most")
-    open_classes = written(met.select("cls", "comp").distinct(), "open")
+    texts, wanted = _texts(docs, members, met.select("comp", "cls").distinct())
     discard(known)
-    pairs = _candidates(prefixes.select("cls", "n", "halves").join(open_classes, "cls").dropDuplicates(["cls"]), threshold)
+    pairs = _candidates(texts.mapInArrow(_whole, SETS), threshold)
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _links(pairs.join(tested, ["a", "b"], "left_anti"), prefixes, docs, members, threshold)
-    discard(prefixes, pairs, open_classes)
+    second = _links(pairs.join(tested, ["a", "b"], "left_anti"), docs, members, threshold)
+    discard(wanted, star, pairs)
 
     # Labels of the first round stand for its links.
     labelled = components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(second))
@@ -345,10 +378,12 @@ def jaccard_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFram
     """
     docs = _plain(docs)
     profile = _profiled(docs)
-    members = profile.where("frequent is null").select("doc_id", "n_shingles", "cls")
-    prefixes = _prepared(docs, profile, threshold)
-    sets = prefixes.select("cls", "n", F.col("cls").alias("comp"), "halves").dropDuplicates(["cls"])
-    links = _links(_candidates(sets, threshold), prefixes, docs, members, threshold)
+    members = profile.where("frequent is null").select("doc_id", "tie", "n_shingles", "cls")
+    own = F.col("cls").alias("comp")
+    texts, wanted = _texts(docs, members, members.where("cls is not null").select(own, "cls").distinct())
+    pairs = _candidates(texts.mapInArrow(_whole, SETS), threshold)
+    links = _links(pairs, docs, members, threshold)
+    discard(wanted, pairs)
     counts = links.select(F.explode(F.array("u", "v")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     full, empty = members.where("cls is not null"), members.where("cls is null")
     counted = full.join(counts, "cls", "left").select("doc_id", "n_shingles", "cls", F.coalesce("links", F.lit(0)).alias("links"))
@@ -373,10 +408,3 @@ def _to_centres(rows: DataFrame) -> DataFrame:
     votes = asking.join(centres, "token").where("cls <> centre").groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("votes"))
     star = votes.groupBy("cls").agg(F.max(F.struct("votes", "centre")).alias("best"))
     return star.select(F.col("cls").alias("a"), F.col("best.centre").alias("b"))
-
-
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        classes = batch.column(0).to_pylist()
-        own = [t is not None and len(s := shingle_set(t)) and _class_of(s) == c for c, t in zip(classes, utf8(batch.column(1)), strict=True)]
-        yield batch.filter(pa.array(list(map(bool, own)), pa.bool_()))

@@ -142,6 +142,34 @@ def test_jaccard_in_a_large_group_of_variants(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_by_hand(docs)
 
 
+def test_jaccard_moves_only_texts_that_may_link(spark, monkeypatch):
+    frames, written = [], ngram_jaccard.written
+
+    def noted(df, label):
+        stored = written(df, label)
+        frames.append((set(stored.columns), stored.count()))
+        return stored
+
+    monkeypatch.setattr(ngram_jaccard, "written", noted)
+    rng = random.Random(31)
+    texts = [prose(rng, 60) for _ in range(50)]
+    texts += [texts[3] + " more", texts[3] + " other"]
+    docs = list(enumerate(texts))
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows_of(docs), DOCS)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_by_hand(docs)
+    whole = [n for columns, n in frames if columns & {"text", "bits", "other", "halves"}]
+    assert whole and max(whole) <= 3
+
+
+def test_sieve_keeps_all_that_is_wanted(spark):
+    rng = random.Random(32)
+    keys = [rng.randrange(-(2**63), 2**63) for _ in range(4000)] + [0, -1, 63, 64, -64, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, i long")
+    left = {r["key"] for r in common.sieved(rows, rows.where("i % 3 = 0"), "key").collect()}
+    assert set(keys[::3]) <= left and len(left) < len(keys) / 3 + 50
+    assert common.sieved(rows, rows.where("false"), "key").count() == 0
+
+
 def test_pieces_keep_every_row():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["a" * 5, None, "b" * 30, "", "c" * 8])], ["doc_id", "text"])
     for limit in (1, 10, 100):
