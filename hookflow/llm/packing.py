@@ -14,6 +14,7 @@ import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,9 @@ class _WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         # The ids of marks that end a word after a letter; such a mark is always a token of its own.
         self.tails = {mark.encode(): self.tokenizer.encode(mark, add_special_tokens=False).ids for mark in string.punctuation if mark != "'"}
+        self.tail_of = np.full(256, -1, np.int64)
+        for mark, ids in self.tails.items():
+            self.tail_of[mark[0]] = ids[0]
         # Ids that end a word: letters and nothing else make one such id.
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -91,6 +95,30 @@ class _WordIds(dict):
         word = word.lower()
         return (word[:-1], mark) if mark in self.tails and word[-2:-1].isalpha() else (word, b"")
 
+    def _forms(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """``_form`` of many words: what is tokenised of each, and the ids of the marks, -1 for none. ASCII words are taken all at once."""
+        joined = b" ".join(words) + b" "
+        flat = np.frombuffer(joined, np.uint8)
+        ends = np.flatnonzero(flat == 32)
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        odd = np.maximum.reduceat(flat, starts) >= 128
+        if b"<|" in joined:
+            odd |= np.fromiter((b"<|" in word for word in words), bool, len(words))
+        lower = np.frombuffer(joined.lower(), np.uint8).copy()
+        last = lower[ends - 1]
+        # Before the only byte of a word stands the blank of the word before it, or at the start what ends all, a blank too.
+        before = lower[ends - 2]
+        tails = np.where((before >= 97) & (before <= 122) & ~odd, self.tail_of[last], -1)
+        lower[ends[tails >= 0] - 1] = 32
+        forms = lower.tobytes().split()
+        marked = self.tail_of[last] >= 0
+        for i in np.flatnonzero(odd & ~marked).tolist():
+            forms[i] = words[i]
+        for i in np.flatnonzero(odd & marked).tolist():
+            forms[i], mark = self._form(words[i])
+            tails[i] = self.tails[mark][0] if mark else -1
+        return forms, tails
+
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words and the number of each word's ids."""
         plain = all(map(str.isalpha, words))
@@ -108,19 +136,16 @@ class _WordIds(dict):
         """Tokenises the words met since the last time, each form once."""
         if not self.new:
             return
-        split = list(map(self._form, self.new))
-        letters, others = [], []
-        for form, _ in split:
-            if form not in self.forms:
-                self.forms[form] = -1
-                (letters if (word := form.decode()).isalpha() else others).append(word)
-        for unseen in (letters, others):
-            first = len(self.of_forms.lengths)
-            for i in range(0, len(unseen), 4096):
-                self.of_forms.extend(*self._encoded(unseen[i : i + 4096]))
-            self.forms.update(zip(map(str.encode, unseen), range(first, first + len(unseen)), strict=True))
-        forms = np.array([self.forms[form] for form, _ in split])
-        tails = np.array([self.tails[mark][0] if mark else -1 for _, mark in split])
+        names, tails = self._forms(self.new)
+        unseen = [form for form in dict.fromkeys(names) if form not in self.forms]
+        words = b" ".join(unseen).decode().split(" ") if unseen else []
+        letters = list(map(str.isalpha, words))
+        for kind in (letters, [not x for x in letters]):
+            first, of_kind = len(self.of_forms.lengths), list(compress(words, kind))
+            for i in range(0, len(of_kind), 4096):
+                self.of_forms.extend(*self._encoded(of_kind[i : i + 4096]))
+            self.forms.update(zip(compress(unseen, kind), range(first, first + len(of_kind))))
+        forms = np.fromiter(map(self.forms.__getitem__, names), np.int64, len(names))
         lengths = self.of_forms.lengths[forms]
         ids = np.insert(self.of_forms.take(forms), np.cumsum(lengths)[tails >= 0], tails[tails >= 0].astype("<u4"))
         self.words.extend(ids, lengths + (tails >= 0))

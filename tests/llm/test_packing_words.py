@@ -31,3 +31,19 @@ def test_nothing_outlives_a_task():
 
     list(packing._WordIds(queries.tokenizer_path()).texts([b"one two"]))
     assert not [name for name in sys.modules if name.startswith("hookflow_llm")]
+
+
+def test_ascii_words_are_split_all_at_once(monkeypatch):
+    words = packing._WordIds(queries.tokenizer_path())
+    odd = ["Word.", "a.", ".", "..", "x", "X", "5.", "it's", "né.", "É", "中!", "H̱", "a<|b|>c", "<|endoftext|>", "<|", "ab<", "Ab|", "--", "e\u0301,"]
+    rng = random.Random(5)
+    for n in (1, 2, 60):
+        for _ in range(20):
+            some = [w.encode() for w in rng.choices(odd, k=n)]
+            forms, tails = words._forms(some)
+            want = [words._form(w) for w in some]
+            assert forms == [form for form, _ in want] and tails.tolist() == [words.tails[mark][0] if mark else -1 for _, mark in want]
+    single, form = [], words._form
+    monkeypatch.setattr(words, "_form", lambda word: single.append(word) or form(word))
+    list(words.texts(["Plain words, marks; and né. 中!".encode()]))
+    assert single == ["né.".encode(), "中!".encode()]
