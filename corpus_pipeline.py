@@ -6,18 +6,36 @@ stage changes it. Every stage takes an empty table and gives one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hookflow.llm import language_ppm, line_alignment, mixing, packing
-from hookflow.llm.common import fresh, packed as as_struct, table, unpacked, written
+from hookflow.llm.common import PIECE_BYTES, fresh, packed as as_struct, table, unpacked, written
 from hookflow.llm.ngram_jaccard import jaccard_groups
 from hookflow.llm.queries import tokenizer_path
 
 # A text whose winning language has less than this share of the probability is not told from another language.
 LEAST_SCORE = 0.5
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_batches(stage: Stage) -> Stage:
+    """The stage, with rows handed to Python and back in Arrow batches of ``PIECE_BYTES``. Spark's own limits, 10,000 rows and 64 MB, make one batch of a whole
+    partition, which JVM and Python hold several times over. What a stage returns runs after it, so the session keeps the setting."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@in_batches
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told stay; those without letters, between languages, or in none that was learned, go.
 
@@ -34,6 +52,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(told).drop(lang, score, bits)
 
 
+@in_batches
 def without_shared_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines shared with earlier documents are cut; documents of which no word is left go.
 
@@ -46,6 +65,7 @@ def without_shared_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _with_text(left, docs.columns, F.col(kept), changed)
 
 
+@in_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies one document stays: that with the smallest doc_id, null last, and then the smallest hash of its text.
 
@@ -63,6 +83,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return unpacked(left.dropDuplicates(["id", "tie"]))
 
 
+@in_batches
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document taken in two epochs comes twice.
 
@@ -71,6 +92,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _with_text(mixing.mixed(docs), docs.columns, F.col("text"), F.lit(True))
 
 
+@in_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens. A null or empty text is one piece with the end token; repeated rows are packed as often as they come."""
     return packing.pack(docs, tokenizer_path())
