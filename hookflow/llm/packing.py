@@ -9,12 +9,14 @@ rank among the pieces of its length; ranks come from counts of (task, length), n
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,24 @@ END_OF_DOCUMENT = 1  # appended to each document
 _END = np.array([END_OF_DOCUMENT], "<u4")
 # Words that a task keeps, and words that it looks up at once; at most about 100 MB a task, forms included.
 _WORDS_KNOWN, _WORDS_AT_ONCE = 1 << 18, 1 << 16
+# The UTF-8 bytes of ASCII without A-Z and control characters, and of the letters ß-ÿ, whose second bytes, C3 being the only lead byte, are all that the rest
+# can be. The normaliser leaves words of these as they are, and the split patterns do with them what _PARTS does.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(32, 65), *range(91, 127), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+# The character that stands for each byte in the model's tokens; a blank stays one.
+_SPARE = iter(range(256, 512))
+_SHOWN = "".join(chr(b if b in range(33, 127) or b in range(161, 256) and b != 173 else next(_SPARE)) for b in range(256)).replace("\u0120", " ")
 PIECE_LAYOUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, local_rank long"
 
 
+def _data(values: pa.BinaryArray) -> bytes:
+    """The bytes of all values, one after another."""
+    _, offsets, data = values.buffers()
+    first, last = np.frombuffer(offsets, np.int32)[[values.offset, values.offset + len(values)]].tolist()
+    return data.to_pybytes()[first:last] if last > first else b""
+
+
 class _Flat:
     """Runs of ids by number, in one flat array."""
 
@@ -60,6 +77,7 @@ class _WordIds(dict):
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,6 +90,9 @@ class _WordIds(dict):
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[number] = token.endswith("</w>")
+        # The same model without the steps that plain words need not take; they come as the characters that stand for their bytes.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
         self.new: list[bytes] = []
         self.words, self.uses = _Flat(), np.empty(0, np.int64)
         self._forget_forms()
@@ -119,18 +140,30 @@ class _WordIds(dict):
             tails[i] = self.tails[mark][0] if mark else -1
         return forms, tails
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words and the number of each word's ids."""
-        plain = all(map(str.isalpha, words))
-        if plain:
-            # One text for all; faster than word by word. Every word has an end at least, so equal numbers show that each has one.
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) == len(words) and ends[-1] == len(ids) - 1:
-                return ids, np.diff(ends, prepend=-1)
+    def _encoded(self, forms: list[bytes], plain: bool, letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of forms, all of letters or none, and the number of each form's ids. Plain ones are those that ``_PARTS`` splits."""
+        joined = b" ".join(forms)
+        if plain and letters:
+            found = self._ended(self.model, codecs.charmap_decode(joined, "strict", _SHOWN)[0], len(forms))
+        elif plain:
+            parts = list(map(_PARTS.findall, forms))
+            counts = np.fromiter(map(len, parts), np.int64, len(parts))
+            found = self._ended(self.model, codecs.charmap_decode(b" ".join(chain.from_iterable(parts)), "strict", _SHOWN)[0], int(counts.sum()))
+            found = found and (found[0], np.add.reduceat(found[1], np.cumsum(counts) - counts))
+        else:
+            found = self._ended(self.tokenizer, joined.decode(), len(forms)) if letters else None
+        if found:
+            return found
         # Given as words already, they are tokenised one by one, in one call.
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        return np.array(found.ids, "<u4"), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+        given = self.tokenizer.encode(joined.decode().split(" "), is_pretokenized=True, add_special_tokens=False)
+        return np.array(given.ids, "<u4"), np.bincount(np.array(given.word_ids, np.int64), minlength=len(forms))
+
+    def _ended(self, tokenizer, text: str, count: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_encoded`` for so many words in one text, which is faster than word by word, unless one of them has more ends than one:
+        each has one at least, so equal numbers show that each has one."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == count and ends[-1] == len(ids) - 1 else None
 
     def learn(self) -> None:
         """Tokenises the words met since the last time, each form once."""
@@ -138,13 +171,20 @@ class _WordIds(dict):
             return
         names, tails = self._forms(self.new)
         unseen = [form for form in dict.fromkeys(names) if form not in self.forms]
-        words = b" ".join(unseen).decode().split(" ") if unseen else []
-        letters = list(map(str.isalpha, words))
-        for kind in (letters, [not x for x in letters]):
-            first, of_kind = len(self.of_forms.lengths), list(compress(words, kind))
-            for i in range(0, len(of_kind), 4096):
-                self.of_forms.extend(*self._encoded(of_kind[i : i + 4096]))
-            self.forms.update(zip(compress(unseen, kind), range(first, first + len(of_kind))))
+        joined = b" ".join(unseen)
+        flat = np.frombuffer(joined, np.uint8)
+        starts = np.concatenate(([0], np.flatnonzero(flat == 32) + 1))
+        plain = np.logical_and.reduceat(_PLAIN[flat], starts) if unseen else np.empty(0, bool)
+        if b"<|" in joined:
+            plain &= np.fromiter((b"<|" not in form for form in unseen), bool, len(unseen))
+        letters = np.fromiter(map(str.isalpha, joined.decode().split(" ")), bool, len(unseen)) if unseen else plain
+        for easy in (True, False):
+            for whole in (True, False):
+                of_kind = list(compress(unseen, (plain == easy) & (letters == whole)))
+                first = len(self.of_forms.lengths)
+                for i in range(0, len(of_kind), 4096):
+                    self.of_forms.extend(*self._encoded(of_kind[i : i + 4096], easy, whole))
+                self.forms.update(zip(of_kind, range(first, first + len(of_kind))))
         forms = np.fromiter(map(self.forms.__getitem__, names), np.int64, len(names))
         lengths = self.of_forms.lengths[forms]
         ids = np.insert(self.of_forms.take(forms), np.cumsum(lengths)[tails >= 0], tails[tails >= 0].astype("<u4"))
@@ -153,7 +193,7 @@ class _WordIds(dict):
 
     def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text with the end token; a bounded number of words is looked up at once, however long a text is or the texts together."""
-        pending: list[np.ndarray] = []
+        pending: list[list[bytes]] = []
         size = 0
         for text in texts:
             words = (text or b"").split()
@@ -163,19 +203,23 @@ class _WordIds(dict):
             if len(words) > _WORDS_AT_ONCE:
                 yield np.concatenate([*self._in_runs(words), _END])
                 continue
-            if not pending:
-                self._make_room()
-            pending.append(self._numbers(words))
+            pending.append(words)
             size += len(words)
         yield from self._ids(pending)
 
     def _in_runs(self, words: list[bytes]) -> Iterator[np.ndarray]:
         for start in range(0, len(words), _WORDS_AT_ONCE):
-            self._make_room()
-            yield next(self._ids([self._numbers(words[start : start + _WORDS_AT_ONCE])]))[:-1]
+            yield next(self._ids([words[start : start + _WORDS_AT_ONCE]]))[:-1]
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        """The words' numbers; equal words are looked up once."""
+        # Every word with a blank after it; so the distinct ones lie together as a text does.
+        joined = b" ".join(words) + b" " if words else b""
+        ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).astype(np.int32) + np.int32(1)
+        offsets = np.concatenate((np.zeros(1, np.int32), ends))
+        found = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        distinct = _data(found.dictionary).split()
+        return np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
 
     def _make_room(self) -> None:
         """Most words of a full table were met once; those met more often stay, the most used ones if they are many."""
@@ -191,14 +235,20 @@ class _WordIds(dict):
         self.words.extend(ids, lengths)
         self._forget_forms()
 
-    def _ids(self, numbered: list[np.ndarray]) -> Iterator[np.ndarray]:
+    def _ids(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
+        self._make_room()
+        numbers = self._numbers(list(chain.from_iterable(texts)))
         self.learn()
-        if numbered:
-            used = np.bincount(np.concatenate(numbered), minlength=len(self))
-            used[: len(self.uses)] += self.uses
-            self.uses = used
-        for words in numbered:
-            yield np.concatenate((self.words.take(words), _END))
+        used = np.bincount(numbers, minlength=len(self))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
+        ids, ends = self.words.take(numbers), np.concatenate(([0], np.cumsum(self.words.lengths[numbers])))
+        start = 0
+        for end in ends[np.cumsum([len(words) for words in texts])].tolist():
+            yield np.concatenate((ids[start:end], _END))
+            start = end
 
 
 def _pieces(tokenizer_path: str, size: int):

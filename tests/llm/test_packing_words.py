@@ -47,3 +47,28 @@ def test_ascii_words_are_split_all_at_once(monkeypatch):
     monkeypatch.setattr(words, "_form", lambda word: single.append(word) or form(word))
     list(words.texts(["Plain words, marks; and né. 中!".encode()]))
     assert single == ["né.".encode(), "中!".encode()]
+
+
+def test_plain_words_go_by_the_model_alone():
+    path = queries.tokenizer_path()
+    words, plain, asked = packing._WordIds(path), Tokenizer.from_file(path), []
+
+    class Asked:
+        def encode(self, words, **how):
+            asked.extend(words)
+            return plain.encode(words, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts[0].split())
+            return plain.encode_batch_fast(texts, **how)
+
+    words.tokenizer = Asked()
+    rng = random.Random(6)
+    some = ["".join(rng.choices("abestvrmld" if rng.random() < 0.5 else "abßéÿñstvml09'!.-_$<>|&", k=rng.randint(1, 9))) for _ in range(3000)]
+    text = " ".join(w for w in some if "<|" not in w) + " Some words, été größe straße!! it's 'll-x a'b $$$ (459) a.b@c.de ÿ word.%%%"
+    assert next(words.texts([text.encode()])).tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_OF_DOCUMENT]
+    assert asked == []
+    odd = ["\u00c9clair", "na\u00efve\u00d72", "\u4e2d\u6587", "<|x", "\u00b5", "a\x00b", "e\u0301", "\u00f7", "x\u00a0y"]
+    text = " ".join([*odd, "one", "more"])
+    assert next(words.texts([text.encode()])).tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_OF_DOCUMENT]
+    assert sorted(asked) == sorted(odd)
