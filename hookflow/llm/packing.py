@@ -16,7 +16,7 @@ import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain, compress, filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,16 @@ from hookflow.llm.common import pieces, utf8, written
 SEQUENCE_TOKENS = 2048
 END_OF_DOCUMENT = 1  # appended to each document
 _END = np.array([END_OF_DOCUMENT], "<u4")
-# Words that a task keeps, and words that it looks up at once; at most about 100 MB a task, forms included.
-_WORDS_KNOWN, _WORDS_AT_ONCE = 1 << 18, 1 << 16
-# The UTF-8 bytes of ASCII without A-Z and control characters, and of the letters ß-ÿ, whose second bytes, C3 being the only lead byte, are all that the rest
-# can be. The normaliser leaves words of these as they are, and the split patterns do with them what _PARTS does.
+# Words that a task keeps, and words that it looks up at once; about 160 bytes a word of common length, so at most about 170 MB a task, forms included.
+_WORDS_KNOWN, _WORDS_AT_ONCE = 1 << 19, 1 << 18
+_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")  # what ``bytes.split()`` splits at
+# The UTF-8 bytes of ASCII without control characters, and of the letters ß-ÿ, whose second bytes, C3 being the only lead byte, are all that the rest
+# can be. The normaliser does no more to words of these than to lower A-Z, and the split patterns do with them what _PARTS does.
 _PLAIN = np.zeros(256, bool)
-_PLAIN[[*range(32, 65), *range(91, 127), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+_PLAIN[[*range(32, 127), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+# Those of them that letters are made of, and the blank after a word.
+_LETTERS = _PLAIN.copy()
+_LETTERS[[*range(33, 65), *range(91, 97), *range(123, 127)]] = False
 _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 # The character that stands for each byte in the model's tokens; a blank stays one.
 _SPARE = iter(range(256, 512))
@@ -55,8 +59,13 @@ class _Flat:
     def __init__(self):
         self.ids, self.starts, self.lengths = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def extend(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
+    def extend(self, ids: np.ndarray, lengths: np.ndarray, order: np.ndarray | None = None) -> None:
+        """Adds runs, given in that order of their numbers or, without it, by number."""
+        starts = len(self.ids) + np.cumsum(lengths) - lengths
+        if order is not None:
+            back = np.argsort(order)
+            starts, lengths = starts[back], lengths[back]
+        self.starts = np.concatenate((self.starts, starts))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.ids = np.concatenate((self.ids, ids))
 
@@ -71,8 +80,9 @@ class _WordIds(dict):
     """Token ids of texts by way of their words: each word has a number, and the numbers' ids lie in one flat array. The tokenizer
     drops white space, and neither its normaliser nor its split patterns look past it, so a text's ids are its words' ids in a row.
 
-    Of one task, which drops it at its end. Words are numbered in runs of ``_WORDS_AT_ONCE``, whatever text they are from; before a run a table
-    of more than ``_WORDS_KNOWN`` words keeps the more used half at most, so it never holds more than the two together.
+    Of one task, which drops it at its end. Words are numbered in runs of ``_WORDS_AT_ONCE``, whatever text they are from; the forms that were
+    tokenised for them are words of the table too. Before a run a table of more than ``_WORDS_KNOWN`` words keeps the more used half at most, so
+    it never holds more than these and, for each word of a run, the word and its form.
     """
 
     def __init__(self, path: str):
@@ -93,18 +103,7 @@ class _WordIds(dict):
         # The same model without the steps that plain words need not take; they come as the characters that stand for their bytes.
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = CharDelimiterSplit(" ")
-        self.new: list[bytes] = []
         self.words, self.uses = _Flat(), np.empty(0, np.int64)
-        self._forget_forms()
-
-    def _forget_forms(self) -> None:
-        self.forms: dict[bytes, int] = {}
-        self.of_forms = _Flat()
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
 
     def _form(self, word: bytes) -> tuple[bytes, bytes]:
         """What of a word is tokenised, and the mark after it. Case does not count in ASCII, special tokens aside."""
@@ -140,23 +139,23 @@ class _WordIds(dict):
             tails[i] = self.tails[mark][0] if mark else -1
         return forms, tails
 
-    def _encoded(self, forms: list[bytes], plain: bool, letters: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of forms, all of letters or none, and the number of each form's ids. Plain ones are those that ``_PARTS`` splits."""
-        joined = b" ".join(forms)
+    def _encoded(self, joined: bytes, count: int, plain: bool, letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of so many forms with a blank between them, all of letters or none, and the number of each form's ids. Plain ones are those that
+        ``_PARTS`` splits."""
         if plain and letters:
-            found = self._ended(self.model, codecs.charmap_decode(joined, "strict", _SHOWN)[0], len(forms))
+            found = self._ended(self.model, codecs.charmap_decode(joined.lower(), "strict", _SHOWN)[0], count)
         elif plain:
-            parts = list(map(_PARTS.findall, forms))
-            counts = np.fromiter(map(len, parts), np.int64, len(parts))
+            parts = list(map(_PARTS.findall, joined.lower().split()))
+            counts = np.fromiter(map(len, parts), np.int64, count)
             found = self._ended(self.model, codecs.charmap_decode(b" ".join(chain.from_iterable(parts)), "strict", _SHOWN)[0], int(counts.sum()))
             found = found and (found[0], np.add.reduceat(found[1], np.cumsum(counts) - counts))
         else:
-            found = self._ended(self.tokenizer, joined.decode(), len(forms)) if letters else None
+            found = self._ended(self.tokenizer, joined.decode(), count) if letters else None
         if found:
             return found
         # Given as words already, they are tokenised one by one, in one call.
         given = self.tokenizer.encode(joined.decode().split(" "), is_pretokenized=True, add_special_tokens=False)
-        return np.array(given.ids, "<u4"), np.bincount(np.array(given.word_ids, np.int64), minlength=len(forms))
+        return np.array(given.ids, "<u4"), np.bincount(np.array(given.word_ids, np.int64), minlength=count)
 
     def _ended(self, tokenizer, text: str, count: int) -> tuple[np.ndarray, np.ndarray] | None:
         """As ``_encoded`` for so many words in one text, which is faster than word by word, unless one of them has more ends than one:
@@ -165,61 +164,88 @@ class _WordIds(dict):
         ends = np.flatnonzero(self.ends[ids])
         return (ids, np.diff(ends, prepend=-1)) if len(ends) == count and ends[-1] == len(ids) - 1 else None
 
-    def learn(self) -> None:
-        """Tokenises the words met since the last time, each form once."""
-        if not self.new:
+    def _number(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray, order: np.ndarray | None = None) -> None:
+        self.update(zip(words, range(len(self), len(self) + len(words))))
+        self.words.extend(ids, lengths, order)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Takes new words into the table, with the forms that it lacks; only these are tokenised."""
+        names, tails = self._forms(words)
+        changed = np.fromiter(map(bytes.__ne__, names, words), bool, len(words))
+        wanted = list(compress(names, changed))
+        unseen = dict.fromkeys(compress(words, ~changed))
+        unseen.update(dict.fromkeys(filterfalse(self.__contains__, wanted)))
+        self._tokenise(list(unseen))
+        # A word that another one's form is may be in the table by now.
+        forms = np.fromiter(map(self.__getitem__, wanted), np.int64, len(wanted))
+        tails, lengths = tails[changed], self.words.lengths[forms]
+        ids = np.insert(self.words.take(forms), np.cumsum(lengths)[tails >= 0], tails[tails >= 0].astype("<u4"))
+        self._number(list(compress(words, changed)), ids, lengths + (tails >= 0))
+
+    def _tokenise(self, forms: list[bytes]) -> None:
+        if not forms:
             return
-        names, tails = self._forms(self.new)
-        unseen = [form for form in dict.fromkeys(names) if form not in self.forms]
-        joined = b" ".join(unseen)
-        flat = np.frombuffer(joined, np.uint8)
-        starts = np.concatenate(([0], np.flatnonzero(flat == 32) + 1))
-        plain = np.logical_and.reduceat(_PLAIN[flat], starts) if unseen else np.empty(0, bool)
-        if b"<|" in joined:
-            plain &= np.fromiter((b"<|" not in form for form in unseen), bool, len(unseen))
-        letters = np.fromiter(map(str.isalpha, joined.decode().split(" ")), bool, len(unseen)) if unseen else plain
+        flat = np.frombuffer(b" ".join(forms) + b" ", np.uint8)
+        ends = np.flatnonzero(flat == 32) + 1
+        sizes = np.diff(ends, prepend=0)
+        plain = np.logical_and.reduceat(_PLAIN[flat], ends - sizes)
+        marked = np.flatnonzero((flat[:-1] == ord("<")) & (flat[1:] == ord("|")))
+        plain[np.searchsorted(ends, marked, side="right")] = False
+        letters = np.logical_and.reduceat(_LETTERS[flat], ends - sizes)
+        odd = list(compress(forms, ~plain))
+        letters[~plain] = np.fromiter((form.decode().isalpha() for form in odd), bool, len(odd))
+        found, order = [], []
         for easy in (True, False):
             for whole in (True, False):
-                of_kind = list(compress(unseen, (plain == easy) & (letters == whole)))
-                first = len(self.of_forms.lengths)
-                for i in range(0, len(of_kind), 4096):
-                    self.of_forms.extend(*self._encoded(of_kind[i : i + 4096], easy, whole))
-                self.forms.update(zip(of_kind, range(first, first + len(of_kind))))
-        forms = np.fromiter(map(self.forms.__getitem__, names), np.int64, len(names))
-        lengths = self.of_forms.lengths[forms]
-        ids = np.insert(self.of_forms.take(forms), np.cumsum(lengths)[tails >= 0], tails[tails >= 0].astype("<u4"))
-        self.words.extend(ids, lengths + (tails >= 0))
-        self.new = []
+                kind = (plain == easy) & (letters == whole)
+                order.append(np.flatnonzero(kind))
+                joined, cuts = flat[np.repeat(kind, sizes)].tobytes(), np.cumsum(sizes[kind]).tolist()
+                for i in range(0, len(cuts), 4096):
+                    last = min(i + 4096, len(cuts))
+                    found.append(self._encoded(joined[cuts[i - 1] if i else 0 : cuts[last - 1] - 1], last - i, easy, whole))
+        ids, lengths = (np.concatenate(part) for part in zip(*found, strict=True))
+        self._number(forms, ids, lengths, np.concatenate(order))
 
     def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text with the end token; a bounded number of words is looked up at once, however long a text is or the texts together."""
-        pending: list[list[bytes]] = []
-        size = 0
-        for text in texts:
-            words = (text or b"").split()
-            if size + len(words) > _WORDS_AT_ONCE:
-                yield from self._ids(pending)
-                pending, size = [], 0
-            if len(words) > _WORDS_AT_ONCE:
-                yield np.concatenate([*self._in_runs(words), _END])
-                continue
-            pending.append(words)
-            size += len(words)
-        yield from self._ids(pending)
-
-    def _in_runs(self, words: list[bytes]) -> Iterator[np.ndarray]:
-        for start in range(0, len(words), _WORDS_AT_ONCE):
-            yield next(self._ids([words[start : start + _WORDS_AT_ONCE]]))[:-1]
-
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        """The words' numbers; equal words are looked up once."""
-        # Every word with a blank after it; so the distinct ones lie together as a text does.
-        joined = b" ".join(words) + b" " if words else b""
-        ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).astype(np.int32) + np.int32(1)
-        offsets = np.concatenate((np.zeros(1, np.int32), ends))
-        found = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        # The texts in a row, a blank after each; words end where a blank follows another byte, and further blanks are left out.
+        data = np.frombuffer(b" ".join([*(text or b"" for text in texts), b""]).translate(_BLANKS), np.uint8)
+        blank = data == 32
+        closes = blank.copy()
+        closes[1:] &= ~blank[:-1]
+        closes[:1] = False
+        ends = np.flatnonzero(closes) + 1
+        words = np.searchsorted(ends, np.cumsum([len(text or b"") + 1 for text in texts]), side="right")
+        if len(ends) < np.count_nonzero(blank):
+            data = data[closes | ~blank]
+            ends = np.flatnonzero(data == 32) + 1
+        ids, lengths = [np.empty(0, "<u4")], [np.zeros(1, np.int64)]
+        for first in range(0, len(ends), _WORDS_AT_ONCE):
+            start, run = ends[first - 1] if first else 0, ends[first : first + _WORDS_AT_ONCE]
+            numbers = self._numbers(data[start : run[-1]], run - start)
+            ids.append(self.words.take(numbers))
+            lengths.append(self.words.lengths[numbers])
+        found, start = np.concatenate(ids), 0
+        for end in np.cumsum(np.concatenate(lengths))[words].tolist():
+            yield np.concatenate((found[start:end], _END))
+            start = end
+
+    def _numbers(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of words that lie in a row, each with a blank after it; equal words are looked up once."""
+        self._make_room()
+        offsets = np.concatenate((np.zeros(1, np.int32), ends.astype(np.int32)))
+        found = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         distinct = _data(found.dictionary).split()
-        return np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
+        numbers = np.fromiter(map(self.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if (new := numbers < 0).any():
+            words = list(compress(distinct, new))
+            self._learn(words)
+            numbers[new] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        numbers = numbers[found.indices.to_numpy()]
+        used = np.bincount(numbers, minlength=len(self))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
+        return numbers
 
     def _make_room(self) -> None:
         """Most words of a full table were met once; those met more often stay, the most used ones if they are many."""
@@ -233,22 +259,6 @@ class _WordIds(dict):
         self.update(zip((names[i] for i in kept.tolist()), range(len(kept)), strict=True))
         self.words, self.uses = _Flat(), self.uses[kept]
         self.words.extend(ids, lengths)
-        self._forget_forms()
-
-    def _ids(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
-        if not texts:
-            return
-        self._make_room()
-        numbers = self._numbers(list(chain.from_iterable(texts)))
-        self.learn()
-        used = np.bincount(numbers, minlength=len(self))
-        used[: len(self.uses)] += self.uses
-        self.uses = used
-        ids, ends = self.words.take(numbers), np.concatenate(([0], np.cumsum(self.words.lengths[numbers])))
-        start = 0
-        for end in ends[np.cumsum([len(words) for words in texts])].tolist():
-            yield np.concatenate((ids[start:end], _END))
-            start = end
 
 
 def _pieces(tokenizer_path: str, size: int):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import string
+import sys
 
 import pytest
 from tokenizers import Tokenizer
@@ -72,3 +73,43 @@ def test_plain_words_go_by_the_model_alone():
     text = " ".join([*odd, "one", "more"])
     assert next(words.texts([text.encode()])).tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_OF_DOCUMENT]
     assert sorted(asked) == sorted(odd)
+
+
+def test_no_call_for_each_word():
+    rng = random.Random(7)
+    some = ["".join(rng.choices(string.ascii_letters, k=9)) + rng.choice(["", "", ",", "."]) for _ in range(20_000)]
+    texts = [" ".join(some[i : i + 50]).encode() for i in range(0, len(some), 50)]
+    words, calls = packing._WordIds(queries.tokenizer_path()), []
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        found = list(words.texts(texts))
+    finally:
+        sys.setprofile(None)
+    assert len(found) == len(texts) and len(calls) < len(some) // 10
+
+
+def test_a_form_is_a_word_of_the_table():
+    path = queries.tokenizer_path()
+    words, plain, asked = packing._WordIds(path), Tokenizer.from_file(path), []
+    model, tokenise = words.model, words._tokenise
+    words._tokenise = lambda forms: asked.extend(forms) or tokenise(forms)
+    for text in ("Apple, apple pear.", "APPLE pear Pear!", "R\u00e9el, r\u00e9el", "apple. plum;", "plum R\u00e9el"):
+        assert next(words.texts([text.encode()])).tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_OF_DOCUMENT]
+    assert asked == [w.encode() for w in ("apple", "pear", "r\u00e9el", "R\u00e9el", "plum")] and words.model is model
+
+
+def test_capitals_of_ascii_need_no_normaliser():
+    path = queries.tokenizer_path()
+    words, plain = packing._WordIds(path), Tokenizer.from_file(path)
+    words.tokenizer = None
+    text = "R\u00e9r\u00e9ement StRASS\u00df\u00e9 Ch\u00e4l-Ich'S A\u00f1O%% N\u00e3O. GR\u00f6\u00dfe,"
+    assert next(words.texts([text.encode()])).tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_OF_DOCUMENT]
+
+
+def test_blanks_of_any_kind_and_number():
+    path = queries.tokenizer_path()
+    words, plain = packing._WordIds(path), Tokenizer.from_file(path)
+    texts = ["", " ", " a", "a ", "\n\na \t b\r\n", None, "a\x0bb\x0c c", "a", "", "b", "\x1c", " \x85 a\u00a0b "]
+    got = [ids.tolist() for ids in words.texts([None if t is None else t.encode() for t in texts])]
+    assert got == [[*plain.encode(t or "", add_special_tokens=False).ids, packing.END_OF_DOCUMENT] for t in texts]
+    assert list(words.texts([])) == []
